@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.functions.clock import quoted
 from faultline.operators.evaluate import roc_auc
@@ -48,12 +49,13 @@ GBT_PARAMS = {"learning_rate": "stepSize", "max_bin": "maxBins", "max_depth": "m
 def ngrams(c: Column, low: int = 1, high: int = 2) -> Column:
     """Lower-cased words between spaces, and runs of up to ``high`` of them."""
     words = F.filter(F.split(F.lower(c), " "), lambda w: w != "")
-    parts = []
-    for n in range(low, high + 1):
+
+    def runs(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
             F.array().cast("array<int>"))
-        parts.append(words if n == 1 else F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return F.concat(*[words if n == 1 else runs(n) for n in range(low, high + 1)])
 
 
 def term_counts(df: DataFrame, row_id: str, text: str, span: tuple[int, int] = (1, 2)) -> DataFrame:
@@ -189,7 +191,8 @@ def score(df: DataFrame, model: Transformer, threshold: float = 0.5) -> DataFram
 
 def score_external(df: DataFrame, features: Sequence[str], loader, threshold: float = 0.5) -> DataFrame:
     """F7 for a model from elsewhere: ``loader()`` runs once per task and returns ``f(pandas frame) -> probabilities``."""
-    schema = df.schema.add("y_proba", "double").add("y_pred", "int")
+    schema = T.StructType([*df.schema, T.StructField("y_proba", T.DoubleType()),
+                           T.StructField("y_pred", T.IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = loader()

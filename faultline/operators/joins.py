@@ -94,9 +94,9 @@ def map_through(df: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
 def lookup_vocab(df: DataFrame, vocab: DataFrame, col: str, token: str = "token", out: str = "id",
                  unk: int = 1) -> DataFrame:
     """Value -> id, unknown values -> ``unk``. One vocabulary row per value; AQE broadcasts it if it measures small."""
-    side = vocab.select(F.col(quoted(token)).alias("_token"), F.col("id").alias("_id"))
-    return (df.join(side, F.col(quoted(col)) == F.col("_token"), "left")
-            .withColumn(out, F.coalesce(F.col("_id"), F.lit(unk))).drop("_token", "_id"))
+    side = vocab.select(F.col(quoted(token)).alias("_v_token"), F.col("id").alias("_v_id"))
+    return (df.join(side, F.col(quoted(col)) == F.col("_v_token"), "left")
+            .withColumn(out, F.coalesce(F.col("_v_id"), F.lit(unk))).drop("_v_token", "_v_id"))
 
 
 def entity_universe(inventory: Sequence[tuple[DataFrame, str]], labels: tuple[DataFrame, str] | None = None) -> DataFrame:

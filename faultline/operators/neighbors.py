@@ -80,7 +80,8 @@ def nearest_neighbors(df: DataFrame, row_id: str, vec: str, k: int) -> DataFrame
 
     # first pass: own block; every block but the last is full, and pivots make cells of at least one row
     own = near.select("cell", "block", "id", "vec")
-    first = _top(own.groupBy("cell", "block").cogroup(own.groupBy("cell", "block")).applyInArrow(run, _PAIR), k)
+    twin = own.select(*[F.col(c).alias(c) for c in own.columns])  # the same rows under fresh column ids
+    first = _top(own.groupBy("cell", "block").cogroup(twin.groupBy("cell", "block")).applyInArrow(run, _PAIR), k)
     bound = first.select("id", F.when(F.size("best") == k, F.element_at("best", -1)["dist"]).alias("_u"))
     radius = near.groupBy("cell").agg(F.max(F.element_at("_d", F.col("cell") + 1)).alias("_rad"),
                                       F.max("block").alias("_blocks"))
@@ -98,7 +99,8 @@ def nearest_neighbors(df: DataFrame, row_id: str, vec: str, k: int) -> DataFrame
     answers = own.join(parts, ["cell", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     keys = ["cell", "block", "part"]
     pairs = (asks.select(*keys, "id", "vec").groupBy(*keys)
-             .cogroup(answers.select(*keys, "id", "vec").groupBy(*keys)).applyInArrow(run, _PAIR))
+             .cogroup(answers.select(*[F.col(c).alias(c) for c in (*keys, "id", "vec")]).groupBy(*keys))
+             .applyInArrow(run, _PAIR))
     best = _top(pairs, k)
     return best.select("id", F.posexplode("best").alias("place", "_b")).select(
         "id", F.col("_b.other").alias("other"), F.col("_b.dist").alias("dist"), "place")

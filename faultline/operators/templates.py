@@ -79,8 +79,9 @@ def _step(cfg: MinerConfig):
             cols = {c: pa.array([r[c] for r in left], want.field(c).type) for c in left[0]}
             parts.append(pa.table({"kind": ["state"] * len(left), **cols}))
         out = pa.concat_tables(parts, promote_options="default")
-        fixed = {"shard": pa.array([name] * len(out), pa.string()), "chunk": pa.array([chunk] * len(out), pa.int64())}
-        return pa.table([fixed[f.name] if f.name in fixed else out[f.name].cast(f.type) for f in want], schema=want)
+        cols = {"shard": pa.array([name] * len(out), pa.string()), "chunk": pa.array([chunk] * len(out), pa.int64())}
+        cols |= {c: out[c].cast(want.field(c).type) for c in out.column_names}
+        return pa.table([cols[f.name] if f.name in cols else pa.nulls(len(out), f.type) for f in want], schema=want)
 
     return run
 

@@ -1,0 +1,253 @@
+"""Queries of metrics and model jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from faultline.operators import evaluate as ev
+from faultline.operators import features as ft
+from faultline.operators import neighbors as nn
+from faultline.plans import stand_ins, tabular
+from faultline.plans.registry import query, table
+from faultline.plans.stand_ins import SCORED, with_views
+
+
+def _r6(df, *cols):
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+@query("g1_confusion", with_views("""
+SELECT count(*) FILTER (y_true = 1 AND y_proba >= 0.5) AS tp, count(*) FILTER (y_true = 0 AND y_proba >= 0.5) AS fp,
+  count(*) FILTER (y_true = 0 AND y_proba < 0.5) AS tn, count(*) FILTER (y_true = 1 AND y_proba < 0.5) AS fn
+FROM scored""", scored=SCORED))
+def _(spark, sf):
+    return ev.confusion(stand_ins.scored(spark, sf))
+
+
+@query("g1_confusion_argmax", with_views("""
+SELECT count(*) FILTER (y = 1 AND d = 1) AS tp, count(*) FILTER (y = 0 AND d = 1) AS fp,
+  count(*) FILTER (y = 0 AND d = 0) AS tn, count(*) FILTER (y = 1 AND d = 0) AS fn
+FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN -1 ELSE y_true END AS y, CASE WHEN y_proba > 1 - y_proba THEN 1 ELSE 0 END AS d
+      FROM scored) WHERE y >= 0""", scored=SCORED))
+def _(spark, sf):
+    s = stand_ins.scored(spark, sf).withColumns({
+        "y_true": F.when(F.col("doc_id") % 10 == 0, -1).otherwise(F.col("y_true")), "p0": 1 - F.col("y_proba")})
+    return ev.confusion(s, pred=ev.argmax_pred(["p0", "y_proba"]))
+
+
+@query("g2_classification_report", with_views("""
+WITH c AS (SELECT * FROM conf), k AS (
+  SELECT '0' AS class, tn / nullif(tn + fn, 0) AS precision, tn / nullif(tn + fp, 0) AS recall, 2 * tn / nullif(2 * tn + fn + fp, 0) AS f1, tn + fp AS support FROM c
+  UNION ALL SELECT '1', tp / nullif(tp + fp, 0), tp / nullif(tp + fn, 0), 2 * tp / nullif(2 * tp + fp + fn, 0), tp + fn FROM c)
+SELECT class, round(coalesce(precision, 0), 6) AS precision, round(coalesce(recall, 0), 6) AS recall, round(coalesce(f1, 0), 6) AS f1, CAST(support AS BIGINT) AS support FROM (
+SELECT * FROM k
+UNION ALL SELECT 'accuracy', (tp + tn) / (tp + fp + tn + fn), (tp + tn) / (tp + fp + tn + fn), (tp + tn) / (tp + fp + tn + fn), tp + fp + tn + fn FROM c
+UNION ALL SELECT 'macro avg', avg(coalesce(precision, 0)), avg(coalesce(recall, 0)), avg(coalesce(f1, 0)), sum(support) FROM k
+UNION ALL SELECT 'weighted avg', sum(coalesce(precision, 0) * support) / sum(support), sum(coalesce(recall, 0) * support) / sum(support),
+  sum(coalesce(f1, 0) * support) / sum(support), sum(support) FROM k)""".replace("WITH c AS (SELECT * FROM conf), k AS (", "SELECT * FROM (WITH c AS (SELECT * FROM conf), k AS (") + ")",
+    scored=SCORED, conf="""
+SELECT count(*) FILTER (y_true = 1 AND y_proba >= 0.5) AS tp, count(*) FILTER (y_true = 0 AND y_proba >= 0.5) AS fp,
+  count(*) FILTER (y_true = 0 AND y_proba < 0.5) AS tn, count(*) FILTER (y_true = 1 AND y_proba < 0.5) AS fn FROM scored"""))
+def _(spark, sf):
+    return _r6(ev.classification_report(stand_ins.scored(spark, sf)), "precision", "recall", "f1")
+
+
+_POINTS = """
+SELECT threshold, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n
+FROM (SELECT y_proba AS threshold, count(*) FILTER (y_true = 1) AS pos, count(*) FILTER (y_true = 0) AS neg
+      FROM scored GROUP BY 1) WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)"""
+
+
+@query("g3_roc_curve", with_views("""
+SELECT threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM pts
+UNION ALL SELECT CAST('inf' AS DOUBLE), 0, 0""", scored=SCORED, pts=_POINTS))
+def _(spark, sf):
+    return _r6(ev.roc_curve(stand_ins.scored(spark, sf)), "fpr", "tpr")
+
+
+@query("g3_roc_auc", with_views("""
+SELECT round((sum(r) FILTER (y_true = 1) - p * (p + 1) / 2.0) / (p * n), 6) AS roc_auc
+FROM (SELECT y_true, rank() OVER (ORDER BY y_proba) + (count(*) OVER (PARTITION BY y_proba) - 1) / 2.0 AS r,
+        sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) OVER () AS p, sum(CASE WHEN y_true = 0 THEN 1 ELSE 0 END) OVER () AS n FROM scored)
+GROUP BY p, n""", scored=SCORED))
+def _(spark, sf):
+    return _r6(ev.roc_auc(stand_ins.scored(spark, sf)), "roc_auc")
+
+
+_PR = """SELECT threshold, round(tp / (tp + fp), 6) AS precision, round(tp / p, 6) AS recall,
+  round(CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / (tp + fp)) * (tp / p) / (tp / (tp + fp) + tp / p) END, 6) AS f1 FROM pts"""
+
+
+@query("g4_pr_curve", with_views(_PR, scored=SCORED, pts=_POINTS))
+def _(spark, sf):
+    return _r6(ev.pr_curve(stand_ins.scored(spark, sf)), "precision", "recall", "f1")
+
+
+@query("g4_pr_auc", with_views("""
+SELECT round(sum((r - coalesce(r0, 0)) * (q + coalesce(q0, 1)) / 2), 6) AS pr_auc FROM (
+  SELECT tp / p AS r, tp / (tp + fp) AS q, lag(tp / p) OVER (ORDER BY threshold DESC) AS r0,
+         lag(tp / (tp + fp)) OVER (ORDER BY threshold DESC) AS q0 FROM pts)""", scored=SCORED, pts=_POINTS))
+def _(spark, sf):
+    return _r6(ev.pr_auc(stand_ins.scored(spark, sf)), "pr_auc")
+
+
+@query("g4_max_f1", with_views(f"""
+SELECT f1 AS max_f1, threshold FROM ({_PR}) ORDER BY f1 DESC, threshold LIMIT 1""", scored=SCORED, pts=_POINTS))
+def _(spark, sf):
+    return _r6(ev.max_f1(stand_ins.scored(spark, sf)), "max_f1")
+
+
+def _gain_sql(q: int) -> str:
+    return with_views(f"""
+SELECT decile, observations, events, non_events, proba_max, proba_min, CAST(ce AS BIGINT) AS cumulative_events,
+  round_even(ce / total * 100, 2) AS cumulative_gain_pct, CAST(co AS BIGINT) AS cumulative_observations,
+  round_even(ce / co * 100, 2) AS precision_pct, {q + 1} - decile AS decile_low
+FROM (SELECT *, sum(events) OVER (ORDER BY decile) AS ce, sum(observations) OVER (ORDER BY decile) AS co, sum(events) OVER () AS total
+  FROM (SELECT greatest(1, (i * {q} + n - 2) // (n - 1)) AS decile, count(*) AS observations,
+          count(*) FILTER (y_true = 1) AS events, count(*) FILTER (y_true = 0) AS non_events,
+          max(y_proba) AS proba_max, min(y_proba) AS proba_min
+        FROM (SELECT *, row_number() OVER (ORDER BY y_proba DESC, doc_id) - 1 AS i, count(*) OVER () AS n FROM scored)
+        GROUP BY 1))""", scored=SCORED)
+
+
+@query("g5_gain_table", _gain_sql(10))
+def _(spark, sf):
+    return ev.gain_table(stand_ins.scored(spark, sf), 10, tie=["doc_id"])
+
+
+@query("g5_gain_table_140", _gain_sql(140))
+def _(spark, sf):
+    return ev.gain_table(stand_ins.scored(spark, sf), 140, tie=["doc_id"])
+
+
+@query("g6_predictions", """
+SELECT 'dev-' || user_id AS ip_address, ts AS window_5min_end, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y_true,
+  CASE WHEN round(value / 100, 6) >= 0.5 THEN 1 ELSE 0 END AS y_pred, round(value / 100, 6) AS y_proba, CAST(ts AS DATE) AS date FROM events""")
+def _(spark, sf):
+    d = stand_ins.device(spark, sf).withColumn("y_proba", F.round(F.col("value") / 100, 6))
+    return ev.predictions(d, ip="ip", end="timestamp")
+
+
+# ---- features and models
+
+
+_GRAMS = """
+SELECT doc_id, unnest(words || list_transform(generate_series(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1])) AS term
+FROM (SELECT item_id AS doc_id, list_filter(string_split(lower(text), ' '), lambda w: w <> '') AS words FROM benchmark)"""
+_TF = "SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL"
+_TERMS = """
+SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id, df, ln((1 + n) / (1 + df)) + 1 AS idf
+FROM (SELECT term, count(*) AS df, sum(tf) AS c FROM tf GROUP BY term ORDER BY c DESC, term LIMIT 300),
+     (SELECT CAST(count(*) AS DOUBLE) AS n FROM benchmark)"""
+
+
+@query("f1_tfidf", with_views("""
+SELECT doc_id, term, term_id, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight
+FROM (SELECT doc_id, term, term_id, tf * idf AS w FROM tf JOIN terms USING (term))""", grams=_GRAMS, tf=_TF, terms=_TERMS))
+def _(spark, sf):
+    b = table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")
+    return _r6(ft.tfidf(b, "doc_id", "text", max_features=300), "weight")
+
+
+@query("f1_tfidf_vocabulary", with_views("SELECT term, term_id, df, round(idf, 6) AS idf FROM terms",
+                                         grams=_GRAMS, tf=_TF, terms=_TERMS))
+def _(spark, sf):
+    b = table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")
+    return _r6(ft.fit_tfidf(b, "doc_id", "text", max_features=300), "idf")
+
+
+_GAPS = """SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value, user_id * 1.0 AS load FROM events"""
+
+
+def _gaps(spark, sf):
+    return table(spark, sf, "events").select(
+        "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("value"),
+        F.col("user_id").cast("double").alias("load"))
+
+
+@query("f2_impute", f"""
+SELECT event_id, coalesce(value, -1) AS value, CAST(load AS DOUBLE) AS load, CASE WHEN value IS NULL THEN 1 ELSE 0 END AS value_missing
+FROM ({_GAPS})""")
+def _(spark, sf):
+    return ft.impute(_gaps(spark, sf), ["value", "load"])
+
+
+@query("f3_one_hot", """
+SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS event_type_error,
+  CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS event_type_purchase,
+  CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS event_type_signup,
+  CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS event_type_view FROM events""")
+def _(spark, sf):
+    return ft.one_hot(table(spark, sf, "events").select("event_id", "event_type"), ["event_type"])
+
+
+def _training(spark, sf):
+    """Labelled windows with two numeric columns, one of them with gaps, a category and a text."""
+    w = tabular.device_windows(spark, sf)
+    w = w.withColumn("row", F.xxhash64("ip_address", "window_5min_end"))
+    day = F.dayofweek("window_5min_end").cast("string")
+    return w.select("row", "ip_address", "window_5min_end", "label", F.col("n").cast("double").alias("n"),
+                    "ratio_countlog_delta_30min", day.alias("day"),
+                    F.concat_ws(" ", F.lit("n"), F.col("n").cast("string"), F.lit("day"), day).alias("combined_message"))
+
+
+def _prepared(spark, sf):
+    df = _training(spark, sf)
+    prep = ft.Prepared(df, "row", ["n", "ratio_countlog_delta_30min"], ["day"], "combined_message", max_features=16)
+    return df, prep, prep.transform(df).cache()
+
+
+@query("f4_fit_score")
+def _(spark, sf):
+    _df, _prep, rows = _prepared(spark, sf)
+    model = ft.fit_classifier(rows, maxIter=3, maxDepth=3)
+    out = ft.score(rows, model)
+    return ev.predictions(out)
+
+
+@query("f5_tune_time_holdout")
+def _(spark, sf):
+    _df, _prep, rows = _prepared(spark, sf)
+    grid = [{**p, "maxIter": 2, "maxDepth": min(p["maxDepth"], 4)} for p in ft.draw_params(2)]
+    _model, params, auc = ft.tune_time_holdout(rows, "window_5min_end", grid)
+    return rows.agg(F.count("*").alias("rows")).select("rows", F.lit(float(auc)).alias("valid_roc_auc"),
+                                                       F.lit(str(sorted(params))).alias("tuned"))
+
+
+@query("g7_feature_importance")
+def _(spark, sf):
+    _df, prep, rows = _prepared(spark, sf)
+    model = ft.fit_classifier(rows, maxIter=3, maxDepth=3)
+    return ev.feature_importance_top(spark, model.featureImportances.toArray(), prep.names(), 30)
+
+
+@query("f6_nearest_neighbors", """
+SELECT id, other, place, round(dist, 5) AS dist FROM (
+  SELECT a.vec_id AS id, b.vec_id AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) - 1 AS place, d AS dist
+  FROM (SELECT a.vec_id, b.vec_id AS o, a.embedding AS x, b.embedding AS y,
+          sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ** 2))) AS d
+        FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id) t
+  JOIN embeddings a ON a.vec_id = t.vec_id JOIN embeddings b ON b.vec_id = t.o) WHERE place < 5""")
+def _(spark, sf):
+    out = nn.nearest_neighbors(table(spark, sf, "embeddings"), "vec_id", "embedding", 5)
+    return out.withColumn("dist", F.round("dist", 5))
+
+
+@query("f6_oversample_minority", """
+SELECT min(n) = max(n) AS even, count(*) AS classes, sum(n) - (SELECT count(*) FROM embeddings) AS made
+FROM (SELECT y, max(count(*)) OVER () AS n FROM (SELECT CASE WHEN label = 0 THEN 1 ELSE 0 END AS y FROM embeddings) GROUP BY y)""")
+def _(spark, sf):
+    e = table(spark, sf, "embeddings").withColumn("label", (F.col("label") == 0).cast("int"))
+    out = nn.oversample_minority(e, "vec_id", "embedding")
+    sizes = out.groupBy("label").agg(F.count("*").alias("n"), F.count_if("synthetic").alias("s"))
+    return sizes.agg((F.min("n") == F.max("n")).alias("even"), F.count("*").alias("classes"), F.sum("s").alias("made"))
+
+
+@query("f7_score_external", """
+SELECT event_id, round(value / 200, 6) AS y_proba, CASE WHEN value / 200 >= 0.25 THEN 1 ELSE 0 END AS y_pred FROM events""")
+def _(spark, sf):
+    def loader():
+        return lambda frame: frame["value"] / 200
+
+    e = table(spark, sf, "events").select("event_id", "value")
+    return _r6(ft.score_external(e, ["value"], loader, 0.25).drop("value"), "y_proba")

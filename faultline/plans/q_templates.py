@@ -1,0 +1,190 @@
+"""Queries of template mining and matching."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from faultline.functions.text import MASK_DELIMITERS, tokens_of
+from faultline.operators import params, templates
+from faultline.operators.mining_core import MinerConfig
+from faultline.plans import stand_ins
+from faultline.plans.registry import query, table
+from faultline.plans.sequences import PRODUCTION, masked_tokens
+from faultline.plans.stand_ins import DOC_LINES, LINES, with_views
+from faultline.session import fresh_dir
+
+ORDER = ["doc_id", "line"]
+_DOC_TOKENS = r"""
+SELECT doc_id, line, list_filter(regexp_split_to_array(translate(message, '[]<>()=:', '        '),
+  '[\s\p{Z}\x0b\x1c-\x1f\x{85}]+'), lambda t: t <> '') AS tokens FROM doc_lines"""
+
+
+def _mined(spark, sf, cfg=PRODUCTION):
+    return templates.mine_templates(stand_ins.doc_tokens(spark, sf, MASK_DELIMITERS), "tokens", ORDER, cfg, ts="doc_id")
+
+
+@query("m1_mine_templates")
+def _(spark, sf):
+    return _mined(spark, sf)[0]
+
+
+@query("m1_lines_per_shard", with_views("""
+SELECT CAST(len(tokens) AS VARCHAR) AS shard, count(*) AS lines FROM toks GROUP BY 1""",
+                                        doc_lines=DOC_LINES, toks=_DOC_TOKENS))
+def _(spark, sf):
+    """Every line is mined exactly once: catalogue sizes add up to the lines of each token count (no cap)."""
+    cfg = MinerConfig(sim_th=0.4, max_clusters=None)
+    catalog = _mined(spark, sf, cfg)[1]
+    return templates.live_templates(catalog).groupBy("shard").agg(F.sum("size").alias("lines"))
+
+
+@query("m1_syslog_templates")
+def _(spark, sf):
+    rows = masked_tokens(stand_ins.lines(spark, sf))
+    return templates.mine_templates(rows, "tokens", ["timestamp", "event_id"], PRODUCTION)[1].drop("touched", "next_id")
+
+
+# a fixed catalogue of the syslog shapes: numbers and names blanked out
+_SHAPES = r"""
+SELECT string_split(regexp_replace(message, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS tokens, count(*) AS size,
+       min(event_id) AS tree_ord FROM lines GROUP BY 1"""
+
+
+def _shapes(spark, sf):
+    """The same catalogue as a table: one cluster per distinct blanked line."""
+    rows = stand_ins.lines(spark, sf)
+    blank = F.split(F.regexp_replace("message", r"[^ ]*[0-9][^ ]*", "<*>"), " ")
+    shapes = rows.groupBy(blank.alias("tokens")).agg(F.count("*").alias("size"), F.min("event_id").alias("tree_ord"))
+    return shapes.select(F.size("tokens").cast("string").alias("shard"), (F.col("tree_ord") + 1).alias("local_id"), "tokens",
+                         F.get("tokens", F.lit(0)).alias("leaf_path"), "tree_ord", F.lit(0).cast("bigint").alias("touched"),
+                         F.lit(0).cast("bigint").alias("next_id"), "size", F.lit(0).cast("bigint").alias("latest_ts"))
+
+
+@query("m7_match_always", with_views("""
+SELECT l.event_id, arg_max(array_to_string(s.tokens, ' '), ROW(len(list_filter(s.tokens, lambda t: t = '<*>')), -s.tree_ord)) AS template
+FROM (SELECT event_id, string_split(message, ' ') AS tokens FROM lines) l LEFT JOIN shapes s ON len(l.tokens) = len(s.tokens)
+  AND len(list_filter(list_zip(l.tokens, s.tokens), lambda p: p[2] <> '<*>' AND p[1] <> p[2])) = 0
+GROUP BY l.event_id""", lines=LINES, shapes=_SHAPES))
+def _(spark, sf):
+    rows = stand_ins.lines(spark, sf).withColumn("tokens", tokens_of(F.col("message")))
+    return templates.map_templates(rows, "tokens", _shapes(spark, sf), "always").select("event_id", "template")
+
+
+@query("m7_match_never", with_views("""
+SELECT l.event_id, arg_max(array_to_string(s.tokens, ' '), ROW(len(list_filter(s.tokens, lambda t: t = '<*>')), -s.tree_ord)) AS template
+FROM (SELECT event_id, tokens, CASE WHEN EXISTS (SELECT 1 FROM shapes n WHERE len(n.tokens) = len(m.tokens) AND n.tokens[1] = m.tokens[1])
+        THEN m.tokens[1] ELSE '<*>' END AS leaf
+      FROM (SELECT event_id, string_split(message, ' ') AS tokens FROM lines) m) l
+LEFT JOIN shapes s ON len(l.tokens) = len(s.tokens) AND s.tokens[1] = l.leaf
+  AND len(list_filter(list_zip(l.tokens, s.tokens), lambda p: p[2] <> '<*>' AND p[1] <> p[2])) = 0
+GROUP BY l.event_id""", lines=LINES, shapes=_SHAPES))
+def _(spark, sf):
+    rows = stand_ins.lines(spark, sf).withColumn("tokens", tokens_of(F.col("message")))
+    return templates.map_templates(rows, "tokens", _shapes(spark, sf), "never").select("event_id", "template")
+
+
+@query("m7_match_mined_fallback")
+def _(spark, sf):
+    rows = stand_ins.doc_tokens(spark, sf, MASK_DELIMITERS)
+    lines, catalog = templates.mine_templates(rows, "tokens", ORDER, PRODUCTION)
+    return templates.map_templates(rows, "tokens", catalog, "fallback", PRODUCTION).select(*ORDER, "cluster_id", "template")
+
+
+@query("m8_mine_jaccard")
+def _(spark, sf):
+    cfg = MinerConfig(sim_th=0.4, engine="jaccard")
+    return templates.mine_templates_jaccard(stand_ins.doc_tokens(spark, sf), "tokens", ORDER, cfg)[0]
+
+
+@query("m8_match_jaccard")
+def _(spark, sf):
+    cfg = MinerConfig(sim_th=0.4, engine="jaccard")
+    rows = masked_tokens(stand_ins.lines(spark, sf))
+    catalog = templates.mine_templates_jaccard(rows, "tokens", ["timestamp", "event_id"], cfg)[1]
+    return templates.match_templates_jaccard(rows.select("tokens"), catalog, cfg).select("tokens", "template")
+
+
+_EXTRACT_RULES = [(r"\d+\.\d+\.\d+\.\d+", "IP"), (r"0x[0-9a-f]+", "HEX"), (r"\d+", "NUM")]
+
+
+@query("m9_extract_parameters", with_views(r"""
+SELECT event_id, regexp_extract(message, 'op(\d+) from', 1) || '|' || regexp_extract(message, 'from ([0-9.]+) port', 1) || '|'
+  || regexp_extract(message, 'port (\d+)', 1) || '|' || regexp_extract(message, '(0x[0-9a-f]+)', 1) AS found
+FROM lines WHERE contains(message, 'Accepted')""", lines=LINES))
+def _(spark, sf):
+    rows = stand_ins.lines(spark, sf).withColumn("message", F.regexp_extract("message", "Accepted.*", 0))
+    template = F.lit("Accepted login, user op<NUM> from <IP> port <NUM> at <HEX>")
+    got = params.extract_parameters(template, F.col("message"), _EXTRACT_RULES)
+    return (rows.withColumn("p", got).filter("p is not null")
+            .select("event_id", F.array_join(F.transform("p", lambda x: x["value"]), "|").alias("found")))
+
+
+@query("m10_assign_templates")
+def _(spark, sf):
+    rows = stand_ins.doc_tokens(spark, sf, MASK_DELIMITERS)
+    lines, _catalog = templates.mine_templates(rows, "tokens", ORDER, PRODUCTION)
+    return templates.assign_templates(rows.drop("tokens"), lines, ORDER)
+
+
+@query("m11_resume_from_catalog")
+def _(spark, sf):
+    """Mine one half of the sources, save, go on with the other half."""
+    rows = stand_ins.doc_tokens(spark, sf, MASK_DELIMITERS)
+    early = F.pmod(F.xxhash64("source"), F.lit(2)) == 0
+    path = fresh_dir(spark, "catalog")
+    templates.save_catalog(templates.mine_templates(rows.filter(early), "tokens", ORDER, PRODUCTION)[1], path)
+    _lines, catalog = templates.mine_templates(rows.filter(~early), "tokens", ORDER, PRODUCTION,
+                                               initial=templates.load_catalog(spark, path))
+    return templates.live_templates(catalog).select("cluster_id", "size", F.array_join("tokens", " ").alias("template"))
+
+
+@query("m12_mine_distinct")
+def _(spark, sf):
+    rows = stand_ins.doc_tokens(spark, sf, MASK_DELIMITERS)
+    return templates.mine_templates_distinct(rows, "tokens", ORDER, PRODUCTION)[0].select(*ORDER, "cluster_id", "template")
+
+
+# ---- statistics, on the fixed catalogue
+
+
+def _with_id(catalog):
+    return catalog.withColumn("cluster_id", F.col("local_id"))
+
+
+@query("a12_cluster_stats", with_views("""
+SELECT count(*) AS clusters, min(size) AS min_size, max(size) AS max_size, round(avg(size), 6) AS avg_size,
+       CAST(sum(size) AS BIGINT) AS total_size FROM shapes""", lines=LINES, shapes=_SHAPES))
+def _(spark, sf):
+    return templates.cluster_stats(_shapes(spark, sf)).withColumn("avg_size", F.round("avg_size", 6))
+
+
+@query("a13_cluster_latest_ts", "SELECT event_type AS cluster_id, max(event_id) AS latest_ts FROM events GROUP BY 1")
+def _(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("cluster_id"), F.col("event_id").alias("latest_ts"))
+    return templates.cluster_latest_ts(e)
+
+
+@query("a14_template_listing", with_views("""
+SELECT * FROM (
+  SELECT CAST(len(tokens) AS VARCHAR) AS shard, tokens[1] AS leaf_path, count(*) OVER (PARTITION BY len(tokens), tokens[1]) AS cluster_count,
+    row_number() OVER (PARTITION BY len(tokens), tokens[1] ORDER BY tree_ord) AS place, tree_ord + 1 AS cluster_id, size,
+    array_to_string(tokens, ' ') AS template FROM shapes) WHERE place <= 3""", lines=LINES, shapes=_SHAPES))
+def _(spark, sf):
+    return templates.template_listing(_with_id(_shapes(spark, sf)), 3)
+
+
+@query("o2_top_clusters", with_views("""
+SELECT tree_ord + 1 AS cluster_id, size, array_to_string(tokens, ' ') AS template FROM shapes
+ORDER BY size DESC, cluster_id LIMIT 20""", lines=LINES, shapes=_SHAPES))
+def _(spark, sf):
+    return templates.top_clusters(_with_id(_shapes(spark, sf)), 20)
+
+
+@query("a15_template_token_stats", with_views("""
+SELECT *, templates - distinct_templates AS repeated_templates FROM (
+  SELECT count(*) AS templates, count(DISTINCT array_to_string(tokens, ' ')) AS distinct_templates, min(len(tokens)) AS min_tokens,
+    max(len(tokens)) AS max_tokens, CAST(sum(len(tokens)) AS BIGINT) AS total_tokens FROM shapes),
+  (SELECT count(DISTINCT t) AS distinct_tokens FROM (SELECT unnest(tokens) AS t FROM shapes))""",
+                                              lines=LINES, shapes=_SHAPES))
+def _(spark, sf):
+    return templates.template_token_stats(_shapes(spark, sf))

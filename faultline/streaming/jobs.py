@@ -58,9 +58,9 @@ def stream_label(windows: DataFrame, incidents: DataFrame, key: str = "ip_addres
     within = F.expr(f"`{key}` = _ip AND _hit >= `{end}` AND _hit <= `{end}` + INTERVAL {horizon} SECONDS")
     far = F.col("_hit") >= F.col(quoted(end)) + F.expr(f"INTERVAL {gap} SECONDS")
     pairs = w.join(i, within, "leftOuter")
-    flags = pairs.groupBy(quoted(key), F.window(quoted(end), "5 minutes"), F.col(quoted(end)).alias("_end")).agg(
+    flags = pairs.groupBy(quoted(key), quoted(end)).agg(
         F.count("_hit").alias("_hits"), F.coalesce(F.max(far.cast("int")), F.lit(0)).alias("label"))
-    return flags.filter((F.col("label") == 1) | (F.col("_hits") == 0)).select(quoted(key), F.col("_end").alias(end), "label")
+    return flags.filter((F.col("label") == 1) | (F.col("_hits") == 0)).select(quoted(key), quoted(end), "label")
 
 
 def stream_mine_templates(sdf: DataFrame, tokens: str, order_by: Sequence[str],
