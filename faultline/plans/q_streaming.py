@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import MASK_DELIMITERS, tokens_of
 from faultline.operators.mining_core import MinerConfig
+from faultline.plans.q_joins import _WIN, _labelled
 from faultline.plans.registry import query, table
-from faultline.plans.stand_ins import DEVICE, with_views
+from faultline.plans.stand_ins import DEVICE, INCIDENTS, with_views
 from faultline.streaming import jobs
 
 
@@ -46,7 +47,11 @@ def _(spark, sf):
     return _naive(jobs.run_available(jobs.stream_hopping(_events(spark, sf)), "r2"), "window_end")
 
 
-@query("r3_stream_label")
+# the outer join holds a window until no incident can reach it, behind the slower watermark of the two
+@query("r3_stream_label", with_views("""
+SELECT ip_address, window_5min_end, label FROM lab
+WHERE window_5min_end <= (SELECT max(time) FROM inc) - INTERVAL 10 MINUTE - INTERVAL 1201 SECOND""",
+                                     device=DEVICE, inc=INCIDENTS, win=_WIN, lab=_labelled("win")))
 def _(spark, sf):
     e = _events(spark, sf)
     windows = (e.withWatermark("timestamp", "10 minutes").groupBy("host", F.window("timestamp", "5 minutes"))

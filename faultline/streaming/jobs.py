@@ -47,20 +47,29 @@ def stream_hopping(sdf: DataFrame, host: str = "host", ts: str = "timestamp", wi
 
 
 def stream_label(windows: DataFrame, incidents: DataFrame, key: str = "ip_address", end: str = "window_5min_end",
-                 time: str = "time", gap: int = 300, horizon: int = 1200, delay: str = "10 minutes") -> DataFrame:
+                 time: str = "time", gap: int = 300, horizon: int = 1200, delay: str = "10 minutes",
+                 windows_delay: str | None = None) -> DataFrame:
     """J1 on two streams: left outer interval join, then one row per window.
 
-    Both time columns get watermarks, so the state of the join and of the aggregation is bounded.
+    Both time columns carry watermarks, so the state of the join and of the aggregation is bounded. ``end`` of a
+    windowed aggregate comes from ``window_time`` and has its watermark already, one microsecond before the end; pass
+    ``windows_delay`` for windows from a source instead (a second watermark on the same rows would hold back the first).
     """
-    w = windows.select(F.col(quoted(key)).alias(key), F.col(quoted(end)).alias(end)).withWatermark(end, delay)
+    w = windows.select(F.col(quoted(key)).alias(key), F.col(quoted(end)).alias("_w"))
+    tick = F.expr(f"INTERVAL {0 if windows_delay else '0.000001'} SECONDS")
+    if windows_delay:
+        w = w.withWatermark("_w", windows_delay)
+    stop = F.col("_w") + tick
     i = (incidents.select(F.col(quoted(key)).alias("_ip"), F.col(quoted(time)).alias("_hit"))
          .withWatermark("_hit", delay))
-    within = F.expr(f"`{key}` = _ip AND _hit >= `{end}` AND _hit <= `{end}` + INTERVAL {horizon} SECONDS")
-    far = F.col("_hit") >= F.col(quoted(end)) + F.expr(f"INTERVAL {gap} SECONDS")
-    pairs = w.join(i, within, "leftOuter")
-    flags = pairs.groupBy(quoted(key), quoted(end)).agg(
-        F.count("_hit").alias("_hits"), F.coalesce(F.max(far.cast("int")), F.lit(0)).alias("label"))
-    return flags.filter((F.col("label") == 1) | (F.col("_hits") == 0)).select(quoted(key), quoted(end), "label")
+    # the plain bounds are what the state clean-up understands; the first microsecond is settled below
+    within = F.expr(f"`{key}` = _ip AND _hit >= _w AND _hit <= _w + INTERVAL {horizon + 1} SECONDS")
+    seen = (F.col("_hit") >= stop) & (F.col("_hit") <= stop + F.expr(f"INTERVAL {horizon} SECONDS"))
+    far = seen & (F.col("_hit") >= stop + F.expr(f"INTERVAL {gap} SECONDS"))
+    flags = w.join(i, within, "leftOuter").groupBy(quoted(key), "_w").agg(
+        F.coalesce(F.max(seen.cast("int")), F.lit(0)).alias("_hits"),
+        F.coalesce(F.max(far.cast("int")), F.lit(0)).alias("label"))
+    return flags.filter((F.col("label") == 1) | (F.col("_hits") == 0)).select(quoted(key), stop.alias(end), "label")
 
 
 def stream_mine_templates(sdf: DataFrame, tokens: str, order_by: Sequence[str],
