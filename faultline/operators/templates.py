@@ -128,15 +128,15 @@ def _mine(df: DataFrame, text: Column, tokens: Column, ts: Column, order_by: Seq
         moved = kept.filter((F.col("kind") == "state") & (F.col("chunk") == F.col("_at")))
         still = state.join(moved.select("shard").distinct(), "shard", "left_anti")
         touch = fed.groupBy("shard", "local_id").agg(F.max("pos").alias("_pos"))
-        state = settle(moved.select(*names).unionByName(still.select(*names))
-                       .join(touch, ["shard", "local_id"], "left")
-                       .withColumn("touched", F.greatest("touched", F.coalesce("_pos", "touched"))).select(*names))
+        state = (moved.select(*names).unionByName(still.select(*names)).join(touch, ["shard", "local_id"], "left")
+                 .withColumn("touched", F.greatest("touched", F.coalesce("_pos", "touched"))).select(*names))
         wide = F.when(F.col("_at").isNull(), F.col("span") * 4).otherwise(
             F.greatest((F.col("upto") - F.col("nxt") + 1) * 2, F.lit(1)))
         progress = settle(judged.select("shard", (F.col("upto") + 1).alias("nxt"), "last",
                                         F.least(wide, F.lit(MAX_SPAN)).alias("span")).filter(F.col("nxt") <= F.col("last")))
         if progress.isEmpty():
             return _with_totals(rows, done, state, initial, order_by)
+        state = settle(state)
 
 
 def _with_totals(rows: DataFrame, done: DataFrame, state: DataFrame, initial: DataFrame | None,
