@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -91,13 +92,26 @@ def clean_message(df: DataFrame, col: str = "message", out: str | None = None) -
     return df.withColumn(out or col, clean_text(F.col(quoted(col))))
 
 
+# an edge of a word spelled as an alternation is tried at every place; the look-around says the same at once
+_EDGES = [("((?<=[^A-Za-z0-9])|^)", "(?<![A-Za-z0-9])"), ("((?=[^A-Za-z0-9])|$)", "(?![A-Za-z0-9])")]
+_BACK_REFERENCE = re.compile(r"\\[1-9]")
+
+
+def _for_java(pattern: str) -> str:
+    """The pattern with Unicode classes, and with cheap word edges unless numbered groups are referred to."""
+    if not _BACK_REFERENCE.search(pattern):
+        for slow, fast in _EDGES:
+            pattern = pattern.replace(slow, fast)
+    return "(?U)" + pattern
+
+
 def mask_text(c: Column, rules: Sequence[tuple[str, str]] = MASK_RULES, prefix: str = "<", suffix: str = ">") -> Column:
     """Ordered pattern -> ``prefix + name + suffix``. Patterns see Unicode classes, the replacement is literal."""
 
     def literal(name: str) -> str:
         return (prefix + name + suffix).replace("\\", "\\\\").replace("$", "\\$")
 
-    return reduce(lambda x, r: F.regexp_replace(x, "(?U)" + r[0], literal(r[1])), rules, c)
+    return reduce(lambda x, r: F.regexp_replace(x, _for_java(r[0]), literal(r[1])), rules, c)
 
 
 def mask_messages(df: DataFrame, col: str = "message", rules: Sequence[tuple[str, str]] = MASK_RULES,

@@ -142,8 +142,12 @@ def predictions(df: DataFrame, y: str = "label", p: str = "y_proba", threshold:
                      F.col(quoted(p)).alias("y_proba"), F.to_date(quoted(end)).alias("date"))
 
 
-def feature_importance_top(spark, importances: Sequence[float], names: Sequence[str], k: int = 30) -> DataFrame:
-    """The ``k`` most important features of a fitted tree model."""
-    rows = [(n, float(v)) for n, v in zip(names, importances)]
-    return (spark.createDataFrame(rows, "feature string, importance double")
+def feature_importance_top(importances, names: DataFrame, k: int = 30) -> DataFrame:
+    """The ``k`` most important features of a fitted tree model. ``names`` is (idx, feature).
+
+    ``importances`` is the model's sparse vector: only features that some tree uses are in it.
+    """
+    used = [(int(i), float(v)) for i, v in zip(importances.indices, importances.values)]
+    table = names.sparkSession.createDataFrame(used, "idx bigint, importance double")
+    return (names.join(table, "idx", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
             .orderBy(F.desc("importance"), "feature").limit(k))

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from faultline.functions.clock import quoted
 from faultline.operators.evaluate import roc_auc
 from faultline.operators.order import global_rank
+from faultline.session import settle
 
 # fixed values: search ranges as (type, low, high, log scale)
 SEARCH_SPACE = {
@@ -156,10 +157,12 @@ class Prepared:
         dummies = [f"{c}_{v}" for c in self.categorical for v in self.categories[c][1:]]
         self.plain = [*self.numeric, *[f"{c}_missing" for c in self.indicated], *dummies]
 
-    def names(self) -> list[str]:
-        """Feature names in vector order."""
-        words = [r["term"] for r in self.vocab.orderBy("term_id").toLocalIterator()] if self.text else []
-        return [*words, *self.plain]
+    def names(self, spark) -> DataFrame:
+        """(idx, feature): names in vector order, as a table."""
+        plain = [(self.text_size + i, c) for i, c in enumerate(self.plain)]
+        out = spark.createDataFrame(plain, "idx bigint, feature string")
+        return out.unionByName(self.vocab.select(F.col("term_id").alias("idx"), F.col("term").alias("feature"))) \
+            if self.text else out
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = one_hot(impute(df, self.numeric, indicated=self.indicated), self.categorical, self.categories)
@@ -224,6 +227,7 @@ def tune_time_holdout(prepared: DataFrame, ts: str, grid: Sequence[Mapping[str,
     anchor = prepared.agg(F.max(quoted(ts))).first()[0] - timedelta(days=days)
     cut = F.lit(anchor).cast(prepared.schema[ts].dataType)
     early, late = prepared.filter(F.col(quoted(ts)) <= cut), prepared.filter(F.col(quoted(ts)) > cut)
+    early, late = settle(early), settle(late)
     scored = []
     for i, params in enumerate(grid):
         model = fit_classifier(early, label, seed=seed, **params)

@@ -16,14 +16,12 @@ UP_STATES = (2, 7)
 
 def keep_entities(df: DataFrame, ids: DataFrame, col: str, id_col: str | None = None) -> DataFrame:
     """Keep rows whose ``col`` is in the allow-list table. The list stays a table; nothing is collected."""
-    keys = ids.select(F.col(quoted(id_col or col)).alias(col)).distinct()
-    return df.join(keys, col, "left_semi")
+    return df.join(ids.select(F.col(quoted(id_col or col)).alias(col)), col, "left_semi")
 
 
 def exclude_entities(df: DataFrame, ids: DataFrame, col: str, id_col: str | None = None) -> DataFrame:
     """Drop rows whose ``col`` is in the deny-list table."""
-    keys = ids.select(F.col(quoted(id_col or col)).alias(col)).distinct()
-    return df.join(keys, col, "left_anti")
+    return df.join(ids.select(F.col(quoted(id_col or col)).alias(col)), col, "left_anti")
 
 
 def component_filter(df: DataFrame, service: str, name_col: str = "component_name",

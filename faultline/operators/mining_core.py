@@ -39,6 +39,17 @@ class MinerConfig:
         return tokens[:max(0, min(self.depth - 3, n - 1))]
 
 
+class Codes(dict):
+    """Token -> code, new tokens numbered as they come. A literal wildcard in a line equals no template position."""
+
+    def __init__(self, param: str):
+        super().__init__({param: -1})
+
+    def __missing__(self, token: str) -> int:
+        code = self[token] = len(self)
+        return code
+
+
 class Leaf:
     """Clusters of one leaf in insertion order; templates of equal length are rows of one code matrix."""
 
@@ -77,7 +88,8 @@ class Shard:
         self.templates: dict[int, list[str]] = {}
         self.home: dict[int, tuple] = {}
         self.touched: OrderedDict[int, int] = OrderedDict()
-        self.codebook: dict[str, int] = {}
+        self.codebook = Codes(cfg.param)
+        self.texts: dict[int, str] = {}
         self.next_id = 0
         self.changed = False
         self.evicted = False
@@ -127,22 +139,29 @@ class Shard:
 
     # -- clusters -----------------------------------------------------------------------------------------------
 
-    def _encode(self, tokens: list[str], template: bool) -> np.ndarray:
-        book, param = self.codebook, self.cfg.param
-        wild = WILD if template else -1  # a literal wildcard in a line equals no template position
-        return np.fromiter((wild if t == param else book.setdefault(t, len(book) + 1) for t in tokens),
-                           np.int32, len(tokens))
+    def _encode(self, tokens: list[str]) -> np.ndarray | None:
+        if self.cfg.engine != "length":
+            return None
+        book = self.codebook
+        return np.array([book[t] for t in tokens], np.int32)
 
-    def _place(self, path: tuple, cid: int, tokens: list[str]) -> None:
-        fixed = self.cfg.engine == "length"
+    def _place(self, path: tuple, cid: int, tokens: list[str], codes: np.ndarray | None = None) -> None:
+        codes = self._encode(tokens) if codes is None else codes
         leaf = self.leaves.get(path)
         if leaf is None:
-            leaf = self.leaves[path] = Leaf(len(tokens) if fixed else None)
-        leaf.add(cid, self._encode(tokens, True) if fixed else None, sum(t == self.cfg.param for t in tokens))
+            leaf = self.leaves[path] = Leaf(None if codes is None else len(codes))
+        leaf.add(cid, None if codes is None else np.where(codes < 0, WILD, codes), tokens.count(self.cfg.param))
         self.templates[cid] = list(tokens)
         self.home[cid] = path
 
-    def best(self, path: tuple | None, tokens: list[str], threshold: float, wild_counts: bool) -> int | None:
+    def text(self, cid: int) -> str:
+        """The template as text."""
+        if cid not in self.texts:
+            self.texts[cid] = " ".join(self.templates[cid])
+        return self.texts[cid]
+
+    def best(self, path: tuple | None, tokens: list[str], threshold: float, wild_counts: bool,
+             codes: np.ndarray | None = None) -> int | None:
         """Best cluster of a leaf: similarity, then more wildcards, then the earliest."""
         leaf = self.leaves.get(path) if path is not None else None
         n = len(leaf.ids) if leaf else 0
@@ -152,7 +171,8 @@ class Shard:
             return leaf.ids[0]
         wild = leaf.wild[:n]
         if self.cfg.engine == "length":
-            same = (leaf.codes[:n] == self._encode(tokens, False)).sum(axis=1)
+            codes = self._encode(tokens) if codes is None else codes
+            same = (leaf.codes[:n] == codes).sum(axis=1)
             score = (same + wild if wild_counts else same) / len(tokens)
         else:
             score = np.array([set_score(self.templates[c], tokens, self.cfg.param, wild_counts) for c in leaf.ids])
@@ -164,47 +184,60 @@ class Shard:
 
     def add(self, tokens: list[str], pos: int) -> tuple[str, int]:
         """Feed one line; returns (change, cluster)."""
-        cid = self.best(self.route(tokens), tokens, self.cfg.sim_th, False)
+        codes = self._encode(tokens)
+        cid = self.best(self.route(tokens), tokens, self.cfg.sim_th, False, codes)
         if cid is None:
             cap = self.cfg.max_clusters
             if cap is not None and len(self.templates) >= cap:
                 self._evict()
             self.next_id += 1
             cid = self.next_id
-            path = self._grow(tokens)
-            self._place(path, cid, tokens)
+            self._place(self._grow(tokens), cid, tokens, codes)
             change = "cluster_created"
         else:
-            merged = self._merge(tokens, self.templates[cid])
-            change = "none" if merged == self.templates[cid] else "cluster_template_changed"
-            if change != "none":
-                self._replace(cid, merged)
+            changed = self._merge_sets(cid, tokens) if codes is None else self._merge(cid, codes)
+            change = "cluster_template_changed" if changed else "none"
         self.changed |= change != "none"
         self.touched[cid] = pos
         self.touched.move_to_end(cid)
         return change, cid
 
-    def _merge(self, line: list[str], template: list[str]) -> list[str]:
-        param = self.cfg.param
-        if len(line) == len(template):
-            return [b if a == b else param for a, b in zip(line, template)]
-        longer = line if len(line) > len(template) else template  # set engine only
-        shared = set(line) & set(template)
-        return [t if t in shared else param for t in longer]
-
-    def _replace(self, cid: int, tokens: list[str]) -> None:
+    def _merge(self, cid: int, codes: np.ndarray) -> bool:
+        """Positions that differ become wildcards; tells whether there were any."""
         leaf = self.leaves[self.home[cid]]
         at = leaf.ids.index(cid)
-        leaf.wild[at] = sum(t == self.cfg.param for t in tokens)
-        if leaf.codes is not None:
-            leaf.codes[at] = self._encode(tokens, True)
-        self.templates[cid] = tokens
+        apart = np.flatnonzero((leaf.codes[at] != codes) & (leaf.codes[at] != WILD))
+        if not len(apart):
+            return False
+        leaf.codes[at, apart] = WILD
+        leaf.wild[at] += len(apart)
+        for i in apart:
+            self.templates[cid][i] = self.cfg.param
+        self.texts.pop(cid, None)
+        return True
+
+    def _merge_sets(self, cid: int, line: list[str]) -> bool:
+        """Set engine: by position for equal lengths, else the longer one keeps the tokens both have."""
+        param, template = self.cfg.param, self.templates[cid]
+        if len(line) == len(template):
+            merged = [b if a == b else param for a, b in zip(line, template)]
+        else:
+            shared = set(line) & set(template)
+            merged = [t if t in shared else param for t in (line if len(line) > len(template) else template)]
+        if merged == template:
+            return False
+        leaf = self.leaves[self.home[cid]]
+        leaf.wild[leaf.ids.index(cid)] = merged.count(param)
+        self.templates[cid] = merged
+        self.texts.pop(cid, None)
+        return True
 
     def _evict(self) -> None:
         """Forget the cluster that was updated longest ago; its leaf stays open."""
         cid, _ = self.touched.popitem(last=False)
         self.leaves[self.home.pop(cid)].drop(cid)
         del self.templates[cid]
+        self.texts.pop(cid, None)
         self.evicted = True
 
     def rows(self) -> Iterator[dict]:

@@ -1,8 +1,8 @@
 """Rolling features on closed time ranges.
 
 Frames look back a fixed number of seconds, so time is cut into slices with a halo (:func:`with_halo`) and each
-slice is one window partition: a device that holds a third of all rows still spreads over the cluster.
-Counts and averages are first added up per second, which also bounds the rows of a frame.
+slice is one window partition: a device that holds a third of all rows still spreads over the cluster. Numbers are first added up per second on the map
+side, so a slice has at most one row per second however busy the device is.
 """
 
 from __future__ import annotations
@@ -20,27 +20,55 @@ def _range(keys: Sequence[str], sec: str, lo: int, hi: int = 0) -> Window:
     return Window.partitionBy(*map(quoted, keys), "_slice").orderBy(sec).rangeBetween(lo, hi)
 
 
-def rolling_avg_std(df: DataFrame, metrics: Sequence[str], spans: Sequence[int], keys: Sequence[str],
-                    sec: str = "t_secs") -> DataFrame:
-    """Mean and sample deviation over [t-w, t], and the change of the mean against [t-2w, t-w].
+def _per_second(df: DataFrame, keys: Sequence[str], sec: str, aggs: Sequence[Column], lookback: int) -> DataFrame:
+    return with_halo(df.groupBy(*map(quoted, keys), sec).agg(*aggs), F.col(sec), lookback)
 
-    The row at t-w belongs to both frames. The change is NULL when the earlier mean is 0 or missing.
+
+def rolling_per_second(df: DataFrame, metrics: Sequence[str], spans: Sequence[int], keys: Sequence[str],
+                       sec: str = "t_secs") -> DataFrame:
+    """W2 and W3 as a (keys, second) table; see :func:`rolling_avg_std`.
+
+    A second is reduced to count, mean, squared deviation, smallest and largest value. Frames add these up around the
+    mean of the slice, which keeps large counters exact; a frame of equal values has deviation 0.
     """
-    wide = with_halo(df, F.col(sec), 2 * max(spans))
+    aggs = []
+    for i, m in enumerate(metrics):
+        c = F.col(quoted(m)).cast("double")
+        aggs += [F.count(c).alias(f"_n{i}"), F.avg(c).alias(f"_m{i}"), (F.var_pop(c) * F.count(c)).alias(f"_v{i}"),
+                 F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}")]
+    secs = _per_second(df, keys, sec, aggs, 2 * max(spans))
+    slice_of = Window.partitionBy(*map(quoted, keys), "_slice")
+    secs = secs.withColumns({f"_c{i}": F.avg(f"_m{i}").over(slice_of) for i in range(len(metrics))})
+    secs = secs.withColumns({f"_d{i}": F.col(f"_n{i}") * (F.col(f"_m{i}") - F.col(f"_c{i}")) for i in range(len(metrics))})
+    parts: dict[str, Column] = {}
     new: dict[str, Column] = {}
-    for m in metrics:
-        c = F.col(quoted(m))
+    for i, m in enumerate(metrics):
+        square = F.col(f"_v{i}") + F.col(f"_d{i}") * (F.col(f"_m{i}") - F.col(f"_c{i}"))
         for w in spans:
-            now = F.avg(c).over(_range(keys, sec, -w))
-            before = F.avg(c).over(_range(keys, sec, -2 * w, -w))
-            new[f"{m}_avg_{w}"] = now
-            new[f"{m}_std_{w}"] = F.stddev(c).over(_range(keys, sec, -w))
-            new[f"{m}_pct_change_{w}"] = F.try_divide(now - before, before)
-    return wide.withColumns(new).filter("_own").drop("_slice", "_own")
+            now, before, tag = _range(keys, sec, -w), _range(keys, sec, -2 * w, -w), f"{i}_{w}"
+            parts |= {f"_N{tag}": F.sum(f"_n{i}").over(now), f"_S{tag}": F.sum(f"_d{i}").over(now),
+                      f"_Q{tag}": F.sum(square).over(now),
+                      f"_E{tag}": F.min(f"_lo{i}").over(now) == F.max(f"_hi{i}").over(now),
+                      f"_B{tag}": F.sum(f"_n{i}").over(before), f"_T{tag}": F.sum(f"_d{i}").over(before)}
+            n, s = F.col(f"_N{tag}"), F.col(f"_S{tag}")
+            mean = F.col(f"_c{i}") + F.try_divide(s, n)
+            past = F.col(f"_c{i}") + F.try_divide(F.col(f"_T{tag}"), F.col(f"_B{tag}"))
+            spread = F.sqrt(F.greatest(F.col(f"_Q{tag}") - s * s / n, F.lit(0.0)) / (n - 1))
+            new[f"{m}_avg_{w}"] = mean
+            new[f"{m}_std_{w}"] = F.when(n < 2, None).when(F.col(f"_E{tag}"), F.lit(0.0)).when(n > 1, spread)
+            new[f"{m}_pct_change_{w}"] = F.try_divide(mean - past, past)
+    out = secs.withColumns(parts).filter("_own")
+    return out.select(*map(quoted, keys), sec, *[c.alias(n) for n, c in new.items()])
 
 
-def _per_second(df: DataFrame, keys: Sequence[str], sec: str, aggs: Sequence[Column], lookback: int) -> DataFrame:
-    return with_halo(df.groupBy(*map(quoted, keys), sec).agg(*aggs), F.col(sec), lookback)
+def rolling_avg_std(df: DataFrame, metrics: Sequence[str], spans: Sequence[int], keys: Sequence[str],
+                    sec: str = "t_secs") -> DataFrame:
+    """Mean and sample deviation over [t-w, t], and the change of the mean against [t-2w, t-w].
+
+    The row at t-w belongs to both frames. The change is NULL when the earlier mean is 0 or missing. The values depend
+    on (keys, second) only and are joined back from that table.
+    """
+    return df.join(rolling_per_second(df, metrics, spans, keys, sec), [*keys, sec], "left")
 
 
 def count_ratio_per_second(df: DataFrame, deltas: Sequence[int], keys: Sequence[str], sec: str = "timestamp_sec") -> DataFrame:
@@ -81,7 +109,10 @@ def priority_ratio(df: DataFrame, pri: str = "priority_score", span: int = 900,
 
 
 def state_mode(df: DataFrame, cols: Sequence[str], keys: Sequence[str], sec: str = "t_secs", span: int = 1800) -> DataFrame:
-    """Most frequent state in [t-w, t] and in [t-2w, t-w]; the lowest value wins a tie."""
+    """Most frequent state in [t-w, t] and in [t-2w, t-w]; the lowest value wins a tie.
+
+    Meant for the pivoted polls, which are one row per device and poll time.
+    """
     wide = with_halo(df, F.col(sec), 2 * span)
     m = span // 60
     new = {}

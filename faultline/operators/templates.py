@@ -40,15 +40,14 @@ def shard_of(tokens: Column, engine: str = "length") -> Column:
     return F.size(tokens).cast("string")
 
 
-def _arrow_type(schema: str) -> pa.Schema:
+def _arrow_type(schema: str | T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(T.StructType.fromDDL(schema))
+    return to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
-def _step(cfg: MinerConfig):
+def _step(cfg: MinerConfig, keys: Sequence[str], want: pa.Schema):
     """One chunk of one shard, fed in order from the handed-over state."""
-    want = _arrow_type(STEP_OUT)
 
     def run(key, lines: pa.Table, state: pa.Table) -> pa.Table:
         name, chunk = key[0].as_py(), key[1].as_py()
@@ -65,14 +64,14 @@ def _step(cfg: MinerConfig):
             newest[cid] = max(newest.get(cid, ts), ts)
             change.append(kind)
             local.append(cid)
-            shown.append(" ".join(shard.templates[cid]))
+            shown.append(shard.text(cid))
             seen.append(count[cid])
             latest.append(newest[cid])
             created.append(shard.next_id)
         n = len(local)
         parts = [pa.table({"kind": ["line"] * n, "pos": lines["pos"], "change_type": change, "template_mined": shown,
                            "seen": seen, "ts": latest, "local_id": pa.array(local, pa.int64()),
-                           "next_id": pa.array(created, pa.int64())}),
+                           "next_id": pa.array(created, pa.int64()), **{k: lines[k] for k in keys}}),
                  pa.table({"kind": ["chunk"], "changed": [shard.changed], "evicted": [shard.evicted]})]
         if shard.changed:
             left = list(shard.rows())
@@ -89,12 +88,19 @@ def _step(cfg: MinerConfig):
 def _mine(df: DataFrame, text: Column, tokens: Column, ts: Column, order_by: Sequence[str], cfg: MinerConfig,
           initial: DataFrame | None, chunk_tokens: int) -> tuple[DataFrame, DataFrame]:
     spark = df.sparkSession
-    lines = df.select(*map(quoted, order_by), shard_of(tokens, cfg.engine).alias("shard"), text.alias("text"),
+    keys = [f"_key{i}" for i in range(len(order_by))]
+    lines = df.select(*[F.col(quoted(o)).alias(k) for o, k in zip(order_by, keys)],
+                      shard_of(tokens, cfg.engine).alias("shard"), text.alias("text"),
                       F.size(tokens).alias("_len"), ts.cast("bigint").alias("ts"))
-    ranked = global_rank(lines, list(order_by), by=["shard"], name="pos")
-    longest = ranked.groupBy("shard").agg(F.max("_len").alias("_longest"))
+    ranked = global_rank(lines, keys, by=["shard"], name="pos")
+    out_schema = T.StructType([*T.StructType.fromDDL(STEP_OUT), *[T.StructField(k, lines.schema[k].dataType) for k in keys]])
+    step = _step(cfg, keys, _arrow_type(out_schema))
+    if cfg.engine == "length":
+        ranked = ranked.withColumn("_longest", F.col("_len"))
+    else:
+        ranked = ranked.join(ranked.groupBy("shard").agg(F.max("_len").alias("_longest")), "shard")
     per_chunk = F.greatest(F.floor(F.lit(chunk_tokens) / F.greatest("_longest", F.lit(1))), F.lit(1))
-    rows = settle(ranked.join(longest, "shard").withColumn("chunk", F.floor(F.col("pos") / per_chunk))
+    rows = settle(ranked.withColumn("chunk", F.floor(F.col("pos") / per_chunk))
                   .drop("_longest", "_len"))
 
     if initial is None:
@@ -109,10 +115,10 @@ def _mine(df: DataFrame, text: Column, tokens: Column, ts: Column, order_by: Seq
     while True:
         window = progress.withColumn("stop", F.least("last", F.col("nxt") + F.col("span") - 1))
         todo = rows.join(window.select("shard", "nxt", "stop"), "shard").filter(
-            F.col("chunk").between(F.col("nxt"), F.col("stop"))).select("shard", "chunk", "pos", "text", "ts")
+            F.col("chunk").between(F.col("nxt"), F.col("stop"))).select("shard", "chunk", "pos", "text", "ts", *keys)
         starts = state.join(window.select("shard", F.explode(F.sequence("nxt", "stop")).alias("chunk")), "shard")
         out = settle(todo.groupBy("shard", "chunk").cogroup(starts.groupBy("shard", "chunk"))
-                     .applyInArrow(_step(cfg), STEP_OUT))
+                     .applyInArrow(step, out_schema))
         first = (out.filter("kind = 'chunk' and changed").groupBy("shard")
                  .agg(F.min_by(F.struct("chunk", "evicted"), "chunk").alias("_f"))
                  .select("shard", F.col("_f.chunk").alias("_at"), F.col("_f.evicted").alias("_ev")))
@@ -122,7 +128,8 @@ def _mine(df: DataFrame, text: Column, tokens: Column, ts: Column, order_by: Seq
         judged = window.join(first, "shard", "left").withColumn("upto", upto)
         kept = out.join(judged.select("shard", "upto", "_at"), "shard").filter(F.col("chunk") <= F.col("upto"))
         fed = kept.filter("kind = 'line'").select("shard", "chunk", "pos", "change_type", "template_mined", "seen",
-                                                  "ts", "local_id", F.col("next_id").alias("created"))
+                                                  "ts", "local_id", F.col("next_id").alias("created"), *keys)
+        first_round = done is None
         done = fed if done is None else done.unionByName(fed)
         names = [f.name for f in T.StructType.fromDDL(STATE)]
         moved = kept.filter((F.col("kind") == "state") & (F.col("chunk") == F.col("_at")))
@@ -135,12 +142,14 @@ def _mine(df: DataFrame, text: Column, tokens: Column, ts: Column, order_by: Seq
         progress = settle(judged.select("shard", (F.col("upto") + 1).alias("nxt"), "last",
                                         F.least(wide, F.lit(MAX_SPAN)).alias("span")).filter(F.col("nxt") <= F.col("last")))
         if progress.isEmpty():
-            return _with_totals(rows, done, state, initial, order_by)
+            # one round without a past: every shard was a single chunk, and what it saw are the totals
+            done = done.withColumnsRenamed(dict(zip(keys, order_by)))
+            return _with_totals(done, state, initial, order_by, alone=first_round and initial is None)
         state = settle(state)
 
 
-def _with_totals(rows: DataFrame, done: DataFrame, state: DataFrame, initial: DataFrame | None,
-                 order_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def _with_totals(done: DataFrame, state: DataFrame, initial: DataFrame | None, order_by: Sequence[str],
+                 alone: bool) -> tuple[DataFrame, DataFrame]:
     """Add up what each chunk saw: running sizes and times of the lines, totals of the catalogue."""
     pieces = done.groupBy("shard", "local_id", "chunk").agg(F.max("seen").alias("n"), F.max("ts").alias("t"))
     if initial is not None:
@@ -148,16 +157,17 @@ def _with_totals(rows: DataFrame, done: DataFrame, state: DataFrame, initial: Da
             "shard", "local_id", F.lit(-1).cast("bigint").alias("chunk"), F.col("size").alias("n"),
             F.col("latest_ts").alias("t"))
         pieces = pieces.unionByName(base)
-    # one row per cluster and chunk
-    ahead = Window.partitionBy("shard", "local_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = pieces.withColumns({"_n": F.coalesce(F.sum("n").over(ahead), F.lit(0)), "_t": F.max("t").over(ahead)})
-    lines = (done.join(carried.drop("n", "t"), ["shard", "local_id", "chunk"])
-             .join(rows.select("shard", "pos", *map(quoted, order_by)), ["shard", "pos"])
-             .select(*map(quoted, order_by), "shard", "local_id", "change_type",
-                     (F.col("_n") + F.col("seen")).alias("cluster_size"), "template_mined",
-                     F.col("created").alias("cluster_count"), F.greatest("_t", "ts").alias("latest_ts")))
+    if alone:
+        lines = done.withColumns({"_n": F.lit(0).cast("bigint"), "_t": F.col("ts")})
+    else:
+        # one row per cluster and chunk
+        ahead = Window.partitionBy("shard", "local_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        carried = pieces.withColumns({"_n": F.coalesce(F.sum("n").over(ahead), F.lit(0)), "_t": F.max("t").over(ahead)})
+        lines = done.join(carried.drop("n", "t"), ["shard", "local_id", "chunk"])
+    lines = lines.select(*map(quoted, order_by), "shard", "local_id", "change_type",
+                         (F.col("_n") + F.col("seen")).alias("cluster_size"), "template_mined",
+                         F.col("created").alias("cluster_count"), F.greatest("_t", "ts").alias("latest_ts"))
     totals = pieces.groupBy("shard", "local_id").agg(F.sum("n").alias("size"), F.max("t").alias("latest_ts"))
-    # eqNullSafe would match empty leaves to nothing anyway: they have no totals
     return lines, state.join(totals, ["shard", "local_id"], "left")
 
 
@@ -322,7 +332,7 @@ def match_templates_jaccard(msgs: DataFrame, catalog: DataFrame, cfg: MinerConfi
         texts = lines["text"].to_pylist()
         words = [t.split(" ") if t else [] for t in texts]
         ids = [shard.best(shard.route(w), w, threshold, True) for w in words]
-        shown = [None if c is None else " ".join(shard.templates[c]) for c in ids]
+        shown = [None if c is None else shard.text(c) for c in ids]
         return pa.table([pa.array(texts, pa.string()), pa.array(ids, pa.int64()), pa.array(shown, pa.string())],
                         schema=want)
 

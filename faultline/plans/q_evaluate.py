@@ -10,6 +10,7 @@ from faultline.operators import neighbors as nn
 from faultline.plans import stand_ins, tabular
 from faultline.plans.registry import query, table
 from faultline.plans.stand_ins import SCORED, with_views
+from faultline.session import settle
 
 
 def _r6(df, *cols):
@@ -194,7 +195,7 @@ def _training(spark, sf):
 def _prepared(spark, sf):
     df = _training(spark, sf)
     prep = ft.Prepared(df, "row", ["n", "ratio_countlog_delta_30min"], ["day"], "combined_message", max_features=16)
-    return df, prep, prep.transform(df).cache()
+    return df, prep, settle(prep.transform(df))
 
 
 @query("f4_fit_score")
@@ -218,7 +219,7 @@ def _(spark, sf):
 def _(spark, sf):
     _df, prep, rows = _prepared(spark, sf)
     model = ft.fit_classifier(rows, maxIter=3, maxDepth=3)
-    return ev.feature_importance_top(spark, model.featureImportances.toArray(), prep.names(), 30)
+    return ev.feature_importance_top(model.featureImportances, prep.names(spark), 30)
 
 
 @query("f6_nearest_neighbors", """

@@ -43,15 +43,17 @@ def syslog_windows(raw: DataFrame, parsed: bool = False) -> DataFrame:
 
 
 def _poll_windows(rows: DataFrame, states: Sequence[str], metrics: Sequence[str], spans: Sequence[int]) -> DataFrame:
+    """Last poll of every window with the rolling features of its second."""
     rows = to_numeric(rows.select("`ip-address`", "time", *map(quoted, [*states, *metrics])), metrics)
     rows = rows.withColumn("t_secs", epoch_s(rows, "time"))
-    rows = rolling.rolling_avg_std(rows, metrics, spans, ["ip-address"])
+    feats = rolling.rolling_per_second(rows, metrics, spans, ["ip-address"])
     if states:
         rows = rolling.state_mode(rows, states, ["ip-address"])
     rows = with_window_end(rows, "time", 5)
     tie = [c for c in rows.columns if c not in ("ip-address", "window_5min_end", "time")]
     last = agg.last_row_per_window(rows, ["ip-address", "window_5min_end"], "time", tie)
-    return last.drop("time", "t_secs").withColumnRenamed("ip-address", "ip_address")
+    return (last.join(feats, ["ip-address", "t_secs"], "left").drop("time", "t_secs")
+            .withColumnRenamed("ip-address", "ip_address"))
 
 
 def poll_windows(polls: DataFrame, devices: DataFrame, components: Sequence[str]) -> DataFrame:

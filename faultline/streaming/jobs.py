@@ -93,7 +93,7 @@ def stream_mine_templates(sdf: DataFrame, tokens: str, order_by: Sequence[str],
             change, cid = shard.add(text.split(" ") if text else [], pos)
             pos += 1
             sizes[cid] = sizes.get(cid, 0) + 1
-            result.append((key[0], (int(key[0]) << ID_BITS) + cid, change, sizes[cid], " ".join(shard.templates[cid])))
+            result.append((key[0], (int(key[0]) << ID_BITS) + cid, change, sizes[cid], shard.text(cid)))
         alive = {c: n for c, n in sizes.items() if c in shard.templates}
         state.update((json.dumps({"rows": list(shard.rows()), "sizes": alive, "pos": pos}),))
         cols = ["shard", "cluster_id", "change_type", "cluster_size", "template_mined"]
