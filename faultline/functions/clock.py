@@ -25,9 +25,13 @@ def epoch_s(df: DataFrame, name: str) -> Column:
 
 def epoch_us(df: DataFrame, name: str) -> Column:
     """Microseconds since 1970."""
+    c = F.col(quoted(name))
     if is_ntz(df, name):
-        return F.expr(f"timestampdiff(MICROSECOND, {EPOCH_NTZ}, {quoted(name)})")
-    return F.unix_micros(F.col(quoted(name)))
+        # from calendar parts: timestampdiff would go through the session zone and its summer time
+        part = F.expr(f"cast(extract(SECOND FROM {quoted(name)}) * 1000000 AS bigint)")
+        minutes = (F.unix_date(c.cast("date")).cast("bigint") * 1440 + F.hour(c) * 60 + F.minute(c))
+        return minutes * 60_000_000 + part
+    return F.unix_micros(c)
 
 
 def from_epoch_s(df: DataFrame, like: str, seconds: Column) -> Column:

@@ -71,11 +71,28 @@ def rolling_avg_std(df: DataFrame, metrics: Sequence[str], spans: Sequence[int],
     return df.join(rolling_per_second(df, metrics, spans, keys, sec), [*keys, sec], "left")
 
 
+def count_ratio_columns(n: str, deltas: Sequence[int], keys: Sequence[str], sec: str) -> dict[str, Column]:
+    """W4 over a sliced per-second table with counts ``n``."""
+    return {f"ratio_countlog_delta_{d // 60}min": F.try_divide(
+        F.sum(n).over(_range(keys, sec, -d)), F.sum(n).over(_range(keys, sec, -2 * d, -d))) for d in deltas}
+
+
+def priority_ratio_columns(total: str, n: str, span: int, keys: Sequence[str], sec: str) -> dict[str, Column]:
+    """W5 over a sliced per-second table with sums ``total`` of ``n`` scores."""
+
+    def mean(w: int) -> Column:
+        frame = _range(keys, sec, -w)
+        return F.try_divide(F.sum(total).over(frame), F.sum(n).over(frame))
+
+    m = span // 60
+    ratios = {f"ratio_pri_score_prev_{m}m_vs_{k * m}m": F.try_divide(mean(span), mean(k * span)) for k in (2, 4)}
+    return {f"avg_pri_score_prev_{m}m": mean(span), **ratios}
+
+
 def count_ratio_per_second(df: DataFrame, deltas: Sequence[int], keys: Sequence[str], sec: str = "timestamp_sec") -> DataFrame:
     """W4 as a (keys, second) table: rows in [t-d, t] / rows in [t-2d, t-d], NULL when there were none."""
     secs = _per_second(df, keys, sec, [F.count("*").alias("_n")], 2 * max(deltas))
-    ratios = {f"ratio_countlog_delta_{d // 60}min": F.try_divide(
-        F.sum("_n").over(_range(keys, sec, -d)), F.sum("_n").over(_range(keys, sec, -2 * d, -d))) for d in deltas}
+    ratios = count_ratio_columns("_n", deltas, keys, sec)
     return secs.withColumns(ratios).filter("_own").select(*map(quoted, keys), sec, *ratios)
 
 
@@ -90,16 +107,8 @@ def priority_ratio_per_second(df: DataFrame, pri: str = "priority_score", span:
     """W5 as a (keys, second) table: mean over [t-w, t], and its ratio to the means over [t-2w, t] and [t-4w, t]."""
     c = F.col(quoted(pri))
     secs = _per_second(df, keys, sec, [F.sum(c).alias("_s"), F.count(c).alias("_n")], 4 * span)
-
-    def mean(w: int) -> Column:
-        frame = _range(keys, sec, -w)
-        return F.try_divide(F.sum("_s").over(frame), F.sum("_n").over(frame))
-
-    m = span // 60
-    now = f"avg_pri_score_prev_{m}m"
-    ratios = {f"ratio_pri_score_prev_{m}m_vs_{k * m}m": F.try_divide(mean(span), mean(k * span)) for k in (2, 4)}
-    return (secs.withColumns({now: mean(span), **ratios}).filter("_own")
-            .select(*map(quoted, keys), sec, now, *ratios))
+    ratios = priority_ratio_columns("_s", "_n", span, keys, sec)
+    return secs.withColumns(ratios).filter("_own").select(*map(quoted, keys), sec, *ratios)
 
 
 def priority_ratio(df: DataFrame, pri: str = "priority_score", span: int = 900, keys: Sequence[str] = ("host",),

@@ -8,8 +8,9 @@ from faultline.functions.clock import with_window_end
 from faultline.operators import aggregates as agg
 from faultline.operators import joins
 from faultline.plans import stand_ins, tabular
+from faultline.plans.q_rows import clean_sql, shape_sql
 from faultline.plans.registry import query, table
-from faultline.plans.stand_ins import DEVICE, INCIDENTS, with_views
+from faultline.plans.stand_ins import DEVICE, INCIDENTS, LINES, with_views
 
 _END = "time_bucket(INTERVAL 5 MINUTE, timestamp) + INTERVAL 5 MINUTE"
 _WIN = f"SELECT ip AS ip_address, {_END} AS window_5min_end, count(*) AS n FROM device GROUP BY ALL"
@@ -242,10 +243,34 @@ def _(spark, sf):
         F.round("ratio_countlog_delta_45min", 6).alias("ratio45"))
 
 
-@query("syslog_device_windows")
+def _syslog_over(what: str, lo: int, hi: int = 0) -> str:
+    top = "CURRENT ROW" if hi == 0 else f"{-hi} PRECEDING"
+    return f"{what} OVER (PARTITION BY host ORDER BY sec RANGE BETWEEN {-lo} PRECEDING AND {top})"
+
+
+_SYSLOG_ROWS = f"""
+SELECT host AS ip_address, {_END} AS window_5min_end, sec, clean,
+  round({_syslog_over('count(*)', -1800)} / nullif({_syslog_over('count(*)', -3600, -1800)}, 0), 6) AS r30,
+  round({_syslog_over('count(*)', -2700)} / nullif({_syslog_over('count(*)', -5400, -2700)}, 0), 6) AS r45,
+  round({_syslog_over('avg(pri)', -900)}, 6) AS p15,
+  round({_syslog_over('avg(pri)', -900)} / nullif({_syslog_over('avg(pri)', -1800)}, 0), 6) AS p30,
+  round({_syslog_over('avg(pri)', -900)} / nullif({_syslog_over('avg(pri)', -3600)}, 0), 6) AS p60
+FROM (SELECT host, timestamp, CAST(floor(epoch(timestamp)) AS BIGINT) AS sec, CAST(syslog_pri AS DOUBLE) AS pri,
+             {clean_sql('body')} AS clean
+      FROM (SELECT *, {shape_sql('msg')} AS body FROM (SELECT DISTINCT host, timestamp, syslog_pri, message FROM lines))
+      WHERE body IS NOT NULL)"""
+
+
+@query("syslog_device_windows", with_views(_labelled("win"), lines=LINES, inc=INCIDENTS, win=f"""
+SELECT ip_address, window_5min_end, arg_max(r30, sec) AS r30, arg_max(r45, sec) AS r45, arg_max(p15, sec) AS p15,
+  arg_max(p30, sec) AS p30, arg_max(p60, sec) AS p60, string_agg(clean, ' ' ORDER BY sec, clean) AS combined_message
+FROM ({_SYSLOG_ROWS}) GROUP BY ALL"""))
 def _(spark, sf):
     windows = tabular.syslog_windows(stand_ins.lines(spark, sf).drop("event_id"))
-    return tabular.labelled_windows(windows, stand_ins.incidents(spark, sf, "ip_address"))
+    names = {"ratio_countlog_delta_30min": "r30", "ratio_countlog_delta_45min": "r45", "avg_pri_score_prev_15m": "p15",
+             "ratio_pri_score_prev_15m_vs_30m": "p30", "ratio_pri_score_prev_15m_vs_60m": "p60"}
+    out = tabular.labelled_windows(windows, stand_ins.incidents(spark, sf, "ip_address"))
+    return out.withColumnsRenamed(names).withColumns({n: F.round(n, 6) for n in names.values()})
 
 
 def _component_polls(spark, sf):

@@ -172,7 +172,7 @@ def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _shape_sql(group) -> str:
+def shape_sql(group) -> str:
     cases = " ".join(f"WHEN regexp_matches(message, {_sql_text(rx)}) "
                      f"THEN regexp_extract(message, {_sql_text(rx)}, {1 if group == 'ts' else g})"
                      for rx, g in text.SYSLOG_SHAPES)
@@ -180,7 +180,7 @@ def _shape_sql(group) -> str:
 
 
 _PARSED = f"""
-SELECT event_id, {_shape_sql('ts')} AS device_time, {_shape_sql('msg')} AS message FROM lines"""
+SELECT event_id, {shape_sql('ts')} AS device_time, {shape_sql('msg')} AS message FROM lines"""
 
 
 @query("t1_parse_syslog", with_views("SELECT * FROM parsed WHERE device_time IS NOT NULL", lines=LINES, parsed=_PARSED))
@@ -188,7 +188,7 @@ def _(spark, sf):
     return text.parse_syslog(stand_ins.lines(spark, sf)).select("event_id", "device_time", "message")
 
 
-def _clean_sql(c: str) -> str:
+def clean_sql(c: str) -> str:
     """The clean-up rules for an engine without look-ahead: a lone 100 steps aside while long numbers go."""
     for rx, to in text.CLEANUPS:
         if "(?!100" in rx:
@@ -200,7 +200,7 @@ def _clean_sql(c: str) -> str:
     return f"lower(trim({c}))"
 
 
-@query("t2_clean_message", with_views(f"SELECT event_id, {_clean_sql('message')} AS clean FROM lines", lines=LINES))
+@query("t2_clean_message", with_views(f"SELECT event_id, {clean_sql('message')} AS clean FROM lines", lines=LINES))
 def _(spark, sf):
     return text.clean_message(stand_ins.lines(spark, sf), out="clean").select("event_id", "clean")
 

@@ -12,6 +12,7 @@ from faultline.functions.columns import normalize_component, to_numeric
 from faultline.functions.text import clean_message, parse_syslog
 from faultline.operators import aggregates as agg
 from faultline.operators import filters, joins, rolling
+from faultline.operators.order import with_halo
 from faultline.plans import stand_ins
 from faultline.sources.incidents import COMPONENT_SERVICE
 from faultline.sources.readers import flatten_struct
@@ -25,21 +26,25 @@ KEYS = ["ip_address", "window_5min_end"]
 def syslog_windows(raw: DataFrame, parsed: bool = False) -> DataFrame:
     """Raw lines (host, timestamp, syslog_pri, message) to one row per device window.
 
-    Ratios depend on (device, second) only, so they are joined to the last second of each window, not to every line.
+    One pass: lines are parsed once and reduced per second; ratios, which depend on (device, second) only, are taken
+    on the seconds, and a window keeps those of its last second. Halo copies carry no text.
     """
     rows = raw.withColumn("priority_score", F.col("syslog_pri").try_cast("double")).drop("syslog_pri").distinct()
     if not parsed:
         rows = clean_message(parse_syslog(rows), "message").drop("device_time")
-    rows = rows.withColumn("timestamp_sec", epoch_s(rows, "timestamp"))
-    rows = with_window_end(rows, "timestamp", 5)
-    seconds = (rolling.count_ratio_per_second(rows, (1800, 2700), ["host"])
-               .join(rolling.priority_ratio_per_second(rows, "priority_score", 900, ["host"]), ["host", "timestamp_sec"]))
-    packed = F.array_sort(F.collect_list(F.struct(F.col("timestamp_sec").alias("t"), F.col("message").alias("m"))))
-    windows = rows.groupBy("host", "window_5min_end").agg(
-        F.max("timestamp_sec").alias("timestamp_sec"),
-        F.lower(F.concat_ws(" ", F.transform(packed, lambda r: r["m"]))).alias("combined_message"))
-    return (windows.join(seconds, ["host", "timestamp_sec"], "left").drop("timestamp_sec")
-            .withColumnRenamed("host", "ip_address"))
+    rows = with_window_end(rows.withColumn("timestamp_sec", epoch_s(rows, "timestamp")), "timestamp", 5)
+    secs = rows.groupBy("host", "window_5min_end", "timestamp_sec").agg(
+        F.count("*").alias("_n"), F.sum("priority_score").alias("_s"), F.count("priority_score").alias("_p"),
+        F.array_sort(F.collect_list("message")).alias("_msgs"))
+    wide = with_halo(secs, F.col("timestamp_sec"), 5400).withColumn("_msgs", F.when(F.col("_own"), F.col("_msgs")))
+    ratios = {**rolling.count_ratio_columns("_n", (1800, 2700), ["host"], "timestamp_sec"),
+              **rolling.priority_ratio_columns("_s", "_p", 900, ["host"], "timestamp_sec")}
+    own = wide.withColumns(ratios).filter("_own")
+    in_order = F.array_sort(F.collect_list(F.struct(F.col("timestamp_sec").alias("t"), F.col("_msgs").alias("m"))))
+    windows = own.groupBy("host", "window_5min_end").agg(
+        F.max_by(F.struct(*ratios), "timestamp_sec").alias("_r"),
+        F.lower(F.concat_ws(" ", F.flatten(F.transform(in_order, lambda r: r["m"])))).alias("combined_message"))
+    return windows.select(F.col("host").alias("ip_address"), "window_5min_end", "_r.*", "combined_message")
 
 
 def _poll_windows(rows: DataFrame, states: Sequence[str], metrics: Sequence[str], spans: Sequence[int]) -> DataFrame:
@@ -84,12 +89,16 @@ def labelled_windows(syslog: DataFrame, incidents: DataFrame, polls: DataFrame |
 
 
 def device_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in stream as labelled windows: log-count ratios of the last second, number of events, label."""
+    """The stand-in stream as labelled windows: log-count ratios of the last second, number of events, label.
+
+    Rows shrink to seconds and seconds to windows; the label join finds the windows already partitioned by its key.
+    """
     rows = with_window_end(stand_ins.device(spark, sf_dir).withColumnRenamed("ip", "ip_address"), "timestamp", 5)
-    ratios = rolling.count_ratio_per_second(rows, (1800, 2700), ["ip_address"], "sec")
-    windows = rows.groupBy(*KEYS).agg(F.max("sec").alias("sec"), F.count("*").alias("n"))
-    feats = windows.join(ratios, ["ip_address", "sec"], "left").drop("sec")
-    return labelled_windows(feats, stand_ins.incidents(spark, sf_dir, "ip_address"))
+    secs = rows.groupBy(*KEYS, "sec").agg(F.count("*").alias("_n"))
+    ratios = rolling.count_ratio_columns("_n", (1800, 2700), ["ip_address"], "sec")
+    own = with_halo(secs, F.col("sec"), 5400).withColumns(ratios).filter("_own")
+    windows = own.groupBy(*KEYS).agg(F.sum("_n").alias("n"), F.max_by(F.struct(*ratios), "sec").alias("_r"))
+    return labelled_windows(windows.select(*KEYS, "n", "_r.*"), stand_ins.incidents(spark, sf_dir, "ip_address"))
 
 
 def label_rate(spark: SparkSession, sf_dir: str) -> DataFrame:

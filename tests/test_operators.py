@@ -31,6 +31,22 @@ def test_window_end_boundaries(spark):
         F.col("window_5min_end").cast("timestamp_ntz")).collect()] == got
 
 
+def test_plain_times_do_not_depend_on_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    summer = dt.datetime(2024, 7, 1, 2, 30, 0, 250000)
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Ho_Chi_Minh"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            df = ntz(spark, [(summer,)], "time timestamp_ntz")
+            us = int(summer.replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000 + 250000
+            row = clock.with_window_end(df).select(
+                "window_5min_end", clock.epoch_us(df, "time").alias("us"), clock.epoch_s(df, "time").alias("s"),
+                clock.from_epoch_s(df, "time", clock.epoch_s(df, "time")).alias("back")).first()
+            assert tuple(row) == (dt.datetime(2024, 7, 1, 2, 35), us, us // 1_000_000, summer.replace(microsecond=0))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 @pytest.mark.parametrize("grid", [300, None])
 def test_future_label_gaps(spark, grid):
     end = at(3600)
