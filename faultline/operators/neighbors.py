@@ -52,7 +52,7 @@ def _best_k(k: int):
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:
     best = F.slice(F.array_sort(F.collect_list(F.struct("dist", "other"))), 1, k)
-    return pairs.distinct().groupBy("id").agg(best.alias("best"))
+    return pairs.groupBy("id").agg(best.alias("best"))
 
 
 def nearest_neighbors(df: DataFrame, row_id: str, vec: str, k: int) -> DataFrame:

@@ -42,21 +42,31 @@ def hopping_sequences(df: DataFrame, key: str = "ip", ts: str = "timestamp", tok
         (ceil_s(F.min("_us"), STEP) + STEP).alias("_lo"), ceil_s(F.max("_us"), STEP).alias("_hi"))
     ends = F.sequence(ceil_s(F.col("_us"), STEP), floor_s(F.col("_us") + window_seconds(width) * 1_000_000, STEP),
                       F.lit(STEP).cast("bigint"))
-    sent = (rows.withColumn("window_end", F.explode(ends)).join(bounds, keys)
-            .filter(F.col("window_end").between(F.col("_lo"), F.col("_hi"))))
     late = F.col("_us") > (F.col("window_end") - STEP) * 1_000_000
-    return sent.groupBy(*map(quoted, keys), "window_end").agg(
+    # grouped before the bounds are joined: events are never partitioned by device alone
+    grouped = rows.withColumn("window_end", F.explode(ends)).groupBy(*map(quoted, keys), "window_end").agg(
         _in_order(F.col("_tok"), F.col("_us"), F.col("_tie")).alias("ids"),
         F.min_by("_dev", F.struct("_us", "_tie")).alias("device_id"),
         F.max(F.when(late, F.col("_lab")).otherwise(0)).alias("label"))
+    return (grouped.join(bounds, keys).filter(F.col("window_end").between(F.col("_lo"), F.col("_hi")))
+            .drop("_lo", "_hi"))
 
 
 def tumbling_sequences(df: DataFrame, width: float = 15, key: str = "ip", ts: str = "timestamp", token: str = "log_key",
                        device: str = "device_id", label: str = "label", tie: str = "event_id") -> DataFrame:
-    """Per device fixed windows closed on the left; the stamp is the latest event, rounded up to the width."""
+    """Per device fixed windows closed on the left; the stamp is the latest event, rounded up to the width.
+
+    Windows count from midnight, for widths that divide no day from the midnight before the device's first event.
+    """
     w = window_seconds(width)
-    rows = df.withColumn("_us", epoch_us(df, ts)).filter(F.col("_us").isNotNull()).withColumn(
-        "_w", floor_s(F.col("_us"), w))
+    rows = df.withColumn("_us", epoch_us(df, ts)).filter(F.col("_us").isNotNull())
+    if 86400 % w:
+        first = rows.groupBy(quoted(key)).agg((floor_s(F.min("_us"), 86400) * 1_000_000).alias("_origin"))
+        # a device is spread over its days again before it is grouped
+        rows = rows.join(first, key).repartition(F.col(quoted(key)), floor_s(F.col("_us"), 86400))
+        rows = rows.withColumn("_w", floor_s(F.col("_us") - F.col("_origin"), w)).drop("_origin")
+    else:
+        rows = rows.withColumn("_w", floor_s(F.col("_us"), w))
     return rows.groupBy(quoted(key), "_w").agg(
         _in_order(F.col(quoted(token)).cast("int"), F.col("_us"), F.col(quoted(tie))).alias("ids"),
         ceil_s(F.max("_us"), w).alias("window_end"),
@@ -101,8 +111,9 @@ def segment_mean(df: DataFrame, row_id: str, pos: str, vec: str, slots: int, mas
     first = F.when(long, F.floor(F.col(quoted(pos)) * m / F.col("_n"))).otherwise(F.col(quoted(pos)) * reps)
     placed = base.withColumn("_first", first.cast("int")).withColumn(
         "slot", F.explode(F.sequence("_first", F.when(long, F.col("_first")).otherwise(F.col("_first") + reps - 1))))
-    dims = placed.select(quoted(row_id), "slot", "_h", "_keep", long.alias("_long"),
-                         F.posexplode(quoted(vec)).alias("_d", "_x"))
+    # spread by slot too: one long sequence is not one task
+    dims = placed.repartition(F.col(quoted(row_id)), F.col("slot")).select(
+        quoted(row_id), "slot", "_keep", long.alias("_long"), F.posexplode(quoted(vec)).alias("_d", "_x"))
     weight = F.when(F.col("_long"), F.col("_keep")).otherwise(F.lit(1))
     means = dims.groupBy(quoted(row_id), "slot", "_d").agg(
         F.coalesce(F.try_divide(F.sum(F.col("_x").cast("double") * weight), F.sum(weight)), F.lit(0.0)).alias("_m"))

@@ -111,12 +111,15 @@ def _mine(df: DataFrame, text: Column, tokens: Column, ts: Column, order_by: Seq
         state = initial.select(*[f.name for f in T.StructType.fromDDL(STATE)]).withColumn("touched", -age.cast("bigint"))
     progress = rows.groupBy("shard").agg(F.max("chunk").alias("last")).select(
         "shard", F.lit(0).cast("bigint").alias("nxt"), "last", F.lit(1).cast("bigint").alias("span"))
+    # one row per shard: token counts are no more than the longest line is long; first words may be many
+    few = F.broadcast if cfg.engine == "length" else (lambda d: d)
     done: DataFrame | None = None
     while True:
         window = progress.withColumn("stop", F.least("last", F.col("nxt") + F.col("span") - 1))
-        todo = rows.join(window.select("shard", "nxt", "stop"), "shard").filter(
+        todo = rows.join(few(window.select("shard", "nxt", "stop")), "shard").filter(
             F.col("chunk").between(F.col("nxt"), F.col("stop"))).select("shard", "chunk", "pos", "text", "ts", *keys)
-        starts = state.join(window.select("shard", F.explode(F.sequence("nxt", "stop")).alias("chunk")), "shard")
+        starts = state.join(few(window.select("shard", "nxt", "stop")), "shard").withColumn(
+            "chunk", F.explode(F.sequence("nxt", "stop"))).drop("nxt", "stop")
         out = settle(todo.groupBy("shard", "chunk").cogroup(starts.groupBy("shard", "chunk"))
                      .applyInArrow(step, out_schema))
         first = (out.filter("kind = 'chunk' and changed").groupBy("shard")
@@ -126,7 +129,7 @@ def _mine(df: DataFrame, text: Column, tokens: Column, ts: Column, order_by: Seq
         upto = (F.when(F.col("_at").isNull(), F.col("stop"))
                 .when((F.col("_at") == F.col("nxt")) | ~F.col("_ev"), F.col("_at")).otherwise(F.col("_at") - 1))
         judged = window.join(first, "shard", "left").withColumn("upto", upto)
-        kept = out.join(judged.select("shard", "upto", "_at"), "shard").filter(F.col("chunk") <= F.col("upto"))
+        kept = out.join(few(judged.select("shard", "upto", "_at")), "shard").filter(F.col("chunk") <= F.col("upto"))
         fed = kept.filter("kind = 'line'").select("shard", "chunk", "pos", "change_type", "template_mined", "seen",
                                                   "ts", "local_id", F.col("next_id").alias("created"), *keys)
         first_round = done is None
