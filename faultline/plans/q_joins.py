@@ -297,3 +297,43 @@ def _(spark, sf):
     devices = table(spark, sf, "events").select(
         F.concat(F.lit("dev-"), F.col("user_id").cast("string")).alias("ip_address")).distinct()
     return tabular.poll_windows(_component_polls(spark, sf), devices, ["FPC 0", "FPC 1", "FPC 2", "Routing Engine 0"])
+
+
+_POLLS = """
+SELECT event_id, ip, event_type, k, sec, date_trunc('second', timestamp) AS t,
+  time_bucket(INTERVAL 5 MINUTE, timestamp) + INTERVAL 5 MINUTE AS w, CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) AS v
+FROM device"""
+
+
+def _poll_over(lo: int, hi: int = 0) -> str:
+    top = "CURRENT ROW" if hi == 0 else f"{-hi} PRECEDING"
+    return f"OVER (PARTITION BY ip ORDER BY sec RANGE BETWEEN {-lo} PRECEDING AND {top})"
+
+
+@query("poll_window_columns", with_views(f"""
+SELECT coalesce(c.ip, s.ip, t.ip) AS ip_address, coalesce(c.w, s.w, t.w) AS window_5min_end, fpc1_cpu, re_state, active,
+       octets, avg_900, std_900, change_900
+FROM (SELECT ip, w, arg_max(CASE WHEN k % 2 = 1 AND k % 3 = 1 THEN v ELSE -1 END, sec) AS fpc1_cpu,
+             arg_max(CASE WHEN k % 2 = 0 THEN CAST(k % 5 AS VARCHAR) ELSE 'none' END, sec) AS re_state
+      FROM polls WHERE event_type IN ('click', 'view') GROUP BY ALL) c
+FULL JOIN (SELECT ip, w, arg_max(v, sec) AS active FROM polls WHERE event_type = 'purchase' GROUP BY ALL) s
+  ON c.ip = s.ip AND c.w = s.w
+FULL JOIN (SELECT ip, w, arg_max(v, sec) AS octets, round(arg_max(a, sec), 6) AS avg_900, round(arg_max(d, sec), 6) AS std_900,
+             round(arg_max(coalesce((a - b) / nullif(b, 0), -9), sec), 6) AS change_900
+           FROM (SELECT *, avg(v) {_poll_over(-900)} AS a, coalesce(stddev_samp(v) {_poll_over(-900)}, -1) AS d,
+                   avg(v) {_poll_over(-1800, -900)} AS b FROM polls WHERE event_type IN ('signup', 'error')) GROUP BY ALL) t
+  ON t.ip = coalesce(c.ip, s.ip) AND t.w = coalesce(c.w, s.w)""", device=DEVICE, polls=_POLLS))
+def _(spark, sf):
+    """Columns of all three poll frames; gaps inside a frame get a mark, so that they differ from an absent frame."""
+    devices = stand_ins.device(spark, sf).select(F.col("ip").alias("ip_address"))
+    wide = tabular.poll_windows(_component_polls(spark, sf), devices, ["FPC 0", "FPC 1", "FPC 2", "Routing Engine 0"])
+    comp = F.coalesce(*[F.col(f"`{c}_cpu`") for c in ("FPC 0", "FPC 1", "FPC 2", "Routing Engine 0")]).isNotNull()
+    traffic = F.col("if_out_octets").isNotNull()
+    return wide.select(
+        "ip_address", F.col("window_5min_end").cast("timestamp_ntz").alias("window_5min_end"),
+        F.when(comp, F.coalesce(F.col("`FPC 1_cpu`").cast("double"), F.lit(-1.0))).alias("fpc1_cpu"),
+        F.when(comp, F.coalesce(F.col("`Routing Engine 0_state`"), F.lit("none"))).alias("re_state"),
+        F.col("jnx_subscriber_active_count").cast("double").alias("active"), F.col("if_out_octets").cast("double").alias("octets"),
+        F.round("if_out_octets_avg_900", 6).alias("avg_900"),
+        F.when(traffic, F.coalesce(F.round("if_out_octets_std_900", 6), F.lit(-1.0))).alias("std_900"),
+        F.when(traffic, F.coalesce(F.round("if_out_octets_pct_change_900", 6), F.lit(-9.0))).alias("change_900"))
