@@ -229,7 +229,7 @@ def _(spark, sf):
 
 @query("labelled_device_windows", with_views("""
 SELECT l.ip_address, l.window_5min_end, l.n, l.label, round(r30, 6) AS ratio30, round(r45, 6) AS ratio45 FROM lab l
-JOIN (SELECT ip AS ip_address, window_5min_end, arg_max(r30, sec) AS r30, arg_max(r45, sec) AS r45 FROM (
+JOIN (SELECT ip AS ip_address, window_5min_end, arg_max_null(r30, sec) AS r30, arg_max_null(r45, sec) AS r45 FROM (
   SELECT ip, sec, time_bucket(INTERVAL 5 MINUTE, timestamp) + INTERVAL 5 MINUTE AS window_5min_end,
    count(*) OVER (PARTITION BY ip ORDER BY sec RANGE BETWEEN 1800 PRECEDING AND CURRENT ROW)
      / nullif(count(*) OVER (PARTITION BY ip ORDER BY sec RANGE BETWEEN 3600 PRECEDING AND 1800 PRECEDING), 0) AS r30,
@@ -262,8 +262,8 @@ FROM (SELECT host, timestamp, CAST(floor(epoch(timestamp)) AS BIGINT) AS sec, CA
 
 
 @query("syslog_device_windows", with_views(_labelled("win"), lines=LINES, inc=INCIDENTS, win=f"""
-SELECT ip_address, window_5min_end, arg_max(r30, sec) AS r30, arg_max(r45, sec) AS r45, arg_max(p15, sec) AS p15,
-  arg_max(p30, sec) AS p30, arg_max(p60, sec) AS p60, string_agg(clean, ' ' ORDER BY sec, clean) AS combined_message
+SELECT ip_address, window_5min_end, arg_max_null(r30, sec) AS r30, arg_max_null(r45, sec) AS r45, arg_max_null(p15, sec) AS p15,
+  arg_max_null(p30, sec) AS p30, arg_max_null(p60, sec) AS p60, string_agg(clean, ' ' ORDER BY sec, clean) AS combined_message
 FROM ({_SYSLOG_ROWS}) GROUP BY ALL"""))
 def _(spark, sf):
     windows = tabular.syslog_windows(stand_ins.lines(spark, sf).drop("event_id"))

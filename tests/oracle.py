@@ -49,8 +49,8 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if a[0] != b[0]:
         return False, f"columns {a[0]} != {b[0]}", len(got), took
     if a[1] != b[1]:
-        only_a = [r for r in a[1] if r not in set(b[1])][:3]
-        only_b = [r for r in b[1] if r not in set(a[1])][:3]
+        in_a, in_b = set(a[1]), set(b[1])
+        only_a, only_b = sorted(in_a - in_b)[:3], sorted(in_b - in_a)[:3]
         return False, f"rows {len(a[1])} vs {len(b[1])}; spark only {only_a}; sql only {only_b}", len(got), took
     return True, "ok", len(got), took
 
