@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import tokens_of
 from faultline.operators import order, sequences, vocab
+from faultline.operators.templates import live_templates, mine_templates
 from faultline.plans import stand_ins
 from faultline.plans.registry import query, table
-from faultline.plans.sequences import device_sequences
-from faultline.plans.stand_ins import KEY_EVENTS, with_views
+from faultline.plans.sequences import PRODUCTION, device_sequences, keyed_events, masked_tokens
+from faultline.plans.stand_ins import INCIDENTS, KEY_EVENTS, with_views
+from faultline.session import settle
 
 _IDS = "string_agg(CAST(log_key AS VARCHAR), ' ' ORDER BY timestamp, event_id)"
 
@@ -251,3 +253,20 @@ def _(spark, sf):
     t = _turns(spark, sf).select("id", F.size("tokens").alias("len"))
     out = order.length_bucket_batches(t, "len", "id", 64, world=3).select("batch_id", "slot", "worker").distinct()
     return out.groupBy("worker").agg(F.count("*").alias("batches"))
+
+
+@query("sequences_from_lines", with_views(f"""
+SELECT ip, window_end, len(string_split(ids, ' ')) AS n, label FROM ({_hopping_sql()})""", inc=INCIDENTS, keyed="""
+SELECT event_id, e.ip, timestamp, CAST(epoch_us(timestamp) AS BIGINT) AS us, 5 AS log_key, 0 AS device_id,
+       CASE WHEN i.time <= timestamp + INTERVAL 20 MINUTE THEN 1 ELSE 0 END AS label
+FROM (SELECT event_id, 'dev-' || user_id AS ip, ts AS timestamp, ts + INTERVAL 5 MINUTE AS t5 FROM events) e
+ASOF LEFT JOIN inc i ON e.ip = i.ip AND e.t5 <= i.time"""))
+def _(spark, sf):
+    """The whole sequence job: mine, match, label, look up, cut into sequences."""
+    lines = stand_ins.lines(spark, sf).withColumnRenamed("host", "ip")
+    order_by = ["timestamp", "event_id"]
+    catalog = settle(mine_templates(masked_tokens(lines), "tokens", order_by, PRODUCTION)[1])
+    keys = vocab.build_template_vocab(live_templates(catalog).select(F.array_join("tokens", " ").alias("t")), "t")
+    devices = vocab.build_device_vocab(lines, "ip")
+    events = keyed_events(lines, stand_ins.incidents(spark, sf), catalog, keys, devices, PRODUCTION, "fallback")
+    return device_sequences(events).select("ip", "window_end", F.size("ids").cast("bigint").alias("n"), "label")
