@@ -90,6 +90,7 @@ class Shard:
         self.touched: OrderedDict[int, int] = OrderedDict()
         self.codebook = Codes(cfg.param)
         self.texts: dict[int, str] = {}
+        self.bags: dict[int, tuple[set, set]] = {}
         self.next_id = 0
         self.changed = False
         self.evicted = False
@@ -175,13 +176,29 @@ class Shard:
             same = (leaf.codes[:n] == codes).sum(axis=1)
             score = (same + wild if wild_counts else same) / len(tokens)
         else:
-            score = np.array([set_score(self.templates[c], tokens, self.cfg.param, wild_counts) for c in leaf.ids])
+            score = self._set_scores(leaf.ids, tokens, wild_counts)
         top = score.max()
         if top < threshold:
             return None
         at = int(np.where(score == top, wild, -1).argmax())
         return leaf.ids[at]
 
+    def _set_scores(self, ids: list[int], tokens: list[str], wild_counts: bool) -> np.ndarray:
+        """:func:`set_score` of many clusters; the sets of a template are built once per change."""
+        param, whole = self.cfg.param, set(tokens)
+        out = np.empty(len(ids))
+        for at, cid in enumerate(ids):
+            template = self.templates[cid]
+            bags = self.bags.get(cid)
+            if bags is None:
+                every = set(template)
+                bags = self.bags[cid] = (every, every - {param})
+            if len(template) == len(tokens) and param in bags[0]:
+                out[at] = set_score(bags[wild_counts], {x for x, t in zip(tokens, template) if t != param})
+            else:
+                out[at] = set_score(bags[wild_counts], whole) if template else 1.0
+        return out
+
     def add(self, tokens: list[str], pos: int) -> tuple[str, int]:
         """Feed one line; returns (change, cluster)."""
         codes = self._encode(tokens)
@@ -230,6 +247,7 @@ class Shard:
         leaf.wild[leaf.ids.index(cid)] = merged.count(param)
         self.templates[cid] = merged
         self.texts.pop(cid, None)
+        self.bags.pop(cid, None)
         return True
 
     def _evict(self) -> None:
@@ -238,6 +256,7 @@ class Shard:
         self.leaves[self.home.pop(cid)].drop(cid)
         del self.templates[cid]
         self.texts.pop(cid, None)
+        self.bags.pop(cid, None)
         self.evicted = True
 
     def rows(self) -> Iterator[dict]:
@@ -256,13 +275,8 @@ class Shard:
             stack.extend(path + (k,) for k in reversed(kids))
 
 
-def set_score(template: list[str], line: list[str], param: str, wild_counts: bool) -> float:
-    """Overlap of the two token sets, times 1.3, at most 1."""
-    if not template:
-        return 1.0
-    if len(template) == len(line) and param in template:
-        line = [x for x, t in zip(line, template) if t != param]
-    left = {t for t in template if t != param} if wild_counts else set(template)
-    union = left | set(line)
-    # a template of wildcards alone covers any line of its length
-    return min(1.0, 1.3 * len(left & set(line)) / len(union)) if union else 1.0
+def set_score(template: set[str], line: set[str]) -> float:
+    """Overlap of two token sets, times 1.3, at most 1. Two empty sets (wildcards alone) fit."""
+    both = len(template & line)
+    union = len(template) + len(line) - both
+    return min(1.0, 1.3 * both / union) if union else 1.0

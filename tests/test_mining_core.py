@@ -105,6 +105,15 @@ def test_state_survives_a_round_trip(engine):
 
 
 def test_set_score():
-    assert set_score(["a", "<*>"], ["a", "b"], "<*>", True) == 1.0
-    assert set_score([], ["a"], "<*>", True) == 1.0
-    assert set_score(["a", "b"], ["c", "d"], "<*>", False) == 0.0
+    assert set_score({"a"}, {"a"}) == 1.0
+    assert set_score(set(), set()) == 1.0
+    assert set_score({"a", "b"}, {"c", "d"}) == 0.0
+    assert set_score({"a", "b"}, {"a", "c"}) == pytest.approx(1.3 / 3)
+
+
+def test_set_engine_matches_wildcards():
+    shard = Shard(MinerConfig(sim_th=0.4, engine="jaccard"))
+    for line in ("a b", "a c"):
+        shard.add(line.split(), 0)
+    assert shard.templates[1] == ["a", "<*>"]
+    assert shard.best(shard.route(["a", "z"]), ["a", "z"], 0.8, True) == 1
