@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import token_orc
+from faultline.llm import quality, token_orc
 from faultline.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,38 @@ def op4(spark, sf):
     path = fresh_dir(spark, "token-orc")
     token_orc.write_token_orc(table(spark, sf, "documents"), path, VOCABULARY)
     return token_orc.token_digest(spark, path)
+
+
+_OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             string_split(t, chr(10)) AS lines FROM d),
+tri AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS k
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM w)),
+dup AS (SELECT doc_id, p FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+cov AS (SELECT doc_id, sum(least(3, coalesce(q - p, 3)))::BIGINT AS n
+        FROM (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM dup) GROUP BY doc_id),
+worded AS (SELECT doc_id, list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+                  list_filter(lines, lambda x: __FAILS__) AS gone FROM w),
+c AS (SELECT w.doc_id, len(w.w)::BIGINT AS n_words, length(list_aggregate(w.w, 'string_agg', ''))::BIGINT AS chars,
+             length(regexp_replace(w.t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+             (len(worded.l) - len(list_distinct(worded.l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+             coalesce(length(regexp_replace(list_aggregate(worded.gone, 'string_agg', ''), '[\x20\x09-\x0D]+', '', 'g')), 0) AS lost
+      FROM w JOIN worded USING (doc_id) LEFT JOIN cov USING (doc_id))
+SELECT doc_id, n_words, coalesce(chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * coalesce(chars, 0) AS kept
+FROM c"""
+_WORDS = "(length(x) - length(replace(x, ' ', '')) + 1)"
+_SYMBOLS = "length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g'))"
+_MARKS = "((length(x) - length(replace(x, '!!', ''))) / 2)"
+_FAILS = (f"(({_SYMBOLS} >= 3 AND {_SYMBOLS} * 10 > {_WORDS}) OR length(x) - length(replace(x, '|', '')) >= 3 "
+          f"OR ({_MARKS} >= 3 AND {_MARKS} * 10 > {_WORDS}) OR ({_WORDS} >= 10 AND NOT regexp_matches(x, '[.!?:;…]')) "
+          f"OR ({_WORDS} <= 20 AND regexp_matches(lower(x), '{quality.BOILERPLATE}')))")
+
+
+@query("op7_quality_rules", _OP7_SQL.replace("__FAILS__", _FAILS))
+def op7(spark, sf):
+    judged = quality.judge_quality(table(spark, sf, "documents").select("doc_id", "text"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc.doc_id", *[f"quality.{c}" for c in counts])
