@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import quality, token_orc
+from faultline.llm import pii, quality, token_orc
 from faultline.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_pii")
+def op3(spark, sf):
+    return pii.span_digest(table(spark, sf, "documents"))
+
+
 @query("op4_token_orc")
 def op4(spark, sf):
     path = fresh_dir(spark, "token-orc")
