@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 #: Words are runs of anything but these six characters; ``bytes.split()`` splits at exactly them.
 SPACES = " \t\n\x0b\x0c\r"
@@ -32,22 +33,38 @@ def pair_name(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return mix(mix(a + _U(salt)) * _U(0x9E3779B97F4A7C15) + b)
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(code of every word of all texts, the distinct words by code, words of each text); texts are binary or null.
+
+    Splitting at ASCII white space leaves an empty word where a text starts or ends with some; these are taken out.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, b"").view(pa.string()))
+    coded = lists.flatten().dictionary_encode()
+    codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.view(pa.binary()).to_pylist()
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    if b"" in words:
+        keep = codes != words.index(b"")
+        ends = np.cumsum(counts)
+        kept = np.concatenate([[0], np.cumsum(keep)])
+        counts, codes = kept[ends] - kept[ends - counts], codes[keep]
+    return codes, words, counts
+
+
 class WordNames:
-    """64-bit names of words; the cache is emptied when it is full."""
+    """64-bit names of words; the store is emptied when it is full."""
 
-    def __init__(self, limit: int = 400_000) -> None:
-        self.cache: dict[bytes, int] = {}
+    def __init__(self, limit: int = 300_000) -> None:
+        self.known: dict[bytes, int] = {}
         self.limit = limit
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        from xxhash import xxh3_64_intdigest
-
-        cache = self.cache
-        if len(cache) > self.limit:
-            cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = xxh3_64_intdigest(w)
-        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        known = self.known
+        if len(known) > self.limit:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = xxh3_64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from faultline.llm.common import slices
-from faultline.llm.tokens import WordEncoder
+from faultline.llm.tokens import encoder as encoder_of
 
 ROW_INDEX_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
@@ -34,9 +34,9 @@ def write_token_orc(docs: DataFrame, path: str, vocabulary: str, id_column: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, start = WordEncoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, part, start = encoder_of(vocabulary), TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text"):
-            ids, counts = encoder.run(batch.column("text").to_pylist())
+            ids, counts = encoder.encode(batch.column("text"))
             offsets = np.concatenate([[0], np.cumsum(counts)])
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(np.full(len(counts), part, np.int32)), pa.array(start + offsets[:-1]),
