@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import pii, quality, token_orc, warc
+from faultline.llm import mixing, packing, pii, quality, token_orc, topk, warc
 from faultline.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_best_fit_packing")
+def op2(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), VOCABULARY)
+
+
 @query("op3_pii")
 def op3(spark, sf):
     return pii.span_digest(table(spark, sf, "documents"))
@@ -91,3 +96,59 @@ def op9(spark, sf):
     warc.write_warc(table(spark, sf, "pages"), path)
     return warc.read_warc(spark, path, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: NOT coalesce(isfinite(x), false))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+      FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5"""
+
+
+@query("op5_exact_topk", _OP5_SQL)
+def op5(spark, sf):
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def _op8_sql() -> str:
+    """The raking written out step by step; a mapping of shares must name categories that all occur, or add up to 1."""
+    steps, last = [], "w0"
+    for i in range(mixing.ITERATIONS):
+        for d in mixing.DIMENSIONS:
+            new = f"w{i + 1}_{d}"
+            steps.append(f"{new} AS (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 THEN "
+                         f"w * t_{d} / sum(w) OVER (PARTITION BY {d}) ELSE 0 END AS w) FROM {last})")
+            last = new
+    goals = []
+    for d, target in mixing.TARGETS.items():
+        if isinstance(target, dict):
+            cases = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in target.items())
+            goals.append(f"g_{d} AS (SELECT {d}, CASE WHEN x IS NOT NULL THEN x ELSE greatest(0, 1 - g) * t / o END / "
+                         f"(g + CASE WHEN o > 0 THEN greatest(0, 1 - g) ELSE 0 END) AS t_{d} FROM (SELECT *, "
+                         f"coalesce(sum(x) OVER (), 0) AS g, sum(t) FILTER (x IS NULL) OVER () AS o FROM (SELECT {d}, sum(tokens) AS t, "
+                         f"CASE WHEN sum(tokens) > 0 THEN CASE {d} {cases} END END AS x FROM cells GROUP BY {d})))")
+        else:
+            goals.append(f"g_{d} AS (SELECT {d}, pow(t, {target}) / sum(pow(t, {target})) OVER () AS t_{d} "
+                         f"FROM (SELECT {d}, sum(tokens)::DOUBLE AS t FROM cells GROUP BY {d}))")
+    names = ", ".join(mixing.DIMENSIONS)
+    goal_joins = " ".join(f"JOIN g_{d} USING ({d})" for d in mixing.DIMENSIONS)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
+k AS (SELECT *, CASE WHEN n_tokens < 200 THEN 'note' WHEN n_tokens < 1000 THEN 'article' ELSE 'long' END AS topic FROM d),
+cells AS (SELECT {names}, sum(n_tokens)::BIGINT AS tokens FROM k GROUP BY ALL),
+{", ".join(goals)},
+w0 AS (SELECT {names}, tokens, {", ".join(f"t_{d}" for d in mixing.DIMENSIONS)}, tokens::DOUBLE AS w FROM cells {goal_joins}),
+{", ".join(steps)},
+r AS (SELECT {names}, least(1.0, w / nullif(tokens, 0) * {mixing.BUDGET} * (SELECT sum(tokens) FROM cells)) AS p FROM {last})
+SELECT doc_id, {names}, n_tokens, round(p, 6) AS probability,
+       ('0x' || substr(md5('mix:' || doc_id), 1, 12))::BIGINT / 281474976710656.0 < p AS kept
+FROM k JOIN r USING ({names})"""
+
+
+@query("op8_mix_sources", _op8_sql())
+def op8(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs).select("doc.doc_id", *mixing.DIMENSIONS, "n_tokens", F.round("probability", 6).alias("probability"), "kept")
