@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import mixing, packing, pii, quality, token_orc, topk, warc
+from faultline.llm import mixing, packing, pii, quality, substring_dedup, token_orc, topk, warc
 from faultline.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WORDS_SQL = r"""
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)"""
+
+_OP1_SQL = f"""
+WITH {_WORDS_SQL},
+win AS (SELECT doc_id, p, sha256(array_to_string(w[p:p + 34], ' ')) AS k
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM w)),
+rep AS (SELECT doc_id, p FROM win QUALIFY count(*) OVER (PARTITION BY k) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM rep),
+pos AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM pos ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op1_substring_dedup", _OP1_SQL)
+def op1(spark, sf):
+    return substring_dedup.remove_repeats(table(spark, sf, "documents"), with_text=False)
+
+
 @query("op2_best_fit_packing")
 def op2(spark, sf):
     return packing.pack(table(spark, sf, "documents"), VOCABULARY)
