@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import mixing, packing, pii, quality, substring_dedup, token_orc, topk, warc
+from faultline.llm import mixing, ngram_join, packing, pii, quality, substring_dedup, token_orc, topk, warc
 from faultline.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,22 @@ FROM k JOIN r USING ({names})"""
 def op8(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
     return mixing.mix(docs).select("doc.doc_id", *mixing.DIMENSIONS, "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
+_OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS d, doc_id AS k FROM documents UNION SELECT r.d, l.b FROM r JOIN l ON l.a = r.k)
+SELECT documents.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.k) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.d = documents.doc_id GROUP BY documents.doc_id"""
+
+
+@query("op6_ngram_jaccard_join", _OP6_SQL)
+def op6(spark, sf):
+    return ngram_join.near_duplicates(table(spark, sf, "documents"))
