@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import mixing, ngram_join, packing, pii, quality, substring_dedup, token_orc, topk, warc
+from faultline.llm import lm, mixing, ngram_join, packing, pii, quality, substring_dedup, token_orc, topk, warc
 from faultline.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,8 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.d = documents.doc_id GROUP
 @query("op6_ngram_jaccard_join", _OP6_SQL)
 def op6(spark, sf):
     return ngram_join.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op10_lm_scoring")
+def op10(spark, sf):
+    return lm.score_documents(table(spark, sf, "documents"))
