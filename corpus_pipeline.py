@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.llm import mixing, ngram_join, packing, pii, quality
 from faultline.session import fresh_dir
@@ -25,14 +25,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of near copies the document that names it; documents without words all stay.
+    """Of every component of near copies the document with the smallest id; documents without words all stay apart.
 
-    A document with a null id names nothing: it stays if its component has no id at all, else a document with an id does.
+    A null id is larger than all others: it is stood in for by a number made from the text.
     """
-    found = ngram_join.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.filter("doc_id IS NULL"))
+    key = "near_duplicates_key"
+    made = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made))
+    found = ngram_join.near_duplicates(keyed.select(key, "text"), id_column=key)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,6 +111,8 @@ def _parse(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("no header")
     lines = data[version.end():end].decode("utf-8", "replace").split("\r\n")
     headers = {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines) if sep}
+    if _NEXT.search(data, version.end(), end) or "warc-type" not in headers or "warc-record-id" not in headers:
+        raise Damaged("broken header")
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise Damaged("no length")
