@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +75,3 @@ def column_roles(df: DataFrame, exclude: Sequence[str], text: Sequence[str]) ->
     numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in apart]
     categorical = [c for c in df.columns if c not in apart and c not in numeric]
     return {"numeric": numeric, "categorical": categorical, "text": list(text), "exclude": list(exclude)}
-
-
-def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -24,12 +24,29 @@ def last_row_per_window(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequen
     return picked.select(*map(quoted, keys), "_row.*")
 
 
+MAX_COMPONENTS = 2000  # each becomes columns
+
+
+def component_names(df: DataFrame, component: str, most: int = MAX_COMPONENTS) -> list[str]:
+    """The distinct components in order; an error when there are more than ``most``."""
+    found = distinct_set(df, component).orderBy(quoted(component)).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} distinct values in {component}")
+    return [r[0] for r in found]
+
+
 def pivot_components(df: DataFrame, keys: Sequence[str], component: str, values: Sequence[str],
-                     names: Sequence[str], tie: str) -> DataFrame:
+                     names: Sequence[str] | None = None, tie: str = "job_id") -> DataFrame:
     """A2: one column per (component, value). Of several polls the one with the smallest ``tie`` counts.
 
-    ``names`` lists the components; passing it saves the job that would look them up.
+    The components are looked up in one job. Passing ``names`` saves that job; a component of the data that is not
+    listed then fails the query. Rows without a component are left out.
     """
+    if names is None:
+        names = component_names(df, component)
+    c = F.col(quoted(component))
+    unlisted = F.raise_error(F.concat(F.lit("component not listed: "), c.cast("string"))).cast(df.schema[component].dataType)
+    df = df.filter(c.isNotNull()).withColumn(component, F.when(c.isin(list(names)), c).otherwise(unlisted))
     picks = [F.min_by(F.col(quoted(v)), F.col(quoted(tie))).alias(v) for v in values]
     return df.groupBy(*map(quoted, keys)).pivot(component, list(names)).agg(*picks)
 

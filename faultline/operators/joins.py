@@ -38,14 +38,14 @@ def with_hit_ahead(df: DataFrame, start: Column, hits: DataFrame, keys: Sequence
 
 def label_future_windows(windows: DataFrame, incidents: DataFrame, key: str = "ip_address",
                          end: str = "window_5min_end", time: str = "time", gap: int = 300, horizon: int = 1200,
-                         grid: int | None = 300, dedup: bool = True) -> DataFrame:
+                         grid: int | None = None, dedup: bool = True) -> DataFrame:
     """Label 1 when an incident of the device falls in [end + gap, end + horizon], both ends in.
 
     A window whose only incidents lie in [end, end + gap) is removed; all others get 0.
 
-    With ``grid`` (window ends are multiples of it) an incident names the few ends it can reach; these shrink to one
-    row per (device, end) and join on the window key, so windows that are already grouped by that key do not move
-    again. ``grid=None`` takes windows that end anywhere.
+    Windows may end anywhere. ``grid`` says that all ends are multiples of that many seconds, and a window that breaks
+    this fails the query: an incident then names the few ends it can reach; these shrink to one row per (device, end) and
+    join on the window key, so windows that are already grouped by that key do not move again.
     """
     if grid:
         hit = epoch_us(incidents, time)
@@ -56,7 +56,10 @@ def label_future_windows(windows: DataFrame, incidents: DataFrame, key: str = "i
                  .groupBy(quoted(key), "_e")
                  .agg(F.max(F.col("_hit") >= (F.col("_e") + gap) * 1_000_000).alias("_far")))
         side = reach.select(F.col(quoted(key)), from_epoch_s(windows, end, F.col("_e")).alias(end), "_far")
-        out = (windows.join(side, [key, end], "left").filter(F.col("_far").isNull() | F.col("_far"))
+        off = F.coalesce(F.pmod(epoch_us(windows, end), F.lit(grid * 1_000_000)) != 0, F.lit(False))
+        broken = F.raise_error(F.lit(f"a window does not end on the {grid} s grid")).cast("boolean")
+        out = (windows.join(side, [key, end], "left")
+               .filter(F.when(off, broken).otherwise(F.col("_far").isNull() | F.col("_far")))
                .withColumn("label", F.coalesce(F.col("_far").cast("int"), F.lit(0))).drop("_far"))
         out = out.select(*map(quoted, windows.columns), "label")
     else:

@@ -17,12 +17,17 @@ WILD = 0  # code of a wildcard position
 
 @dataclass(frozen=True)
 class MinerConfig:
-    """``engine`` "length": shards are token counts. "jaccard": shards are first tokens, scores compare sets."""
+    """``engine`` "length": shards are token counts. "jaccard": shards are first tokens, scores compare sets.
+
+    ``max_clusters`` is the cap of the length engine, per shard: beyond it the cluster updated longest ago is forgotten.
+    The set engine knows no cap but ``max_clusters_per_word``, a bound per first word, which is not a cap over all words.
+    """
 
     sim_th: float = 0.8
     depth: int = 4
     max_children: int = 100
     max_clusters: int | None = 16384
+    max_clusters_per_word: int | None = None
     parametrize_numeric: bool = True
     param: str = "<*>"
     engine: str = "length"
@@ -204,7 +209,7 @@ class Shard:
         codes = self._encode(tokens)
         cid = self.best(self.route(tokens), tokens, self.cfg.sim_th, False, codes)
         if cid is None:
-            cap = self.cfg.max_clusters
+            cap = self.cfg.max_clusters if self.cfg.engine == "length" else self.cfg.max_clusters_per_word
             if cap is not None and len(self.templates) >= cap:
                 self._evict()
             self.next_id += 1

@@ -2,7 +2,9 @@
 
 Frames look back a fixed number of seconds, so time is cut into slices with a halo (:func:`with_halo`) and each
 slice is one window partition: a device that holds a third of all rows still spreads over the cluster. Numbers are first added up per second on the map
-side, so a slice has at most one row per second however busy the device is.
+side, so a slice has at most one row per second however busy the device is. A sum over a moving frame is the difference of
+two sums from the start of the slice, which grow row by row: the work is linear in the rows, however long the frame. Only
+:func:`state_mode` looks at its frames row by row.
 """
 
 from __future__ import annotations
@@ -20,6 +22,16 @@ def _range(keys: Sequence[str], sec: str, lo: int, hi: int = 0) -> Window:
     return Window.partitionBy(*map(quoted, keys), "_slice").orderBy(sec).rangeBetween(lo, hi)
 
 
+def _upto(total: Column, keys: Sequence[str], sec: str, hi: int) -> Column:
+    """Sum from the start of the slice to ``hi`` seconds from here; 0 where nothing is that early."""
+    return F.coalesce(F.sum(total).over(_range(keys, sec, Window.unboundedPreceding, hi)), F.lit(0))
+
+
+def _moving(total: Column, keys: Sequence[str], sec: str, lo: int, hi: int = 0) -> Column:
+    """Sum over [t + lo, t + hi]; for doubles, rounding is that of the slice's running sum."""
+    return _upto(total, keys, sec, hi) - _upto(total, keys, sec, lo - 1)
+
+
 def _per_second(df: DataFrame, keys: Sequence[str], sec: str, aggs: Sequence[Column], lookback: int) -> DataFrame:
     return with_halo(df.groupBy(*map(quoted, keys), sec).agg(*aggs), F.col(sec), lookback)
 
@@ -28,7 +40,7 @@ def rolling_per_second(df: DataFrame, metrics: Sequence[str], spans: Sequence[in
                        sec: str = "t_secs") -> DataFrame:
     """W2 and W3 as a (keys, second) table; see :func:`rolling_avg_std`.
 
-    A second is reduced to count, mean, squared deviation, smallest and largest value. Frames add these up around the
+    A second is reduced to count, mean, squared deviation, smallest and largest value. Running sums are taken around the
     mean of the slice, which keeps large counters exact; a frame of equal values has deviation 0.
     """
     aggs = []
@@ -38,24 +50,39 @@ def rolling_per_second(df: DataFrame, metrics: Sequence[str], spans: Sequence[in
                  F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}")]
     secs = _per_second(df, keys, sec, aggs, 2 * max(spans))
     slice_of = Window.partitionBy(*map(quoted, keys), "_slice")
-    secs = secs.withColumns({f"_c{i}": F.avg(f"_m{i}").over(slice_of) for i in range(len(metrics))})
-    secs = secs.withColumns({f"_d{i}": F.col(f"_n{i}") * (F.col(f"_m{i}") - F.col(f"_c{i}")) for i in range(len(metrics))})
+    earlier = slice_of.orderBy(sec).rowsBetween(Window.unboundedPreceding, -1)
+    later = slice_of.orderBy(sec).rowsBetween(1, Window.unboundedFollowing)
+    many = range(len(metrics))
+    secs = secs.withColumns({f"_c{i}": F.avg(f"_m{i}").over(slice_of) for i in many}
+                            | {f"_p{i}": F.last(f"_hi{i}", True).over(earlier) for i in many}
+                            | {f"_f{i}": F.first(f"_lo{i}", True).over(later) for i in many})
+    secs = secs.withColumns({f"_d{i}": F.col(f"_n{i}") * (F.col(f"_m{i}") - F.col(f"_c{i}")) for i in many})
     parts: dict[str, Column] = {}
     new: dict[str, Column] = {}
     for i, m in enumerate(metrics):
         square = F.col(f"_v{i}") + F.col(f"_d{i}") * (F.col(f"_m{i}") - F.col(f"_c{i}"))
+        n_, d_ = F.col(f"_n{i}"), F.coalesce(F.col(f"_d{i}"), F.lit(0.0))
+
+        def flag(c: Column) -> Column:
+            return F.coalesce(c, F.lit(False)).cast("int")
+
+        # a frame holds one value if no second of it holds two and no two neighbours in it differ: of the changes that
+        # end by now, those that began before the frame are taken off again
+        mixed = flag(F.col(f"_lo{i}") != F.col(f"_hi{i}"))
+        ends, begins = flag(F.col(f"_p{i}") != F.col(f"_lo{i}")), flag(F.col(f"_f{i}") != F.col(f"_hi{i}"))
         for w in spans:
-            now, before, tag = _range(keys, sec, -w), _range(keys, sec, -2 * w, -w), f"{i}_{w}"
-            parts |= {f"_N{tag}": F.sum(f"_n{i}").over(now), f"_S{tag}": F.sum(f"_d{i}").over(now),
-                      f"_Q{tag}": F.sum(square).over(now),
-                      f"_E{tag}": F.min(f"_lo{i}").over(now) == F.max(f"_hi{i}").over(now),
-                      f"_B{tag}": F.sum(f"_n{i}").over(before), f"_T{tag}": F.sum(f"_d{i}").over(before)}
+            tag = f"{i}_{w}"
+            uneven = _moving(mixed, keys, sec, -w) + F.greatest(
+                _upto(ends, keys, sec, 0) - _upto(begins, keys, sec, -w - 1), F.lit(0))
+            parts |= {f"_N{tag}": _moving(n_, keys, sec, -w), f"_S{tag}": _moving(d_, keys, sec, -w),
+                      f"_Q{tag}": _moving(F.coalesce(square, F.lit(0.0)), keys, sec, -w), f"_E{tag}": uneven == 0,
+                      f"_B{tag}": _moving(n_, keys, sec, -2 * w, -w), f"_T{tag}": _moving(d_, keys, sec, -2 * w, -w)}
             n, s = F.col(f"_N{tag}"), F.col(f"_S{tag}")
             mean = F.col(f"_c{i}") + F.try_divide(s, n)
             past = F.col(f"_c{i}") + F.try_divide(F.col(f"_T{tag}"), F.col(f"_B{tag}"))
-            spread = F.sqrt(F.greatest(F.col(f"_Q{tag}") - s * s / n, F.lit(0.0)) / (n - 1))
+            spread = F.sqrt(F.greatest(F.col(f"_Q{tag}") - s * s / F.nullif(n, F.lit(0)), F.lit(0.0)) / F.nullif(n - 1, F.lit(0)))
             new[f"{m}_avg_{w}"] = mean
-            new[f"{m}_std_{w}"] = F.when(n < 2, None).when(F.col(f"_E{tag}"), F.lit(0.0)).when(n > 1, spread)
+            new[f"{m}_std_{w}"] = F.when(n < 2, None).when(F.col(f"_E{tag}"), F.lit(0.0)).otherwise(spread)
             new[f"{m}_pct_change_{w}"] = F.try_divide(mean - past, past)
     out = secs.withColumns(parts).filter("_own")
     return out.select(*map(quoted, keys), sec, *[c.alias(n) for n, c in new.items()])
@@ -74,15 +101,14 @@ def rolling_avg_std(df: DataFrame, metrics: Sequence[str], spans: Sequence[int],
 def count_ratio_columns(n: str, deltas: Sequence[int], keys: Sequence[str], sec: str) -> dict[str, Column]:
     """W4 over a sliced per-second table with counts ``n``."""
     return {f"ratio_countlog_delta_{d // 60}min": F.try_divide(
-        F.sum(n).over(_range(keys, sec, -d)), F.sum(n).over(_range(keys, sec, -2 * d, -d))) for d in deltas}
+        _moving(F.col(n), keys, sec, -d), F.nullif(_moving(F.col(n), keys, sec, -2 * d, -d), F.lit(0))) for d in deltas}
 
 
 def priority_ratio_columns(total: str, n: str, span: int, keys: Sequence[str], sec: str) -> dict[str, Column]:
     """W5 over a sliced per-second table with sums ``total`` of ``n`` scores."""
 
     def mean(w: int) -> Column:
-        frame = _range(keys, sec, -w)
-        return F.try_divide(F.sum(total).over(frame), F.sum(n).over(frame))
+        return F.try_divide(_moving(F.coalesce(total, F.lit(0.0)), keys, sec, -w), _moving(F.col(n), keys, sec, -w))
 
     m = span // 60
     ratios = {f"ratio_pri_score_prev_{m}m_vs_{k * m}m": F.try_divide(mean(span), mean(k * span)) for k in (2, 4)}

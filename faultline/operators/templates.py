@@ -169,7 +169,7 @@ def _with_totals(done: DataFrame, state: DataFrame, initial: DataFrame | None, o
         lines = done.join(carried.drop("n", "t"), ["shard", "local_id", "chunk"])
     lines = lines.select(*map(quoted, order_by), "shard", "local_id", "change_type",
                          (F.col("_n") + F.col("seen")).alias("cluster_size"), "template_mined",
-                         F.col("created").alias("cluster_count"), F.greatest("_t", "ts").alias("latest_ts"))
+                         F.col("created").alias("shard_cluster_count"), F.greatest("_t", "ts").alias("latest_ts"))
     totals = pieces.groupBy("shard", "local_id").agg(F.sum("n").alias("size"), F.max("t").alias("latest_ts"))
     return lines, state.join(totals, ["shard", "local_id"], "left")
 
@@ -184,7 +184,8 @@ def mine_templates(df: DataFrame, tokens: str, order_by: Sequence[str], cfg: Min
                    chunk_tokens: int = CHUNK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """M1: (result per line, catalogue). Lines are fed per token count in the order of the unique ``order_by``.
 
-    ``initial`` goes on from a saved catalogue. ``cluster_count`` counts the clusters made in the line's shard.
+    ``initial`` goes on from a saved catalogue. ``shard_cluster_count`` counts the clusters made in the line's shard
+    so far; the total over all shards is in :func:`cluster_stats`.
     """
     t = F.col(quoted(tokens))
     stamp = F.lit(0) if ts is None else (F.col(quoted(ts)) if isinstance(ts, str) else ts)

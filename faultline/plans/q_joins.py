@@ -32,7 +32,7 @@ WHERE i.ip IS NULL OR floor(epoch(i.time)) - floor(epoch(w.window_5min_end)) >=
 
 @query("j1_label_future_windows", with_views(_labelled("win"), device=DEVICE, inc=INCIDENTS, win=_WIN))
 def _(spark, sf):
-    return joins.label_future_windows(_windows(spark, sf), stand_ins.incidents(spark, sf, "ip_address"))
+    return joins.label_future_windows(_windows(spark, sf), stand_ins.incidents(spark, sf, "ip_address"), grid=300)
 
 
 @query("j1_label_future_any_end", with_views(
@@ -42,7 +42,7 @@ def _(spark, sf):
     ends = stand_ins.device(spark, sf).select(
         F.col("ip").alias("ip_address"), F.date_trunc("second", "timestamp").cast("timestamp_ntz").alias("window_5min_end"),
         "event_id")
-    return joins.label_future_windows(ends, stand_ins.incidents(spark, sf, "ip_address"), grid=None)
+    return joins.label_future_windows(ends, stand_ins.incidents(spark, sf, "ip_address"))
 
 
 @query("j2_label_asof", with_views("""
@@ -125,7 +125,7 @@ def _(spark, sf):
         F.col("l_tax").alias("tax"),
         (F.col("l_extendedprice") * 1000000 + F.col("l_quantity") * 10000 + F.col("l_tax") * 100
          + F.col("l_suppkey") / 1000000).alias("tie"))
-    return agg.pivot_components(li, ["l_orderkey"], "component", ["quantity", "tax"], [str(n) for n in range(1, 8)], "tie")
+    return agg.pivot_components(li, ["l_orderkey"], "component", ["quantity", "tax"], tie="tie")
 
 
 @query("a4_first_non_null_merge", """

@@ -84,7 +84,9 @@ def _(spark, sf):
     fs.mkdirs(flat)
     for i, f in enumerate(fs.globStatus(hadoop.Path(f"{root}/h=*/*.parquet"))):
         hour = int(f.getPath().getParent().getName().split("=")[1])
-        fs.rename(f.getPath(), hadoop.Path(flat, f"data_{hour:02d}-{i % 60:02d}-00.parquet"))
+        minute, second = divmod(i, 60)
+        if minute > 99 or not fs.rename(f.getPath(), hadoop.Path(flat, f"data_{hour:02d}-{minute:02d}-{second:02d}.parquet")):
+            raise OSError(f"cannot name {f.getPath()}")
     return rd.read_hour_slice(spark.read.parquet(f"{root}-named"), 8, 11)
 
 
@@ -146,7 +148,7 @@ def _(spark, sf):
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n, sum(event_id) AS ids FROM events GROUP BY 1""")
 def _(spark, sf):
     out = fresh_dir(spark, "bydate")
-    rd.export_by_date(table(spark, sf, "events"), "ts", out, files_per_date=2)
+    rd.export_by_date(table(spark, sf, "events"), "ts", out)
     return spark.read.parquet(out).groupBy(F.col("date").cast("string").alias("date")).agg(
         F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 

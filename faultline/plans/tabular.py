@@ -61,8 +61,11 @@ def _poll_windows(rows: DataFrame, states: Sequence[str], metrics: Sequence[str]
             .withColumnRenamed("ip-address", "ip_address"))
 
 
-def poll_windows(polls: DataFrame, devices: DataFrame, components: Sequence[str]) -> DataFrame:
-    """Normalised polls to one wide row per device window: components, subscribers, traffic."""
+def poll_windows(polls: DataFrame, devices: DataFrame, components: Sequence[str] | None = None) -> DataFrame:
+    """Normalised polls to one wide row per device window: components, subscribers, traffic.
+
+    Without ``components`` they are looked up.
+    """
     polls = filters.keep_entities(polls, devices, "ip-address", "ip_address")
     comp = normalize_component(flatten_struct(filters.component_filter(polls, COMPONENT_SERVICE))
                                .withColumn("time", F.to_timestamp("time")).distinct())
@@ -84,7 +87,7 @@ def poll_windows(polls: DataFrame, devices: DataFrame, components: Sequence[str]
 def labelled_windows(syslog: DataFrame, incidents: DataFrame, polls: DataFrame | None = None) -> DataFrame:
     """Window features with the future-incident label, poll features attached."""
     # windows are one row per key already, and the label join keeps them so
-    out = joins.label_future_windows(syslog, incidents, dedup=False)
+    out = joins.label_future_windows(syslog, incidents, grid=300, dedup=False)
     return out if polls is None else joins.attach_features(out, polls, KEYS)
 
 

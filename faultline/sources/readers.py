@@ -146,22 +146,19 @@ def export(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def export_by_date(df: DataFrame, ts: str, path: str, mode: str = "overwrite", files_per_date: int = 1) -> None:
-    """One folder per date. ``files_per_date`` > 1 spreads a heavy date over that many writers."""
-    dated = df.withColumn("date", F.to_date(quoted(ts)))
-    if files_per_date > 1:
-        spread = F.pmod(F.xxhash64(*map(quoted, df.columns)), F.lit(files_per_date))
-        dated = dated.repartition(F.col("date"), spread)
-    else:
-        dated = dated.repartition("date")
+def export_by_date(df: DataFrame, ts: str, path: str, mode: str = "overwrite") -> None:
+    """One folder per date. Rows are rebalanced by date, so a heavy date gets several writers by its size."""
+    dated = df.withColumn("date", F.to_date(quoted(ts))).hint("rebalance", "date")
     dated.write.mode(mode).partitionBy("date").parquet(path)
 
 
 def pending_dates(df: DataFrame, done: DataFrame, col: str = "date") -> DataFrame:
-    """Rows of dates after the last processed one; all rows when nothing was processed yet."""
-    last = done.agg(F.max(quoted(col)).alias("_last"))
-    return (df.crossJoin(F.broadcast(last))  # one-row side
-            .filter(F.col("_last").isNull() | (F.col(quoted(col)) > F.col("_last"))).drop("_last"))
+    """Rows of dates after the last processed one; all rows when nothing was processed yet.
+
+    The last date is a scalar subquery, so a partition column prunes folders before the scan.
+    """
+    last = done.agg(F.max(quoted(col))).scalar()
+    return df.filter(last.isNull() | (F.col(quoted(col)) > last))
 
 
 def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str] = ("ip", "timestamp"), seq: str = "_seq") -> DataFrame:

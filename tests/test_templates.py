@@ -36,7 +36,7 @@ def noise(n, seed=1):
 @pytest.mark.parametrize("cfg,chunk", [
     (MinerConfig(sim_th=0.4, max_clusters=None), 90),
     (MinerConfig(sim_th=0.6, max_clusters=3, max_children=3), 80),
-    (MinerConfig(sim_th=0.8, max_clusters=2, engine="jaccard"), 100),
+    (MinerConfig(sim_th=0.8, max_clusters_per_word=2, engine="jaccard"), 100),
 ])
 def test_rounds_equal_a_sequential_run(spark, cfg, chunk):
     lines = noise(100)
