@@ -147,6 +147,33 @@ def representatives(names: np.ndarray, counts: np.ndarray, window: int, rounds:
     return {"a": a, "s": s, "text": text[p], "p": p - (ends - counts)[text[p]], "c": c}
 
 
+def combined(key: np.ndarray, other: np.ndarray, text: np.ndarray, p: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What one slice sends on: (key, other, text, p, c, sure).
+
+    Rows that agree in both digests are repeats of each other whatever the rest of the corpus holds: they are sent on as
+    sure stretches, adjacent ones in one, and one of them also speaks for all where the digests are compared. So no digest
+    has more than one such row from a slice. Sure rows have a key of their own, to spread them.
+    """
+    order = np.lexsort((other, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1])
+    group = np.cumsum(new) - 1
+    many = np.zeros(len(order), bool)
+    many[order] = (np.bincount(group) > 1)[group] if len(order) else False
+    speaks = np.sort(order[new])
+    sure = np.flatnonzero(many)
+    sure = sure[np.lexsort((p[sure], text[sure]))]
+    apart = np.ones(len(sure), bool)
+    apart[1:] = (text[sure][1:] != text[sure][:-1]) | (p[sure][1:] != p[sure][:-1] + c[sure][:-1])
+    heads = np.flatnonzero(apart)
+    stretch = np.add.reduceat(c[sure], heads) if len(heads) else c[:0]
+    sure = sure[heads]
+    own = mix(key[sure] + p[sure].astype(_U) * _U(_BASES[0]) + text[sure].astype(_U))
+    rows = np.concatenate([speaks, sure])
+    return (np.concatenate([key[speaks], own]), other[rows], text[rows], p[rows], np.concatenate([c[speaks], stretch]),
+            np.arange(len(rows)) >= len(speaks))
+
+
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``d, h, text``: id (``_NO_ID`` for null), hash of the text, the text; rows that agree in all are the same to us."""
     text = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
@@ -159,21 +186,33 @@ def _occurrences(rows: DataFrame, window: int, rounds: int) -> DataFrame:
         for batch in slices(batches, "text"):
             codes, words, counts = split_words(batch.column("text"))
             found = representatives(known.of(words)[codes], counts, window, rounds)
-            text = pa.array(found["text"])
+            a, digest, text, p, c, sure = combined(found["a"], found["s"], found["text"], found["p"], found["c"])
+            text = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found["a"].view(np.int64)), pa.array(found["s"].view(np.int64)), batch.column("d").take(text),
-                 batch.column("h").take(text), pa.array(found["p"].astype(np.int32)), pa.array(found["c"].astype(np.int32))],
-                names=["a", "s", "d", "h", "p", "c"])
+                [pa.array(a.view(np.int64)), pa.array(digest.view(np.int64)), batch.column("d").take(text),
+                 batch.column("h").take(text), pa.array(p.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(sure)],
+                names=["a", "s", "d", "h", "p", "c", "sure"])
 
-    return rows.mapInArrow(name, "a long, s long, d long, h int, p int, c int")
+    return rows.mapInArrow(name, "a long, s long, d long, h int, p int, c int, sure boolean")
+
+
+def _again(found: DataFrame, keys: list[str], value: Column, label: str) -> DataFrame:
+    """``keys, value`` of the keys that occur again among rows that are not ``sure``.
+
+    Written, so that both sides of the join to come are exchanged plainly and a heavy key can be split.
+    """
+    path = fresh_dir(found.sparkSession, label)
+    (found.filter("NOT sure").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), value.alias("value")).filter("n > 1")
+     .select(*keys, "value").write.parquet(path))
+    return found.sparkSession.read.parquet(path)
 
 
 def _shared(rows: DataFrame, window: int, rounds: int) -> DataFrame:
     """``d, h, p, c, mixed``: stretches of windows whose representative occurs again; not ``mixed``: all are repeated."""
     found = _occurrences(rows, window, rounds)
-    again = (found.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low"), F.max("s").alias("high"))
-             .filter("n > 1").select("a", (F.col("low") != F.col("high")).alias("mixed")))
-    return found.select("a", "d", "h", "p", "c").join(again, "a").select("d", "h", "p", "c", "mixed")
+    again = _again(found, ["a"], F.min("s") != F.max("s"), "representatives")
+    return (found.select("a", "d", "h", "p", "c", "sure").join(again, "a", "left").filter("sure OR value IS NOT NULL")
+            .select("d", "h", "p", "c", (~F.col("sure") & F.col("value")).alias("mixed")))
 
 
 def _stretches(shared: DataFrame) -> DataFrame:
@@ -188,7 +227,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _windows(texts: DataFrame, mixed: DataFrame, window: int) -> DataFrame:
-    """``x, y, d, h, p``: two digests of every window of the mixed stretches."""
+    """``x, y, d, h, p, c, sure``: two digests of the windows of the mixed stretches, one by one; sure ones in stretches."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordNames()
@@ -199,14 +238,17 @@ def _windows(texts: DataFrame, mixed: DataFrame, window: int) -> DataFrame:
             start = (np.cumsum(counts) - counts)[row]
             at = np.repeat(p + start - np.cumsum(c) + c, c) + np.arange(int(c.sum()))
             text = np.repeat(row, c)
-            x, y = (Spans(names, b).of(at, at + window).view(np.int64) for b in _BASES)
+            x, y = (Spans(names, b).of(at, at + window) for b in _BASES)
+            p = at - (np.cumsum(counts) - counts)[text]
+            x, y, text, p, c, sure = combined(x, y, text, p, np.ones(len(p), np.int64))
             take = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x), pa.array(y), batch.column("d").take(take), batch.column("h").take(take),
-                 pa.array((at - (np.cumsum(counts) - counts)[text]).astype(np.int32))], names=["x", "y", "d", "h", "p"])
+                [pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), batch.column("d").take(take),
+                 batch.column("h").take(take), pa.array(p.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(sure)],
+                names=["x", "y", "d", "h", "p", "c", "sure"])
 
     return (texts.join(_stretches(mixed), ["d", "h"]).select("d", "h", "text", "stretches")
-            .mapInArrow(digest, "x long, y long, d long, h int, p int"))
+            .mapInArrow(digest, "x long, y long, d long, h int, p int, c int, sure boolean"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_column: str = "doc_id",
@@ -223,8 +265,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     _shared(texts, window, rounds).write.parquet(path)
     shared = spark.read.parquet(path)
     windows = _windows(texts, shared.filter("mixed"), window)
-    again = windows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("x", "y")
-    hits = windows.join(again, ["x", "y"]).select("d", "h", "p", F.lit(1).alias("c"))
+    again = (windows.filter("NOT sure").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+             .select("x", "y", F.lit(True).alias("repeated")))
+    hits = windows.join(again, ["x", "y"], "left").filter("sure OR repeated").select("d", "h", "p", "c")
     gone = _stretches(shared.filter("NOT mixed").select("d", "h", "p", "c").unionAll(hits))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
