@@ -11,9 +11,9 @@ from typing import Any
 import pandas as pd
 from pyspark.ml import Transformer
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,16 +90,18 @@ def tfidf(df: DataFrame, row_id: str, text: str, vocab: DataFrame | None = None,
 
 def sparse_text(df: DataFrame, row_id: str, text: str, vocab: DataFrame, size: int, span: tuple[int, int] = (1, 2),
                 out: str = "text_vec") -> DataFrame:
-    """F1 as one sparse vector per row."""
+    """F1 as one sparse vector per row, made in the JVM without moving a row.
 
-    @F.udf(VectorUDT())
-    def pack(cells):
-        return Vectors.sparse(size, [(c["term_id"], c["weight"]) for c in cells or []])
-
-    weights = tfidf(df, row_id, text, vocab, span)
-    packed = weights.groupBy(quoted(row_id)).agg(
-        F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("_cells"))
-    return df.join(packed, row_id, "left").withColumn(out, pack("_cells")).drop("_cells")
+    The vocabulary, at most ``max_features`` of :func:`fit_tfidf`, comes to the driver once and is part of the model.
+    """
+    terms = vocab.orderBy("term_id").select("term", "idf").toArrow()
+    if terms.num_rows != size:
+        raise ValueError(f"the vocabulary has {terms.num_rows} terms, not {size}")
+    grams = ngrams(F.coalesce(F.col(quoted(text)), F.lit("")), *span)
+    counted = CountVectorizerModel.from_vocabulary(terms["term"].to_pylist(), inputCol="_grams", outputCol="_tf").transform(
+        df.withColumn("_grams", grams))
+    weighed = ElementwiseProduct(scalingVec=Vectors.dense(terms["idf"].to_numpy()), inputCol="_tf", outputCol="_w").transform(counted)
+    return Normalizer(p=2.0, inputCol="_w", outputCol=out).transform(weighed).drop("_grams", "_tf", "_w")
 
 
 # -- numbers and categories ---------------------------------------------------------------------------------------
@@ -126,11 +128,18 @@ def impute(df: DataFrame, cols: Sequence[str], fill: float = -1, indicated: Sequ
     return df.withColumns({**flags, **fills})
 
 
+MAX_CATEGORIES = 10_000  # of all columns together
+
+
 def fit_categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str | None]]:
-    """F3 fit: sorted categories per column, NULL last. They become columns, so they are few by nature."""
+    """F3 fit: sorted categories per column, NULL last; an error beyond ``MAX_CATEGORIES``, as each becomes a column."""
     stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(quoted(c)).cast("string").alias("value"))
                                   for c in cols])).alias("_s")
-    seen = df.select(stacked).select("_s.*").distinct().orderBy("col", F.asc_nulls_last("value")).collect()
+    distinct = df.select(stacked).select("_s.*").distinct()
+    seen = distinct.limit(MAX_CATEGORIES + 1).collect()
+    if len(seen) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories in {list(cols)}")
+    seen.sort(key=lambda r: (r["col"], r["value"] is None, (r["value"] or "").encode()))
     return {c: [r["value"] for r in seen if r["col"] == c] for c in cols}
 
 

@@ -204,6 +204,19 @@ class Shard:
                 out[at] = set_score(bags[wild_counts], whole) if template else 1.0
         return out
 
+    def best_anywhere(self, tokens: list[str], threshold: float) -> int | None:
+        """Set engine: the best cluster of the whole shard, by the rules of :meth:`best`; the shard must not change."""
+        if not hasattr(self, "_all"):
+            self._all = [r["local_id"] for r in self.rows() if r["local_id"] is not None]
+        if not self._all or not tokens:
+            return self._all[0] if self._all else None
+        score = self._set_scores(self._all, tokens, True)
+        top = score.max()
+        if top < threshold:
+            return None
+        wild = np.array([self.templates[c].count(self.cfg.param) for c in self._all])
+        return self._all[int(np.where(score == top, wild, -1).argmax())]
+
     def add(self, tokens: list[str], pos: int) -> tuple[str, int]:
         """Feed one line; returns (change, cluster)."""
         codes = self._encode(tokens)

@@ -1,10 +1,11 @@
 """Log templates: mining, matching, catalogue (M1, M7, M8, M10-M12, J4) and their statistics.
 
-Mining depends on the order of the lines of a shard. Lines of a shard are ranked and cut into bounded chunks. All
-chunks of a window start in parallel from the same known state; most lines only join a cluster and leave the state
-as it is. Up to and including the first chunk that changes it, the results are those of a sequential run, and
-mining goes on behind it. A shard that holds a third of all lines is thus never one task, and small shards finish in
-the first round.
+Mining depends on the order of the lines of a shard. Lines of a shard are ranked and cut into bounded chunks. In a round,
+one task per shard, the lead, runs several chunks one after the other from the known state, and other tasks try later chunks
+from that same state; most lines only join a cluster and leave the state as it is. Up to and including the first task that
+changes it, the results are those of a sequential run, and mining goes on behind it: with a long lead where the state keeps
+changing, with many tries where it does not. Chunks lie in folders by their number, so finished ones are not read again. A
+shard that holds a third of all lines is thus never one task, and small shards finish in the first round.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import types as T
 from faultline.functions.clock import quoted
 from faultline.operators.mining_core import MinerConfig, Shard
 from faultline.operators.order import global_rank
-from faultline.session import settle
+from faultline.session import fresh_dir, settle
 
-CHUNK_TOKENS = 16_000_000  # tokens of one task
-MAX_SPAN = 1024  # chunks of one shard tried in one round
+CHUNK_TOKENS = 2_000_000  # tokens of one chunk
+LEAD = 8  # chunks that the first task of a shard takes while the state keeps changing
+MAX_SPAN = 1024  # chunks of one shard tried in one round behind the first task's
+BAND = 16  # chunks in a folder
 ID_BITS = 32
 
 STATE = ("shard string, local_id bigint, tokens array<string>, leaf_path string, tree_ord bigint, touched bigint, "
@@ -47,7 +50,7 @@ def _arrow_type(schema: str | T.StructType) -> pa.Schema:
 
 
 def _step(cfg: MinerConfig, keys: Sequence[str], want: pa.Schema):
-    """One chunk of one shard, fed in order from the handed-over state."""
+    """One run of chunks of one shard, fed in order from the handed-over state; named by its first chunk."""
 
     def run(key, lines: pa.Table, state: pa.Table) -> pa.Table:
         name, chunk = key[0].as_py(), key[1].as_py()
@@ -86,8 +89,9 @@ def _step(cfg: MinerConfig, keys: Sequence[str], want: pa.Schema):
 
 
 def _mine(df: DataFrame, text: Column, tokens: Column, ts: Column, order_by: Sequence[str], cfg: MinerConfig,
-          initial: DataFrame | None, chunk_tokens: int) -> tuple[DataFrame, DataFrame]:
+          initial: DataFrame | None, chunk_tokens: int, lead: int) -> tuple[DataFrame, DataFrame]:
     spark = df.sparkSession
+    rows_path, done_path = fresh_dir(spark, "mining-rows"), fresh_dir(spark, "mined-lines")
     keys = [f"_key{i}" for i in range(len(order_by))]
     lines = df.select(*[F.col(quoted(o)).alias(k) for o, k in zip(order_by, keys)],
                       shard_of(tokens, cfg.engine).alias("shard"), text.alias("text"),
@@ -100,8 +104,9 @@ def _mine(df: DataFrame, text: Column, tokens: Column, ts: Column, order_by: Seq
     else:
         ranked = ranked.join(ranked.groupBy("shard").agg(F.max("_len").alias("_longest")), "shard")
     per_chunk = F.greatest(F.floor(F.lit(chunk_tokens) / F.greatest("_longest", F.lit(1))), F.lit(1))
-    rows = settle(ranked.withColumn("chunk", F.floor(F.col("pos") / per_chunk))
-                  .drop("_longest", "_len"))
+    (ranked.withColumn("chunk", F.floor(F.col("pos") / per_chunk)).withColumn("band", F.floor(F.col("chunk") / BAND))
+     .drop("_longest", "_len").write.partitionBy("band").parquet(rows_path))
+    rows = spark.read.parquet(rows_path)
 
     if initial is None:
         state = spark.createDataFrame([], STATE)
@@ -110,44 +115,57 @@ def _mine(df: DataFrame, text: Column, tokens: Column, ts: Column, order_by: Seq
         age = F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("touched"), F.desc("local_id")))
         state = initial.select(*[f.name for f in T.StructType.fromDDL(STATE)]).withColumn("touched", -age.cast("bigint"))
     progress = rows.groupBy("shard").agg(F.max("chunk").alias("last")).select(
-        "shard", F.lit(0).cast("bigint").alias("nxt"), "last", F.lit(1).cast("bigint").alias("span"))
+        "shard", F.lit(0).cast("bigint").alias("nxt"), "last", F.lit(0).cast("bigint").alias("span"),
+        F.lit(lead).cast("bigint").alias("lead"))
     # one row per shard: token counts are no more than the longest line is long; first words may be many
     few = F.broadcast if cfg.engine == "length" else (lambda d: d)
-    done: DataFrame | None = None
+    lines_type = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out_schema
+                           if f.name in ("shard", "chunk", "pos", "change_type", "template_mined", "seen", "ts", "local_id"))
+    lines_type += ", created bigint, " + ", ".join(f"{k} {lines.schema[k].dataType.simpleString()}" for k in keys)
+    rounds, low, high = 0, 0, (lead - 1) // BAND
     while True:
-        window = progress.withColumn("stop", F.least("last", F.col("nxt") + F.col("span") - 1))
-        todo = rows.join(few(window.select("shard", "nxt", "stop")), "shard").filter(
-            F.col("chunk").between(F.col("nxt"), F.col("stop"))).select("shard", "chunk", "pos", "text", "ts", *keys)
-        starts = state.join(few(window.select("shard", "nxt", "stop")), "shard").withColumn(
-            "chunk", F.explode(F.sequence("nxt", "stop"))).drop("nxt", "stop")
+        window = progress.withColumns({"stop": F.least("last", F.col("nxt") + F.col("lead") + F.col("span") - 1),
+                                       "behind": F.least(F.col("last") + 1, F.col("nxt") + F.col("lead"))})
+        shape = few(window.select("shard", "nxt", "stop", "behind"))
+        todo = rows.filter(F.col("band").between(low, high)).join(shape, "shard").filter(
+            F.col("chunk").between(F.col("nxt"), F.col("stop"))).withColumn(
+            "chunk", F.when(F.col("chunk") < F.col("behind"), F.col("nxt")).otherwise(F.col("chunk"))).select(
+            "shard", "chunk", "pos", "text", "ts", *keys)
+        tries = F.when(F.col("behind") <= F.col("stop"), F.sequence("behind", "stop")).otherwise(F.array().cast("array<bigint>"))
+        starts = state.join(shape, "shard").withColumn(
+            "chunk", F.explode(F.concat(F.array("nxt"), tries))).drop("nxt", "stop", "behind")
         out = settle(todo.groupBy("shard", "chunk").cogroup(starts.groupBy("shard", "chunk"))
                      .applyInArrow(step, out_schema))
         first = (out.filter("kind = 'chunk' and changed").groupBy("shard")
                  .agg(F.min_by(F.struct("chunk", "evicted"), "chunk").alias("_f"))
                  .select("shard", F.col("_f.chunk").alias("_at"), F.col("_f.evicted").alias("_ev")))
-        # an eviction needs the recency of the chunks before it, which only the first chunk of a round has
-        upto = (F.when(F.col("_at").isNull(), F.col("stop"))
-                .when((F.col("_at") == F.col("nxt")) | ~F.col("_ev"), F.col("_at")).otherwise(F.col("_at") - 1))
+        # an eviction needs the recency of the chunks before it, which only the first task of a round has
+        upto = (F.when(F.col("_at").isNull(), F.col("stop")).when(F.col("_at") == F.col("nxt"), F.col("behind") - 1)
+                .when(~F.col("_ev"), F.col("_at")).otherwise(F.col("_at") - 1))
         judged = window.join(first, "shard", "left").withColumn("upto", upto)
         kept = out.join(few(judged.select("shard", "upto", "_at")), "shard").filter(F.col("chunk") <= F.col("upto"))
         fed = kept.filter("kind = 'line'").select("shard", "chunk", "pos", "change_type", "template_mined", "seen",
                                                   "ts", "local_id", F.col("next_id").alias("created"), *keys)
-        first_round = done is None
-        done = fed if done is None else done.unionByName(fed)
+        fed.write.mode("append").parquet(done_path)
+        rounds += 1
         names = [f.name for f in T.StructType.fromDDL(STATE)]
         moved = kept.filter((F.col("kind") == "state") & (F.col("chunk") == F.col("_at")))
         still = state.join(moved.select("shard").distinct(), "shard", "left_anti")
         touch = fed.groupBy("shard", "local_id").agg(F.max("pos").alias("_pos"))
         state = (moved.select(*names).unionByName(still.select(*names)).join(touch, ["shard", "local_id"], "left")
                  .withColumn("touched", F.greatest("touched", F.coalesce("_pos", "touched"))).select(*names))
-        wide = F.when(F.col("_at").isNull(), F.col("span") * 4).otherwise(
-            F.greatest((F.col("upto") - F.col("nxt") + 1) * 2, F.lit(1)))
-        progress = settle(judged.select("shard", (F.col("upto") + 1).alias("nxt"), "last",
-                                        F.least(wide, F.lit(MAX_SPAN)).alias("span")).filter(F.col("nxt") <= F.col("last")))
-        if progress.isEmpty():
-            # one round without a past: every shard was a single chunk, and what it saw are the totals
-            done = done.withColumnsRenamed(dict(zip(keys, order_by)))
-            return _with_totals(done, state, initial, order_by, alone=first_round and initial is None)
+        calm = F.col("_at").isNull()
+        wide = F.when(calm, F.greatest(F.col("span"), F.lit(1)) * 4).otherwise(
+            F.greatest((F.col("upto") - F.col("behind") + 1) * 2, F.lit(1)))
+        progress = settle(judged.select(
+            "shard", (F.col("upto") + 1).alias("nxt"), "last", F.least(wide, F.lit(MAX_SPAN)).cast("bigint").alias("span"),
+            F.when(calm, F.lit(1)).otherwise(F.lit(lead)).cast("bigint").alias("lead")).filter(F.col("nxt") <= F.col("last")))
+        reach = progress.agg(F.min("nxt").alias("low"), F.max(F.col("nxt") + F.col("lead") + F.col("span") - 1).alias("high")).first()
+        if reach["low"] is None:
+            # one round without a past: every shard was a single task, and what it saw are the totals
+            done = spark.read.schema(lines_type).parquet(done_path).withColumnsRenamed(dict(zip(keys, order_by)))
+            return _with_totals(done, state, initial, order_by, alone=rounds == 1 and initial is None)
+        low, high = reach["low"] // BAND, reach["high"] // BAND
         state = settle(state)
 
 
@@ -181,7 +199,7 @@ def global_id(shard: str = "shard", local: str = "local_id") -> Column:
 
 def mine_templates(df: DataFrame, tokens: str, order_by: Sequence[str], cfg: MinerConfig = MinerConfig(),
                    ts: str | Column | None = None, initial: DataFrame | None = None,
-                   chunk_tokens: int = CHUNK_TOKENS) -> tuple[DataFrame, DataFrame]:
+                   chunk_tokens: int = CHUNK_TOKENS, lead: int = LEAD) -> tuple[DataFrame, DataFrame]:
     """M1: (result per line, catalogue). Lines are fed per token count in the order of the unique ``order_by``.
 
     ``initial`` goes on from a saved catalogue. ``shard_cluster_count`` counts the clusters made in the line's shard
@@ -189,7 +207,7 @@ def mine_templates(df: DataFrame, tokens: str, order_by: Sequence[str], cfg: Min
     """
     t = F.col(quoted(tokens))
     stamp = F.lit(0) if ts is None else (F.col(quoted(ts)) if isinstance(ts, str) else ts)
-    lines, catalog = _mine(df, F.array_join(t, " "), t, stamp, order_by, cfg, initial, chunk_tokens)
+    lines, catalog = _mine(df, F.array_join(t, " "), t, stamp, order_by, cfg, initial, chunk_tokens, lead)
     if cfg.engine == "length":
         lines = lines.withColumn("cluster_id", global_id())
         catalog = catalog.withColumn("cluster_id", global_id())
@@ -318,8 +336,11 @@ def map_templates(df: DataFrame, tokens: str, catalog: DataFrame, strategy: str
 
 
 def match_templates_jaccard(msgs: DataFrame, catalog: DataFrame, cfg: MinerConfig = MinerConfig(engine="jaccard"),
-                            threshold: float = 0.8, lines_per_task: int = 200_000) -> DataFrame:
-    """M8 matching: best cluster of the routed leaf with score >= ``threshold``; nothing is changed.
+                            threshold: float = 0.8, lines_per_task: int = 200_000, strategy: str = "never") -> DataFrame:
+    """M8 matching: best cluster with score >= ``threshold``; nothing is changed.
+
+    ``never`` looks in the routed leaf, ``fallback`` among all clusters of the first word if that finds nothing, ``always``
+    among all of them.
 
     Busy first words are cut into pieces of bounded size, each with its shard's templates.
     """
@@ -330,12 +351,19 @@ def match_templates_jaccard(msgs: DataFrame, catalog: DataFrame, cfg: MinerConfi
         pieces.select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("chunk")), "shard")
     schema = "text string, local_id bigint, template string"
     want = _arrow_type(schema)
+    if strategy not in ("never", "fallback", "always"):
+        raise ValueError("strategy must be never, fallback or always")
 
     def run(key, lines: pa.Table, state: pa.Table) -> pa.Table:
         shard = Shard(cfg, state.to_pylist())
+
+        def best(w: list[str]) -> int | None:
+            found = None if strategy == "always" else shard.best(shard.route(w), w, threshold, True)
+            return shard.best_anywhere(w, threshold) if found is None and strategy != "never" else found
+
         texts = lines["text"].to_pylist()
         words = [t.split(" ") if t else [] for t in texts]
-        ids = [shard.best(shard.route(w), w, threshold, True) for w in words]
+        ids = [best(w) for w in words]
         shown = [None if c is None else shard.text(c) for c in ids]
         return pa.table([pa.array(texts, pa.string()), pa.array(ids, pa.int64()), pa.array(shown, pa.string())],
                         schema=want)

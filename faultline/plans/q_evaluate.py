@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from faultline.operators import evaluate as ev
@@ -150,6 +152,18 @@ def _(spark, sf):
     return _r6(ft.tfidf(b, "doc_id", "text", max_features=300), "weight")
 
 
+@query("f1_text_vectors", with_views("""
+SELECT doc_id, term_id, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight
+FROM (SELECT doc_id, term_id, tf * idf AS w FROM tf JOIN terms USING (term))""", grams=_GRAMS, tf=_TF, terms=_TERMS))
+def _(spark, sf):
+    """The vectors as rows of their cells that are not 0."""
+    b = table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")
+    vocab = settle(ft.fit_tfidf(b, "doc_id", "text", max_features=300))
+    rows = ft.sparse_text(b, "doc_id", "text", vocab, vocab.count())
+    cells = rows.select("doc_id", F.posexplode(vector_to_array("text_vec")).alias("i", "weight")).filter("weight <> 0")
+    return _r6(cells.select("doc_id", F.col("i").cast("bigint").alias("term_id"), "weight"), "weight")
+
+
 @query("f1_tfidf_vocabulary", with_views("SELECT term, term_id, df, round(idf, 6) AS idf FROM terms",
                                          grams=_GRAMS, tf=_TF, terms=_TERMS))
 def _(spark, sf):
@@ -210,6 +224,21 @@ def _(spark, sf):
 _SPACE = {**ft.SEARCH_SPACE, "n_estimators": ("int", 2, 6, True), "max_depth": ("int", 2, 5, False)}
 
 
+@query("g7_importance_rules", "SELECT true AS sums_to_one, true AS in_order, true AS none_negative")
+def _(spark, sf):
+    """Importances add up to 1, none is negative, and the listing is sorted."""
+    _df, prep, rows = _prepared(spark, sf)
+    model = ft.fit_classifier(rows, maxIter=3, maxDepth=3)
+    top = ev.feature_importance_top(model.featureImportances, prep.names(spark), 1000)
+    cols = [c for c in top.columns if top.schema[c].dataType.typeName() == "double"]
+    at = F.monotonically_increasing_id()
+    before = F.lag(cols[0]).over(Window.orderBy("_at"))
+    listed = top.withColumn("_at", at).withColumn("_before", before)
+    return listed.agg((F.abs(F.sum(cols[0]) - 1) < 1e-6).alias("sums_to_one"),
+                      F.coalesce(F.bool_and(F.col(cols[0]) <= F.col("_before")), F.lit(True)).alias("in_order"),
+                      (F.min(cols[0]) >= 0).alias("none_negative"))
+
+
 @query("f5_tune_time_holdout")
 def _(spark, sf):
     _df, _prep, rows = _prepared(spark, sf)

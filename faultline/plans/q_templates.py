@@ -188,3 +188,80 @@ SELECT *, templates - distinct_templates AS repeated_templates FROM (
                                               lines=LINES, shapes=_SHAPES))
 def _(spark, sf):
     return templates.template_token_stats(_shapes(spark, sf))
+
+
+# ---- what holds for any mining, stated over all lines
+
+
+_COVERED = "SELECT doc_id, line, true AS covered FROM toks"
+
+
+def _covered(template, tokens):
+    """The template has the line's length and differs from it in wildcards only."""
+    return (F.size(template) == F.size(tokens)) & F.forall(
+        F.zip_with(template, tokens, lambda t, w: (t == "<*>") | t.eqNullSafe(w)), lambda ok: ok)
+
+
+def _final(rows, lines, catalog, rule):
+    """Per line: does the template that its cluster ended with fit it?"""
+    last = templates.live_templates(catalog).select("cluster_id", F.col("tokens").alias("_t"))
+    out = rows.join(lines.select(*ORDER, "cluster_id"), ORDER, "left").join(last, "cluster_id", "left")
+    return out.select(*ORDER, F.coalesce(rule(F.col("_t"), F.col("tokens")), F.lit(False)).alias("covered"))
+
+
+@query("m1_lines_covered", with_views(_COVERED, doc_lines=DOC_LINES, toks=_DOC_TOKENS))
+def _(spark, sf):
+    rows = stand_ins.doc_tokens(spark, sf, MASK_DELIMITERS)
+    return _final(rows, *templates.mine_templates(rows, "tokens", ORDER, PRODUCTION), _covered)
+
+
+@query("m1_catalogue_rules", with_views("""
+SELECT count(*) AS lines, true AS ids_unique, true AS sizes_add_up FROM toks""", doc_lines=DOC_LINES, toks=_DOC_TOKENS))
+def _(spark, sf):
+    lines, catalog = _mined(spark, sf)
+    total = lines.agg(F.count("*").alias("lines"))
+    live = templates.live_templates(catalog).agg(
+        (F.count("*") == F.count_distinct("cluster_id")).alias("ids_unique"), F.sum("size").alias("_s"))
+    return total.crossJoin(live).select("lines", "ids_unique", (F.col("_s") == F.col("lines")).alias("sizes_add_up"))  # one row each
+
+
+@query("m7_mined_lines_match", with_views(_COVERED, doc_lines=DOC_LINES, toks=_DOC_TOKENS))
+def _(spark, sf):
+    """Every mined line finds a template, and it fits."""
+    rows = stand_ins.doc_tokens(spark, sf, MASK_DELIMITERS)
+    catalog = templates.mine_templates(rows, "tokens", ORDER, PRODUCTION)[1]
+    out = templates.map_templates(rows, "tokens", catalog, "fallback", PRODUCTION)
+    template = F.when(F.col("template") == "", F.array().cast("array<string>")).otherwise(F.split("template", " "))
+    return out.select(*ORDER, F.coalesce(_covered(template, F.col("tokens")), F.lit(False)).alias("covered"))
+
+
+@query("m10_assigned_lines", with_views(_COVERED.replace("covered", "assigned"), doc_lines=DOC_LINES, toks=_DOC_TOKENS))
+def _(spark, sf):
+    """Every row has a cluster, and the template of that moment fits it."""
+    rows = stand_ins.doc_tokens(spark, sf, MASK_DELIMITERS)
+    lines, _catalog = templates.mine_templates(rows, "tokens", ORDER, PRODUCTION)
+    out = templates.assign_templates(rows, lines, ORDER)
+    template = F.when(F.col("template_mined") == "", F.array().cast("array<string>")).otherwise(F.split("template_mined", " "))
+    return out.select(*ORDER, F.coalesce(_covered(template, F.col("tokens")) & F.col("cluster_id").isNotNull(),
+                                         F.lit(False)).alias("assigned"))
+
+
+@query("m11_resumed_sizes", with_views("""
+SELECT CAST(len(tokens) AS VARCHAR) AS shard, count(*) AS lines FROM toks GROUP BY 1""", doc_lines=DOC_LINES, toks=_DOC_TOKENS))
+def _(spark, sf):
+    """Two halves, the second from the saved catalogue: sizes add up to all lines of each token count."""
+    rows = stand_ins.doc_tokens(spark, sf, MASK_DELIMITERS)
+    early = F.pmod(F.xxhash64("source"), F.lit(2)) == 0
+    path = fresh_dir(spark, "catalog")
+    templates.save_catalog(templates.mine_templates(rows.filter(early), "tokens", ORDER, PRODUCTION)[1], path)
+    catalog = templates.mine_templates(rows.filter(~early), "tokens", ORDER, PRODUCTION,
+                                       initial=templates.load_catalog(spark, path))[1]
+    return templates.live_templates(catalog).groupBy("shard").agg(F.sum("size").alias("lines"))
+
+
+@query("m12_distinct_lines_match", with_views(_COVERED, doc_lines=DOC_LINES, toks=_DOC_TOKENS))
+def _(spark, sf):
+    rows = stand_ins.doc_tokens(spark, sf, MASK_DELIMITERS)
+    out = templates.mine_templates_distinct(rows, "tokens", ORDER, PRODUCTION)[0]
+    template = F.when(F.col("template") == "", F.array().cast("array<string>")).otherwise(F.split("template", " "))
+    return out.select(*ORDER, F.coalesce(_covered(template, F.col("tokens")), F.lit(False)).alias("covered"))

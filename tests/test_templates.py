@@ -33,19 +33,20 @@ def noise(n, seed=1):
     return out
 
 
-@pytest.mark.parametrize("cfg,chunk", [
-    (MinerConfig(sim_th=0.4, max_clusters=None), 90),
-    (MinerConfig(sim_th=0.6, max_clusters=3, max_children=3), 80),
-    (MinerConfig(sim_th=0.8, max_clusters_per_word=2, engine="jaccard"), 100),
+@pytest.mark.parametrize("cfg,chunk,lead", [
+    (MinerConfig(sim_th=0.4, max_clusters=None), 90, 1),
+    (MinerConfig(sim_th=0.4, max_clusters=None), 40, 3),
+    (MinerConfig(sim_th=0.6, max_clusters=3, max_children=3), 80, 1),
+    (MinerConfig(sim_th=0.8, max_clusters_per_word=2, engine="jaccard"), 100, tp.LEAD),
 ])
-def test_rounds_equal_a_sequential_run(spark, cfg, chunk):
+def test_rounds_equal_a_sequential_run(spark, cfg, chunk, lead):
     lines = noise(100)
     model = Sequential(cfg)
     expected = []
     for i, x in enumerate(lines):
         change, (name, cid), shown = model.add(x)
         expected.append((i, str(name), cid, change, model.sizes[(name, cid)], shown, 1000 + i))
-    got, catalog = tp.mine_templates(frame(spark, lines), "tokens", ["id"], cfg, ts="ts", chunk_tokens=chunk)
+    got, catalog = tp.mine_templates(frame(spark, lines), "tokens", ["id"], cfg, ts="ts", chunk_tokens=chunk, lead=lead)
     rows = sorted((r["id"], r["shard"], r["local_id"], r["change_type"], r["cluster_size"], r["template_mined"],
                    r["latest_ts"]) for r in got.collect())
     assert rows == expected
