@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from faultline.functions.text import MASK_DELIMITERS, tokens_of
 from faultline.operators.mining_core import MinerConfig
 from faultline.plans.q_joins import _WIN, _labelled
+from faultline.operators.templates import mine_templates
+from faultline.plans import stand_ins
+from faultline.plans.q_templates import _DOC_TOKENS
 from faultline.plans.registry import query, table
-from faultline.plans.stand_ins import DEVICE, INCIDENTS, with_views
+from faultline.plans.stand_ins import DEVICE, DOC_LINES, INCIDENTS, with_views
 from faultline.streaming import jobs
 
 
@@ -61,14 +64,28 @@ def _(spark, sf):
     return _naive(jobs.run_available(jobs.stream_label(windows, inc), "r3"), "window_5min_end")
 
 
-@query("r4_stream_mine_templates")
-def _(spark, sf):
+def _document_lines(spark, sf):
     schema = table(spark, sf, "documents").schema
     docs = jobs.stream_incremental_files(spark, sf, schema, "documents.parquet")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "message")).filter("message <> ''")
-    lines = lines.select("doc_id", "line", tokens_of(F.col("message"), MASK_DELIMITERS).alias("tokens"))
-    cfg = MinerConfig()
-    return jobs.run_available(jobs.stream_mine_templates(lines, "tokens", ["doc_id", "line"], cfg), "r4")
+    return lines.select("doc_id", "line", tokens_of(F.col("message"), MASK_DELIMITERS).alias("tokens"))
+
+
+@query("r4_stream_mine_templates")
+def _(spark, sf):
+    out = jobs.stream_mine_templates(_document_lines(spark, sf), "tokens", ["doc_id", "line"], MinerConfig())
+    return out.select("doc_id", "line", "shard", "cluster_id", "change_type", "cluster_size", "template_mined")
+
+
+@query("r4_stream_equals_batch", with_views("SELECT doc_id, line, true AS same FROM toks", doc_lines=DOC_LINES, toks=_DOC_TOKENS))
+def _(spark, sf):
+    """One micro-batch gives every line the cluster, change and template that mining in one run gives it."""
+    order, told = ["doc_id", "line"], ["cluster_id", "change_type", "cluster_size", "template_mined"]
+    stream = jobs.stream_mine_templates(_document_lines(spark, sf), "tokens", order, MinerConfig())
+    batch = mine_templates(stand_ins.doc_tokens(spark, sf, MASK_DELIMITERS), "tokens", order, MinerConfig())[0]
+    both = batch.select(*order, F.struct(*told).alias("_a")).join(
+        stream.select(*order, F.struct(*told).alias("_b")), order, "full")
+    return both.select(*order, F.col("_a").eqNullSafe(F.col("_b")).alias("same"))
 
 
 @query("r5_stream_upsert", """

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from faultline.functions.clock import quoted
-from faultline.operators.mining_core import MinerConfig, Shard
-from faultline.operators.templates import ID_BITS, shard_of
+from faultline.operators.mining_core import MinerConfig
+from faultline.operators.templates import load_catalog, mine_templates, save_catalog
 from faultline.session import fresh_dir
 from faultline.sources.readers import upsert
 
@@ -72,38 +69,28 @@ def stream_label(windows: DataFrame, incidents: DataFrame, key: str = "ip_addres
     return flags.filter((F.col("label") == 1) | (F.col("_hits") == 0)).select(quoted(key), stop.alias(end), "label")
 
 
-def stream_mine_templates(sdf: DataFrame, tokens: str, order_by: Sequence[str],
-                          cfg: MinerConfig = MinerConfig()) -> DataFrame:
-    """M1 on a stream. The state of a token count is its catalogue, bounded by the cluster cap.
+def stream_mine_templates(sdf: DataFrame, tokens: str, order_by: Sequence[str], cfg: MinerConfig = MinerConfig(),
+                          root: str | None = None) -> DataFrame:
+    """M1 on a stream: every micro-batch is mined on from the catalogue that the one before it left.
 
-    Lines of a micro-batch are taken in ``order_by`` order; bound the batch with ``files_per_trigger``.
+    Lines of a micro-batch are taken in ``order_by`` order and spread as in M1, so no token count is one task. Batch n
+    reads catalogue n and writes its lines and catalogue n + 1 into folders of their own; a repeated batch writes the same
+    folders again, and a second run on ``root`` goes on from where the first one stopped. Returns the lines of all batches.
     """
-    keep = [f for f in sdf.schema if f.name in order_by]
-    out_schema = T.StructType([*keep, *T.StructType.fromDDL(
-        "shard string, cluster_id bigint, change_type string, cluster_size bigint, template_mined string")])
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        saved = json.loads(state.get[0]) if state.exists else {"rows": [], "sizes": {}, "pos": 0}
-        shard = Shard(cfg, saved["rows"])
-        sizes = {int(c): n for c, n in saved["sizes"].items()}
-        pos = saved["pos"]
-        batch = pd.concat(list(frames)).sort_values(list(order_by))
-        result = []
-        for text in batch["_text"]:
-            change, cid = shard.add(text.split(" ") if text else [], pos)
-            pos += 1
-            sizes[cid] = sizes.get(cid, 0) + 1
-            result.append((key[0], (int(key[0]) << ID_BITS) + cid, change, sizes[cid], shard.text(cid)))
-        alive = {c: n for c, n in sizes.items() if c in shard.templates}
-        state.update((json.dumps({"rows": list(shard.rows()), "sizes": alive, "pos": pos}),))
-        cols = ["shard", "cluster_id", "change_type", "cluster_size", "template_mined"]
-        found = pd.DataFrame(result, columns=cols, index=batch.index)
-        yield pd.concat([batch[[f.name for f in keep]], found], axis=1)
-
-    t = F.col(quoted(tokens))
-    lines = sdf.select(*map(quoted, order_by), shard_of(t).alias("shard"), F.array_join(t, " ").alias("_text"))
-    return lines.groupBy("shard").applyInPandasWithState(
-        run, out_schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    spark = sdf.sparkSession
+    root = root or fresh_dir(spark, "stream-mining")
+    rows = sdf.select(*map(quoted, order_by), F.col(quoted(tokens)).alias(tokens))
+
+    def apply(batch: DataFrame, number: int) -> None:
+        before = load_catalog(spark, f"{root}/catalogue/{number}") if number else None
+        lines, catalog = mine_templates(batch, tokens, order_by, cfg, initial=before)
+        lines.write.mode("overwrite").parquet(f"{root}/lines/batch={number}")
+        save_catalog(catalog, f"{root}/catalogue/{number + 1}")
+
+    query = (rows.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/marks")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.option("basePath", f"{root}/lines").parquet(f"{root}/lines").drop("batch")
 
 
 def run_available(sdf: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -116,23 +103,59 @@ def run_available(sdf: DataFrame, label: str, mode: str = "append") -> DataFrame
     return spark.read.schema(sdf.schema).parquet(out)
 
 
-def stream_upsert(sdf: DataFrame, base: DataFrame, keys: Sequence[str], seq: str, root: str | None = None) -> DataFrame:
-    """S12 per micro-batch. Each batch writes the next version of the table, named by the batch number.
+BUCKETS = 64
+
+
+def stream_upsert(sdf: DataFrame, base: DataFrame, keys: Sequence[str], seq: str, root: str | None = None,
+                  buckets: int = BUCKETS) -> DataFrame:
+    """S12 per micro-batch on a table cut into ``buckets`` by key.
 
-    A repeated batch starts from the same version and writes the same folder, so a restart on ``root`` does no harm.
+    A batch rewrites the buckets that it touches into a folder of its own; the manifest of the next version, one file of
+    ``buckets`` rows, says which folder holds each bucket. A repeated batch starts from the same manifest and writes the
+    same folders, so a restart on ``root`` does no harm. Folders that the last two manifests do not name are deleted.
     """
     spark = sdf.sparkSession
     root = root or fresh_dir(spark, "upsert")
-    base.write.mode("ignore").parquet(f"{root}/v0")
-    spark.createDataFrame([(0,)], "v bigint").write.mode("ignore").parquet(f"{root}/current")
+    bucket = F.pmod(F.xxhash64(*map(quoted, keys)), F.lit(buckets)).cast("int")
 
-    def apply(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{root}/v{number}")
-        upsert(before, batch, keys, seq).write.mode("overwrite").parquet(f"{root}/v{number + 1}")
-        spark.createDataFrame([(number + 1,)], "v bigint").write.mode("overwrite").parquet(f"{root}/current")
+    def write(df: DataFrame, batch: int) -> None:
+        (df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+         .parquet(f"{root}/data/batch={batch}"))
+
+    def manifest(version: int) -> dict[int, int]:
+        return {r["bucket"]: r["batch"] for r in spark.read.parquet(f"{root}/manifest/v={version}").collect()}
+
+    def put_manifest(held: dict[int, int], version: int) -> None:
+        rows = spark.createDataFrame(sorted(held.items()), "bucket int, batch long").coalesce(1)
+        rows.write.mode("overwrite").parquet(f"{root}/manifest/v={version}")
+
+    def read(held: dict[int, int], wanted: Sequence[int]) -> DataFrame:
+        paths = [f"{root}/data/batch={held[b]}/bucket={b}" for b in wanted if b in held]
+        reader = spark.read.schema(base.schema).option("basePath", f"{root}/data")
+        return reader.parquet(*paths) if paths else spark.createDataFrame([], base.schema)
 
+    def apply(batch: DataFrame, number: int) -> None:
+        held = manifest(number)
+        touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())
+        write(upsert(read(held, touched), batch, keys, seq), number)
+        put_manifest({**held, **dict.fromkeys(touched, number)}, number + 1)
+        if number:
+            for b, old in manifest(number - 1).items():
+                if old != held[b]:
+                    _delete(spark, f"{root}/data/batch={old}/bucket={b}")
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        write(base, -1)
+        put_manifest({r[0]: -1 for r in base.select(bucket).distinct().collect()}, 0)
     query = (sdf.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/marks")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    version = spark.read.parquet(f"{root}/current").agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{root}/v{version}")
+    last = spark.read.parquet(f"{root}/manifest").agg(F.max("v")).first()[0]
+    held = manifest(last)
+    return read(held, sorted(held))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
