@@ -132,7 +132,7 @@ def stream_upsert(sdf: DataFrame, base: DataFrame, keys: Sequence[str], seq: str
     def read(held: dict[int, int], wanted: Sequence[int]) -> DataFrame:
         paths = [f"{root}/data/batch={held[b]}/bucket={b}" for b in wanted if b in held]
         reader = spark.read.schema(base.schema).option("basePath", f"{root}/data")
-        return reader.parquet(*paths) if paths else spark.createDataFrame([], base.schema)
+        return reader.parquet(*paths).select(*map(quoted, base.columns)) if paths else spark.createDataFrame([], base.schema)
 
     def apply(batch: DataFrame, number: int) -> None:
         held = manifest(number)
