@@ -13,20 +13,21 @@ from faultline.functions.clock import quoted
 
 # fixed values: syslog line shapes as (pattern, group of the message); group 1 is the device time.
 # The first shape that matches wins, so their order is part of the result.
-_HEAD = r"^<\d+>(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+"
 SYSLOG_SHAPES = [
-    (_HEAD + r"(\S+)\[(\d+)\]:\s+%([A-Z]+)-(\d+)-([A-Z0-9_]+):\s+(.+)$", 8),
-    (_HEAD + r"(\S+)\[(\d+)\]:\s+%([A-Z]+)-(\d+):\s+(.+)$", 7),
-    (_HEAD + r"(\S+):\s+%([A-Z]+)-(\d+)-([A-Za-z0-9_\-]+):\s+(.+)$", 7),
-    (_HEAD + r"(\S+):\s*%([A-Z]+)-(\d+):\s+(.+)$", 6),
-    (_HEAD + r":\s+%([A-Z]+)-(\d+):\s+(.+)$", 5),
-    (_HEAD + r"(\S+):\s+([A-Z0-9_]+):\s+(.+)$", 5),
+    (r"^<\d+>(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+)\[(\d+)\]:\s+%([A-Z]+)-(\d+)-([A-Z0-9_]+):\s+"
+     r"(.+)$", 8),
+    (r"^<\d+>(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+)\[(\d+)\]:\s+%([A-Z]+)-(\d+):\s+(.+)$", 7),
+    (r"^<\d+>(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+):\s+%([A-Z]+)-(\d+)-([A-Za-z0-9_\-]+):\s+(.+)"
+     r"$", 7),
+    (r"^<\d+>(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+):\s*%([A-Z]+)-(\d+):\s+(.+)$", 6),
+    (r"^<\d+>(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+:\s+%([A-Z]+)-(\d+):\s+(.+)$", 5),
+    (r"^<\d+>(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+):\s+([A-Z0-9_]+):\s+(.+)$", 5),
     (r"^\|?<\d+>\d+:\s+(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2}):\s+%([A-Z_]+)-(\d+)-([A-Z0-9_]+):\s+(.+)$", 5),
-    (_HEAD + r"(last message repeated \d+ times)$", 3),
-    (_HEAD + r"(\S+):\s+(.+)$", 4),
-    (_HEAD + r"(\S+)\[(\d+)\]:\s+([A-Za-z0-9_:\-]+):\s+(.+)$", 6),
-    (_HEAD + r"(\S+)\s+([A-Za-z0-9_\-]+):\s+(.+)$", 5),
-    (_HEAD + r"(\S+)\s+(.+)$", 4),
+    (r"^<\d+>(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(last message repeated \d+ times)$", 3),
+    (r"^<\d+>(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+):\s+(.+)$", 4),
+    (r"^<\d+>(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+)\[(\d+)\]:\s+([A-Za-z0-9_:\-]+):\s+(.+)$", 6),
+    (r"^<\d+>(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+)\s+([A-Za-z0-9_\-]+):\s+(.+)$", 5),
+    (r"^<\d+>(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+)\s+(.+)$", 4),
 ]
 
 # fixed values: clean-up replacements in order
@@ -44,7 +45,6 @@ CLEANUPS = [
 ]
 
 # fixed values: production masking rules (pattern, name) in order
-_H = "[a-fA-F0-9]{1,4}"
 MASK_RULES = [
     (r"\[\d+\]", "<PID>"),
     (r"(?<= command )('[^']+')", "<CMD>"),
@@ -54,10 +54,12 @@ MASK_RULES = [
     (r"seqno:\d+", "<SEQ>"),
     (r"((?<=[^A-Za-z0-9])|^)(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})((?=[^A-Za-z0-9])|$)", "<IPV4>"),
     (r"((?!<:)[A-Za-z0-9]{2,15}-){2,}[A-Za-z0-9]+(?=\s)", "<DEVICE>"),
-    (rf"\b(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,7}}:|::(?:{_H}:){{0,6}}{_H}|(?:{_H}:){{1,6}}:{_H}"
-     rf"|(?:{_H}:){{1,5}}(?::{_H}){{1,2}}|(?:{_H}:){{1,4}}(?::{_H}){{1,3}}|(?:{_H}:){{1,3}}(?::{_H}){{1,4}}"
-     rf"|(?:{_H}:){{1,2}}(?::{_H}){{1,5}}|{_H}:(?::{_H}){{1,6}}|(?:{_H}:){{1,7}}{_H}\/\d{{1,3}}"
-     rf"|(?:{_H}:){{1,6}}:{_H}\/\d{{1,3}}|::(?:{_H}:){{0,5}}{_H}\/\d{{1,3}})(?=\s|,|\/|$)", "<IPv6>"),
+    (r"\b(?:(?:[a-fA-F0-9]{1,4}:){7}[a-fA-F0-9]{1,4}|(?:[a-fA-F0-9]{1,4}:){1,7}:|::(?:[a-fA-F0-9]{1,4}:){0,"
+     r"6}[a-fA-F0-9]{1,4}|(?:[a-fA-F0-9]{1,4}:){1,6}:[a-fA-F0-9]{1,4}|(?:[a-fA-F0-9]{1,4}:){1,5}(?::[a-fA-F"
+     r"0-9]{1,4}){1,2}|(?:[a-fA-F0-9]{1,4}:){1,4}(?::[a-fA-F0-9]{1,4}){1,3}|(?:[a-fA-F0-9]{1,4}:){1,3}(?::["
+     r"a-fA-F0-9]{1,4}){1,4}|(?:[a-fA-F0-9]{1,4}:){1,2}(?::[a-fA-F0-9]{1,4}){1,5}|[a-fA-F0-9]{1,4}:(?::[a-f"
+     r"A-F0-9]{1,4}){1,6}|(?:[a-fA-F0-9]{1,4}:){1,7}[a-fA-F0-9]{1,4}\/\d{1,3}|(?:[a-fA-F0-9]{1,4}:){1,6}:[a"
+     r"-fA-F0-9]{1,4}\/\d{1,3}|::(?:[a-fA-F0-9]{1,4}:){0,5}[a-fA-F0-9]{1,4}\/\d{1,3})(?=\s|,|\/|$)", "<IPv6>"),
     (r"0x[0-9a-fA-F]{8,16}", "<MEMORY_ADD>"),
     (r"(?<=[\s=:])[0-9]\d*\b", "<NUM>"),
     (r"https?://[^\s,\"]+(?=[\s,\"]|$)", "<URL>"),

@@ -211,6 +211,7 @@ def _(spark, sf):
 
 
 # the production rules without look-around, for lines where that makes no difference
+# fixed values: the masking rules for an engine without look-around
 _MASKS_SQL = [
     (r"\[\d+\]", "<<PID>>"), (r"( command )('[^']+')", r"\1<<CMD>>"),
     (r"(?i)( )user\s*(?:([a-zA-Z0-9_\-]+)|=([a-zA-Z0-9_\-]+)|'([^']+)')", r"\1<<USER>>"),

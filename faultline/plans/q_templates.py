@@ -215,6 +215,13 @@ def _(spark, sf):
     return _final(rows, *templates.mine_templates(rows, "tokens", ORDER, PRODUCTION), _covered)
 
 
+@query("m1_many_chunks", with_views(_COVERED, doc_lines=DOC_LINES, toks=_DOC_TOKENS))
+def _(spark, sf):
+    """The same with small chunks, so that shards take several rounds."""
+    rows = stand_ins.doc_tokens(spark, sf, MASK_DELIMITERS)
+    return _final(rows, *templates.mine_templates(rows, "tokens", ORDER, PRODUCTION, chunk_tokens=4000), _covered)
+
+
 @query("m1_catalogue_rules", with_views("""
 SELECT count(*) AS lines, true AS ids_unique, true AS sizes_add_up FROM toks""", doc_lines=DOC_LINES, toks=_DOC_TOKENS))
 def _(spark, sf):

@@ -4,6 +4,7 @@ import pytest
 
 from faultline.operators.mining_core import MinerConfig, Shard, set_score
 
+# fixed values: golden vector
 SSH = """
 Dec 10 07:07:38 LabSZ sshd[24206]: input_userauth_request: invalid user test9 [preauth]
 Dec 10 07:08:28 LabSZ sshd[24208]: input_userauth_request: invalid user webmaster [preauth]
@@ -63,12 +64,13 @@ def test_threshold_75():
 
 
 def test_cluster_cap_of_one():
+    # fixed values: golden vector
     _model, got = feed(MinerConfig(sim_th=0.4, max_clusters=1), [
         "A format 1", "A format 2", "B format 1", "B format 2", "A format 3"])
     assert got == ["A format 1", "A format <*>", "B format 1", "B format <*>", "A format 3"]
 
 
-@pytest.mark.parametrize("lines,expected", [
+@pytest.mark.parametrize("lines,expected", [  # fixed values: golden vectors
     (["A A A", "A A B", "B A A", "B A B", "C A A", "C A B", "B A A", "A A A"],
      ["A A A", "A A *", "B A A", "B A *", "C A A", "C A *", "B A *", "A A A"]),
     (["A A A", "A A B", "A B A", "A B B", "A C A", "A C B", "A B A", "A A A"],

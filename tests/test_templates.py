@@ -74,6 +74,7 @@ def matched(spark, catalog, lines, strategy, cfg):
 
 
 def test_match_only(spark):
+    # fixed values: golden vectors
     cfg = MinerConfig(sim_th=0.4, max_clusters=None)
     catalog = tp.mine_templates(frame(spark, ["aa aa aa", "aa aa bb", "aa aa cc", "xx yy zz"]), "tokens", ["id"], cfg)[1].cache()
     for strategy in ("never", "fallback", "always"):
@@ -83,6 +84,7 @@ def test_match_only(spark):
 
 @pytest.mark.parametrize("numeric,never", [(True, False), (False, True)])
 def test_match_strategies(spark, numeric, never):
+    # fixed values: golden vectors
     cfg = MinerConfig(sim_th=0.4, max_clusters=None, parametrize_numeric=numeric)
     lines = ["training4Model start", "loadModel start", "loadModel stop", "this is a test"]
     catalog = tp.mine_templates(frame(spark, lines), "tokens", ["id"], cfg)[1].cache()
@@ -118,6 +120,7 @@ def test_matching_equals_the_tree_walk(spark):
 
 
 def test_jaccard_unequal_lengths(spark):
+    # fixed values: golden vectors
     cfg = MinerConfig(sim_th=0.4, max_clusters=None, engine="jaccard")
     lines = ["check pass; user unknown", "check pass; user Lisa", "check pass; user li Sa",
              "session opened for user cyrus by (uid=0)", "session closed for user cyrus"]
