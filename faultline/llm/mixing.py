@@ -1,15 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Documents are counted into cells (source, language, topic). A document of a cell is kept with probability
-``budget * f_source * f_lang * f_topic``; the factors are raked until the expected tokens meet the targets of all three
-marginals. Cells and factors stay in Spark: a step is a partial aggregation over the cells, and the factor tables, one row
-per category, are written to the shared folder to cut lineage.
+``budget`` times its factor; the factors are raked until the expected tokens meet the targets of all three marginals. Cells
+stay in Spark: a step is a partial aggregation over the cells and a join with its sums, one row per category, and after each
+round the cells are written to the shared folder to cut lineage.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.llm.common import SPACE_CLASS
@@ -39,10 +37,6 @@ def described(docs: DataFrame) -> DataFrame:
     return rows.withColumn("topic", topic)
 
 
-def _product(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a * b, columns)
-
-
 def targets_of(cells: DataFrame, name: str, target: float | dict[str, float]) -> DataFrame:
     """``name, target``: shares that add up to 1 over the categories that hold tokens."""
     found = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("t"))
@@ -65,20 +59,16 @@ def targets_of(cells: DataFrame, name: str, target: float | dict[str, float]) ->
 
 def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], iterations: int = ITERATIONS) -> DataFrame:
     """``source, lang, topic, factor`` of every cell; ``cells`` has ``tokens`` and is settled."""
-    goal = {d: settle(targets_of(cells, d, targets[d])) for d in DIMENSIONS}
-    factor = {d: goal[d].select(d, F.lit(1.0).alias(f"f_{d}")) for d in DIMENSIONS}
+    for d in DIMENSIONS:
+        cells = cells.join(targets_of(cells, d, targets[d]).withColumnRenamed("target", f"t_{d}"), d)
+    cells = settle(cells.withColumn("factor", F.lit(1.0)))
     for _ in range(iterations):
         for d in DIMENSIONS:
-            others = [x for x in DIMENSIONS if x != d]
-            weighed = cells
-            for x in others:
-                weighed = weighed.join(factor[x], x)
-            now = weighed.groupBy(d).agg(F.sum(_product([F.col("tokens"), *[F.col(f"f_{x}") for x in others]])).alias("now"))
-            new = F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0)
-            factor[d] = settle(goal[d].join(now, d).select(d, new.alias(f"f_{d}")))
-    for d in DIMENSIONS:
-        cells = cells.join(factor[d], d)
-    return cells.select(*DIMENSIONS, _product([F.col(f"f_{d}") for d in DIMENSIONS]).alias("factor"))
+            now = cells.groupBy(d).agg(F.sum(F.col("tokens") * F.col("factor")).alias("now"))
+            scaled = F.when(F.col("now") > 0, F.col("factor") * F.col(f"t_{d}") / F.col("now")).otherwise(0.0)
+            cells = cells.join(now, d).withColumn("factor", scaled).drop("now")
+        cells = settle(cells)
+    return cells.select(*DIMENSIONS, "factor")
 
 
 def mix(docs: DataFrame, targets: dict[str, float | dict[str, float]] = TARGETS, budget: float = BUDGET,

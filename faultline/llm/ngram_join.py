@@ -1,15 +1,15 @@
 """Self-join of documents on the Jaccard similarity of their word n-grams, by T-occurrence search.
 
 A set of n shingles that reaches the threshold with another shares at least ``need(n)`` shingles with it, so in any fixed
-order of shingles both have one in common among their first ``n - need(n) + 1``. The order puts the most frequent shingles
+order of shingles both have k in common among their first ``n - need(n) + k``. The order puts the most frequent shingles
 last (the long inverted lists are left out first, as in DivideSkip); it decides costs only, never results.
 
 1. Count frequent shingles over all documents (each task reports what it meets repeatedly; the ``FREQUENT`` highest sums
    are kept, a fixed bound).
 2. Per document: class (digest of the set; equal sets are one class), parity sketch, leading shingles.
-3. Inverted lists of the leading shingles, those with two classes or more. Within a list, pairs that neither the sizes nor
-   the sketches rule out are joined into groups; a list hands on one edge per class, never its pairs. Long lists are cut
-   into blocks, and every two blocks meet.
+3. Inverted lists of the leading shingles, those with two classes or more; a class that is in too few of them for any link
+   leaves them. Within a list, pairs that neither the sizes nor the sketches rule out are joined into groups; a list hands
+   on one edge per class, never its pairs. Long lists are cut into blocks, and every two blocks meet.
 4. Connected components of these edges hold all links. In each, an inverted index over the full sets answers, for every
    class, which others share enough: short lists are merged and counted, long ones probed by binary search. Classes
    already connected are not asked for again. Large components are cut into blocks, and every two blocks meet.
@@ -38,7 +38,12 @@ COUNTED = 1 << 22
 #: Classes of a list, and shingles of a component, that one task looks at against as many.
 LIST_BLOCK = 2048
 INDEX_BLOCK = 1 << 21
-SKETCH_WORDS = 16
+#: Words of the parity sketch of small and of large sets, and where large begins.
+SMALL_SKETCH, LARGE_SKETCH, LARGE_SET = 8, 16, 512
+#: Leading shingles beyond the first that are asked for, in percent of the set.
+LEAD_PERCENT = 5
+#: Bits of the filter of documents whose sets are wanted; a fixed bound on what is broadcast.
+FILTER_BITS = 1 << 22
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 
@@ -70,6 +75,11 @@ def shingle_sets(texts: pa.Array, known: WordNames, words: int) -> tuple[np.ndar
     return out[keep], np.bincount(text[keep], minlength=len(counts))
 
 
+def in_common(n: np.ndarray) -> np.ndarray:
+    """Leading shingles, beyond the first, that sets of ``n`` or more are sure to share with a set they link with."""
+    return n * LEAD_PERCENT // 100
+
+
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     ends = np.cumsum(counts)
@@ -78,7 +88,7 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def sketches(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Rows of parities: sets that differ in k shingles differ in at most k bits."""
-    bits = SKETCH_WORDS * 64
+    bits = LARGE_SKETCH * 64
     text = np.repeat(np.arange(len(counts)), counts)
     at = text * bits + (mix(shingles + _U(3)) >> _U(64 - bits.bit_length() + 1)).astype(np.int64)
     odd = (np.bincount(at, minlength=len(counts) * bits) & 1).astype(np.uint8)
@@ -121,7 +131,7 @@ def describe(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
     values, frequency = frequent
 
     def row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordNames()
+        known, led = WordNames(), set()
         for batch in slices(batches, "text"):
             shingles, n = shingle_sets(batch.column("text"), known, words)
             text = np.repeat(np.arange(len(n)), n)
@@ -131,12 +141,18 @@ def describe(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
                 rank = np.where(values[at] == shingles, frequency[at], 0)
             order = np.lexsort((shingles, rank, text))
             place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
-            lead_n = np.where(n > 0, n - need(n, percent) + 1, 0)
+            digest = digests(shingles, n)
+            lead_n = np.where(n > 0, n - need(n, percent) + 1 + in_common(n), 0)
+            for i, d in enumerate(digest.tolist()):  # copies met by one task lead once
+                if d in led:
+                    lead_n[i] = 0
+                led.add(d)
             lead = shingles[order][place < np.repeat(lead_n, n)]
-            sketch = sketches(shingles, n)
+            sketch = [x.tobytes() if large else (x[:SMALL_SKETCH * 8] ^ x[SMALL_SKETCH * 8:]).tobytes()
+                      for x, large in zip(sketches(shingles, n), n > LARGE_SET)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(digests(shingles, n), mask=n == 0), pa.array(n.astype(np.int64)),
-                 pa.array([x.tobytes() for x in sketch], pa.binary()),
+                [batch.column("doc_id"), pa.array(digest, mask=n == 0), pa.array(n.astype(np.int64)),
+                 pa.array(sketch, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lead_n)]).astype(np.int32)),
                                           pa.array(lead.view(np.int64)))], names=["doc_id", "set_id", "n", "sketch", "lead"])
 
@@ -152,16 +168,21 @@ def in_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Recor
         keys = batch.column(column).to_numpy()
         cut = int(np.searchsorted(keys, keys[-1]))
         if cut or (held and held[-1].column(column)[-1].as_py() != keys[0]):
-            held.append(batch.slice(0, cut))
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            if cut:
+                held.append(batch.slice(0, cut))
+            yield _joined(held)
             held = []
         held.append(batch.slice(cut))
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def shared_lists(rows: DataFrame) -> DataFrame:
-    """``g, set_id, size``: inverted lists of the leading shingles with two classes or more, and their lengths."""
+def shared_lists(leads: DataFrame) -> DataFrame:
+    """``g, set_id, size``: the inverted lists in ``leads`` (``g, set_id``) with two classes or more, and their lengths."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_runs(batches, "g"):
@@ -176,10 +197,17 @@ def shared_lists(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(g[many]), pa.array(s[many]), pa.array(size[many])],
                                              names=["g", "set_id", "size"])
 
-    leads = rows.select(F.explode("lead").alias("g"), "set_id")
     return leads.repartition("g").sortWithinPartitions("g", "set_id").mapInArrow(shared, "g long, set_id long, size long")
 
 
+def likely_lists(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``lists`` without the classes that are in fewer of them than any link takes."""
+    partner = F.ceil(F.col("n") * percent / 100)
+    enough = lists.groupBy("set_id").agg(F.count(F.lit(1)).alias("shared")).join(classes.select("set_id", "n"), "set_id").filter(
+        F.col("shared") > F.floor(partner * LEAD_PERCENT / 100)).select("set_id")
+    return shared_lists(lists.select("g", "set_id").join(enough, "set_id", "left_semi"))
+
+
 def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (index of the smallest member) after joining the groups of ``a`` and ``b``, pair by pair."""
     while len(a):
@@ -199,7 +227,17 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def possible_groups(key: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+def _sketch_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sketches in the small form, in the large form where they have one, whether they do)"""
+    raw = column.to_pylist()
+    large = np.array([len(x) == LARGE_SKETCH * 8 for x in raw], bool)
+    pad = bytes((LARGE_SKETCH - SMALL_SKETCH) * 8)
+    full = np.frombuffer(b"".join(x if len(x) == LARGE_SKETCH * 8 else x + pad for x in raw), _U).reshape(-1, LARGE_SKETCH)
+    return full[:, :SMALL_SKETCH] ^ full[:, SMALL_SKETCH:], full, large
+
+
+def possible_groups(key: np.ndarray, n: np.ndarray, small: np.ndarray, large: np.ndarray, is_large: np.ndarray,
+                    percent: int) -> np.ndarray:
     """Per row the first row of its group: rows of one key are joined where sizes and sketches allow a link."""
     label = np.arange(len(key))
     row = np.arange(len(key))
@@ -210,12 +248,11 @@ def possible_groups(key: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent:
         if not len(row):
             return label
         a, b = row, row + step
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
-        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        fits = large * percent <= small * 100
+        fits = (label[a] != label[b]) & (np.maximum(n[a], n[b]) * percent <= np.minimum(n[a], n[b]) * 100)
         a, b = a[fits], b[fits]
-        differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+        differ = np.bitwise_count(small[a] ^ small[b]).sum(axis=1, dtype=np.int64)
+        both = is_large[a] & is_large[b]
+        differ[both] = np.bitwise_count(large[a[both]] ^ large[b[both]]).sum(axis=1, dtype=np.int64)
         close = differ * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
         label = merge_labels(label, a[close], b[close])
         step += 1
@@ -232,9 +269,9 @@ def possible_edges(lists: DataFrame, classes: DataFrame, percent: int) -> DataFr
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_runs(batches, "k"):
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), _U).reshape(-1, SKETCH_WORDS)
             ids = batch.column("set_id").to_numpy()
-            label = possible_groups(batch.column("k").to_numpy(), batch.column("n").to_numpy(), sketch, percent)
+            label = possible_groups(batch.column("k").to_numpy(), batch.column("n").to_numpy(),
+                                    *_sketch_arrays(batch.column("sketch")), percent)
             moved = np.flatnonzero(label != np.arange(len(label)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["u", "v"])
 
@@ -299,24 +336,30 @@ def exact_edges(docs: DataFrame, members: DataFrame, words: int, percent: int, e
 
     Enough links to connect what is connected, or with ``every`` all of them.
     """
-    sizes = members.groupBy("root").agg(F.sum("n").alias("total"))
-    blocks = F.ceil(F.col("total") / INDEX_BLOCK).cast("int")
-    members = (members.join(sizes, "root").withColumn("blocks", blocks)
-               .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")))
-    texts = docs.join(members, "doc_id").select("text", "set_id", "root", "own", "blocks")
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    spots = members.select(spot.cast("int").alias("i")).distinct().toArrow()["i"].to_numpy()
+    wanted = np.zeros(FILTER_BITS, bool)
+    wanted[spots] = True
+    wanted = np.packbits(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordNames()
-        for batch in slices(batches, "text"):
-            shingles, n = shingle_sets(batch.column("text"), known, words)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            made = pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("set_id", "root", "own", "blocks")),
-                 pa.ListArray.from_arrays(offsets, pa.array(shingles.view(np.int64)))],
-                names=["set_id", "root", "own", "blocks", "shingles"])
-            yield made.filter(pa.array(digests(shingles, n) == batch.column("set_id").to_numpy()))  # an id may repeat
-
-    rows = texts.mapInArrow(sets, "set_id long, root long, own int, blocks int, shingles array<long>")
+        known, marked = WordNames(), np.unpackbits(wanted).astype(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(marked[batch.column("spot").to_numpy()]))
+            for part in slices([batch], "text"):
+                shingles, n = shingle_sets(part.column("text"), known, words)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(digests(shingles, n)),
+                     pa.ListArray.from_arrays(offsets, pa.array(shingles.view(np.int64)))],
+                    names=["doc_id", "set_id", "shingles"])
+
+    made = docs.select("doc_id", spot.cast("int").alias("spot"), "text").mapInArrow(
+        sets, "doc_id long, set_id long, shingles array<long>")
+    sizes = members.groupBy("root").agg(F.sum("n").alias("total"))
+    members = (members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("total") / INDEX_BLOCK).cast("int"))
+               .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")))
+    rows = made.join(members.select("doc_id", "set_id", "root", "own", "blocks"), ["doc_id", "set_id"])
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "set_id", "own", "shingles", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("k"))
 
@@ -358,12 +401,15 @@ def _described(docs: DataFrame, id_column: str, text_column: str, words: int, pe
 
 def _links(rows: DataFrame, found: DataFrame, words: int, percent: int, every: bool = False) -> DataFrame:
     spark = rows.sparkSession
-    firsts = found.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    classes = found.join(firsts, ["set_id", "doc_id"], "left_semi")
-    lists = fresh_dir(spark, "shared-lists")
-    shared_lists(classes).write.parquet(lists)
-    classes = classes.select("set_id", "doc_id", "n", "sketch")
-    roots = components(possible_edges(spark.read.parquet(lists), classes, percent))
+    sets = found.filter("set_id IS NOT NULL")
+    classes = sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    leads = sets.filter(F.size("lead") > 0).select(F.explode("lead").alias("g"), "set_id")
+    path = fresh_dir(spark, "shared-lists")
+    shared_lists(leads).write.parquet(path)
+    lists = likely_lists(spark.read.parquet(path), classes, percent)
+    path = fresh_dir(spark, "likely-lists")
+    lists.write.parquet(path)
+    roots = components(possible_edges(likely_lists(spark.read.parquet(path), classes, percent), classes, percent))
     roots = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
     members = roots.select(F.col("node").alias("set_id"), "root").join(classes.select("set_id", "doc_id", "n"), "set_id")
     return exact_edges(rows, members, words, percent, every)

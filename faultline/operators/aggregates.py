@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.clock import quoted
-from faultline.operators.order import global_rank
+from faultline.operators.order import running_sums
 
 
 def last_row_per_window(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = ()) -> DataFrame:
@@ -135,24 +135,29 @@ def keep_active(df: DataFrame, active: DataFrame, ip: str, ts: str) -> DataFrame
 def describe_values(df: DataFrame, col: str, tie: Sequence[str], bins: int = 50) -> tuple[DataFrame, DataFrame]:
     """(summary row, density histogram) of a value column.
 
-    Quartiles interpolate between exact ranks, so no task holds all distinct values.
+    Quartiles interpolate between exact ranks, found by running counts over the distinct values; ``tie`` is not needed any
+    more and kept for callers.
     """
-    v = df.select(F.col(quoted(col)).cast("double").alias("v"), *map(quoted, tie)).filter(F.col("v").isNotNull())
-    ranked = global_rank(v, ["v", *tie], name="_r")
-    basic = ranked.agg(F.count("*").alias("n"), F.sum(F.abs("v")).alias("l1_norm"), F.min("v").alias("min"),
-                       F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    v = df.select(F.col(quoted(col)).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    basic = v.agg(F.count("*").alias("n"), F.sum(F.abs("v")).alias("l1_norm"), F.min("v").alias("min"),
+                  F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
     marks = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    joined = ranked.crossJoin(F.broadcast(basic.select("n")))  # one-row side
+    counts = running_sums(v.groupBy("v").agg(F.count("*").alias("_c")), ["v"], {"_upto": "_c"})
+    joined = counts.crossJoin(F.broadcast(basic.select("n")))  # one-row side
     picks = []
+
+    def holds(rank: Column) -> Column:
+        return (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
+
     for name, p in marks.items():
         at = (F.col("n") - 1) * F.lit(p)
         lo, frac = F.floor(at), at - F.floor(at)
-        weight = F.when(F.col("_r") == lo, 1 - frac).when(F.col("_r") == lo + 1, frac)
-        picks.append(F.sum(F.col("v") * weight).alias(name))
+        weight = F.when(holds(lo), 1 - frac).otherwise(0.0) + F.when(holds(lo + 1), frac).otherwise(0.0)
+        picks.append(F.sum(F.when(weight > 0, F.col("v") * weight)).alias(name))
     summary = basic.crossJoin(F.broadcast(joined.agg(*picks)))  # two one-row sides
     width = (F.col("max") - F.col("min")) / bins
     slot = F.least(F.floor((F.col("v") - F.col("min")) / F.col("_w")), F.lit(bins - 1))
-    hist = (ranked.crossJoin(F.broadcast(basic.select("n", "min", "max").withColumn("_w", width)))
+    hist = (v.crossJoin(F.broadcast(basic.select("n", "min", "max").withColumn("_w", width)))
             .withColumn("bin", F.when(F.col("_w") > 0, slot).otherwise(F.lit(0)).cast("int"))
             .groupBy("bin", "n", "min", "_w").agg(F.count("*").alias("obs"))
             .select("bin", "obs", (F.col("min") + F.col("bin") * F.col("_w")).alias("left_edge"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.clock import quoted
-from faultline.operators.order import global_rank
+from faultline.operators.order import global_rank, running_sums
 
 # fixed values: device states that count as up
 UP_STATES = (2, 7)
@@ -87,8 +87,17 @@ def ratio_split(df: DataFrame, col: str, ratio: float = 0.7, tie: str | None = N
     if at is not None:
         cut = F.lit(at).cast(df.schema[col].dataType)
         return df.filter(F.col(quoted(col)) < cut), df.filter(F.col(quoted(col)) >= cut)
-    ranked = global_rank(df, [col, *([tie] if tie else [])], name="_r")
     head = int(df.count() * ratio)
+    keys = [col, *([tie] if tie else [])]
+    # the last row of the head by its keys alone; rows are ranked only if it shares them with a row of the rest
+    upto = running_sums(df.groupBy(*map(quoted, keys)).agg(F.count("*").alias("_n")), keys, {"_upto": "_n"})
+    last = upto.filter((F.col("_upto") >= head) & (F.col("_upto") - F.col("_n") < head)).first()
+    if last and last["_upto"] == head and all(last[k] is not None for k in keys):
+        t, edge = F.col(quoted(col)), F.lit(last[col]).cast(df.schema[col].dataType)
+        inside = t.isNull() | (t < edge) | ((t == edge) & (F.coalesce(F.col(quoted(tie)) <= F.lit(last[tie]), F.lit(True))
+                                                           if tie else F.lit(True)))
+        return df.filter(inside), df.filter(~inside)
+    ranked = global_rank(df, keys, name="_r")
     return ranked.filter(F.col("_r") < head).drop("_r"), ranked.filter(F.col("_r") >= head).drop("_r")
 
 

@@ -17,17 +17,14 @@ def as_col(key: str | Column) -> Column:
     return F.col(quoted(key)) if isinstance(key, str) else key
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def laid_out(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = ()) -> DataFrame:
     """Range-partition and sort by (by, order), then fix ``_part`` and ``_at`` on shared storage.
 
-    The written copy makes every later read see the same partition bounds and row numbers.
+    The written copy makes every later read see the same partition bounds and row numbers. Small ranges are put together
+    by their size.
     """
     keys = [*[F.col(quoted(b)) for b in by], *[as_col(o) for o in order]]
-    numbered = (df.repartitionByRange(_partitions(df), *keys).sortWithinPartitions(*keys)
+    numbered = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
                 .withColumn("_at", F.monotonically_increasing_id()))
     return settle(numbered.withColumn("_part", F.shiftright("_at", ROWS_BITS)))
 
