@@ -3,8 +3,7 @@
 Frames look back a fixed number of seconds, so time is cut into slices with a halo (:func:`with_halo`) and each
 slice is one window partition: a device that holds a third of all rows still spreads over the cluster. Numbers are first added up per second on the map
 side, so a slice has at most one row per second however busy the device is. A sum over a moving frame is the difference of
-two sums from the start of the slice, which grow row by row: the work is linear in the rows, however long the frame. Only
-:func:`state_mode` looks at its frames row by row.
+two sums from the start of the slice, which grow row by row: the work is linear in the rows, however long the frame.
 """
 
 from __future__ import annotations
@@ -57,8 +56,19 @@ def rolling_per_second(df: DataFrame, metrics: Sequence[str], spans: Sequence[in
                             | {f"_p{i}": F.last(f"_hi{i}", True).over(earlier) for i in many}
                             | {f"_f{i}": F.first(f"_lo{i}", True).over(later) for i in many})
     secs = secs.withColumns({f"_d{i}": F.col(f"_n{i}") * (F.col(f"_m{i}") - F.col(f"_c{i}")) for i in many})
+    sums: dict[str, Column] = {}  # every running sum once, however many spans use it
     parts: dict[str, Column] = {}
     new: dict[str, Column] = {}
+
+    def upto(name: str, total: Column, hi: int) -> Column:
+        column = f"_u{name}{-hi}"
+        if column not in sums:
+            sums[column] = _upto(total, keys, sec, hi)
+        return F.col(column)
+
+    def moving(name: str, total: Column, lo: int, hi: int = 0) -> Column:
+        return upto(name, total, hi) - upto(name, total, lo - 1)
+
     for i, m in enumerate(metrics):
         square = F.col(f"_v{i}") + F.col(f"_d{i}") * (F.col(f"_m{i}") - F.col(f"_c{i}"))
         n_, d_ = F.col(f"_n{i}"), F.coalesce(F.col(f"_d{i}"), F.lit(0.0))
@@ -72,11 +82,11 @@ def rolling_per_second(df: DataFrame, metrics: Sequence[str], spans: Sequence[in
         ends, begins = flag(F.col(f"_p{i}") != F.col(f"_lo{i}")), flag(F.col(f"_f{i}") != F.col(f"_hi{i}"))
         for w in spans:
             tag = f"{i}_{w}"
-            uneven = _moving(mixed, keys, sec, -w) + F.greatest(
-                _upto(ends, keys, sec, 0) - _upto(begins, keys, sec, -w - 1), F.lit(0))
-            parts |= {f"_N{tag}": _moving(n_, keys, sec, -w), f"_S{tag}": _moving(d_, keys, sec, -w),
-                      f"_Q{tag}": _moving(F.coalesce(square, F.lit(0.0)), keys, sec, -w), f"_E{tag}": uneven == 0,
-                      f"_B{tag}": _moving(n_, keys, sec, -2 * w, -w), f"_T{tag}": _moving(d_, keys, sec, -2 * w, -w)}
+            uneven = moving(f"x{i}_", mixed, -w) + F.greatest(
+                upto(f"e{i}_", ends, 0) - upto(f"b{i}_", begins, -w - 1), F.lit(0))
+            parts |= {f"_N{tag}": moving(f"n{i}_", n_, -w), f"_S{tag}": moving(f"d{i}_", d_, -w),
+                      f"_Q{tag}": moving(f"q{i}_", F.coalesce(square, F.lit(0.0)), -w), f"_E{tag}": uneven == 0,
+                      f"_B{tag}": moving(f"n{i}_", n_, -2 * w, -w), f"_T{tag}": moving(f"d{i}_", d_, -2 * w, -w)}
             n, s = F.col(f"_N{tag}"), F.col(f"_S{tag}")
             mean = F.col(f"_c{i}") + F.try_divide(s, n)
             past = F.col(f"_c{i}") + F.try_divide(F.col(f"_T{tag}"), F.col(f"_B{tag}"))
@@ -84,7 +94,7 @@ def rolling_per_second(df: DataFrame, metrics: Sequence[str], spans: Sequence[in
             new[f"{m}_avg_{w}"] = mean
             new[f"{m}_std_{w}"] = F.when(n < 2, None).when(F.col(f"_E{tag}"), F.lit(0.0)).otherwise(spread)
             new[f"{m}_pct_change_{w}"] = F.try_divide(mean - past, past)
-    out = secs.withColumns(parts).filter("_own")
+    out = secs.withColumns(sums).withColumns(parts).filter("_own")
     return out.select(*map(quoted, keys), sec, *[c.alias(n) for n, c in new.items()])
 
 
@@ -143,15 +153,40 @@ def priority_ratio(df: DataFrame, pri: str = "priority_score", span: int = 900,
     return df.join(priority_ratio_per_second(df, pri, span, keys, sec), [*keys, sec], "left").drop(pri)
 
 
+MAX_STATES = 8  # of a column, for running counts
+
+
+def _states(df: DataFrame, cols: Sequence[str]) -> dict[str, list] | None:
+    """The distinct states of each column in order, found in one job; None when there are more than running counts suit."""
+    cells = [F.struct(F.lit(i).alias("i"), F.col(quoted(c)).alias("s")) for i, c in enumerate(cols)]
+    types = {df.schema[c].dataType.simpleString() for c in cols}
+    if not cols or len(types) > 1:
+        return None
+    rows = (df.select(F.explode(F.array(*cells)).alias("c")).select("c.i", "c.s").filter("s IS NOT NULL").distinct()
+            .limit(MAX_STATES * len(cols) + 1).collect())
+    found = {c: sorted(r["s"] for r in rows if r["i"] == i) for i, c in enumerate(cols)}
+    fits = len(rows) <= MAX_STATES * len(cols) and all(len(v) <= MAX_STATES for v in found.values())
+    return found if fits else None
+
+
 def state_mode(df: DataFrame, cols: Sequence[str], keys: Sequence[str], sec: str = "t_secs", span: int = 1800) -> DataFrame:
     """Most frequent state in [t-w, t] and in [t-2w, t-w]; the lowest value wins a tie.
 
-    Meant for the pivoted polls, which are one row per device and poll time.
+    Meant for the pivoted polls, which are one row per device and poll time. States are few: each is counted by running
+    sums. Columns with more than ``MAX_STATES`` are counted frame by frame, with the same result.
     """
     wide = with_halo(df, F.col(sec), 2 * span)
     m = span // 60
-    new = {}
+    states, new = _states(df, cols), {}
     for c in cols:
-        new[f"{c}_mode_last_{m}min"] = F.mode(F.col(quoted(c)), True).over(_range(keys, sec, -span))
-        new[f"{c}_mode_2nd_last_{m}min"] = F.mode(F.col(quoted(c)), True).over(_range(keys, sec, -2 * span, -span))
+        for label, lo, hi in (("last", -span, 0), ("2nd_last", -2 * span, -span)):
+            name = f"{c}_mode_{label}_{m}min"
+            if states is None:
+                new[name] = F.mode(F.col(quoted(c)), True).over(_range(keys, sec, lo, hi))
+                continue
+            kind = df.schema[c].dataType
+            counts = [F.struct(_moving(F.coalesce((F.col(quoted(c)) == F.lit(v).cast(kind)).cast("int"), F.lit(0)), keys, sec, lo, hi)
+                               .alias("n"), F.lit(-i).alias("o"), F.lit(v).cast(kind).alias("v")) for i, v in enumerate(states[c])]
+            best = F.array_max(F.array(*counts)) if counts else None
+            new[name] = F.lit(None).cast(kind) if best is None else F.when(best["n"] > 0, best["v"])
     return wide.withColumns(new).filter("_own").drop("_slice", "_own")

@@ -106,3 +106,15 @@ def test_text_vectors_equal_the_weights(spark):
     rows = ft.sparse_text(df, "id", "t", vocab, 4).select("id", vector_to_array("text_vec").alias("v")).collect()
     got = {(r.id, i): x for r in rows for i, x in enumerate(r.v) if x}
     assert got.keys() == cells.keys() and all(math.isclose(got[k], cells[k], rel_tol=1e-12) for k in got) and len(rows) == 4
+
+
+def test_running_modes_equal_frames(spark, monkeypatch):
+    rows = [("d", t, None if t % 13 == 0 else "abc"[t * t // 7 % 3]) for t in range(0, 600, 4)]
+    df = spark.createDataFrame(rows, "ip string, t_secs long, s string")
+
+    def run():
+        return sorted(map(tuple, rolling.state_mode(df, ["s"], ["ip"], span=60).drop("s").collect()), key=str)
+
+    counted = run()
+    monkeypatch.setattr(rolling, "MAX_STATES", 1)
+    assert run() == counted and len(counted) == len(rows)
