@@ -32,9 +32,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = "near_duplicates_key"
     made = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made))
-    found = ngram_join.near_duplicates(keyed.select(key, "text"), id_column=key)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    path = fresh_dir(spark, "near-duplicates")
+    ngram_join.near_duplicates(keyed.select(key, "text"), id_column=key).write.parquet(path)
+    found = spark.read.parquet(path).groupBy(F.col("doc_id").alias(key)).agg(
+        F.min("component_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    # only rows that may have to go, or that may repeat, are moved; all others stay where they are
+    bits = ngram_join.id_filter(found.filter(f"first <> {key} OR rows > 1"), key)
+    doubtful = ngram_join.passes(key, bits)
+    kept = found.filter(f"first = {key}").select(key)
+    moved = keyed.filter(doubtful).join(kept, key, "left_semi").dropDuplicates([key])
+    return keyed.filter(~doubtful).unionByName(moved).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

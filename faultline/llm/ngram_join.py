@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.llm.common import WordNames, mix, pair_name, slices, split_words
 from faultline.llm.components import components
@@ -37,7 +37,7 @@ FREQUENT = 1 << 17
 COUNTED = 1 << 22
 #: Classes of a list, and shingles of a component, that one task looks at against as many.
 LIST_BLOCK = 2048
-INDEX_BLOCK = 1 << 21
+INDEX_BLOCK = 1 << 20
 #: Words of the parity sketch of small and of large sets, and where large begins.
 SMALL_SKETCH, LARGE_SKETCH, LARGE_SET = 8, 16, 512
 #: Leading shingles beyond the first that are asked for, in percent of the set.
@@ -286,11 +286,11 @@ class Index:
         self.sets, self.percent = sets, percent
         self.n = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(sets)), self.n)
         order = np.argsort(flat, kind="stable")
-        self.owner = owner[order]
-        self.terms, starts = np.unique(flat[order], return_index=True)
-        self.starts = np.append(starts, len(flat))
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)[order]
+        flat = flat[order]
+        self.starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]])) if len(flat) else np.zeros(1, np.int64)
+        self.terms = flat[self.starts[:-1]]
 
     def ask(self, i: int, wanted: np.ndarray) -> np.ndarray:
         """The sets among ``wanted`` (a mask) that link with set ``i``."""
@@ -331,16 +331,34 @@ def exact_labels(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
     return label
 
 
+def _spot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A filter of ``FILTER_BITS`` bits that lets all of ``ids`` pass, and few others while they are few; packed."""
+    marked = np.zeros(FILTER_BITS, bool)
+    marked[ids.select(_spot(column).alias("i")).distinct().toArrow()["i"].to_numpy()] = True
+    return np.packbits(marked)
+
+
+def passes(column: str, bits: np.ndarray) -> Column:
+    """Does the value pass a filter of :func:`id_filter`?"""
+
+    @F.arrow_udf("boolean")
+    def check(spots: pa.Array) -> pa.Array:
+        at = spots.to_numpy(zero_copy_only=False)
+        return pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+
+    return check(_spot(column))
+
+
 def exact_edges(docs: DataFrame, members: DataFrame, words: int, percent: int, every: bool = False) -> DataFrame:
     """``u, v``: linked classes. ``members`` has ``doc_id`` of one document for each class, ``set_id, n, root``.
 
     Enough links to connect what is connected, or with ``every`` all of them.
     """
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    spots = members.select(spot.cast("int").alias("i")).distinct().toArrow()["i"].to_numpy()
-    wanted = np.zeros(FILTER_BITS, bool)
-    wanted[spots] = True
-    wanted = np.packbits(wanted)
+    wanted = id_filter(members, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, marked = WordNames(), np.unpackbits(wanted).astype(bool)
@@ -354,7 +372,7 @@ def exact_edges(docs: DataFrame, members: DataFrame, words: int, percent: int, e
                      pa.ListArray.from_arrays(offsets, pa.array(shingles.view(np.int64)))],
                     names=["doc_id", "set_id", "shingles"])
 
-    made = docs.select("doc_id", spot.cast("int").alias("spot"), "text").mapInArrow(
+    made = docs.select("doc_id", _spot("doc_id").alias("spot"), "text").mapInArrow(
         sets, "doc_id long, set_id long, shingles array<long>")
     sizes = members.groupBy("root").agg(F.sum("n").alias("total"))
     members = (members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("total") / INDEX_BLOCK).cast("int"))
@@ -368,9 +386,10 @@ def exact_edges(docs: DataFrame, members: DataFrame, words: int, percent: int, e
             keys, ids = (batch.column(c).to_numpy() for c in ("k", "set_id"))
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-            batch = batch.filter(pa.array(new))
+            batch = batch if new.all() else batch.filter(pa.array(new))
             keys, ids, own = (batch.column(c).to_numpy() for c in ("k", "set_id", "own"))
             flat, offsets = batch.column("shingles").flatten().to_numpy(), batch.column("shingles").offsets.to_numpy()
+            offsets = offsets - offsets[0]  # a part of a batch keeps its place
             cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 here = [flat[x:y] for x, y in zip(offsets[a:b], offsets[a + 1:b + 1])]
