@@ -38,8 +38,10 @@ COUNTED = 1 << 22
 #: Classes of a list, and shingles of a component, that one task looks at against as many.
 LIST_BLOCK = 2048
 INDEX_BLOCK = 1 << 20
-#: Words of the parity sketch of small and of large sets, and where large begins.
-SMALL_SKETCH, LARGE_SKETCH, LARGE_SET = 8, 16, 512
+#: Words of 64 bits in the parity sketches of the smallest and the largest sets; about a bit per shingle in between.
+SKETCH_WORDS, MOST_SKETCH_WORDS = 8, 256
+#: Rows of the lists in a share, to each of which a class sends its sketch once.
+LIST_SHARE = 1 << 18
 #: Leading shingles beyond the first that are asked for, in percent of the set.
 LEAD_PERCENT = 5
 #: Bits of the filter of documents whose sets are wanted; a fixed bound on what is broadcast.
@@ -86,13 +88,29 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def sketches(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Rows of parities: sets that differ in k shingles differ in at most k bits."""
-    bits = LARGE_SKETCH * 64
-    text = np.repeat(np.arange(len(counts)), counts)
-    at = text * bits + (mix(shingles + _U(3)) >> _U(64 - bits.bit_length() + 1)).astype(np.int64)
-    odd = (np.bincount(at, minlength=len(counts) * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(len(counts), bits), axis=1)
+def sketch_words(n: np.ndarray) -> np.ndarray:
+    """Words of the sketch of sets of ``n``: a power of two."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 64)).astype(np.int64).clip(0), SKETCH_WORDS, MOST_SKETCH_WORDS)
+
+
+def sketches(shingles: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Parities of the shingles by some bits of their names: sets that differ in k shingles differ in at most k bits.
+
+    Sketches of unequal length are compared after folding the longer one, which loses differences but makes none.
+    """
+    out: list[bytes] = []
+    all_words, ends = sketch_words(counts), np.cumsum(counts)
+    cuts = np.flatnonzero(np.diff(np.cumsum(all_words) >> 14, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(counts)]):  # about a million bits at a time
+        words, n = all_words[a:b], counts[a:b]
+        starts = np.cumsum(words) - words
+        text = np.repeat(np.arange(b - a), n)
+        names = mix(shingles[ends[a] - counts[a]:ends[b - 1]] + _U(3))
+        bit = (names & (words[text] * 64 - 1).astype(_U)).astype(np.int64)
+        odd = np.bincount(starts[text] * 64 + bit, minlength=int(words.sum()) * 64) & 1
+        raw = np.packbits(odd.astype(np.uint8), bitorder="little")
+        out += [raw[8 * x:8 * (x + w)].tobytes() for x, w in zip(starts.tolist(), words.tolist())]
+    return out
 
 
 def digests(shingles: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -148,8 +166,7 @@ def describe(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
                     lead_n[i] = 0
                 led.add(d)
             lead = shingles[order][place < np.repeat(lead_n, n)]
-            sketch = [x.tobytes() if large else (x[:SMALL_SKETCH * 8] ^ x[SMALL_SKETCH * 8:]).tobytes()
-                      for x, large in zip(sketches(shingles, n), n > LARGE_SET)]
+            sketch = sketches(shingles, n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(digest, mask=n == 0), pa.array(n.astype(np.int64)),
                  pa.array(sketch, pa.binary()),
@@ -227,20 +244,42 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _sketch_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sketches in the small form, in the large form where they have one, whether they do)"""
-    raw = column.to_pylist()
-    large = np.array([len(x) == LARGE_SKETCH * 8 for x in raw], bool)
-    pad = bytes((LARGE_SKETCH - SMALL_SKETCH) * 8)
-    full = np.frombuffer(b"".join(x if len(x) == LARGE_SKETCH * 8 else x + pad for x in raw), _U).reshape(-1, LARGE_SKETCH)
-    return full[:, :SMALL_SKETCH] ^ full[:, SMALL_SKETCH:], full, large
-
-
-def possible_groups(key: np.ndarray, n: np.ndarray, small: np.ndarray, large: np.ndarray, is_large: np.ndarray,
-                    percent: int) -> np.ndarray:
+class Sketches:
+    """Sketches by class, all in one array."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, raw: list[bytes]) -> None:
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.n = ids[order], n[order]
+        self.pool = np.frombuffer(b"".join(raw), _U)
+        self.words = np.array([len(x) // 8 for x in raw], np.int64)
+        self.first = (np.cumsum(self.words) - self.words)[order]
+        self.words = self.words[order]
+
+    def differences(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits that differ, pair by pair; the longer sketch is folded to the length of the shorter."""
+        out = np.zeros(len(a), np.int64)
+        width = np.minimum(self.words[a], self.words[b])
+        for w in np.unique(width).tolist():
+            here = np.flatnonzero(width == w)
+            for at in range(0, len(here), 1 << 14):
+                part = here[at:at + (1 << 14)]
+                out[part] = np.bitwise_count(self._folded(a[part], w) ^ self._folded(b[part], w)).sum(axis=1, dtype=np.int64)
+        return out
+
+    def _folded(self, i: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((len(i), width), _U)
+        for times in np.unique(self.words[i] // width).tolist():
+            rows = np.flatnonzero(self.words[i] // width == times)
+            for k in range(times):
+                out[rows] ^= self.pool[self.first[i[rows]][:, None] + k * width + np.arange(width)]
+        return out
+
+
+def possible_groups(key: np.ndarray, place: np.ndarray, known: Sketches, percent: int) -> np.ndarray:
     """Per row the first row of its group: rows of one key are joined where sizes and sketches allow a link."""
     label = np.arange(len(key))
     row = np.arange(len(key))
+    n = known.n[place]
     step = 1
     while True:
         row = row[row + step < len(key)]
@@ -250,33 +289,43 @@ def possible_groups(key: np.ndarray, n: np.ndarray, small: np.ndarray, large: np
         a, b = row, row + step
         fits = (label[a] != label[b]) & (np.maximum(n[a], n[b]) * percent <= np.minimum(n[a], n[b]) * 100)
         a, b = a[fits], b[fits]
-        differ = np.bitwise_count(small[a] ^ small[b]).sum(axis=1, dtype=np.int64)
-        both = is_large[a] & is_large[b]
-        differ[both] = np.bitwise_count(large[a[both]] ^ large[b[both]]).sum(axis=1, dtype=np.int64)
-        close = differ * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
+        close = known.differences(place[a], place[b]) * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
         label = merge_labels(label, a[close], b[close])
         step += 1
 
 
 def possible_edges(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``u, v``: classes of one list that may link, joined to the first of their group."""
+    """``u, v``: classes of one list that may link, joined to the first of their group.
+
+    Lists are dealt into shares of bounded size. A share gets the sketch of each of its classes once, ahead of its lists.
+    """
     blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     rows = (lists.withColumn("blocks", blocks).withColumn("own", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("set_id", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("k")))
-    rows = rows.join(classes.select("set_id", "n", "sketch"), "set_id")
+    shares = max(1, -(-lists.count() // LIST_SHARE))
+    rows = rows.withColumn("share", F.pmod("k", F.lit(shares)).cast("int"))
+    heads = rows.select("share", "set_id").distinct().join(classes.select("set_id", "n", "sketch"), "set_id")
+    both = heads.select("share", F.lit(False).alias("listed"), F.lit(0).cast("long").alias("k"), "set_id", "n", "sketch").unionAll(
+        rows.select("share", F.lit(True), "k", "set_id", F.lit(None).cast("long"), F.lit(None).cast("binary")))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_runs(batches, "k"):
-            ids = batch.column("set_id").to_numpy()
-            label = possible_groups(batch.column("k").to_numpy(), batch.column("n").to_numpy(),
-                                    *_sketch_arrays(batch.column("sketch")), percent)
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["u", "v"])
+        for batch in in_runs(batches, "share"):
+            shares_here = batch.column("share").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], shares_here[1:] != shares_here[:-1], [True]]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = batch.slice(a, b - a)
+                listed = np.array(part.column("listed").to_pylist(), bool)
+                head, rest = part.filter(pa.array(~listed)), part.filter(pa.array(listed))
+                known = Sketches(head.column("set_id").to_numpy(), head.column("n").to_numpy(), head.column("sketch").to_pylist())
+                ids = rest.column("set_id").to_numpy()
+                label = possible_groups(rest.column("k").to_numpy(), np.searchsorted(known.ids, ids), known, percent)
+                moved = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["u", "v"])
 
-    return (rows.repartition("k").sortWithinPartitions("k", "set_id").mapInArrow(edges, "u long, v long")
-            .filter("u <> v").distinct())
+    return (both.repartition("share").sortWithinPartitions("share", "listed", "k", "set_id")
+            .mapInArrow(edges, "u long, v long").filter("u <> v").distinct())
 
 
 class Index:
@@ -428,7 +477,9 @@ def _links(rows: DataFrame, found: DataFrame, words: int, percent: int, every: b
     lists = likely_lists(spark.read.parquet(path), classes, percent)
     path = fresh_dir(spark, "likely-lists")
     lists.write.parquet(path)
-    roots = components(possible_edges(likely_lists(spark.read.parquet(path), classes, percent), classes, percent))
+    lists, path = likely_lists(spark.read.parquet(path), classes, percent), fresh_dir(spark, "likely-lists")
+    lists.write.parquet(path)
+    roots = components(possible_edges(spark.read.parquet(path), classes, percent))
     roots = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
     members = roots.select(F.col("node").alias("set_id"), "root").join(classes.select("set_id", "doc_id", "n"), "set_id")
     return exact_edges(rows, members, words, percent, every)
