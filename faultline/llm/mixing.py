@@ -18,9 +18,9 @@ ITERATIONS = 8
 #: Share of all tokens that is kept, where no probability is cut at 1.
 BUDGET = 0.6
 #: A number is the power that a category's natural share is raised to; a mapping names shares, and what is left to 1 goes
-#: to the categories it does not name, by their natural shares.
-TARGETS: dict[str, float | dict[str, float]] = {
-    "source": 0.7, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "topic": 0.9}
+#: to the categories it does not name, by their natural shares; named shares that add up to 1 leave them nothing. So the
+#: targets here are powers: every category that occurs has a share, nulls included.
+TARGETS: dict[str, float | dict[str, float]] = {"source": 0.7, "lang": 0.5, "topic": 0.9}
 NONE = "(none)"
 
 
@@ -84,8 +84,8 @@ def mix(docs: DataFrame, targets: dict[str, float | dict[str, float]] = TARGETS,
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
     rate = rake(cells, targets, iterations).select(
         *DIMENSIONS, F.least(F.lit(1.0), F.col("factor") * (budget * total)).alias("probability"))
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("null")))),
-                              1, 12), 16, 10).cast("double") / float(1 << 48)
+    drawn_by = F.coalesce(F.col("doc.doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce("doc.text", F.lit(""))))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), drawn_by)), 1, 12), 16, 10).cast("double") / float(1 << 48)
     return rows.join(rate, list(DIMENSIONS)).withColumn("kept", draw < F.col("probability"))
 
 

@@ -104,6 +104,21 @@ def test_mixing_against_plain_raking(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_leaves_no_language_without_a_share(spark):
+    rows = [(lang, i) for lang, n in (("en", 400), ("de", 100), ("fr", 100), ("es", 100), (None, 350), ("it", 50)) for i in range(n)]
+    docs = spark.createDataFrame([(k, f"w{i} " * 5, "s", lang) for k, (lang, i) in enumerate(rows)],
+                                 "doc_id long, text string, source string, lang string")
+    got = Counter(r.lang for r in mixing.mixed_documents(docs).collect())
+    assert set(got) == {"en", "de", "fr", "es", None, "it"} and got[None] > 50 and got["it"] > 10
+
+
+def test_mixing_draws_null_ids_one_by_one(spark):
+    docs = spark.createDataFrame([(None, f"w{i} b c", "s", "en") for i in range(200)],
+                                 "doc_id long, text string, source string, lang string")
+    kept = mixing.mixed_documents(docs).count()
+    assert abs(kept - 200 * mixing.BUDGET) < 40
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_top_k_against_brute_force(spark, monkeypatch, small):
     if small:
