@@ -38,6 +38,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by country, as registered.
+IBAN_LENGTHS = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in countries.split()}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?i:api[_-]?key|secret|token|passw(?:or)?d)[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9+/_=-]{16,})")
 
@@ -87,8 +93,28 @@ def phones(text: str) -> Iterator[Span]:
     return (m.span() for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15)
 
 
+def _iban_ends(code: str) -> Iterator[int]:
+    """Where an IBAN at the start of ``code`` may end: after the length of its country, else after all of it.
+
+    Countries without a registered length may end after every block, long ones first.
+    """
+    blocks = [m.start() for m in re.finditer(" ", code)] + [len(code)]
+    fixed = IBAN_LENGTHS.get(code[:2])
+    if fixed:
+        yield from (end for end in blocks if end - code.count(" ", 0, end) == fixed)
+        yield len(code)
+    else:
+        yield from (end for end in reversed(blocks) if end - code.count(" ", 0, end) >= 15)
+
+
 def ibans(text: str) -> Iterator[Span]:
-    return (m.span() for m in _IBAN.finditer(text) if mod97(m[0]))
+    """Capitals and digits that follow after a blank may belong to the IBAN or to the next word, also to the next IBAN."""
+    m = _IBAN.search(text)
+    while m:
+        end = next((m.start() + end for end in _iban_ends(m[0]) if mod97(m[0][:end])), None)
+        if end:
+            yield m.start(), end
+        m = _IBAN.search(text, end or m.start() + 1)
 
 
 def ssns(text: str) -> Iterator[Span]:

@@ -70,3 +70,18 @@ def test_redaction_keeps_columns_and_rows(spark):
     assert got == {(1, "mail <EMAIL> now", 16, "k"), (2, None, None, "k"), (2, "", 0, "k")}
     assert pii.redact_documents(docs.limit(0)).count() == 0
     assert pii.span_digest(docs.limit(0)).count() == 0
+
+
+def test_ibans_end_where_their_country_says():
+    ibans = lambda t: [t[a:b] for a, b in pii.ibans(t)]
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    for after in (" BIC COBADEFFXXX", " EUR 500", " 2024 invoice", " A deposit", " ", ".", " B", ""):
+        assert ibans(f"IBAN {de}{after}") == [de] and ibans(f"IBAN {gb}{after}") == [gb], after
+    assert ibans(f"{gb} {gb} {de} {de}") == [gb, gb, de, de]
+    assert ibans(f"AB12 IBAN {gb}") == [gb]
+    assert ibans(f"{de[:-1]}1 BIC COBADEFFXXX") == [] and ibans(f"{de}A") == []
+    other = next(c for c in (f"ZZ{i:02d}00001111222233" for i in range(98)) if pii.mod97(c))
+    assert ibans(f"{other} BIC") == [other]
+    line = f"IBAN {de} BIC COBADEFFXXX"
+    assert pii.blank(line, pii.find(line)) == "IBAN <IBAN> BIC COBADEFFXXX"
+    assert ibans("DE89 " * 20000) == []
