@@ -145,7 +145,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def describe(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
-    """``doc_id, set_id, n, sketch, lead`` per row; ``set_id`` is null for empty sets."""
+    """``doc_id, text_id, set_id, n, sketch, lead`` per row; ``set_id`` is null for empty sets."""
     values, frequency = frequent
 
     def row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +168,13 @@ def describe(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
             lead = shingles[order][place < np.repeat(lead_n, n)]
             sketch = sketches(shingles, n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(digest, mask=n == 0), pa.array(n.astype(np.int64)),
+                [batch.column("doc_id"), batch.column("text_id"), pa.array(digest, mask=n == 0), pa.array(n.astype(np.int64)),
                  pa.array(sketch, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lead_n)]).astype(np.int32)),
-                                          pa.array(lead.view(np.int64)))], names=["doc_id", "set_id", "n", "sketch", "lead"])
+                                          pa.array(lead.view(np.int64)))],
+                names=["doc_id", "text_id", "set_id", "n", "sketch", "lead"])
 
-    return docs.mapInArrow(row, "doc_id long, set_id long, n long, sketch binary, lead array<long>")
+    return docs.mapInArrow(row, "doc_id long, text_id long, set_id long, n long, sketch binary, lead array<long>")
 
 
 def in_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -458,10 +459,11 @@ def exact_edges(docs: DataFrame, members: DataFrame, words: int, percent: int, e
 
 
 def _described(docs: DataFrame, id_column: str, text_column: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, text`` without nulls, the written rows of ``describe``)"""
+    """(``doc_id, text, text_id`` without nulls, the written rows of ``describe``)"""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc_id"),
                        F.coalesce(F.col(text_column).cast("binary"), F.lit(b"")).alias("text"))
+    rows = rows.withColumn("text_id", F.xxhash64("text"))
     path = fresh_dir(spark, "shingle-sets")
     describe(rows, frequent_shingles(rows, words), words, percent).write.parquet(path)
     return rows, spark.read.parquet(path)
@@ -494,15 +496,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     smallest id in it, leaving nulls out. Rows that repeat are rows of one class; rows that share an id only are told apart
     by their sets. Other columns of ``docs`` are left out, whatever their names; an empty table stays empty.
     """
+    doc_id = F.nullif("doc_id", F.lit(NO_ID))
+    return components_by_row(docs, words, percent, id_column, text_column).select(
+        doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", doc_id).alias("component_id"))
+
+
+def components_by_row(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id",
+                      text_column: str = "text") -> DataFrame:
+    """``doc_id, text_id, set_id, n, root, component_id`` of every row.
+
+    ``text_id`` is the xxhash64 of the text's bytes. ``root`` tells components apart that have their smallest id in common; it
+    is null, as is ``component_id``, for an empty set.
+    """
     rows, found = _described(docs, id_column, text_column, words, percent)
     links = components(_links(rows, found, words, percent))
     least = (found.filter("set_id IS NOT NULL").join(links.withColumnRenamed("node", "set_id"), "set_id", "left")
              .select("doc_id", "set_id", F.coalesce("root", "set_id").alias("root")))
     named = least.groupBy("root").agg(F.min(F.nullif("doc_id", F.lit(NO_ID))).alias("component_id"))
-    by_set = least.select("set_id", "root").distinct().join(named, "root").select("set_id", "component_id")
-    doc_id = F.nullif("doc_id", F.lit(NO_ID))
-    return found.select("doc_id", "set_id", "n").join(by_set, "set_id", "left").select(
-        doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", doc_id).alias("component_id"))
+    by_set = least.select("set_id", "root").distinct().join(named, "root").select("set_id", "root", "component_id")
+    return found.select("doc_id", "text_id", "set_id", "n").join(by_set, "set_id", "left")
 
 
 def similar_pairs(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id",

@@ -258,6 +258,20 @@ def test_pipeline_takes_nothing_and_odd_rows(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == 0
 
 
+def test_rows_that_share_an_id_only_are_decided_one_by_one(spark):
+    import corpus_pipeline as cp
+
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, one), (1, two), (2, one + " end"), (7, three), (7, two + " end"), (8, one), (8, three + " other end"),
+            (9, two), (9, two), (None, ""), (None, ""), (None, None), (3, " "), (3, " "), (4, "x" + one[2:]), (4, one[:-4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect())
+    assert got == {(1, one): 1, (1, two): 1, (7, three): 1, (None, ""): 2, (None, None): 1, (3, " "): 2}
+    odd = " ".join(f"d{i}" for i in range(60))
+    docs = spark.createDataFrame([(5, odd), (5, odd + " end"), (5, odd), (6, odd)], "doc_id long, text string")
+    assert [r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()] == [5]
+
+
 def test_pipeline_stages_pass_on_what_they_keep(spark):
     import corpus_pipeline as cp
 
