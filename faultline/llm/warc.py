@@ -4,7 +4,8 @@ Writing: pages that share a payload of ``REVISIT_BYTES`` or more become one resp
 a gzip member of its own; Spark's text writer puts them into files (``part-*.txt`` by that writer's naming), with an
 empty member as the line separator, so any file system that Spark knows will do and the files are ordinary multi-member
 gzip. Reading: a record that fails a check costs only itself. The reader goes on at the next gzip header or version line
-that holds a valid record and reports the bytes between as a gap.
+that holds a valid record and reports the bytes between as a gap. The same is done with the contents of a gzip member, and
+with what a damaged member gives before it breaks off.
 """
 
 from __future__ import annotations
@@ -85,6 +86,14 @@ class Damaged(Exception):
     """A check failed."""
 
 
+class BrokenMember(Damaged):
+    """A gzip member that breaks off or fails its checksum; ``inner`` came out before, from the bytes up to ``end``."""
+
+    def __init__(self, reason: str, inner: bytes, end: int, sound: bool) -> None:
+        super().__init__(reason)
+        self.inner, self.end, self.sound = inner, end, sound
+
+
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
@@ -95,14 +104,27 @@ def _inflate(data: bytes, start: int) -> tuple[bytes, int]:
     try:
         while not inflater.eof:
             if at >= len(data):
-                raise Damaged("truncated member")
+                raise BrokenMember("truncated member", b"".join(out), len(data), True)
             out.append(inflater.decompress(data[at:at + 65536]))
             at += 65536
     except zlib.error as e:
-        raise Damaged("bad member") from e
+        raise BrokenMember("bad member", *_before_error(data, start, at), False) from e
     return b"".join(out), min(at, len(data)) - len(inflater.unused_data)
 
 
+def _before_error(data: bytes, start: int, last: int) -> tuple[bytes, int]:
+    """(what the member at ``start`` gives before its error, where that is), in the block of input at ``last``."""
+    inflater, out = zlib.decompressobj(31), []
+    for at in range(start, last, 65536):
+        out.append(inflater.decompress(data[at:at + 65536]))
+    for at in range(last, min(last + 65536, len(data))):
+        try:
+            out.append(inflater.decompress(data[at:at + 1]))
+        except zlib.error:
+            return b"".join(out), at
+    return b"".join(out), min(last + 65536, len(data))
+
+
 def _parse(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
     """(headers, block, end) of the record at ``start``; its length and digest hold."""
     version = _VERSION.match(data, start)
@@ -126,38 +148,85 @@ def _parse(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, stop + 4
 
 
-def _records(data: bytes, start: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records of the member or plain record at ``start``, and where it ends."""
-    if data[start:start + 3] != b"\x1f\x8b\x08":
-        headers, block, end = _parse(data, start)
-        return [(headers, block)], end
-    inner, end = _inflate(data, start)
-    out, at = [], 0
+Record = tuple[dict[str, str], bytes]
+
+
+def _inside(inner: bytes, digests: bool = False) -> tuple[list[Record], list[tuple[int, int, str]]]:
+    """(records, gaps as start, end, reason) of a member's contents; with ``digests`` only records that a digest confirms."""
+    found, gaps, at, gap, why = [], [], 0, None, ""
     while at < len(inner):
-        headers, block, at = _parse(inner, at)
-        out.append((headers, block))
-    return out, end
+        try:
+            headers, block, end = _parse(inner, at)
+            if digests and not headers.get("warc-block-digest"):
+                raise Damaged("no digest in a bad member")
+        except Damaged as e:
+            if gap is None:
+                gap, why = at, str(e)
+            after = _VERSION.search(inner, at + 1)
+            at = after.start() if after else len(inner)
+            continue
+        if gap is not None:
+            gaps.append((gap, at, why))
+            gap = None
+        found.append((headers, block))
+        at = end
+    if gap is not None:
+        gaps.append((gap, len(inner), why))
+    return found, gaps
+
 
+def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, list[Record]]]:
+    """(offset, length, reason, records): valid stretches without a reason, gaps with the first failure's reason.
+
+    A gap inside a member has the member's offset and length, and its reason names the bytes of the contents. Records out of a
+    broken member have the offset and length of the gap it lies in; if the member fails its checksum, a digest of their own has
+    to confirm them.
+    """
+    at, gap, why, saved, inner_gaps, until, known = 0, None, "", [], [], 0, set()
+
+    def closed(end: int) -> Iterator[tuple[int, int, str | None, list[Record]]]:
+        if saved:
+            yield gap, end - gap, None, saved
+        yield gap, end - gap, why, []
+        for a, b, reason in inner_gaps:
+            yield gap, end - gap, f"{reason}: bytes {a} to {b} of a member's contents", []
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, list[tuple[dict[str, str], bytes]]]]:
-    """(offset, length, reason, records): valid stretches without a reason, gaps with the first failure's reason."""
-    at, gap, why = 0, None, ""
     while at < len(data):
+        found, inside, end, failure = [], [], at, None
         try:
-            found, end = _records(data, at)
+            if data[at:at + 3] == b"\x1f\x8b\x08":
+                inner, end = _inflate(data, at)
+                found, inside = _inside(inner)
+                if inside and not found:
+                    failure = inside[0][2]
+            else:
+                headers, block, end = _parse(data, at)
+                found = [(headers, block)]
+                if at < until and (headers["warc-record-id"], block) in known:  # an uncompressed part of a broken member
+                    at = end
+                    continue
         except Damaged as e:
+            failure, end = str(e), at + 1
+            if isinstance(e, BrokenMember):
+                more, inside = _inside(e.inner, digests=not e.sound)
+                if more:
+                    saved, inner_gaps, until = saved + more, inner_gaps + inside, max(until, e.end)
+                    known.update((h["warc-record-id"], block) for h, block in more)
+        if failure is not None:
             if gap is None:
-                gap, why = at, str(e)
-            after = _NEXT.search(data, at + 1)
+                gap, why = at, failure
+            after = _NEXT.search(data, end)
             at = after.start() if after else len(data)
             continue
         if gap is not None:
-            yield gap, at - gap, why, []
-            gap = None
+            yield from closed(at)
+            gap, saved, inner_gaps, known = None, [], [], set()
         yield at, end - at, None, found
+        for a, b, reason in inside:
+            yield at, end - at, f"{reason}: bytes {a} to {b} of a member's contents", []
         at = end
     if gap is not None:
-        yield gap, len(data) - gap, why, []
+        yield from closed(len(data))
 
 
 def _page(uri: str | None) -> int | None:
@@ -211,5 +280,5 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
 
 def read_gaps(spark: SparkSession, path: str) -> DataFrame:
-    """``path, offset, length, reason`` of the quarantined stretches."""
+    """``path, offset, length, reason`` of the quarantined stretches; a stretch inside a member has the member's place."""
     return _scan(spark, path, False).filter("reason IS NOT NULL").select("path", "offset", "length", "reason")

@@ -186,6 +186,41 @@ def test_salvage_finds_what_is_left(spark, tmp_path, zipped):
     assert warc.read_warc(spark, str(tmp_path)).count() == 25
 
 
+def _ids(found):
+    return [int(re.search(r"page:(\d+)", h["warc-record-id"])[1]) for *_, rs in found for h, _ in rs]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_inside_members(spark, tmp_path, level):
+    rng = np.random.default_rng(8)
+    records = [warc.record(i, f"u{i}", bytes(rng.integers(32, 127, 3000).tolist()), "00" * 20, None) for i in range(100)]
+    plain = b"".join(records)
+    whole = gzip.compress(plain, level)
+    assert _ids(warc.salvage(whole)) == list(range(100)) and len(list(warc.salvage(whole))) == 1
+    one = bytearray(plain)  # one record is damaged, the member is not
+    one[len(b"".join(records[:40])) + 2000] ^= 1
+    member = gzip.compress(bytes(one), level)
+    found = list(warc.salvage(member + gzip.compress(records[0])))
+    assert _ids(found) == [*range(40), *range(41, 100), 0]
+    (gap,) = (x for x in found if x[2])
+    a, b = len(b"".join(records[:40])), len(b"".join(records[:41]))
+    assert gap[:3] == (0, len(member), f"wrong digest: bytes {a} to {b} of a member's contents")
+    cut = list(warc.salvage(whole[:len(whole) // 2]))  # the tail is lost
+    ids = _ids(cut)
+    assert ids == list(range(len(ids))) and 45 <= len(ids) <= 50
+    assert "truncated member" in [x[2] for x in cut]
+    bad = whole[:-8] + b"12345678"  # every record is confirmed by its digest
+    assert _ids(warc.salvage(bad + gzip.compress(records[7]))) == [*range(100), 7]
+    flipped = bytearray(whole)
+    flipped[len(whole) * 3 // 4] ^= 0xFF
+    ids = _ids(warc.salvage(bytes(flipped) + gzip.compress(records[7])))
+    assert ids[:70] == list(range(70)) and ids[-1] == 7 and len(set(ids)) >= len(ids) - 1
+    (tmp_path / "a.warc.gz").write_bytes(member)
+    (tmp_path / "b.warc.gz").write_bytes(whole[:len(whole) // 2])
+    assert warc.read_warc(spark, str(tmp_path)).count() == 99 + len(_ids(cut))
+    assert {r.path[-9:] for r in warc.read_gaps(spark, str(tmp_path)).collect()} == {"a.warc.gz", "b.warc.gz"}
+
+
 def test_scores_against_a_plain_model(spark, monkeypatch):
     sample = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()]
     rows = sample + [(None, "the the"), (9001, None), (9002, ""), (9003, "the and of Zzz"), (9003, "the and of Zzz")]
