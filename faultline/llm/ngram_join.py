@@ -9,7 +9,8 @@ last (the long inverted lists are left out first, as in DivideSkip); it decides
 2. Per document: class (digest of the set; equal sets are one class), parity sketch, leading shingles.
 3. Inverted lists of the leading shingles, those with two classes or more; a class that is in too few of them for any link
    leaves them. Within a list, pairs that neither the sizes nor the sketches rule out are joined into groups; a list hands
-   on one edge per class, never its pairs. Long lists are cut into blocks, and every two blocks meet.
+   on one edge per class, never its pairs. Long lists are cut into blocks; classes that do not come together within their
+   first blocks, in this list or another, meet in pairs of blocks.
 4. Connected components of these edges hold all links. In each, an inverted index over the full sets answers, for every
    class, which others share enough: short lists are merged and counted, long ones probed by binary search. Classes
    already connected are not asked for again. Large components are cut into blocks, and every two blocks meet.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.llm.common import WordNames, mix, pair_name, slices, split_words
 from faultline.llm.components import components
@@ -178,13 +179,14 @@ def describe(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
 
 
 def in_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches joined and cut so that rows with equal ``column`` (sorted) stay together."""
+    """Batches joined and cut so that rows with equal ``column``, which are neighbours, stay together."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = batch.column(column).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))
+        others = np.flatnonzero(keys != keys[-1])
+        cut = int(others[-1]) + 1 if len(others) else 0
         if cut or (held and held[-1].column(column)[-1].as_py() != keys[0]):
             if cut:
                 held.append(batch.slice(0, cut))
@@ -298,30 +300,66 @@ def possible_groups(key: np.ndarray, place: np.ndarray, known: Sketches, percent
 def possible_edges(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """``u, v``: classes of one list that may link, joined to the first of their group.
 
-    Lists are dealt into shares of bounded size. A share gets the sketch of each of its classes once, ahead of its lists.
+    First every class of a list meets those of its own block, drawn anew for each list; then pairs of blocks meet, but for
+    those that are connected by then.
     """
-    blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    rows = (lists.withColumn("blocks", blocks).withColumn("own", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("set_id", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("k")))
-    shares = max(1, -(-lists.count() // LIST_SHARE))
+    blocks = F.ceil(F.col("size") / LIST_BLOCK)
+    found = _dealt(lists.select("set_id", F.xxhash64("g", F.pmod(F.xxhash64("set_id", "g"), blocks)).alias("k")), classes, percent)
+    long_lists = lists.filter(F.col("size") > LIST_BLOCK)
+    if long_lists.isEmpty():
+        return found
+    spark, path, others = lists.sparkSession, fresh_dir(lists.sparkSession, "first-edges"), fresh_dir(lists.sparkSession, "blocks")
+    found.write.parquet(path)
+    found = spark.read.parquet(path)
+    open_blocks(long_lists, components(found)).write.parquet(others)
+    return found.unionAll(_dealt(spark.read.parquet(others), classes, percent)).distinct()
+
+
+def open_blocks(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """``set_id, k``: the rows of ``lists`` in every pair of blocks that is not of one component alone.
+
+    Lists are sorted by component before they are cut, so that a large component has blocks of its own.
+    """
+    known = lists.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(
+        "g", "set_id", F.coalesce("root", "set_id").alias("root"))
+    place = F.row_number().over(Window.partitionBy("g").orderBy("root", "set_id")) - 1
+    cut = known.withColumn("block", F.floor(place / LIST_BLOCK))
+    spark, path = lists.sparkSession, fresh_dir(lists.sparkSession, "numbered")
+    cut.write.parquet(path)
+    cut = spark.read.parquet(path)
+    each = cut.groupBy("g", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    a, b = (each.select("g", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high")]) for x in "ab")
+    pairs = a.join(b, "g").filter("block_a <= block_b AND NOT (low_a = high_b AND high_a = low_b AND low_a = high_a)")
+    met = pairs.select("g", F.xxhash64("g", "block_a", "block_b").alias("k"),
+                       F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    return cut.join(met, ["g", "block"]).select("set_id", "k")
+
+
+def _dealt(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``u, v`` among the classes of one ``k``.
+
+    ``rows`` (``set_id, k``) are dealt into shares of about ``LIST_SHARE``. A share gets the sketch of each of its classes once,
+    ahead of its rows, which are read by ``k``.
+    """
+    shares = max(1, -(-rows.count() // LIST_SHARE))
     rows = rows.withColumn("share", F.pmod("k", F.lit(shares)).cast("int"))
     heads = rows.select("share", "set_id").distinct().join(classes.select("set_id", "n", "sketch"), "set_id")
     both = heads.select("share", F.lit(False).alias("listed"), F.lit(0).cast("long").alias("k"), "set_id", "n", "sketch").unionAll(
         rows.select("share", F.lit(True), "k", "set_id", F.lit(None).cast("long"), F.lit(None).cast("binary")))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_runs(batches, "share"):
-            shares_here = batch.column("share").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], shares_here[1:] != shares_here[:-1], [True]]))
+        known = None
+        for batch in in_runs(batches, "k"):
+            share, listed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("share", "listed"))
+            new = (share[1:] != share[:-1]) | (listed[1:] != listed[:-1])
+            cuts = np.flatnonzero(np.concatenate([[True], new, [True]]))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 part = batch.slice(a, b - a)
-                listed = np.array(part.column("listed").to_pylist(), bool)
-                head, rest = part.filter(pa.array(~listed)), part.filter(pa.array(listed))
-                known = Sketches(head.column("set_id").to_numpy(), head.column("n").to_numpy(), head.column("sketch").to_pylist())
-                ids = rest.column("set_id").to_numpy()
-                label = possible_groups(rest.column("k").to_numpy(), np.searchsorted(known.ids, ids), known, percent)
+                ids = part.column("set_id").to_numpy()
+                if not listed[a]:
+                    known = Sketches(ids, part.column("n").to_numpy(), part.column("sketch").to_pylist())
+                    continue
+                label = possible_groups(part.column("k").to_numpy(), np.searchsorted(known.ids, ids), known, percent)
                 moved = np.flatnonzero(label != np.arange(len(label)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["u", "v"])
 

@@ -159,6 +159,22 @@ def test_large_group_of_near_copies(spark):
     assert {r.component_id for r in got} == set(want) | ({0} if want == [0, 0, 0] else {r.doc_id for r in got})
 
 
+def test_connected_copies_are_not_dealt_to_all_blocks(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(300)] + [(300, " ".join(base[:50] + [f"y{i}" for i in range(20)]))]
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 32)
+    dealt, deal = [], ngram_join._dealt
+
+    def counted(rows, *rest):
+        dealt.append(rows.count())
+        return deal(rows, *rest)
+
+    monkeypatch.setattr(ngram_join, "_dealt", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: 0 for i in range(300)}, 300: 300}
+    assert dealt[0] >= 300 and sum(dealt) <= 4 * dealt[0]  # all blocks with all blocks: about ten times as many
+
+
 def test_graph_components(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7), (200, 205), (205, 203)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
