@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import lm, mixing, ngram_join, packing, pii, quality, substring_dedup, token_orc, topk, warc
+from faultline.llm import fim, lm, mixing, ngram_join, packing, pii, quality, simhash, substring_dedup, token_orc, topk, warc
 from faultline.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,57 @@ def op6(spark, sf):
 @query("op10_lm_scoring")
 def op10(spark, sf):
     return lm.score_documents(table(spark, sf, "documents"))
+
+
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+             ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3,
+             ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+k AS (SELECT *, len(w)::BIGINT AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a,
+             greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM w),
+c AS (SELECT *, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf
+      FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c"""
+
+
+@query("op11_fill_in_middle", _OP11_SQL)
+def op11(spark, sf):
+    return fim.fim_digest(table(spark, sf, "documents"))
+
+
+def _op13_sql() -> str:
+    """The votes are counted bit by bit over hexadecimal digits of the terms' digests."""
+    pieces = ", ".join(f"('0x' || substr(h, {15 * k + 1}, 15))::BIGINT AS p{k}" for k in range(simhash.PIECES))
+    bits = [(k, i) for k in range(simhash.PIECES) for i in range(simhash.PIECE_BITS)]
+    votes = ", ".join(f"sum(((p{k} >> {i}) & 1) * weight) AS v{k}_{i}" for k, i in bits)
+    ones = ", ".join("(" + " + ".join(f"CASE WHEN 2 * v{k}_{i} > w THEN {1 << i}::BIGINT ELSE 0 END"
+                                      for i in range(simhash.PIECE_BITS)) + f") AS f{k}" for k in range(simhash.PIECES))
+    digits = " || ".join(f"lpad(to_hex({{0}}.f{k}), 15, '0')" for k in range(simhash.PIECES))
+    near = " + ".join(f"bit_count(xor({{0}}.f{k}, {{1}}.f{k}))::INT" for k in range(simhash.PIECES))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+o AS (SELECT *, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), max(doc_id) OVER ()) AS next_id FROM d),
+x AS (SELECT o.doc_id, o.next_id, o.n, o.t, left(o.t, o.n - o.n // 2) || left(d.t, o.n // 2) AS e FROM o JOIN d ON d.doc_id = o.next_id),
+k AS (SELECT doc_id, 0 AS kind, t FROM x UNION ALL SELECT doc_id, 1, e FROM x),
+m AS (SELECT doc_id, kind, unnest(list_distinct(regexp_split_to_array(lower(t), '{simhash._SPLIT}'))) AS term FROM k),
+h AS (SELECT doc_id, kind, least(length(term), {simhash.MAX_WEIGHT}) AS weight, sha256(term) AS h FROM m),
+v AS (SELECT doc_id, kind, sum(weight) AS w, {votes} FROM (SELECT doc_id, kind, weight, {pieces} FROM h) GROUP BY ALL),
+f AS (SELECT doc_id, kind, {ones} FROM v)
+SELECT x.doc_id, x.n::BIGINT AS n_chars, sha256(x.e) AS edited_sha256, lower({digits.format("a")}) AS fingerprint,
+       lower({digits.format("b")}) AS edited_fingerprint, 1 - ({near.format("a", "b")})::DOUBLE / {simhash.BITS} AS near_edited,
+       1 - ({near.format("a", "c")})::DOUBLE / {simhash.BITS} AS near_next
+FROM x JOIN f AS a ON a.doc_id = x.doc_id AND a.kind = 0 JOIN f AS b ON b.doc_id = x.doc_id AND b.kind = 1
+JOIN f AS c ON c.doc_id = x.next_id AND c.kind = 0"""
+
+
+@query("op13_simhash", _op13_sql())
+def op13(spark, sf):
+    return simhash.compare_with_edits(table(spark, sf, "documents"))
