@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import fim, lm, mixing, ngram_join, packing, pii, quality, simhash, substring_dedup, token_orc, topk, warc
+from faultline.llm import alignment, fim, lm, mixing, ngram_join, packing, pii, quality, simhash, substring_dedup, token_orc, topk, warc
 from faultline.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,6 +222,13 @@ def op11(spark, sf):
     return fim.fim_digest(table(spark, sf, "documents"))
 
 
+@query("op12_tokenizer_alignment")
+def op12(spark, sf):
+    rows = alignment.align_tokens(table(spark, sf, "documents"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum",
+                       F.col("groups").alias("groups_sha256"))
+
+
 def _op13_sql() -> str:
     """The votes are counted bit by bit over hexadecimal digits of the terms' digests."""
     pieces = ", ".join(f"('0x' || substr(h, {15 * k + 1}, 15))::BIGINT AS p{k}" for k in range(simhash.PIECES))
