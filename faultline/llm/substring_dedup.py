@@ -216,7 +216,8 @@ def _shared(rows: DataFrame, window: int, rounds: int) -> DataFrame:
 
 
 def _stretches(shared: DataFrame) -> DataFrame:
-    return shared.groupBy("d", "h").agg(F.collect_list(F.struct("p", "c")).alias("stretches"))
+    """The stretches of a text, each once: rows that repeat id and text name the same ones, and only one of each is sent."""
+    return shared.groupBy("d", "h").agg(F.collect_set(F.struct("p", "c")).alias("stretches"))
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
