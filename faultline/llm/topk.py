@@ -19,10 +19,15 @@ QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 4096
 #: Cells of a score array at a time.
 CELLS = 1 << 21
+#: Smallest and largest 64-bit integer.
+INT64 = (-(1 << 63), (1 << 63) - 1)
 
 
 def quantized(vectors: DataFrame, id_column: str, vector_column: str, scale: int = 256) -> DataFrame:
-    """``uid, vec_id, v`` with ``v = floor(scale * x)``; vectors that are null or hold null or non-finite values go."""
+    """``uid, vec_id, v`` with ``v = floor(scale * x)``; vectors that are null or hold null or non-finite values go.
+
+    A value beyond 64 bits becomes the nearest 64-bit integer.
+    """
     good = F.forall("x", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("x"))
     return (rows.withColumn("uid", F.monotonically_increasing_id()).filter(F.col("x").isNotNull() & good)
@@ -49,7 +54,10 @@ class Postings:
 
 
 def scores(queries: Postings, candidates: Postings, first: int, last: int) -> np.ndarray:
-    """Integer inner products of the query rows ``first`` to ``last`` with all candidates; exact at any magnitude."""
+    """Integer inner products of the query rows ``first`` to ``last`` with all candidates.
+
+    They are added up exactly at any magnitude; a sum beyond 64 bits becomes the nearest 64-bit integer.
+    """
     small = queries.largest * candidates.largest * max(1, min(queries.longest, candidates.longest)) < 1 << 62
     out = np.zeros((last - first, candidates.n), np.int64 if small else object)
     for term, (query_rows, weights) in queries.parts.items():
@@ -64,7 +72,7 @@ def scores(queries: Postings, candidates: Postings, first: int, last: int) -> np
             out[at] += weight[:, None] * values
         else:
             out[np.ix_(at, rows)] += weight[:, None] * values
-    return out
+    return out if small else np.clip(out, *INT64).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding",
@@ -73,7 +81,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
 
     ``is_query`` is an expression over ``vec_id``. Ties go to the smaller id. Rows that repeat an id are rows of their
     own: each is a candidate for the others, and each query row has its own ranks. Vectors of unequal lengths are compared
-    over the components both have; an empty one scores 0. An empty table gives an empty result.
+    over the components both have; an empty one scores 0. Components and scores beyond 64 bits count as the nearest 64-bit
+    integer, so such scores tie. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     path = fresh_dir(spark, "vectors")
@@ -98,7 +107,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
         query_uid, uid = query_rows["uid"].to_numpy(), candidate_rows["uid"].to_numpy()
         ids = candidate_rows["vec_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
         step = max(1, CELLS // offered.n)
-        at, winners, won = [], [], []
+        at, winners, won = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for first in range(0, asked.n, step):
             found = scores(asked, offered, first, min(first + step, asked.n))
             for i, row in enumerate(found):
@@ -114,7 +123,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
         at, winners = np.array(at, np.int64), np.concatenate(winners)
         return pa.Table.from_arrays(
             [query_rows["uid"].take(pa.array(at)), query_rows["vec_id"].take(pa.array(at)),
-             candidate_rows["vec_id"].take(pa.array(winners)), pa.array(np.concatenate(won).tolist(), pa.int64())], schema=schema)
+             candidate_rows["vec_id"].take(pa.array(winners)), pa.array(np.concatenate(won), pa.int64())], schema=schema)
 
     found = queries.groupBy("q", "c").cogroup(candidates.groupBy("q", "c")).applyInArrow(
         score, "uid long, query_id long, vec_id long, score long")
