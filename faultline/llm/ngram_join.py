@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from faultline.llm.common import WordNames, mix, pair_name, slices, split_words
+from faultline.llm.common import SPACE_CLASS, WordNames, mix, pair_name, slices, split_words
 from faultline.llm.components import components
 from faultline.session import fresh_dir
 
@@ -139,10 +139,10 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
             yield report()
 
     rows = (docs.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-            .orderBy(F.col("n").desc(), "g").limit(FREQUENT).collect())
-    values = np.array([r["g"] for r in rows], np.int64).view(_U)
+            .orderBy(F.col("n").desc(), "g").limit(FREQUENT).toArrow())
+    values = rows["g"].to_numpy().view(_U)
     order = np.argsort(values)
-    return values[order], np.array([r["n"] for r in rows], np.int64)[order]
+    return values[order], rows["n"].to_numpy()[order]
 
 
 def describe(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
@@ -551,8 +551,42 @@ def components_by_row(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     least = (found.filter("set_id IS NOT NULL").join(links.withColumnRenamed("node", "set_id"), "set_id", "left")
              .select("doc_id", "set_id", F.coalesce("root", "set_id").alias("root")))
     named = least.groupBy("root").agg(F.min(F.nullif("doc_id", F.lit(NO_ID))).alias("component_id"))
-    by_set = least.select("set_id", "root").distinct().join(named, "root").select("set_id", "root", "component_id")
-    return found.select("doc_id", "text_id", "set_id", "n").join(by_set, "set_id", "left")
+    # written, so that both sides of the last join are exchanged plainly and a set with many copies can be split
+    path = fresh_dir(docs.sparkSession, "components-by-set")
+    least.select("set_id", "root").distinct().join(named, "root").select("set_id", "root", "component_id").write.parquet(path)
+    described = found.select("doc_id", "text_id", "set_id", "n")
+    joined = described.filter("set_id IS NOT NULL").join(docs.sparkSession.read.parquet(path), "set_id")
+    empty = described.filter("set_id IS NULL").withColumns({c: F.lit(None).cast("long") for c in ("root", "component_id")})
+    return joined.select(*empty.columns).unionAll(empty)
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """Of every component of near copies the document with the smallest id; documents without words all stay apart.
+
+    Rows are told apart by id and text: rows that share an id only are decided one by one, and of those that are near copies
+    of each other the text of smallest hash stays. A null id is larger than all others: it is stood in for by a number made
+    from the text. The columns are those of ``docs``, which has ``doc_id`` and ``text``.
+    """
+    spark = docs.sparkSession
+    key, text_id = "near_duplicates_key", "near_duplicates_text"
+    made = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made)).withColumn(
+        text_id, F.xxhash64(F.col("text").cast("binary")))
+    path = fresh_dir(spark, "near-duplicates")
+    components_by_row(keyed.select(key, "text"), id_column=key).filter("root IS NOT NULL").select(
+        F.col("doc_id").alias(key), F.col("text_id").alias(text_id), "root").write.parquet(path)
+    found = spark.read.parquet(path).groupBy(key, text_id).agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("rows"))
+    first = found.groupBy("root").agg(F.min(F.struct(key, text_id)).alias("first"))
+    stays = F.col("first") == F.struct(key, text_id)
+    path = fresh_dir(spark, "near-duplicates-decided")
+    found.join(first, "root").select(key, text_id, stays.alias("stays"), "rows").write.parquet(path)
+    found = spark.read.parquet(path)
+    # only rows that may have to go, or that may repeat, are moved; all others stay where they are
+    bits = id_filter(found.filter("NOT stays OR rows > 1"), key)
+    doubtful = passes(key, bits) & F.coalesce(F.col("text").rlike(f"[^{SPACE_CLASS[1:-1]}]"), F.lit(False))
+    kept = found.filter("stays").select(key, text_id)
+    moved = keyed.filter(doubtful).join(kept, [key, text_id], "left_semi").dropDuplicates([key, text_id])
+    return keyed.filter(~doubtful).unionByName(moved).select(*docs.columns)
 
 
 def similar_pairs(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id",
