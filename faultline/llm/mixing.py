@@ -2,19 +2,20 @@
 
 Documents are counted into cells (source, language, topic). A document of a cell is kept with probability
 ``budget`` times its factor; the factors are raked until the expected tokens meet the targets of all three marginals. Cells
-stay in Spark: a step is a partial aggregation over the cells and a join with its sums, one row per category, and after each
-round the cells are written to the shared folder to cut lineage.
+stay in Spark: a step is a window sum over the cells of each category, and all rounds are one plan without a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.llm.common import SPACE_CLASS
 from faultline.session import settle
 
 DIMENSIONS = ("source", "lang", "topic")
 ITERATIONS = 8
+#: Cells up to this number are raked in one partition and broadcast to the documents.
+FEW_CELLS = 1 << 16
 #: Share of all tokens that is kept, where no probability is cut at 1.
 BUDGET = 0.6
 #: A number is the power that a category's natural share is raised to; a mapping names shares, and what is left to 1 goes
@@ -58,17 +59,23 @@ def targets_of(cells: DataFrame, name: str, target: float | dict[str, float]) ->
 
 
 def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], iterations: int = ITERATIONS) -> DataFrame:
-    """``source, lang, topic, factor`` of every cell; ``cells`` has ``tokens`` and is settled."""
+    """``source, lang, topic, factor`` of every cell; ``cells`` has ``tokens`` and is settled.
+
+    A marginal step is a window sum over the cells of a category. Few cells, as counted, are taken into one partition, where
+    the windows need no exchange.
+    """
+    few = cells.count() <= FEW_CELLS
     for d in DIMENSIONS:
         cells = cells.join(targets_of(cells, d, targets[d]).withColumnRenamed("target", f"t_{d}"), d)
     cells = settle(cells.withColumn("factor", F.lit(1.0)))
+    if few:
+        cells = cells.coalesce(1)
     for _ in range(iterations):
         for d in DIMENSIONS:
-            now = cells.groupBy(d).agg(F.sum(F.col("tokens") * F.col("factor")).alias("now"))
-            scaled = F.when(F.col("now") > 0, F.col("factor") * F.col(f"t_{d}") / F.col("now")).otherwise(0.0)
-            cells = cells.join(now, d).withColumn("factor", scaled).drop("now")
-        cells = settle(cells)
-    return cells.select(*DIMENSIONS, "factor")
+            now = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(d))
+            cells = cells.withColumn("now", now).withColumn("factor", F.when(
+                F.col("now") > 0, F.col("factor") * F.col(f"t_{d}") / F.col("now")).otherwise(0.0)).drop("now")
+    return settle(cells.select(*DIMENSIONS, "factor"))
 
 
 def mix(docs: DataFrame, targets: dict[str, float | dict[str, float]] = TARGETS, budget: float = BUDGET,
@@ -86,6 +93,8 @@ def mix(docs: DataFrame, targets: dict[str, float | dict[str, float]] = TARGETS,
         *DIMENSIONS, F.least(F.lit(1.0), F.col("factor") * (budget * total)).alias("probability"))
     drawn_by = F.coalesce(F.col("doc.doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce("doc.text", F.lit(""))))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), drawn_by)), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    if cells.count() <= FEW_CELLS:
+        rate = F.broadcast(rate)  # counted just now: the texts stay where they are
     return rows.join(rate, list(DIMENSIONS)).withColumn("kept", draw < F.col("probability"))
 
 
