@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.llm import alignment, fim, simhash
+from faultline.llm import alignment, fim, simhash, substring_dedup, topk
 
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 ODD = [None, "", " ", " \t\n", "a", " a", "a ", "one two  three\n", "é𝒳 ü\x0b" * 700, "has <P> inside", "ends <M", "x" * 3000,
@@ -222,3 +222,19 @@ def test_fingerprints_of_copies(spark):
     assert got[1].fingerprint == got[2].fingerprint and got[1].copies == 2 and len(got) == 4
     differ = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(got[a].fingerprint, got[b].fingerprint))
     assert differ(1, 3) < 20 < 80 < differ(1, 4)
+
+
+def test_scores_beyond_64_bits(spark):
+    big, least = (1 << 63) - 1, -(1 << 63)
+    rows = [(0, [3e7, 3e7]), (1, [3e7, 3e7]), (2, [1.0, 2.0]), (3, [-3e7, -3e7]), (4, [1e300, -1e300]), (5, [])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in topk.top_k(vectors, F.col("vec_id") == 0, 5).orderBy("rank").collect()]
+    k = 256 * 30_000_000
+    assert got == [(1, 1, big), (2, 2, k * 768), (3, 5, 0), (4, 4, k * big + k * least), (5, 3, least)]
+
+
+def test_many_rows_of_one_passage(spark):
+    docs = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"),
+                                      F.lit(" ".join(f"w{i}" for i in range(60))).alias("text"))
+    got = substring_dedup.remove_repeats(docs, with_text=False).groupBy("n_words", "n_removed").count().collect()
+    assert [tuple(r) for r in got] == [(60, 60, 60_000)]
