@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm import mixing, ngram_join, packing, pii, quality
-from faultline.llm.common import SPACE_CLASS
 from faultline.session import fresh_dir
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,29 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of near copies the document with the smallest id; documents without words all stay apart.
-
-    Rows are told apart by id and text: rows that share an id only are decided one by one, and of those that are near copies
-    of each other the text of smallest hash stays. A null id is larger than all others: it is stood in for by a number made
-    from the text.
-    """
-    key, text_id = "near_duplicates_key", "near_duplicates_text"
-    made = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made)).withColumn(
-        text_id, F.xxhash64(F.col("text").cast("binary")))
-    path = fresh_dir(spark, "near-duplicates")
-    ngram_join.components_by_row(keyed.select(key, "text"), id_column=key).filter("root IS NOT NULL").select(
-        F.col("doc_id").alias(key), F.col("text_id").alias(text_id), "root").write.parquet(path)
-    found = spark.read.parquet(path).groupBy(key, text_id).agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("rows"))
-    first = found.groupBy("root").agg(F.min(F.struct(key, text_id)).alias("first"))
-    stays = F.col("first") == F.struct(key, text_id)
-    found = found.join(first, "root").select(key, text_id, stays.alias("stays"), "rows")
-    # only rows that may have to go, or that may repeat, are moved; all others stay where they are
-    bits = ngram_join.id_filter(found.filter("NOT stays OR rows > 1"), key)
-    doubtful = ngram_join.passes(key, bits) & F.coalesce(F.col("text").rlike(f"[^{SPACE_CLASS[1:-1]}]"), F.lit(False))
-    kept = found.filter("stays").select(key, text_id)
-    moved = keyed.filter(doubtful).join(kept, [key, text_id], "left_semi").dropDuplicates([key, text_id])
-    return keyed.filter(~doubtful).unionByName(moved).select(*docs.columns)
+    """Of every component of near copies the document with the smallest id; documents without words all stay apart."""
+    return ngram_join.without_near_copies(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
