@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -36,6 +36,11 @@ class MinerConfig:
         if self.depth < 3:
             raise ValueError("depth must be at least 3")
 
+    @property
+    def cap(self) -> int | None:
+        """Most clusters of a shard."""
+        return self.max_clusters if self.engine == "length" else self.max_clusters_per_word
+
     def path_tokens(self, tokens: list[str]) -> list[str]:
         """The tokens that route a line below its shard."""
         n = len(tokens)
@@ -45,7 +50,8 @@ class MinerConfig:
 
 
 class Codes(dict):
-    """Token -> code, new tokens numbered as they come. A literal wildcard in a line equals no template position."""
+    """Token -> code of the tokens of templates. A literal wildcard in a line equals no template position, and neither
+    does a token that no template has."""
 
     def __init__(self, param: str):
         super().__init__({param: -1})
@@ -54,6 +60,34 @@ class Codes(dict):
         code = self[token] = len(self)
         return code
 
+    def seen(self, tokens: list[str]) -> np.ndarray:
+        """Codes to compare with; nothing is kept of other tokens."""
+        return np.array([self.get(t, -2) for t in tokens], np.int32)
+
+
+@dataclass
+class Footprint:
+    """What the lines since some state looked at and changed: leaves, children that were not there, children opened.
+
+    A run from an old state is worth as much as one from the newest if nothing it looked at has been changed since, and if
+    what limits growth (children of a node, clusters of the shard) was not near. A child never goes, so a step that finds one
+    depends on nothing.
+    """
+
+    reads: set[str] = field(default_factory=set)
+    writes: set[str] = field(default_factory=set)
+    opened: dict[str, int] = field(default_factory=dict)  # children by node
+    created: int = 0
+    evicted: bool = False
+
+
+def _leaf(path: tuple) -> str:
+    return "L " + " ".join(path)
+
+
+def _child(path: tuple, token: str) -> str:
+    return "K " + " ".join((*path, token))
+
 
 class Leaf:
     """Clusters of one leaf in insertion order; templates of equal length are rows of one code matrix."""
@@ -97,8 +131,8 @@ class Shard:
         self.texts: dict[int, str] = {}
         self.bags: dict[int, tuple[set, set]] = {}
         self.next_id = 0
-        self.changed = False
-        self.evicted = False
+        self.steps = Footprint()
+        self.looked: set[tuple] = set()
         rows = sorted(rows, key=lambda r: r["tree_ord"])
         for r in rows:
             path = tuple(r["leaf_path"].split(" ")) if r["leaf_path"] else ()
@@ -122,10 +156,13 @@ class Shard:
             kids = self.kids.get(path, {})
             if t in kids:
                 path += (t,)
-            elif self.cfg.param in kids:
-                path += (self.cfg.param,)
-            else:
+                continue
+            self.steps.reads.add(_child(path, t))
+            if self.cfg.param not in kids:
+                self.steps.reads.add(_child(path, self.cfg.param))
                 return None
+            path += (self.cfg.param,)
+        self.looked.add(path)
         return path
 
     def _grow(self, tokens: list[str]) -> tuple:
@@ -139,7 +176,11 @@ class Shard:
                 room = len(kids) + (0 if cfg.param in kids else 1) < cfg.max_children
                 if numeric or not room:
                     t = cfg.param
-                kids.setdefault(t)
+                if t not in kids:
+                    kids[t] = None
+                    self.steps.writes.add(_child(path, t))
+                    node = " ".join(path)
+                    self.steps.opened[node] = self.steps.opened.get(node, 0) + 1
             path += (t,)
         return path
 
@@ -151,6 +192,9 @@ class Shard:
         book = self.codebook
         return np.array([book[t] for t in tokens], np.int32)
 
+    def _seen(self, tokens: list[str]) -> np.ndarray | None:
+        return self.codebook.seen(tokens) if self.cfg.engine == "length" else None
+
     def _place(self, path: tuple, cid: int, tokens: list[str], codes: np.ndarray | None = None) -> None:
         codes = self._encode(tokens) if codes is None else codes
         leaf = self.leaves.get(path)
@@ -177,7 +221,7 @@ class Shard:
             return leaf.ids[0]
         wild = leaf.wild[:n]
         if self.cfg.engine == "length":
-            codes = self._encode(tokens) if codes is None else codes
+            codes = self._seen(tokens) if codes is None else codes
             same = (leaf.codes[:n] == codes).sum(axis=1)
             score = (same + wild if wild_counts else same) / len(tokens)
         else:
@@ -219,20 +263,21 @@ class Shard:
 
     def add(self, tokens: list[str], pos: int) -> tuple[str, int]:
         """Feed one line; returns (change, cluster)."""
-        codes = self._encode(tokens)
+        codes = self._seen(tokens)
         cid = self.best(self.route(tokens), tokens, self.cfg.sim_th, False, codes)
         if cid is None:
-            cap = self.cfg.max_clusters if self.cfg.engine == "length" else self.cfg.max_clusters_per_word
-            if cap is not None and len(self.templates) >= cap:
+            if self.cfg.cap is not None and len(self.templates) >= self.cfg.cap:
                 self._evict()
             self.next_id += 1
+            self.steps.created += 1
             cid = self.next_id
-            self._place(self._grow(tokens), cid, tokens, codes)
+            self._place(self._grow(tokens), cid, tokens)
             change = "cluster_created"
         else:
             changed = self._merge_sets(cid, tokens) if codes is None else self._merge(cid, codes)
             change = "cluster_template_changed" if changed else "none"
-        self.changed |= change != "none"
+        if change != "none":
+            self.steps.writes.add(_leaf(self.home[cid]))
         self.touched[cid] = pos
         self.touched.move_to_end(cid)
         return change, cid
@@ -271,11 +316,53 @@ class Shard:
     def _evict(self) -> None:
         """Forget the cluster that was updated longest ago; its leaf stays open."""
         cid, _ = self.touched.popitem(last=False)
+        self.steps.writes.add(_leaf(self.home[cid]))
+        self.steps.evicted = True
+        self._forget(cid)
+
+    def _forget(self, cid: int) -> None:
         self.leaves[self.home.pop(cid)].drop(cid)
         del self.templates[cid]
         self.texts.pop(cid, None)
         self.bags.pop(cid, None)
-        self.evicted = True
+
+    # -- runs from an older state ---------------------------------------------------------------------------------
+
+    @property
+    def evicted(self) -> bool:
+        """Has a cluster been forgotten?"""
+        return self.steps.evicted
+
+    def footprint(self) -> Footprint:
+        """What all lines fed so far looked at and changed."""
+        self.steps.reads.update(map(_leaf, self.looked))
+        return self.steps
+
+    def allows(self, run: Footprint, changed: set[str], opened: dict[str, int]) -> bool:
+        """Would ``run``, made before the ``changed`` and ``opened`` things were, come out the same from here?"""
+        if run.evicted or self.cfg.cap is not None and run.created and len(self.templates) + run.created > self.cfg.cap:
+            return False
+        if not changed.isdisjoint(run.reads):
+            return False
+        nodes = ((tuple(node.split(" ")) if node else (), n) for node, n in run.opened.items() if node in opened)
+        return all(len(self.kids.get(path, {})) + n + 1 <= self.cfg.max_children for path, n in nodes)
+
+    def take_over(self, rows: Iterable[dict], base: int, shift: int, created: int) -> None:
+        """Leaves as a run left them, in the run's order; ids that it made beyond ``base`` move up by ``shift``."""
+        rows = list(rows)
+        for path in dict.fromkeys(r["leaf_path"] for r in rows):
+            leaf = self.leaves.get(tuple(path.split(" ")) if path else ())
+            for cid in list(leaf.ids) if leaf else ():
+                self._forget(cid)
+                self.touched.pop(cid, None)
+        for r in rows:
+            path = tuple(r["leaf_path"].split(" ")) if r["leaf_path"] else ()
+            self._open(path)
+            if r["local_id"] is not None:
+                cid = r["local_id"] + (shift if r["local_id"] > base else 0)
+                self._place(path, cid, r["tokens"])
+                self.touched[cid] = r["touched"]
+        self.next_id += created
 
     def rows(self) -> Iterator[dict]:
         """Catalogue rows in tree order; a leaf without clusters keeps one row so that routing survives a reload."""

@@ -2,10 +2,11 @@
 
 Mining depends on the order of the lines of a shard. Lines of a shard are ranked and cut into bounded chunks. In a round,
 one task per shard, the lead, runs several chunks one after the other from the known state, and other tasks try later chunks
-from that same state; most lines only join a cluster and leave the state as it is. Up to and including the first task that
-changes it, the results are those of a sequential run, and mining goes on behind it: with a long lead where the state keeps
-changing, with many tries where it does not. Chunks lie in folders by their number, so finished ones are not read again. A
-shard that holds a third of all lines is thus never one task, and small shards finish in the first round.
+from that same state. Every run notes which leaves it looked at and which it changed. A try is worth as much as a run in order
+if no earlier one of the round changed what it looked at; the changes of all such runs, which are of different leaves, are put
+together, and mining goes on behind the first try that is not. So rounds grow with the conflicts on a leaf, not with the
+number of changes. Chunks lie in folders by their number, so finished ones are not read again. A shard that holds a third of
+all lines is thus never one task; where all shards are one chunk, lines are neither ranked nor written before.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.functions.clock import quoted
-from faultline.operators.mining_core import MinerConfig, Shard
+from faultline.operators.mining_core import Footprint, MinerConfig, Shard
 from faultline.operators.order import global_rank
 from faultline.session import fresh_dir, settle
 
@@ -31,8 +33,11 @@ ID_BITS = 32
 STATE = ("shard string, local_id bigint, tokens array<string>, leaf_path string, tree_ord bigint, touched bigint, "
          "next_id bigint")
 STEP_OUT = ("kind string, shard string, chunk bigint, pos bigint, change_type string, template_mined string, "
-            "seen bigint, ts bigint, changed boolean, evicted boolean, local_id bigint, tokens array<string>, "
-            "leaf_path string, tree_ord bigint, touched bigint, next_id bigint")
+            "seen bigint, ts bigint, local_id bigint, tokens array<string>, leaf_path string, tree_ord bigint, "
+            "touched bigint, next_id bigint, reads array<string>, writes array<string>, nodes array<string>, "
+            "opened array<bigint>, created bigint, evicted boolean")
+#: What the runs of a round come to: the chunks that count, how far their new ids move up, or a row of the new state.
+JUDGED = STATE + ", kind string, base bigint, accepted array<bigint>, shifts array<bigint>"
 CATALOG = STATE + ", size bigint, latest_ts bigint"
 
 
@@ -49,13 +54,27 @@ def _arrow_type(schema: str | T.StructType) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
+def _table(columns: dict, n: int, want: pa.Schema) -> pa.Table:
+    """The columns in the shape of ``want``; lacking ones are null."""
+    return pa.table([pa.chunked_array([pa.nulls(n, f.type)]) if f.name not in columns else
+                     columns[f.name].cast(f.type) if isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else
+                     pa.array(columns[f.name], f.type) for f in want], schema=want)
+
+
 def _step(cfg: MinerConfig, keys: Sequence[str], want: pa.Schema):
-    """One run of chunks of one shard, fed in order from the handed-over state; named by its first chunk."""
+    """One run of chunks of one shard, fed in order from the handed-over state; named by its first chunk.
+
+    Lines without ``pos`` are all lines of their shard and are put in order here.
+    """
 
     def run(key, lines: pa.Table, state: pa.Table) -> pa.Table:
         name, chunk = key[0].as_py(), key[1].as_py()
         shard = Shard(cfg, state.to_pylist())
-        lines = lines.sort_by("pos")
+        if lines["pos"].null_count:
+            lines = lines.take(pc.sort_indices(lines, [(k, "ascending") for k in keys], null_placement="at_start"))
+            lines = lines.set_column(lines.schema.get_field_index("pos"), "pos", pa.array(range(len(lines)), pa.int64()))
+        else:
+            lines = lines.sort_by("pos")
         change, local, shown, seen, latest = [], [], [], [], []
         count: dict[int, int] = {}
         newest: dict[int, int] = {}
@@ -71,19 +90,52 @@ def _step(cfg: MinerConfig, keys: Sequence[str], want: pa.Schema):
             seen.append(count[cid])
             latest.append(newest[cid])
             created.append(shard.next_id)
-        n = len(local)
-        parts = [pa.table({"kind": ["line"] * n, "pos": lines["pos"], "change_type": change, "template_mined": shown,
-                           "seen": seen, "ts": latest, "local_id": pa.array(local, pa.int64()),
-                           "next_id": pa.array(created, pa.int64()), **{k: lines[k] for k in keys}}),
-                 pa.table({"kind": ["chunk"], "changed": [shard.changed], "evicted": [shard.evicted]})]
-        if shard.changed:
-            left = list(shard.rows())
-            cols = {c: pa.array([r[c] for r in left], want.field(c).type) for c in left[0]}
-            parts.append(pa.table({"kind": ["state"] * len(left), **cols}))
-        out = pa.concat_tables(parts, promote_options="default")
-        cols = {"shard": pa.array([name] * len(out), pa.string()), "chunk": pa.array([chunk] * len(out), pa.int64())}
-        cols |= {c: out[c].cast(want.field(c).type) for c in out.column_names}
-        return pa.table([cols[f.name] if f.name in cols else pa.nulls(len(out), f.type) for f in want], schema=want)
+        n, made = len(local), shard.footprint()
+        named = {"shard": name, "chunk": chunk}
+        parts = [_table({"kind": ["line"] * n, "pos": lines["pos"], "change_type": change, "template_mined": shown,
+                         "seen": seen, "ts": latest, "local_id": local, "next_id": created,
+                         **{k: [v] * n for k, v in named.items()}, **{k: lines[k] for k in keys}}, n, want),
+                 _table({"kind": ["chunk"], "reads": [sorted(made.reads)], "writes": [sorted(made.writes)],
+                         "nodes": [list(made.opened)], "opened": [list(made.opened.values())], "created": [made.created],
+                         "evicted": [made.evicted], **{k: [v] for k, v in named.items()}}, 1, want)]
+        if made.writes:
+            left = [r for r in shard.rows() if "L " + r["leaf_path"] in made.writes]
+            parts.append(_table({"kind": ["state"] * len(left), **{k: [v] * len(left) for k, v in named.items()},
+                                 **{c: [r[c] for r in left] for c in left[0]}}, len(left), want))
+        return pa.concat_tables(parts)
+
+    return run
+
+
+def _judge(cfg: MinerConfig, want: pa.Schema):
+    """The runs of a shard's round, in order: which count, and the state behind the last of them."""
+
+    def run(key, runs: pa.Table, state: pa.Table) -> pa.Table:
+        name = key[0].as_py()
+        shard = Shard(cfg, state.to_pylist())
+        base, shift, accepted, shifts = shard.next_id, 0, [], []
+        changed: set[str] = set()
+        opened: dict[str, int] = {}
+        chunks = sorted(runs.filter(pc.equal(runs["kind"], "chunk")).to_pylist(), key=lambda r: r["chunk"])
+        for r in chunks:
+            made = Footprint(set(r["reads"]), set(r["writes"]), dict(zip(r["nodes"], r["opened"])), r["created"], r["evicted"])
+            if accepted and not shard.allows(made, changed, opened):
+                break
+            accepted.append(r["chunk"])
+            shifts.append(shift)
+            if made.writes:
+                left = runs.filter(pc.and_(pc.equal(runs["kind"], "state"), pc.equal(runs["chunk"], r["chunk"])))
+                shard.take_over(sorted(left.to_pylist(), key=lambda x: x["tree_ord"]), base, shift, made.created)
+            changed |= made.writes
+            for node, n in made.opened.items():
+                opened[node] = opened.get(node, 0) + n
+            shift += made.created
+        parts = [_table({"kind": ["runs"], "shard": [name], "base": [base], "accepted": [accepted], "shifts": [shifts]}, 1, want)]
+        if changed:
+            rows = list(shard.rows())
+            parts.append(_table({"kind": ["state"] * len(rows), "shard": [name] * len(rows),
+                                 **{c: [r[c] for r in rows] for c in rows[0]}}, len(rows), want))
+        return pa.concat_tables(parts)
 
     return run
 
@@ -91,22 +143,27 @@ def _step(cfg: MinerConfig, keys: Sequence[str], want: pa.Schema):
 def _mine(df: DataFrame, text: Column, tokens: Column, ts: Column, order_by: Sequence[str], cfg: MinerConfig,
           initial: DataFrame | None, chunk_tokens: int, lead: int) -> tuple[DataFrame, DataFrame]:
     spark = df.sparkSession
-    rows_path, done_path = fresh_dir(spark, "mining-rows"), fresh_dir(spark, "mined-lines")
+    done_path = fresh_dir(spark, "mined-lines")
     keys = [f"_key{i}" for i in range(len(order_by))]
     lines = df.select(*[F.col(quoted(o)).alias(k) for o, k in zip(order_by, keys)],
                       shard_of(tokens, cfg.engine).alias("shard"), text.alias("text"),
                       F.size(tokens).alias("_len"), ts.cast("bigint").alias("ts"))
-    ranked = global_rank(lines, keys, by=["shard"], name="pos")
     out_schema = T.StructType([*T.StructType.fromDDL(STEP_OUT), *[T.StructField(k, lines.schema[k].dataType) for k in keys]])
-    step = _step(cfg, keys, _arrow_type(out_schema))
-    if cfg.engine == "length":
-        ranked = ranked.withColumn("_longest", F.col("_len"))
-    else:
-        ranked = ranked.join(ranked.groupBy("shard").agg(F.max("_len").alias("_longest")), "shard")
+    step, judge = _step(cfg, keys, _arrow_type(out_schema)), _judge(cfg, _arrow_type(JUDGED))
     per_chunk = F.greatest(F.floor(F.lit(chunk_tokens) / F.greatest("_longest", F.lit(1))), F.lit(1))
-    (ranked.withColumn("chunk", F.floor(F.col("pos") / per_chunk)).withColumn("band", F.floor(F.col("chunk") / BAND))
-     .drop("_longest", "_len").write.partitionBy("band").parquet(rows_path))
-    rows = spark.read.parquet(rows_path)
+    # one row per shard: token counts are no more than the longest line is long; first words may be many
+    few = F.broadcast if cfg.engine == "length" else (lambda d: d)
+    shards = settle(lines.groupBy("shard").agg(F.count("*").alias("_lines"), F.max("_len").alias("_longest"))
+                    .select("shard", per_chunk.alias("_per"), F.floor((F.col("_lines") - 1) / per_chunk).alias("last")))
+    whole = not shards.filter("last > 0").head(1)
+    if whole:
+        rows = lines.drop("_len").withColumns({c: F.lit(v).cast("bigint") for c, v in (("pos", None), ("chunk", 0), ("band", 0))})
+    else:
+        rows_path = fresh_dir(spark, "mining-rows")
+        ranked = global_rank(lines.drop("_len"), keys, by=["shard"], name="pos").join(few(shards), "shard")
+        (ranked.withColumn("chunk", F.floor(F.col("pos") / F.col("_per"))).withColumn("band", F.floor(F.col("chunk") / BAND))
+         .drop("_per", "last").write.partitionBy("band").parquet(rows_path))
+        rows = spark.read.parquet(rows_path)
 
     if initial is None:
         state = spark.createDataFrame([], STATE)
@@ -114,15 +171,17 @@ def _mine(df: DataFrame, text: Column, tokens: Column, ts: Column, order_by: Seq
         # lines of this run come after everything the catalogue has seen; a shard's catalogue is small
         age = F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("touched"), F.desc("local_id")))
         state = initial.select(*[f.name for f in T.StructType.fromDDL(STATE)]).withColumn("touched", -age.cast("bigint"))
-    progress = rows.groupBy("shard").agg(F.max("chunk").alias("last")).select(
-        "shard", F.lit(0).cast("bigint").alias("nxt"), "last", F.lit(0).cast("bigint").alias("span"),
-        F.lit(lead).cast("bigint").alias("lead"))
-    # one row per shard: token counts are no more than the longest line is long; first words may be many
-    few = F.broadcast if cfg.engine == "length" else (lambda d: d)
+    progress = shards.select("shard", F.lit(0).cast("bigint").alias("nxt"), "last", F.lit(0).cast("bigint").alias("span"),
+                             F.lit(lead).cast("bigint").alias("lead"))
     lines_type = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out_schema
                            if f.name in ("shard", "chunk", "pos", "change_type", "template_mined", "seen", "ts", "local_id"))
     lines_type += ", created bigint, " + ", ".join(f"{k} {lines.schema[k].dataType.simpleString()}" for k in keys)
+    names = [f.name for f in T.StructType.fromDDL(STATE)]
     rounds, low, high = 0, 0, (lead - 1) // BAND
+    state_path = fresh_dir(spark, "mined-state")
+    if initial is not None and not whole:  # shards of the catalogue without new lines
+        state.join(few(shards.select("shard")), "shard", "left_anti").write.mode("append").parquet(state_path)
+        state = state.join(few(shards.select("shard")), "shard", "left_semi")
     while True:
         window = progress.withColumns({"stop": F.least("last", F.col("nxt") + F.col("lead") + F.col("span") - 1),
                                        "behind": F.least(F.col("last") + 1, F.col("nxt") + F.col("lead"))})
@@ -136,37 +195,51 @@ def _mine(df: DataFrame, text: Column, tokens: Column, ts: Column, order_by: Seq
             "chunk", F.explode(F.concat(F.array("nxt"), tries))).drop("nxt", "stop", "behind")
         out = settle(todo.groupBy("shard", "chunk").cogroup(starts.groupBy("shard", "chunk"))
                      .applyInArrow(step, out_schema))
-        first = (out.filter("kind = 'chunk' and changed").groupBy("shard")
-                 .agg(F.min_by(F.struct("chunk", "evicted"), "chunk").alias("_f"))
-                 .select("shard", F.col("_f.chunk").alias("_at"), F.col("_f.evicted").alias("_ev")))
-        # an eviction needs the recency of the chunks before it, which only the first task of a round has
-        upto = (F.when(F.col("_at").isNull(), F.col("stop")).when(F.col("_at") == F.col("nxt"), F.col("behind") - 1)
-                .when(~F.col("_ev"), F.col("_at")).otherwise(F.col("_at") - 1))
-        judged = window.join(first, "shard", "left").withColumn("upto", upto)
-        kept = out.join(few(judged.select("shard", "upto", "_at")), "shard").filter(F.col("chunk") <= F.col("upto"))
-        fed = kept.filter("kind = 'line'").select("shard", "chunk", "pos", "change_type", "template_mined", "seen",
-                                                  "ts", "local_id", F.col("next_id").alias("created"), *keys)
+        if rounds or initial is not None:
+            judged = settle(out.filter("kind <> 'line'").drop(*keys).groupBy("shard").cogroup(state.groupBy("shard"))
+                            .applyInArrow(judge, T.StructType.fromDDL(JUDGED)))
+        else:  # lead runs only, from nothing: what they leave is the state
+            judged = out.withColumns({"kind": F.when(F.col("kind") == "chunk", "runs").otherwise(F.col("kind")),
+                                      "base": F.lit(0).cast("bigint"), "accepted": F.array("chunk"),
+                                      "shifts": F.array(F.lit(0).cast("bigint"))})
+        verdict = judged.filter("kind = 'runs'").select("shard", "base", F.map_from_arrays("accepted", "shifts").alias("_shifts"),
+                                                        F.array_max("accepted").alias("_upto"))
+        kept = out.filter("kind = 'line'").join(few(verdict), "shard").withColumn("_shift", F.col("_shifts")[F.col("chunk")])
+        fed = kept.filter("_shift IS NOT NULL").select(
+            "shard", "chunk", "pos", "change_type", "template_mined", "seen", "ts",
+            (F.col("local_id") + F.when(F.col("local_id") > F.col("base"), F.col("_shift")).otherwise(0)).alias("local_id"),
+            (F.col("next_id") + F.col("_shift")).alias("created"), *keys)
         fed.write.mode("append").parquet(done_path)
         rounds += 1
-        names = [f.name for f in T.StructType.fromDDL(STATE)]
-        moved = kept.filter((F.col("kind") == "state") & (F.col("chunk") == F.col("_at")))
+        moved = judged.filter("kind = 'state'").select(*names)
         still = state.join(moved.select("shard").distinct(), "shard", "left_anti")
         touch = fed.groupBy("shard", "local_id").agg(F.max("pos").alias("_pos"))
-        state = (moved.select(*names).unionByName(still.select(*names)).join(touch, ["shard", "local_id"], "left")
+        state = (moved.unionByName(still.select(*names)).join(touch, ["shard", "local_id"], "left")
                  .withColumn("touched", F.greatest("touched", F.coalesce("_pos", "touched"))).select(*names))
-        calm = F.col("_at").isNull()
+        if whole:
+            state = settle(state)
+            break
+        # the lead run stands for all chunks before ``behind``
+        judged_at = window.join(verdict, "shard").withColumn("upto", F.when(
+            F.col("_upto") == F.col("nxt"), F.col("behind") - 1).otherwise(F.col("_upto")))
+        calm = F.col("upto") == F.col("stop")
         wide = F.when(calm, F.greatest(F.col("span"), F.lit(1)) * 4).otherwise(
             F.greatest((F.col("upto") - F.col("behind") + 1) * 2, F.lit(1)))
-        progress = settle(judged.select(
+        progress = settle(judged_at.select(
             "shard", (F.col("upto") + 1).alias("nxt"), "last", F.least(wide, F.lit(MAX_SPAN)).cast("bigint").alias("span"),
             F.when(calm, F.lit(1)).otherwise(F.lit(lead)).cast("bigint").alias("lead")).filter(F.col("nxt") <= F.col("last")))
         reach = progress.agg(F.min("nxt").alias("low"), F.max(F.col("nxt") + F.col("lead") + F.col("span") - 1).alias("high")).first()
+        # shards that are done leave the loop
+        state = settle(state)
+        state.join(few(progress.select("shard")), "shard", "left_anti").write.mode("append").parquet(state_path)
         if reach["low"] is None:
-            # one round without a past: every shard was a single task, and what it saw are the totals
-            done = spark.read.schema(lines_type).parquet(done_path).withColumnsRenamed(dict(zip(keys, order_by)))
-            return _with_totals(done, state, initial, order_by, alone=rounds == 1 and initial is None)
+            state = spark.read.parquet(state_path)
+            break
         low, high = reach["low"] // BAND, reach["high"] // BAND
-        state = settle(state)
+        state = state.join(few(progress.select("shard")), "shard", "left_semi")
+    # one round without a past: every shard was a single task, and what it saw are the totals
+    done = spark.read.schema(lines_type).parquet(done_path).withColumnsRenamed(dict(zip(keys, order_by)))
+    return _with_totals(done, state, initial, order_by, alone=rounds == 1 and initial is None)
 
 
 def _with_totals(done: DataFrame, state: DataFrame, initial: DataFrame | None, order_by: Sequence[str],

@@ -200,3 +200,50 @@ def test_parameter_values(spark):
     df = spark.createDataFrame([("hello <*>", "hello \t BCD"), ("hello <*>", "bye")], "t string, m string")
     got = df.select(parameter_values(F.col("t"), F.col("m")).alias("v")).collect()
     assert [r["v"] for r in got] == [["BCD"], []]
+
+
+def letters(n):
+    return "".join(chr(97 + n // 26 ** k % 26) for k in range(3))
+
+
+def mined_in_rounds(spark, monkeypatch, lines, cfg, chunk, lead=1):
+    """(as compared with a sequential run, number of rounds)"""
+    rounds, settle = [], tp.settle
+    monkeypatch.setattr(tp, "settle", lambda df: (rounds.append("reads" in df.columns), settle(df))[1])
+    model = Sequential(cfg)
+    expected = []
+    for i, x in enumerate(lines):
+        change, (name, cid), shown = model.add(x)
+        expected.append((i, str(name), cid, change, model.sizes[(name, cid)], shown))
+    got, catalog = tp.mine_templates(frame(spark, lines), "tokens", ["id"], cfg, ts="ts", chunk_tokens=chunk, lead=lead)
+    rows = sorted((r["id"], r["shard"], r["local_id"], r["change_type"], r["cluster_size"], r["template_mined"])
+                  for r in got.collect())
+    assert rows == expected
+    live = {(r["shard"], r["local_id"]): (r["size"], r["tokens"], r["tree_ord"]) for r in tp.live_templates(catalog).collect()}
+    order = {(str(n), r["local_id"]): r["tree_ord"] for n, s in model.shards.items() for r in s.rows()}
+    assert live == {(str(n), c): (model.sizes[(n, c)], t, order[str(n), c]) for n, s in model.shards.items()
+                    for c, t in s.templates.items()}
+    return sum(rounds)
+
+
+def test_changes_of_different_leaves_do_not_wait(spark, monkeypatch):
+    """Every chunk of four lines opens a leaf of its own: as many changes as chunks, few rounds."""
+    lines = [f"{letters(i // 2)} makes {letters(i)} today" for i in range(120)]
+    cfg = MinerConfig(sim_th=0.4, max_clusters=None, max_children=1000)
+    assert mined_in_rounds(spark, monkeypatch, lines, cfg, 16) <= 6
+
+
+def test_conflicts_on_a_leaf_cost_rounds(spark, monkeypatch):
+    """All chunks change one leaf: each is run again behind the one before it."""
+    lines = [f"hot {letters(i)} {letters(i + 500)} {letters(i + 900)}" for i in range(24)]
+    cfg = MinerConfig(sim_th=0.9, max_clusters=None)
+    assert mined_in_rounds(spark, monkeypatch, lines, cfg, 16) == 6
+
+
+@pytest.mark.parametrize("cap,children", [(5, 1000), (None, 6)])
+def test_caps_reached_by_tries(spark, monkeypatch, cap, children):
+    """Forgotten clusters and full nodes depend on all lines before; such tries are not taken."""
+    rng = random.Random(9)
+    lines = [f"{letters(rng.randint(0, 11))} does {letters(rng.randint(0, 3))} {rng.randint(0, 5)}" for i in range(36)]
+    cfg = MinerConfig(sim_th=0.7, max_clusters=cap, max_children=children)
+    mined_in_rounds(spark, monkeypatch, lines, cfg, 24, lead=2)
