@@ -8,10 +8,14 @@ two sums from the start of the slice, which grow row by row: the work is linear
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from faultline.functions.clock import quoted
 from faultline.operators.order import with_halo
@@ -39,63 +43,65 @@ def rolling_per_second(df: DataFrame, metrics: Sequence[str], spans: Sequence[in
                        sec: str = "t_secs") -> DataFrame:
     """W2 and W3 as a (keys, second) table; see :func:`rolling_avg_std`.
 
-    A second is reduced to count, mean, squared deviation, smallest and largest value. Running sums are taken around the
-    mean of the slice, which keeps large counters exact; a frame of equal values has deviation 0.
+    Metrics become rows, so the plan is the same for one metric and for a hundred. A second of a metric is reduced to count,
+    mean, squared deviation, smallest and largest value. Running sums are taken around the mean of the slice, which keeps
+    large counters exact; a frame of equal values has deviation 0.
     """
-    aggs = []
-    for i, m in enumerate(metrics):
-        c = F.col(quoted(m)).cast("double")
-        aggs += [F.count(c).alias(f"_n{i}"), F.avg(c).alias(f"_m{i}"), (F.var_pop(c) * F.count(c)).alias(f"_v{i}"),
-                 F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}")]
-    secs = _per_second(df, keys, sec, aggs, 2 * max(spans))
-    slice_of = Window.partitionBy(*map(quoted, keys), "_slice")
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(quoted(m)).cast("double").alias("x")) for i, m in enumerate(metrics)])
+    tall = df.select(*map(quoted, keys), sec, F.inline(cells).alias("_i", "_x"))
+    secs = tall.groupBy(*map(quoted, keys), sec, "_i").agg(
+        F.count("_x").alias("_n"), F.avg("_x").alias("_m"), (F.var_pop("_x") * F.count("_x")).alias("_v"),
+        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    # all metrics of a slice stay together: one exchange serves the windows and the way back to one row per second
+    secs = with_halo(secs, F.col(sec), 2 * max(spans)).repartition(*map(quoted, keys), "_slice")
+    own = [*keys, "_i"]
+    slice_of = Window.partitionBy(*map(quoted, own), "_slice")
     earlier = slice_of.orderBy(sec).rowsBetween(Window.unboundedPreceding, -1)
     later = slice_of.orderBy(sec).rowsBetween(1, Window.unboundedFollowing)
-    many = range(len(metrics))
-    secs = secs.withColumns({f"_c{i}": F.avg(f"_m{i}").over(slice_of) for i in many}
-                            | {f"_p{i}": F.last(f"_hi{i}", True).over(earlier) for i in many}
-                            | {f"_f{i}": F.first(f"_lo{i}", True).over(later) for i in many})
-    secs = secs.withColumns({f"_d{i}": F.col(f"_n{i}") * (F.col(f"_m{i}") - F.col(f"_c{i}")) for i in many})
+    secs = secs.withColumns({"_c": F.avg("_m").over(slice_of), "_p": F.last("_hi", True).over(earlier),
+                             "_f": F.first("_lo", True).over(later)})
+
+    def flag(c: Column) -> Column:
+        return F.coalesce(c, F.lit(False)).cast("int")
+
+    # a frame holds one value if no second of it holds two and no two neighbours in it differ: of the changes that
+    # end by now, those that began before the frame are taken off again
+    d = F.col("_n") * (F.col("_m") - F.col("_c"))
+    secs = secs.withColumns({
+        "_d": F.coalesce(d, F.lit(0.0)), "_q": F.coalesce(F.col("_v") + d * (F.col("_m") - F.col("_c")), F.lit(0.0)),
+        "_x": flag(F.col("_lo") != F.col("_hi")), "_e": flag(F.col("_p") != F.col("_lo")),
+        "_b": flag(F.col("_f") != F.col("_hi"))})
     sums: dict[str, Column] = {}  # every running sum once, however many spans use it
-    parts: dict[str, Column] = {}
-    new: dict[str, Column] = {}
 
-    def upto(name: str, total: Column, hi: int) -> Column:
+    def upto(name: str, hi: int) -> Column:
         column = f"_u{name}{-hi}"
         if column not in sums:
-            sums[column] = _upto(total, keys, sec, hi)
+            sums[column] = _upto(F.col(f"_{name}"), own, sec, hi)
         return F.col(column)
 
-    def moving(name: str, total: Column, lo: int, hi: int = 0) -> Column:
-        return upto(name, total, hi) - upto(name, total, lo - 1)
-
-    for i, m in enumerate(metrics):
-        square = F.col(f"_v{i}") + F.col(f"_d{i}") * (F.col(f"_m{i}") - F.col(f"_c{i}"))
-        n_, d_ = F.col(f"_n{i}"), F.coalesce(F.col(f"_d{i}"), F.lit(0.0))
-
-        def flag(c: Column) -> Column:
-            return F.coalesce(c, F.lit(False)).cast("int")
-
-        # a frame holds one value if no second of it holds two and no two neighbours in it differ: of the changes that
-        # end by now, those that began before the frame are taken off again
-        mixed = flag(F.col(f"_lo{i}") != F.col(f"_hi{i}"))
-        ends, begins = flag(F.col(f"_p{i}") != F.col(f"_lo{i}")), flag(F.col(f"_f{i}") != F.col(f"_hi{i}"))
-        for w in spans:
-            tag = f"{i}_{w}"
-            uneven = moving(f"x{i}_", mixed, -w) + F.greatest(
-                upto(f"e{i}_", ends, 0) - upto(f"b{i}_", begins, -w - 1), F.lit(0))
-            parts |= {f"_N{tag}": moving(f"n{i}_", n_, -w), f"_S{tag}": moving(f"d{i}_", d_, -w),
-                      f"_Q{tag}": moving(f"q{i}_", F.coalesce(square, F.lit(0.0)), -w), f"_E{tag}": uneven == 0,
-                      f"_B{tag}": moving(f"n{i}_", n_, -2 * w, -w), f"_T{tag}": moving(f"d{i}_", d_, -2 * w, -w)}
-            n, s = F.col(f"_N{tag}"), F.col(f"_S{tag}")
-            mean = F.col(f"_c{i}") + F.try_divide(s, n)
-            past = F.col(f"_c{i}") + F.try_divide(F.col(f"_T{tag}"), F.col(f"_B{tag}"))
-            spread = F.sqrt(F.greatest(F.col(f"_Q{tag}") - s * s / F.nullif(n, F.lit(0)), F.lit(0.0)) / F.nullif(n - 1, F.lit(0)))
-            new[f"{m}_avg_{w}"] = mean
-            new[f"{m}_std_{w}"] = F.when(n < 2, None).when(F.col(f"_E{tag}"), F.lit(0.0)).otherwise(spread)
-            new[f"{m}_pct_change_{w}"] = F.try_divide(mean - past, past)
-    out = secs.withColumns(sums).withColumns(parts).filter("_own")
-    return out.select(*map(quoted, keys), sec, *[c.alias(n) for n, c in new.items()])
+    def moving(name: str, lo: int, hi: int = 0) -> Column:
+        return upto(name, hi) - upto(name, lo - 1)
+
+    parts: dict[str, Column] = {}
+    values = []
+    for w in spans:
+        parts |= {f"_N{w}": moving("n", -w), f"_S{w}": moving("d", -w), f"_Q{w}": moving("q", -w),
+                  f"_E{w}": moving("x", -w) + F.greatest(upto("e", 0) - upto("b", -w - 1), F.lit(0)) == 0,
+                  f"_B{w}": moving("n", -2 * w, -w), f"_T{w}": moving("d", -2 * w, -w)}
+        n, s = F.col(f"_N{w}"), F.col(f"_S{w}")
+        mean = F.col("_c") + F.try_divide(s, n)
+        past = F.col("_c") + F.try_divide(F.col(f"_T{w}"), F.col(f"_B{w}"))
+        spread = F.sqrt(F.greatest(F.col(f"_Q{w}") - s * s / F.nullif(n, F.lit(0)), F.lit(0.0)) / F.nullif(n - 1, F.lit(0)))
+        values += [mean.alias(f"avg_{w}"),
+                   F.when(n < 2, None).when(F.col(f"_E{w}"), F.lit(0.0)).otherwise(spread).alias(f"std_{w}"),
+                   F.try_divide(mean - past, past).alias(f"pct_change_{w}")]
+    found = secs.withColumns(sums).withColumns(parts).filter("_own").select(
+        *map(quoted, keys), "_slice", sec, F.struct("_i", F.struct(*values).alias("v")).alias("_r"))
+    # one entry per metric in every second
+    rows = found.groupBy(*map(quoted, keys), "_slice", sec).agg(F.array_sort(F.collect_list("_r")).alias("_r"))
+    return rows.select(*map(quoted, keys), sec, *[
+        F.col("_r")[i]["v"][f"{what}_{w}"].alias(f"{m}_{what}_{w}")
+        for i, m in enumerate(metrics) for w in spans for what in ("avg", "std", "pct_change")])
 
 
 def rolling_avg_std(df: DataFrame, metrics: Sequence[str], spans: Sequence[int], keys: Sequence[str],
@@ -153,40 +159,105 @@ def priority_ratio(df: DataFrame, pri: str = "priority_score", span: int = 900,
     return df.join(priority_ratio_per_second(df, pri, span, keys, sec), [*keys, sec], "left").drop(pri)
 
 
-MAX_STATES = 8  # of a column, for running counts
+class _Counts:
+    """How many rows of each state are in the frame, and the state of the largest count; of equal ones the lowest.
+
+    Every change of a count puts an entry on a heap; entries that are no longer true are dropped when they come up.
+    """
+
+    def __init__(self) -> None:
+        self.n: dict[int, int] = {}
+        self.heap: list[tuple[int, int]] = []
+
+    def add(self, state: int, n: int) -> None:
+        self.n[state] = now = self.n.get(state, 0) + n
+        if now:
+            heapq.heappush(self.heap, (-now, state))
 
+    def most(self) -> int | None:
+        heap = self.heap
+        while heap and self.n[heap[0][1]] != -heap[0][0]:
+            heapq.heappop(heap)
+        return heap[0][1] if heap else None
 
-def _states(df: DataFrame, cols: Sequence[str]) -> dict[str, list] | None:
-    """The distinct states of each column in order, found in one job; None when there are more than running counts suit."""
-    cells = [F.struct(F.lit(i).alias("i"), F.col(quoted(c)).alias("s")) for i, c in enumerate(cols)]
-    types = {df.schema[c].dataType.simpleString() for c in cols}
-    if not cols or len(types) > 1:
-        return None
-    rows = (df.select(F.explode(F.array(*cells)).alias("c")).select("c.i", "c.s").filter("s IS NOT NULL").distinct()
-            .limit(MAX_STATES * len(cols) + 1).collect())
-    found = {c: sorted(r["s"] for r in rows if r["i"] == i) for i, c in enumerate(cols)}
-    fits = len(rows) <= MAX_STATES * len(cols) and all(len(v) <= MAX_STATES for v in found.values())
-    return found if fits else None
+
+def swept_modes(sec: Sequence[int], state: Sequence[int | None], n: Sequence[int], at: Sequence[int], lo: int,
+                hi: int) -> list[int | None]:
+    """Most frequent state in [t + lo, t + hi] for every t of ``at``; ``sec`` and ``at`` are sorted.
+
+    Each row enters the frame once and leaves it once, whatever the number of states.
+    """
+    counts, found = _Counts(), []
+    enter = leave = 0
+    for t in at:
+        while enter < len(sec) and sec[enter] <= t + hi:
+            if state[enter] is not None:
+                counts.add(state[enter], n[enter])
+            enter += 1
+        while leave < enter and sec[leave] < t + lo:
+            if state[leave] is not None:
+                counts.add(state[leave], -n[leave])
+            leave += 1
+        found.append(counts.most())
+    return found
+
+
+def _modes_per_second(df: DataFrame, cols: Sequence[str], keys: Sequence[str], sec: str, span: int) -> DataFrame:
+    """(keys, second) with both modes of every column; all ``cols`` have one type."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(quoted(c)).alias("s")) for i, c in enumerate(cols)])
+    tall = df.select(*map(quoted, keys), sec, F.inline(cells).alias("_i", "_s"))
+    secs = with_halo(tall.groupBy(*map(quoted, keys), sec, "_i", "_s").agg(F.count("*").alias("_n")), F.col(sec), 2 * span)
+    group = [*map(quoted, keys), "_slice"]
+    m, names = span // 60, []
+    for c in cols:
+        names += [f"{c}_mode_last_{m}min", f"{c}_mode_2nd_last_{m}min"]
+    kind = df.schema[cols[0]].dataType
+    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in [*keys, sec]],
+                           *[T.StructField(c, kind) for c in names]])
+    arrow = to_arrow_schema(schema)
+
+    def swept(key: tuple, rows: list[tuple]) -> list[tuple]:
+        at = sorted({r[0] for r in rows if r[1]})
+        found = []
+        for i in range(len(cols)):
+            times, states, n = zip(*[(r[0], r[3], r[4]) for r in rows if r[2] == i])
+            found += [swept_modes(times, states, n, at, lo, hi) for lo, hi in ((-span, 0), (-2 * span, -span))]
+        return [(*key, *row) for row in zip(at, *found)]
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, out = None, [], []
+        for batch in batches:
+            values = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for key, row in zip(zip(*values[:len(group)]), zip(*values[len(group):])):
+                if key != held:
+                    out += swept(held[:-1], rows) if rows else []
+                    held, rows = key, []
+                rows.append(row)
+            yield _rows_of(out, arrow)
+            out = []
+        yield _rows_of(swept(held[:-1], rows) if rows else [], arrow)
+
+    return (secs.select(*group, sec, "_own", "_i", "_s", "_n").repartition(*group).sortWithinPartitions(*group, sec)
+            .mapInArrow(sweep, schema))
+
+
+def _rows_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def state_mode(df: DataFrame, cols: Sequence[str], keys: Sequence[str], sec: str = "t_secs", span: int = 1800) -> DataFrame:
     """Most frequent state in [t-w, t] and in [t-2w, t-w]; the lowest value wins a tie.
 
-    Meant for the pivoted polls, which are one row per device and poll time. States are few: each is counted by running
-    sums. Columns with more than ``MAX_STATES`` are counted frame by frame, with the same result.
+    Rows are counted per second and state first. A count changes only when a row enters or leaves the frame, so each slice is
+    swept once, whatever the number of states and columns; a second has the same modes for all its rows. Null states do
+    not count; a frame without any has no mode.
     """
-    wide = with_halo(df, F.col(sec), 2 * span)
-    m = span // 60
-    states, new = _states(df, cols), {}
-    for c in cols:
-        for label, lo, hi in (("last", -span, 0), ("2nd_last", -2 * span, -span)):
-            name = f"{c}_mode_{label}_{m}min"
-            if states is None:
-                new[name] = F.mode(F.col(quoted(c)), True).over(_range(keys, sec, lo, hi))
-                continue
-            kind = df.schema[c].dataType
-            counts = [F.struct(_moving(F.coalesce((F.col(quoted(c)) == F.lit(v).cast(kind)).cast("int"), F.lit(0)), keys, sec, lo, hi)
-                               .alias("n"), F.lit(-i).alias("o"), F.lit(v).cast(kind).alias("v")) for i, v in enumerate(states[c])]
-            best = F.array_max(F.array(*counts)) if counts else None
-            new[name] = F.lit(None).cast(kind) if best is None else F.when(best["n"] > 0, best["v"])
-    return wide.withColumns(new).filter("_own").drop("_slice", "_own")
+    out = df
+    for kind in dict.fromkeys(df.schema[c].dataType for c in cols):  # columns of one type share a plan
+        same = [c for c in cols if df.schema[c].dataType == kind]
+        found = _modes_per_second(df, same, keys, sec, span)
+        right = found.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate([*keys, sec])})
+        on = [out[quoted(k)].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate([*keys, sec])]
+        out = out.join(right, on, "left").drop(*[f"_k{i}" for i in range(len(keys) + 1)])
+    return out

@@ -6,7 +6,7 @@ import statistics
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from faultline.operators import aggregates as agg
 from faultline.operators import features as ft
@@ -108,13 +108,13 @@ def test_text_vectors_equal_the_weights(spark):
     assert got.keys() == cells.keys() and all(math.isclose(got[k], cells[k], rel_tol=1e-12) for k in got) and len(rows) == 4
 
 
-def test_running_modes_equal_frames(spark, monkeypatch):
+def test_swept_modes_equal_frames(spark):
     rows = [("d", t, None if t % 13 == 0 else "abc"[t * t // 7 % 3]) for t in range(0, 600, 4)]
     df = spark.createDataFrame(rows, "ip string, t_secs long, s string")
+    got = rolling.state_mode(df, ["s"], ["ip"], span=60).drop("s")
 
-    def run():
-        return sorted(map(tuple, rolling.state_mode(df, ["s"], ["ip"], span=60).drop("s").collect()), key=str)
+    def over(lo, hi):
+        return F.mode("s", True).over(Window.partitionBy("ip").orderBy("t_secs").rangeBetween(lo, hi))
 
-    counted = run()
-    monkeypatch.setattr(rolling, "MAX_STATES", 1)
-    assert run() == counted and len(counted) == len(rows)
+    want = df.select("ip", "t_secs", over(-60, 0), over(-120, -60))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() == len(rows)

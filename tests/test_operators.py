@@ -1,6 +1,8 @@
 """Boundary rows of the window, label, sequence, vocabulary and metric operators."""
 
 import datetime as dt
+import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -284,3 +286,31 @@ def test_label_sources(spark):
         ("a", "snmp_subscriber_label"), ("a", "syslog_error_label")]
     with pytest.raises(ValueError):
         incidents.harmonize_labels({"other": naive})
+
+
+@pytest.mark.parametrize("states", [3, 300])
+def test_state_mode_with_any_number_of_states(spark, states):
+    rng = random.Random(states)
+    rows = [(rng.choice("ab"), rng.randint(0, 40_000), rng.choice([None, f"s{rng.randint(0, states - 1)}"]), rng.randint(0, 2))
+            for _ in range(900)]
+    rows += [("c", 5, None, 1), ("c", 5, None, 1), (None, 7, "x", 1), (None, 7, "x", 2)]
+    df = spark.createDataFrame(rows, "ip string, t_secs bigint, a string, b int").repartition(5)
+    got = rolling.state_mode(df, ["a", "b"], ["ip"])
+
+    def mode(i, ip, lo, hi):
+        seen = Counter(r[i] for r in rows if r[0] == ip and lo <= r[1] <= hi and r[i] is not None)
+        return min(seen, key=lambda s: (-seen[s], s)) if seen else None
+
+    want = Counter((*r, *[mode(i, r[0], r[1] - x, r[1] - y) for i in (2, 3) for x, y in ((1800, 0), (3600, 1800))]) for r in rows)
+    assert Counter(tuple(r) for r in got.select(
+        "ip", "t_secs", "a", "b", *[f"{c}_mode_{x}_30min" for c in "ab" for x in ("last", "2nd_last")]).collect()) == want
+
+
+def test_rolling_plan_does_not_grow_with_metrics(spark):
+    def windows(n):
+        df = spark.range(5).select(F.lit("d").alias("ip"), F.col("id").alias("t_secs"), *[F.lit(1.0 * i).alias(f"m{i}") for i in range(n)])
+        out = rolling.rolling_per_second(df, [f"m{i}" for i in range(n)], [900, 1800], ["ip"])
+        assert out.count() == 5 and len(out.columns) == 2 + 6 * n
+        return out._jdf.queryExecution().optimizedPlan().toString().count("windowspecdefinition")
+
+    assert windows(2) == windows(15)
