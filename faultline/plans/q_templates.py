@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import MASK_DELIMITERS, tokens_of
-from faultline.operators import params, templates
+from faultline.operators import hourly, params, templates
 from faultline.operators.mining_core import MinerConfig
 from faultline.plans import stand_ins
 from faultline.plans.registry import query, table
@@ -119,6 +120,20 @@ def _(spark, sf):
             .select("event_id", F.array_join(F.transform("p", lambda x: x["value"]), "|").alias("found")))
 
 
+@query("m9_mined_parameters", with_views("""
+SELECT doc_id, line, true AS rebuilt FROM toks""", doc_lines=DOC_LINES, toks=_DOC_TOKENS))
+def _(spark, sf):
+    """All document lines with the templates they were mined to: the values, put back into the template, give the line."""
+    rows = stand_ins.doc_tokens(spark, sf, MASK_DELIMITERS)
+    lines, _catalog = templates.mine_templates(rows, "tokens", ORDER, PRODUCTION)
+    both = templates.assign_templates(rows, lines, ORDER).withColumn("text", F.array_join("tokens", " "))
+    found = params.with_parameters(both.select(*ORDER, "text", "template_mined"), "template_mined", "text", exact=False)
+    pieces = F.split("template_mined", r"<\*>")
+    back = F.array_join(F.zip_with(pieces, F.col("parameters.value"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    whole = (F.size(pieces) == F.size("parameters") + 1) & (back == F.col("text"))
+    return found.select(*ORDER, F.coalesce(whole, F.lit(False)).alias("rebuilt"))
+
+
 @query("m10_assign_templates")
 def _(spark, sf):
     rows = stand_ins.doc_tokens(spark, sf, MASK_DELIMITERS)
@@ -253,6 +268,34 @@ def _(spark, sf):
                                          F.lit(False)).alias("assigned"))
 
 
+@query("m10_hourly_resume", with_views("""
+SELECT strftime(make_timestamp((floor(epoch(timestamp) / 864000) * 864000000000)::BIGINT), '%Y-%m-%d-%H') AS hour, count(*) AS lines, count(*) AS assigned, true AS sizes_add_up
+FROM lines GROUP BY 1""", lines=LINES))
+def _(spark, sf):
+    """Syslog lines in slices of 240 hours, broken off in the middle and taken up again: every line of every slice has its
+    template, and the cluster sizes after a slice add up to the lines so far."""
+    rows = masked_tokens(stand_ins.lines(spark, sf)).select("event_id", "timestamp", "tokens")
+    slices = [r["hour"] for r in rows.select(hourly.hour_of("timestamp", 240).alias("hour")).distinct().orderBy("hour").collect()]
+    out, cfg = fresh_dir(spark, "hourly"), MinerConfig(sim_th=PRODUCTION.sim_th, max_clusters=None)
+
+    class Broken(Exception):
+        pass
+
+    def stop(hour):
+        if hour == slices[len(slices) // 2]:
+            raise Broken
+
+    try:
+        hourly.assign_by_hour(rows, "tokens", "timestamp", ["event_id"], out, cfg, 240, stop)
+    except Broken:
+        pass
+    log = hourly.assign_by_hour(rows, "tokens", "timestamp", ["event_id"], out, cfg, 240)
+    found = hourly.read_assigned(spark, out).groupBy("hour").agg(F.count_if(F.col("template_mined").isNotNull()).alias("assigned"))
+    so_far = F.sum("lines").over(Window.orderBy("hour"))  # one row per hour
+    return log.join(found, "hour").select("hour", "lines", "assigned", (
+        F.round(F.col("mean") * F.col("clusters")) == so_far).alias("sizes_add_up"))
+
+
 @query("m11_resumed_sizes", with_views("""
 SELECT CAST(len(tokens) AS VARCHAR) AS shard, count(*) AS lines FROM toks GROUP BY 1""", doc_lines=DOC_LINES, toks=_DOC_TOKENS))
 def _(spark, sf):

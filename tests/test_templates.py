@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import templates as tp
+from faultline.operators import hourly, params, templates as tp
 from faultline.operators.mining_core import MinerConfig
 from faultline.operators.params import extract_parameters, parameter_values
 from faultline.session import fresh_dir
@@ -196,6 +196,17 @@ def test_extract_parameters(spark):
             assert [p["value"] for p in row["p"]] == values and [p["mask_name"] for p in row["p"]] == names
 
 
+def test_parameters_in_the_jvm_equal_those_in_python(spark, monkeypatch):
+    more = [(None, "x"), ("a <*>", None), ("", ""), ("a <*> b", "a \n b"), ("<*>", "line\nbreak"), ("<*> <*>", "\u00e9\u3000\u0663 x")]
+    df = spark.createDataFrame([(i, t, m) for i, (t, m) in enumerate([v[:2] for v in VECTORS] + more)] * 2, "i int, t string, m string")
+    for exact in (True, False):
+        got = params.with_parameters(df, "t", "m", RULES, exact=exact, name="p")
+        want = df.withColumn("p", extract_parameters(F.col("t"), F.col("m"), RULES, exact=exact))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        monkeypatch.setattr(params, "JVM_STEPS", 4)
+    assert params.jvm_pattern("(?(1)a|b)") is None and params.jvm_pattern("(?P<v_0>x)(?P=v_0)") == "(?Ud)(?<v0>x)\\k<v0>"
+
+
 def test_parameter_values(spark):
     df = spark.createDataFrame([("hello <*>", "hello \t BCD"), ("hello <*>", "bye")], "t string, m string")
     got = df.select(parameter_values(F.col("t"), F.col("m")).alias("v")).collect()
@@ -247,3 +258,31 @@ def test_caps_reached_by_tries(spark, monkeypatch, cap, children):
     lines = [f"{letters(rng.randint(0, 11))} does {letters(rng.randint(0, 3))} {rng.randint(0, 5)}" for i in range(36)]
     cfg = MinerConfig(sim_th=0.7, max_clusters=cap, max_children=children)
     mined_in_rounds(spark, monkeypatch, lines, cfg, 24, lead=2)
+
+
+def test_hours_broken_off_and_resumed_equal_one_run(spark):
+    cfg, lines = MinerConfig(sim_th=0.5, max_clusters=3), noise(60, 8)
+    rows = spark.createDataFrame([(i, x.split(), i * 97) for i, x in enumerate(lines)], "id bigint, tokens array<string>, sec bigint")
+    rows = rows.withColumn("ts", F.timestamp_seconds("sec"))
+    whole, _ = tp.mine_templates(rows, "tokens", ["id"], cfg)
+    want = sorted((r["id"], r["cluster_id"], r["template_mined"]) for r in whole.collect())
+    for stop_at in (0, 1):
+        out, seen = fresh_dir(spark, "hours"), []
+
+        def stop(hour):
+            seen.append(hour)
+            if len(seen) == stop_at + 1:
+                raise InterruptedError
+
+        with pytest.raises(InterruptedError):
+            hourly.assign_by_hour(rows, "tokens", "ts", ["id"], out, cfg, after_hour=stop)
+        assert [r["hour"] for r in hourly.read_log(spark, out).orderBy("hour").collect()] == seen[:-1]
+        log = hourly.assign_by_hour(rows, "tokens", "ts", ["id"], out, cfg, after_hour=seen.append).orderBy("hour").collect()
+        assert seen[stop_at] == seen[stop_at + 1] and [r["hour"] for r in log] == ["1970-01-01-00", "1970-01-01-01"]
+        got = hourly.read_assigned(spark, out)
+        assert sorted((r["id"], r["cluster_id"], r["template_mined"]) for r in got.collect()) == want
+        again = hourly.assign_by_hour(rows, "tokens", "ts", ["id"], out, cfg, after_hour=seen.append)
+        assert len(seen) == 3 and again.count() == 2
+    early = rows.filter("id < 1").withColumn("ts", F.timestamp_seconds(F.lit(-5000)))
+    with pytest.raises(ValueError, match="after hour"):
+        hourly.assign_by_hour(early, "tokens", "ts", ["id"], out, cfg)
