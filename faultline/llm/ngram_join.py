@@ -548,12 +548,14 @@ def components_by_row(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     """
     rows, found = _described(docs, id_column, text_column, words, percent)
     links = components(_links(rows, found, words, percent))
-    least = (found.filter("set_id IS NOT NULL").join(links.withColumnRenamed("node", "set_id"), "set_id", "left")
-             .select("doc_id", "set_id", F.coalesce("root", "set_id").alias("root")))
-    named = least.groupBy("root").agg(F.min(F.nullif("doc_id", F.lit(NO_ID))).alias("component_id"))
+    # copies are added up on the map side first: what is sent to the components is one row per set
+    sets = found.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min(F.nullif("doc_id", F.lit(NO_ID))).alias("first"))
+    least = sets.join(links.withColumnRenamed("node", "set_id"), "set_id", "left").select(
+        "set_id", F.coalesce("root", "set_id").alias("root"), "first")
+    named = least.groupBy("root").agg(F.min("first").alias("component_id"))
     # written, so that both sides of the last join are exchanged plainly and a set with many copies can be split
     path = fresh_dir(docs.sparkSession, "components-by-set")
-    least.select("set_id", "root").distinct().join(named, "root").select("set_id", "root", "component_id").write.parquet(path)
+    least.join(named, "root").select("set_id", "root", "component_id").write.parquet(path)
     described = found.select("doc_id", "text_id", "set_id", "n")
     joined = described.filter("set_id IS NOT NULL").join(docs.sparkSession.read.parquet(path), "set_id")
     empty = described.filter("set_id IS NULL").withColumns({c: F.lit(None).cast("long") for c in ("root", "component_id")})
@@ -575,11 +577,15 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     path = fresh_dir(spark, "near-duplicates")
     components_by_row(keyed.select(key, "text"), id_column=key).filter("root IS NOT NULL").select(
         F.col("doc_id").alias(key), F.col("text_id").alias(text_id), "root").write.parquet(path)
-    found = spark.read.parquet(path).groupBy(key, text_id).agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("rows"))
-    first = found.groupBy("root").agg(F.min(F.struct(key, text_id)).alias("first"))
+    grouped, firsts = fresh_dir(spark, "near-duplicates-grouped"), fresh_dir(spark, "near-duplicates-first")
+    spark.read.parquet(path).groupBy(key, text_id).agg(
+        F.min("root").alias("root"), F.count(F.lit(1)).alias("rows")).write.parquet(grouped)
+    found = spark.read.parquet(grouped)
+    found.groupBy("root").agg(F.min(F.struct(key, text_id)).alias("first")).write.parquet(firsts)
     stays = F.col("first") == F.struct(key, text_id)
+    # both sides are read from tables, so a component of many documents can be split
     path = fresh_dir(spark, "near-duplicates-decided")
-    found.join(first, "root").select(key, text_id, stays.alias("stays"), "rows").write.parquet(path)
+    found.join(spark.read.parquet(firsts), "root").select(key, text_id, stays.alias("stays"), "rows").write.parquet(path)
     found = spark.read.parquet(path)
     # only rows that may have to go, or that may repeat, are moved; all others stay where they are
     bits = id_filter(found.filter("NOT stays OR rows > 1"), key)
