@@ -107,6 +107,57 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code.astype(np.uint8), np.bincount(code, values, 256) / np.maximum(count, 1)
 
 
+def _stored(header: dict, parts: list[np.ndarray]) -> mmap.mmap:
+    """One mapped buffer: length of the header, header, parts at multiples of eight."""
+    header["lengths"] = [len(p) for p in parts]
+    head = json.dumps(header).encode()
+    out = mmap.mmap(-1, 16 + len(head) + sum(len(p) + 8 for p in parts))
+    out.write(len(head).to_bytes(8, "little") + head)
+    for p in parts:
+        out.write(b"\0" * (-out.tell() % 8))
+        out.write(p.tobytes())
+    return out
+
+
+def _loaded(buffer: bytes | mmap.mmap) -> tuple[dict, list[np.ndarray]]:
+    raw = np.frombuffer(buffer, np.uint8)
+    size = int(raw[:8].view("<u8")[0])
+    header = json.loads(raw[8:8 + size].tobytes())
+    at, parts = 8 + size, []
+    for length in header["lengths"]:
+        at += -at % 8
+        parts.append(raw[at:at + length])
+        at += length
+    return header, parts
+
+
+def _level(kind: dict[str, int], low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> EliasFano:
+    return EliasFano(kind["n"], kind["bits"], low, high, ones.view("<u4" if kind["n"] < 1 << 32 else "<u8"))
+
+
+class WordLevel:
+    """The level of single words: their names, and a quantised log probability for each."""
+
+    def __init__(self, buffer: bytes | mmap.mmap) -> None:
+        self.buffer = buffer
+        header, (low, high, ones, self.codes, levels) = _loaded(buffer)
+        self.names, self.levels = _level(header["names"], low, high, ones), levels.view("<f8")
+
+    @staticmethod
+    def build(names: np.ndarray, values: np.ndarray) -> mmap.mmap:
+        """From sorted distinct names."""
+        kind, parts = EliasFano.build(names)
+        codes, levels = quantised(values)
+        return _stored({"names": kind}, [*parts, codes, levels.astype("<f8").view(np.uint8)])
+
+    def ask(self, names: np.ndarray) -> np.ndarray:
+        """Log probabilities, NaN for names that are not here."""
+        at = self.names.find(names)
+        out = np.full(len(names), np.nan)
+        out[at >= 0] = self.levels[self.codes[at[at >= 0]]]
+        return out
+
+
 class Trie:
     """Contexts, and under each the words that followed it.
 
@@ -118,18 +169,9 @@ class Trie:
     LEVELS = ("contexts", "words", "pointers", "children")
 
     def __init__(self, buffer: bytes | mmap.mmap) -> None:
-        raw = np.frombuffer(buffer, np.uint8)
-        size = int(raw[:8].view("<u8")[0])
-        self.header = json.loads(raw[8:8 + size].tobytes())
-        at, parts = 8 + size, []
-        for length in self.header["lengths"]:
-            at += -at % 8
-            parts.append(raw[at:at + length])
-            at += length
+        self.header, parts = _loaded(buffer)
         for i, name in enumerate(self.LEVELS):
-            low, high, ones = parts[3 * i:3 * i + 3]
-            kind = self.header[name]
-            setattr(self, name, EliasFano(kind["n"], kind["bits"], low, high, ones.view("<u4" if kind["n"] < 1 << 32 else "<u8")))
+            setattr(self, name, _level(self.header[name], *parts[3 * i:3 * i + 3]))
         self.seen, self.backoff = parts[12], parts[13]
         self.seen_levels, self.backoff_levels = parts[14].view("<f8"), parts[15].view("<f8")
 
@@ -151,15 +193,7 @@ class Trie:
         codes, levels = quantised(seen)
         back, back_levels = quantised(backoff["value"])
         parts += [codes, back, levels.astype("<f8").view(np.uint8), back_levels.astype("<f8").view(np.uint8)]
-        header["lengths"] = [len(p) for p in parts]
-        head = json.dumps(header).encode()
-        total = 8 + len(head) + sum(len(p) + 8 for p in parts) + 8
-        out = mmap.mmap(-1, total)
-        out.write(len(head).to_bytes(8, "little") + head)
-        for p in parts:
-            out.write(b"\0" * (-out.tell() % 8))
-            out.write(p.tobytes())
-        return out
+        return _stored(header, parts)
 
     def ask(self, context: np.ndarray, word: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
         """(log probability of pairs that were seen, else NaN; backoff of the context, 0 where it was not seen)."""

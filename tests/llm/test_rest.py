@@ -221,11 +221,14 @@ def test_salvage_inside_members(spark, tmp_path, level):
     assert {r.path[-9:] for r in warc.read_gaps(spark, str(tmp_path)).collect()} == {"a.warc.gz", "b.warc.gz"}
 
 
-def test_scores_against_a_plain_model(spark, monkeypatch):
+@pytest.mark.parametrize("frequent", [lm.FREQUENT, 300, 0])
+def test_scores_against_a_plain_model(spark, monkeypatch, frequent):
+    """The table of frequent words decides where pairs are looked up, not what they score."""
     sample = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()]
     rows = sample + [(None, "the the"), (9001, None), (9002, ""), (9003, "the and of Zzz"), (9003, "the and of Zzz")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
     monkeypatch.setattr(lm, "SHARD", 60_000)
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
     words = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
     count, pair, ahead = Counter(), Counter(), Counter()
@@ -239,24 +242,9 @@ def test_scores_against_a_plain_model(spark, monkeypatch):
     got = lm.score_documents(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
     by_key = {(i, len(w) + 1): (w, h) for (i, _), w, h in zip(rows, words, held)}
-    names = lm.WordNames()
-    lower, types = Counter(), Counter()
-    frequent = {x for x, c in sorted(count.items(), key=lambda x: -x[1])[:lm.FREQUENT] if c > 1}
-
-    def name(x):
-        return int(x) if isinstance(x, np.uint64) else int(names.of([x.encode()])[0])
-
-    for x, c in count.items():
-        if x not in frequent:
-            lower[name(x) >> 48] += c
-            types[name(x) >> 48] += 1
-    whole = n + 0.5 * (v + lm.BUCKETS)
 
     def p0(x):
-        if x in frequent:
-            return (count[x] + 0.5) / whole
-        b = name(x) >> 48
-        return (lower[b] + 0.5 * (types[b] + 1)) / (types[b] + 1) / whole
+        return (count[x] + 0.5) / (n + 0.5 * (v + 1))
 
     for r in got:
         w, h = by_key[(r.doc_id, r.n_tokens)]
