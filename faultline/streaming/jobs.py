@@ -12,7 +12,7 @@ from faultline.functions.clock import quoted
 from faultline.operators.mining_core import MinerConfig
 from faultline.operators.templates import load_catalog, mine_templates, save_catalog
 from faultline.session import fresh_dir
-from faultline.sources.readers import upsert
+from faultline.streaming.buckets import ROWS, BucketTable
 
 
 def stream_incremental_files(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None,
@@ -107,55 +107,18 @@ BUCKETS = 64
 
 
 def stream_upsert(sdf: DataFrame, base: DataFrame, keys: Sequence[str], seq: str, root: str | None = None,
-                  buckets: int = BUCKETS) -> DataFrame:
-    """S12 per micro-batch on a table cut into ``buckets`` by key.
+                  buckets: int = BUCKETS, rows_per_bucket: int = ROWS) -> DataFrame:
+    """S12 per micro-batch on a table cut by key into ``buckets`` at first, and into more as it grows.
 
-    A batch rewrites the buckets that it touches into a folder of its own; the manifest of the next version, one file of
-    ``buckets`` rows, says which folder holds each bucket. A repeated batch starts from the same manifest and writes the
-    same folders, so a restart on ``root`` does no harm. Folders that the last two manifests do not name are deleted.
+    A batch rewrites the buckets that it touches, and those that split, into a folder of its own; the manifest of the next
+    version says which folder holds each bucket (:class:`BucketTable`). A repeated batch starts from the same manifest and
+    writes the same folders, so a restart on ``root`` does no harm. Folders that the last two manifests do not name are deleted.
     """
-    spark = sdf.sparkSession
-    root = root or fresh_dir(spark, "upsert")
-    bucket = F.pmod(F.xxhash64(*map(quoted, keys)), F.lit(buckets)).cast("int")
-
-    def write(df: DataFrame, batch: int) -> None:
-        (df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
-         .parquet(f"{root}/data/batch={batch}"))
-
-    def manifest(version: int) -> dict[int, int]:
-        return {r["bucket"]: r["batch"] for r in spark.read.parquet(f"{root}/manifest/v={version}").collect()}
-
-    def put_manifest(held: dict[int, int], version: int) -> None:
-        rows = spark.createDataFrame(sorted(held.items()), "bucket int, batch long").coalesce(1)
-        rows.write.mode("overwrite").parquet(f"{root}/manifest/v={version}")
-
-    def read(held: dict[int, int], wanted: Sequence[int]) -> DataFrame:
-        paths = [f"{root}/data/batch={held[b]}/bucket={b}" for b in wanted if b in held]
-        reader = spark.read.schema(base.schema).option("basePath", f"{root}/data")
-        return reader.parquet(*paths).select(*map(quoted, base.columns)) if paths else spark.createDataFrame([], base.schema)
-
-    def apply(batch: DataFrame, number: int) -> None:
-        held = manifest(number)
-        touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())
-        write(upsert(read(held, touched), batch, keys, seq), number)
-        put_manifest({**held, **dict.fromkeys(touched, number)}, number + 1)
-        if number:
-            for b, old in manifest(number - 1).items():
-                if old != held[b]:
-                    _delete(spark, f"{root}/data/batch={old}/bucket={b}")
-
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        write(base, -1)
-        put_manifest({r[0]: -1 for r in base.select(bucket).distinct().collect()}, 0)
-    query = (sdf.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/marks")
-             .trigger(availableNow=True).start())
+    root = root or fresh_dir(sdf.sparkSession, "upsert")
+    held = BucketTable(sdf.sparkSession, root, base.schema, list(keys), rows_per_bucket)
+    if held.last() is None:
+        held.create(base, buckets)
+    query = (sdf.writeStream.foreachBatch(lambda batch, number: held.apply(batch, number, seq))
+             .option("checkpointLocation", f"{root}/marks").trigger(availableNow=True).start())
     query.awaitTermination()
-    last = spark.read.parquet(f"{root}/manifest").agg(F.max("v")).first()[0]
-    held = manifest(last)
-    return read(held, sorted(held))
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return held.read(held.last())

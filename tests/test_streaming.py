@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from faultline.operators import templates as tp
 from faultline.operators.mining_core import MinerConfig
 from faultline.streaming import jobs
+from faultline.streaming.buckets import BucketTable, Version
 from test_templates import frame, noise
 
 
@@ -56,6 +57,42 @@ def test_upserts_over_batches_and_a_restart(spark, tmp_path):
     assert run() == want and run() == want
 
 
+def test_an_upserted_table_grows_by_splitting_buckets(spark, tmp_path):
+    source, root = tmp_path / "in", tmp_path / "table"
+    source.mkdir()
+    base = spark.createDataFrame([(k, "old") for k in range(10)], "key long, what string")
+    wide = spark.read.schema("key long, what string, seq long")
+    held = BucketTable(spark, str(root), base.schema, ["key"], 5)
+    want, sizes = {k: "old" for k in range(10)}, []
+    for n, some in enumerate([range(5, 60), range(60, 61), [], [3]]):
+        _file(source / f"{n}.parquet", [(k, f"batch{n}", n) for k in some] or [(0, "batch2", n)], ["key", "what", "seq"])
+        want.update(dict.fromkeys(some or [0], f"batch{n}"))
+        sdf = jobs.stream_incremental_files(spark, str(source), wide.parquet(str(source)).schema, files_per_trigger=1)
+        got = jobs.stream_upsert(sdf, base, ["key"], "seq", str(root), buckets=2, rows_per_bucket=5)
+        assert {r.key: r.what for r in got.collect()} == want and got.count() == len(want)
+        sizes.append(held.version(held.last()).buckets)
+    assert sizes == [2, 12, 13, 13]
+    # a batch of one key writes that key's bucket alone
+    old, new = held.version(held.last() - 1), held.version(held.last())
+    assert sum(old.held[i] != new.held[i] for i in new.held) == 1 and old.held.keys() == new.held.keys()
+    assert sum(rows for _, rows in new.held.values()) == len(want)
+    asked = spark.createDataFrame([(3,), (60,), (3,), (999,)], "key long")
+    few = held.read(held.last(), asked)
+    assert {r.key: r.what for r in few.collect()} == {3: want[3], 60: want[60]} and len(few.inputFiles()) <= 3
+
+
+def test_buckets_of_every_number_hold_each_key_where_its_split_left_it(spark):
+    keys = spark.range(2000).withColumnRenamed("id", "key")
+    held = BucketTable(spark, "", keys.schema, ["key"])
+    cells = [held.bucket(3, n).alias(f"b{n}") for n in range(3, 30)]
+    rows = keys.select(*cells).toPandas()
+    for n in range(3, 29):
+        before, after = rows[f"b{n}"], rows[f"b{n + 1}"]
+        assert set(after) == set(range(n + 1))
+        moved = before != after
+        assert set(after[moved]) == {n} and set(before[moved]) == {BucketTable._origin(n, Version(3, n, {}))}
+
+
 def test_files_are_taken_once_over_restarts(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
