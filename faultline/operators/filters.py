@@ -83,21 +83,29 @@ def chrono_split(df: DataFrame, col: str, start, split, end) -> tuple[DataFrame,
 
 def ratio_split(df: DataFrame, col: str, ratio: float = 0.7, tie: str | None = None,
                 at=None) -> tuple[DataFrame, DataFrame]:
-    """The first int(n * ratio) rows by time and the rest; or ``t < at`` and ``t >= at``."""
+    """The first int(n * ratio) rows by time and the rest; or ``t < at`` and ``t >= at``.
+
+    Two filters around the boundary's keys. Only rows that share these keys are numbered, in any order, if some of them belong
+    to the head and some to the rest.
+    """
     if at is not None:
         cut = F.lit(at).cast(df.schema[col].dataType)
         return df.filter(F.col(quoted(col)) < cut), df.filter(F.col(quoted(col)) >= cut)
-    head = int(df.count() * ratio)
     keys = [col, *([tie] if tie else [])]
-    # the last row of the head by its keys alone; rows are ranked only if it shares them with a row of the rest
     upto = running_sums(df.groupBy(*map(quoted, keys)).agg(F.count("*").alias("_n")), keys, {"_upto": "_n"})
+    head = int((upto.agg(F.max("_upto")).first()[0] or 0) * ratio)
     last = upto.filter((F.col("_upto") >= head) & (F.col("_upto") - F.col("_n") < head)).first()
-    if last and last["_upto"] == head and all(last[k] is not None for k in keys):
-        t, edge = F.col(quoted(col)), F.lit(last[col]).cast(df.schema[col].dataType)
-        inside = t.isNull() | (t < edge) | ((t == edge) & (F.coalesce(F.col(quoted(tie)) <= F.lit(last[tie]), F.lit(True))
-                                                           if tie else F.lit(True)))
-        return df.filter(inside), df.filter(~inside)
-    ranked = global_rank(df, keys, name="_r")
-    return ranked.filter(F.col("_r") < head).drop("_r"), ranked.filter(F.col("_r") >= head).drop("_r")
-
-
+    if last is None:
+        return df.filter(F.lit(False)), df
+    ahead, tied = F.lit(False), F.lit(True)
+    for k in keys:  # NULL comes first
+        edge = F.lit(last[k]).cast(df.schema[k].dataType)
+        if last[k] is not None:
+            ahead = ahead | (tied & (F.col(quoted(k)).isNull() | (F.col(quoted(k)) < edge)))
+        tied = tied & F.col(quoted(k)).eqNullSafe(edge)
+    if last["_upto"] == head:
+        return df.filter(ahead | tied), df.filter(~(ahead | tied))
+    some = head - (last["_upto"] - last["_n"])
+    ranked = global_rank(df.filter(tied).withColumn("_u", F.rand(0)), ["_u"], name="_r").drop("_u")
+    return (df.filter(ahead).unionByName(ranked.filter(F.col("_r") < some).drop("_r")),
+            df.filter(~(ahead | tied)).unionByName(ranked.filter(F.col("_r") >= some).drop("_r")))

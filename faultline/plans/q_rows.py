@@ -105,15 +105,19 @@ def _(spark, sf):
 
 
 @query("p12_column_roles", """
-SELECT * FROM (VALUES ('exclude', 'event_id', 10), ('exclude', 'ts', 10), ('numeric', 'user_id', 10),
-  ('numeric', 'value', 10), ('categorical', 'event_type', 10), ('text', 'props', 10)) AS t(role, col, rows_k)
-WHERE (SELECT count(*) FROM events) > 0""".replace("10)", "(SELECT count(*) FROM events))"))
+SELECT 'exclude' AS role, 'event_id' AS col, count(event_id) AS filled, count(DISTINCT event_id) AS kinds FROM events
+UNION ALL SELECT 'exclude', 'ts', count(ts), count(DISTINCT ts) FROM events
+UNION ALL SELECT 'numeric', 'user_id', count(user_id), count(DISTINCT user_id) FROM events
+UNION ALL SELECT 'numeric', 'value', count(value), count(DISTINCT value) FROM events
+UNION ALL SELECT 'categorical', 'event_type', count(event_type), count(DISTINCT event_type) FROM events
+UNION ALL SELECT 'text', 'props', count(props), count(DISTINCT props) FROM events""")
 def _(spark, sf):
     e = table(spark, sf, "events")
     roles = columns.column_roles(e, ["event_id", "ts"], ["props"])
-    rows = [(r, c) for r, cols in roles.items() for c in cols]
-    return spark.createDataFrame(rows, "role string, col string").crossJoin(
-        F.broadcast(e.agg(F.count("*").alias("rows_k"))))  # one-row side
+    cells = e.select(F.explode(F.array(*[
+        F.struct(F.lit(role).alias("role"), F.lit(c).alias("col"), F.col(c).cast("string").alias("v"))
+        for role, cols in roles.items() for c in cols])).alias("_c")).select("_c.*")
+    return cells.groupBy("role", "col").agg(F.count("v").alias("filled"), F.count_distinct("v").alias("kinds"))
 
 
 _SPLIT = """

@@ -171,6 +171,33 @@ def _(spark, sf):
     return vocab.mask_tokens(seqs, "ids", "row", 10).select("row", "masked", "target")
 
 
+@query("v8_mask_rules", """
+SELECT true AS targets_are_ids, true AS others_shown, true AS share_of_targets, true AS share_hidden, true AS share_swapped,
+       true AS all_hidden""")
+def _(spark, sf):
+    """What masking promises, over all positions; shares are within five standard deviations."""
+    e = table(spark, sf, "events").select(
+        F.col("event_id").alias("row"), F.transform(F.sequence(F.lit(10), F.lit(10) + F.col("event_id") % 9), lambda x: (
+            x + F.col("user_id") % 900).cast("int")).alias("ids"))
+    every = vocab.mask_tokens(e, "ids", "row", 1000, predict=True).select(
+        "row", F.col("masked").alias("m2"), F.col("target").alias("t2"))
+    both = vocab.mask_tokens(e, "ids", "row", 1000).join(every, "row")
+    at = both.select(F.explode(F.arrays_zip("ids", "masked", "target", "m2", "t2")).alias("_p")).select("_p.*")
+    chosen, hidden = F.col("target") != 0, F.col("masked") == vocab.MASK
+    swapped = chosen & ~hidden & (F.col("masked") != F.col("ids"))
+
+    def near(part, of, share):
+        n = F.count_if(of)
+        return F.abs(F.count_if(part) - share * n) <= 5 * F.sqrt(share * (1 - share) * n) + 1
+
+    return at.agg(
+        F.bool_and(~chosen | (F.col("target") == F.col("ids"))).alias("targets_are_ids"),
+        F.bool_and(chosen | (F.col("masked") == F.col("ids"))).alias("others_shown"),
+        near(chosen, F.lit(True), 0.15).alias("share_of_targets"), near(chosen & hidden, chosen, 0.8).alias("share_hidden"),
+        near(swapped, chosen, 0.1 * 999 / 1000).alias("share_swapped"),
+        F.bool_and((F.col("m2") == vocab.MASK) == (F.col("t2") != 0)).alias("all_hidden"))
+
+
 @query("v9_pad_batch", """
 SELECT event_id AS id, n, rn // 32 AS batch_id,
   CAST(floor(quantile_cont(n, 0.9) OVER (PARTITION BY rn // 32)) AS INT) AS padded_len

@@ -91,13 +91,24 @@ def _(spark, sf):
 
 
 @query("s4_split_paths_by_value_type", """
-SELECT * FROM (VALUES ('string', 1), ('struct', 1), ('error', 1)) AS t(kind, found)""")
+SELECT CASE WHEN event_type IN ('click', 'view') THEN 'string' ELSE 'struct' END AS kind, NULL AS note, count(*) AS found,
+       sum(event_id) AS ids FROM events GROUP BY ALL
+UNION ALL SELECT 'error', 'unexpected type: double', count(*), sum(event_id) FROM events""")
 def _(spark, sf):
     text, struct = _poll_files(spark, sf)
     paths = [*spark.read.parquet(text).inputFiles(), *spark.read.parquet(struct).inputFiles(),
              f"file://{sf}/events.parquet"]
     found = rd.split_paths_by_value_type(spark, paths)
-    return spark.createDataFrame([(k, int(bool(v))) for k, v in found.items() if v], "kind string, found int")
+    files = [(kind, None, name) for kind in ("string", "struct") for name in found[kind]]
+    files += [("error", note, name) for name, note in found["error"]]
+    parts = []
+    for kind, note in sorted({f[:2] for f in files}, key=str):
+        # the events themselves call it event_id
+        rows = spark.read.parquet(*(name for k, n, name in files if (k, n) == (kind, note)))
+        ids = F.sum(F.col("event_id" if kind == "error" else "job_id").cast("bigint"))
+        parts.append(rows.agg(F.count("*").alias("found"), ids.alias("ids")).select(
+            F.lit(kind).alias("kind"), F.lit(note).cast("string").alias("note"), "found", "ids"))
+    return rd.union_all(parts)
 
 
 @query("s5_normalize_schema", with_views("""

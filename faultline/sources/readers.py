@@ -59,10 +59,33 @@ def read_hour_slice(df: DataFrame, first: int, last: int, pattern: str = HOUR_FI
     return df.filter(hour.between(first, last))
 
 
+def _places(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Paths that tasks can open: the session's file systems are asked once per folder that they have to place."""
+    conf, known = spark._jsc.hadoopConfiguration(), {}
+
+    def place(folder: str) -> str:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(conf)
+        path = store.makeQualified(path)
+        return (store.resolvePath(path) if store.exists(path) else path).toString().rstrip("/")
+
+    out = []
+    for path in paths:
+        folder, _, name = path.rpartition("/")
+        if "://" in path and not path.startswith("viewfs:") or path.startswith("file:"):
+            out.append(path)
+            continue
+        if folder not in known:
+            known[folder] = place(folder or ("/" if path.startswith("/") else "."))
+        out.append(f"{known[folder]}/{name}")
+    return out
+
+
 def split_paths_by_value_type(spark: SparkSession, paths: Sequence[str], col: str = "value") -> dict[str, list]:
     """{"string", "struct", "error"} -> files by the type of ``col``; files without it are skipped.
 
-    Footers are read by tasks; only the file names come back.
+    Footers are read by tasks; only the file names come back. Folders are looked up in the session's file systems: a path
+    without scheme is on the default one, a ``viewfs`` path where its mount leads.
     """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,9 +100,9 @@ def split_paths_by_value_type(spark: SparkSession, paths: Sequence[str], col: st
 
         for batch in batches:
             out = []
-            for path in batch["path"]:
+            for path, place in zip(batch["path"], batch["place"]):
                 try:
-                    store, inner = open_path(path)
+                    store, inner = open_path(place)
                     field = {f.name: f.type for f in pq.read_schema(inner, filesystem=store)}.get(col)
                     if field is None:
                         continue
@@ -92,7 +115,8 @@ def split_paths_by_value_type(spark: SparkSession, paths: Sequence[str], col: st
 
     if not paths:
         return {"string": [], "struct": [], "error": []}
-    table = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 256))
+    places = zip(paths, _places(spark, paths))
+    table = spark.createDataFrame(places, "path string, place string").repartition(min(len(paths), 256))
     found = table.mapInPandas(look, "path string, kind string, note string").collect()
     return {"string": sorted(r.path for r in found if r.kind == "string"),
             "struct": sorted(r.path for r in found if r.kind == "struct"),

@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 
 from faultline.operators import aggregates as agg
 from faultline.operators import features as ft
-from faultline.operators import joins, rolling
+from faultline.operators import filters, joins, rolling
 from faultline.operators import templates as tp
 from faultline.operators.mining_core import MinerConfig, Shard
 from faultline.sources import readers as rd
@@ -118,3 +118,35 @@ def test_swept_modes_equal_frames(spark):
 
     want = df.select("ip", "t_secs", over(-60, 0), over(-120, -60))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() == len(rows)
+
+
+@pytest.mark.parametrize("ratio", [0, 0.1, 0.25, 0.5, 0.7, 1])
+def test_a_split_inside_rows_with_equal_keys(spark, ratio):
+    times = [None, None, 1, 1, 1, 1, 1, 2, 2, 3]
+    for tie in (None, "k"):
+        df = spark.createDataFrame([(i, t, None if i % 3 else 7) for i, t in enumerate(times)], "id long, t long, k long")
+        head, rest = (x.collect() for x in filters.ratio_split(df.repartition(3), "t", ratio, tie))
+        assert len(head) == int(10 * ratio) and sorted(r.id for r in [*head, *rest]) == list(range(10))
+        order = [(r.t or 0, (r.k or 0) if tie else 0) for r in [*head]], [(r.t or 0, (r.k or 0) if tie else 0) for r in rest]
+        assert not head or not rest or max(order[0]) <= min(order[1])
+    assert [x.count() for x in filters.ratio_split(df.limit(0), "t", 0.5)] == [0, 0]
+
+
+def test_a_split_numbers_only_the_rows_at_the_boundary(spark, tmp_path):
+    df = spark.range(1000).select("id", F.floor(F.col("id") / 10).alias("t"))
+    df.write.parquet(str(tmp_path / "t"))
+    head, rest = filters.ratio_split(spark.read.parquet(str(tmp_path / "t")), "t", 0.505)
+    assert (head.count(), rest.count()) == (505, 495)
+    assert "PushedFilters: [Or(IsNull(t),LessThan(t,50))]" in head._jdf.queryExecution().toString()
+
+
+def test_value_types_of_files_behind_mounts_and_without_scheme(spark, tmp_path):
+    spark.createDataFrame([("a",)], "value string").coalesce(1).write.parquet(str(tmp_path / "text"))
+    spark.createDataFrame([((1,),)], "value struct<x:int>").coalesce(1).write.parquet(str(tmp_path / "struct"))
+    (text,), (struct,) = (list((tmp_path / n).glob("*.parquet")) for n in ("text", "struct"))
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.here.link./in", f"file://{tmp_path}")
+    mounted = f"viewfs://here/in/text/{text.name}"
+    paths = [str(text), mounted, f"file:{struct}", f"file://{struct}", f"viewfs://here/in/none/{text.name}", f"{tmp_path}/none"]
+    found = rd.split_paths_by_value_type(spark, paths)
+    assert found["string"] == sorted([str(text), mounted]) and found["struct"] == sorted(paths[2:4])
+    assert [p for p, _ in found["error"]] == sorted(paths[4:])
