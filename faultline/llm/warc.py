@@ -20,7 +20,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from faultline.session import settle
+
 REVISIT_BYTES = 1000
+#: Of payloads that repeat, the most frequent ones that all tasks know; the others are joined by digest.
+REPEATED = 1 << 16
 RECORDS_PER_FILE = 2000
 DATE = "1970-01-01T00:00:00Z"
 #: Fixed by the format.
@@ -65,9 +69,16 @@ def write_warc(pages: DataFrame, path: str) -> None:
                         F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= REVISIT_BYTES
-    kept = (rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-            .filter("n > 1").select("digest", "keeper"))
-    rows = rows.join(kept, "digest", "left")
+    kept = settle(rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
+                  .filter("n > 1"))
+    rows = rows.join(F.broadcast(kept.orderBy(F.desc("n"), "digest").limit(REPEATED).select("digest", "keeper", "n")), "digest", "left")
+    if kept.count() > REPEATED:
+        # what is decided already, and small payloads, are dealt out by row
+        seen = kept.orderBy(F.desc("n"), "digest").limit(REPEATED).select("digest")
+        rest = kept.join(F.broadcast(seen), "digest", "left_anti").select(F.col("digest").alias("_key"), F.col("keeper").alias("_keeper"))
+        alone = F.concat(F.lit("-"), F.xxhash64(F.monotonically_increasing_id()).cast("string"))
+        rows = rows.withColumn("_key", F.when(large & F.col("n").isNull(), F.col("digest")).otherwise(alone))
+        rows = rows.join(rest, "_key", "left").withColumn("keeper", F.coalesce("keeper", "_keeper"))
     refers = F.when(F.coalesce(F.col("page_id") != F.col("keeper"), F.col("keeper").isNotNull()), F.col("keeper"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -164,6 +164,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("known", [0, 2, 1000])
+def test_revisits_however_many_payloads_repeat(spark, tmp_path, monkeypatch, known):
+    monkeypatch.setattr(warc, "REPEATED", known)
+    rows = [(i, "u", None if i % 7 == 0 else str(i % 5) * 1200 if i % 2 else str(i % 3) * 20) for i in range(60)]
+    rows += [(i, "u", f"{i}" * 600) for i in range(60, 70)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    last = {html: i for i, _, html in rows if html and len(html) >= 1000}
+    assert got == {i: ("revisit", last[html]) if last.get(html, i) != i else ("response", None) for i, _, html in rows}
+
+
 @pytest.mark.parametrize("zipped", [True, False])
 def test_salvage_finds_what_is_left(spark, tmp_path, zipped):
     rng = np.random.default_rng(7)
