@@ -38,10 +38,12 @@ SEARCH_SPACE = {
     "subsample": ("float", 0.6, 1.0, False),
     "subsample_freq": ("int", 1, 7, False),
 }
-# the names that Spark's boosted trees have a counterpart for
-GBT_PARAMS = {"learning_rate": "stepSize", "max_bin": "maxBins", "max_depth": "maxDepth",
-              "min_child_samples": "minInstancesPerNode", "min_split_gain": "minInfoGain",
+# the names that Spark's boosted trees have a counterpart for; columns are sampled per node there, not per tree
+GBT_PARAMS = {"colsample_bytree": "featureSubsetStrategy", "learning_rate": "stepSize", "max_bin": "maxBins",
+              "max_depth": "maxDepth", "min_child_samples": "minInstancesPerNode", "min_split_gain": "minInfoGain",
               "n_estimators": "maxIter", "subsample": "subsamplingRate"}
+#: Ranges of trees grown leaf by leaf with regularised weights; a search has to be told to go without them.
+NO_COUNTERPART = ("num_leaves", "reg_alpha", "reg_lambda", "subsample_freq")
 
 
 # -- text ---------------------------------------------------------------------------------------------------------
@@ -215,33 +217,93 @@ def score_external(df: DataFrame, features: Sequence[str], loader, threshold: fl
     return df.mapInPandas(run, schema)
 
 
-def draw_params(trials: int, seed: int = 0, space: Mapping[str, tuple] = SEARCH_SPACE) -> list[dict[str, Any]]:
-    """seeded random draws from the search ranges, in the names of Spark's boosted trees."""
-    rng = random.Random(seed)
-    out = []
-    for _ in range(trials):
-        draw = {}
-        for name, (kind, low, high, log) in space.items():
-            u = rng.random()
-            v = math.exp(math.log(low) + u * (math.log(high) - math.log(low))) if log else low + u * (high - low)
-            if name in GBT_PARAMS:
-                draw[GBT_PARAMS[name]] = min(high, max(low, round(v))) if kind == "int" else v
-        out.append(draw)
+def _searched(space: Mapping[str, tuple], without: Sequence[str]) -> dict[str, tuple]:
+    """The ranges to search, by name; raises for ranges without a counterpart that ``without`` does not name."""
+    lost = [name for name in space if name not in GBT_PARAMS and name not in without]
+    if lost:
+        raise ValueError(f"no counterpart in Spark's boosted trees, name them in without: {lost}")
+    return {name: r for name, r in space.items() if name not in without}
+
+
+def _value(place: float, kind: str, low: float, high: float, log: bool) -> float | int:
+    """What lies at ``place`` between 0 and 1 of a range."""
+    v = math.exp(math.log(low) + place * (math.log(high) - math.log(low))) if log else low + place * (high - low)
+    return min(high, max(low, round(v))) if kind == "int" else min(high, max(low, v))
+
+
+def _as_gbt(draw: Mapping[str, Any]) -> dict[str, Any]:
+    return {GBT_PARAMS[n]: str(float(v)) if GBT_PARAMS[n] == "featureSubsetStrategy" else v for n, v in draw.items()}
+
+
+def draw_params(trials: int, seed: int = 0, space: Mapping[str, tuple] = SEARCH_SPACE,
+                without: Sequence[str] = ()) -> list[dict[str, Any]]:
+    """seeded random draws from the search ranges but ``without``, in the names of Spark's boosted trees."""
+    rng, space = random.Random(seed), _searched(space, without)
+    return [_as_gbt({name: _value(rng.random(), *r) for name, r in space.items()}) for _ in range(trials)]
+
+
+def guided_places(past: Sequence[tuple[Mapping[str, float], float]], names: Sequence[str], rng: random.Random,
+                  warm: int = 5, candidates: int = 24) -> dict[str, float]:
+    """Where to try next, per name between 0 and 1: at random for ``warm`` trials, then where trials of the best tenth are dense
+    beside the others. ``past``: (places, score) of the trials so far.
+    """
+    if len(past) < max(warm, 2):
+        return {name: rng.random() for name in names}
+    ranked = sorted(past, key=lambda x: -x[1])
+    cut = -(-len(past) // 10)
+    width = max(0.02, 0.5 / len(past) ** 0.75)
+
+    def dense(x: float, centres: list[float]) -> float:
+        # the whole range counts as one more trial
+        peaks = sum(math.exp(-((x - c) / width) ** 2 / 2) for c in centres) / (width * math.sqrt(2 * math.pi))
+        return (1 + peaks) / (1 + len(centres))
+
+    out = {}
+    for name in names:
+        good, others = ([places[name] for places, _ in part] for part in (ranked[:cut], ranked[cut:]))
+        near = [rng.random() if rng.random() < 1 / (1 + cut) else min(1.0, max(0.0, rng.gauss(rng.choice(good), width)))
+                for _ in range(candidates)]
+        out[name] = max(near, key=lambda x: dense(x, good) / dense(x, others))
     return out
 
 
+def _by_time(prepared: DataFrame, ts: str, days: int) -> tuple[DataFrame, DataFrame]:
+    """Rows up to max(t) - ``days``, and those after it."""
+    anchor = prepared.agg(F.max(quoted(ts))).first()[0] - timedelta(days=days)
+    cut = F.lit(anchor).cast(prepared.schema[ts].dataType)
+    return settle(prepared.filter(F.col(quoted(ts)) <= cut)), settle(prepared.filter(F.col(quoted(ts)) > cut))
+
+
+def _held_out_auc(early: DataFrame, late: DataFrame, params: Mapping[str, Any], label: str, seed: int) -> float:
+    auc = roc_auc(score(late, fit_classifier(early, label, seed=seed, **params)), y=label).first()["roc_auc"]
+    return float("-inf") if auc is None else auc
+
+
+def search_time_holdout(prepared: DataFrame, ts: str, trials: int, space: Mapping[str, tuple] = SEARCH_SPACE,
+                        without: Sequence[str] = (), label: str = "label", days: int = 7, seed: int = 42,
+                        warm: int = 5) -> tuple[Transformer, list[dict[str, Any]]]:
+    """a guided search. Train up to max(t) - ``days``, validate after it, refit the best ROC-AUC on everything.
+
+    Returns the model and a record per trial, best first: ``trial``, the drawn value of every range by name, ``auc``.
+    """
+    space, rng = _searched(space, without), random.Random(seed)
+    early, late = _by_time(prepared, ts, days)
+    past: list[tuple[dict[str, float], float]] = []
+    records = []
+    for trial in range(trials):
+        places = guided_places(past, list(space), rng, warm)
+        draw = {name: _value(places[name], *r) for name, r in space.items()}
+        past.append((places, _held_out_auc(early, late, _as_gbt(draw), label, seed)))
+        records.append({"trial": trial, **draw, "auc": past[-1][1]})
+    records.sort(key=lambda r: (-r["auc"], r["trial"]))
+    return fit_classifier(prepared, label, seed=seed, **_as_gbt({n: records[0][n] for n in space})), records
+
+
 def tune_time_holdout(prepared: DataFrame, ts: str, grid: Sequence[Mapping[str, Any]], label: str = "label",
                       days: int = 7, seed: int = 42) -> tuple[Transformer, dict[str, Any], float]:
     """train up to max(t) - ``days``, validate after it, keep the best ROC-AUC, refit on everything."""
-    anchor = prepared.agg(F.max(quoted(ts))).first()[0] - timedelta(days=days)
-    cut = F.lit(anchor).cast(prepared.schema[ts].dataType)
-    early, late = prepared.filter(F.col(quoted(ts)) <= cut), prepared.filter(F.col(quoted(ts)) > cut)
-    early, late = settle(early), settle(late)
-    scored = []
-    for i, params in enumerate(grid):
-        model = fit_classifier(early, label, seed=seed, **params)
-        auc = roc_auc(score(late, model), y=label).first()["roc_auc"]
-        scored.append((auc if auc is not None else float("-inf"), -i))
+    early, late = _by_time(prepared, ts, days)
+    scored = [(_held_out_auc(early, late, params, label, seed), -i) for i, params in enumerate(grid)]
     best, at = max(scored)
     params = dict(grid[-at])
     return fit_classifier(prepared, label, seed=seed, **params), params, best

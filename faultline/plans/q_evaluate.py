@@ -242,11 +242,30 @@ def _(spark, sf):
 @query("f5_tune_time_holdout")
 def _(spark, sf):
     _df, _prep, rows = _prepared(spark, sf)
-    _model, params, auc = ft.tune_time_holdout(rows, "window_5min_end", ft.draw_params(2, space=_SPACE))
+    _model, params, auc = ft.tune_time_holdout(rows, "window_5min_end", ft.draw_params(2, space=_SPACE, without=ft.NO_COUNTERPART))
     return rows.agg(F.count("*").alias("rows")).select("rows", F.lit(float(auc)).alias("valid_roc_auc"),
                                                        F.lit(str(sorted(params))).alias("tuned"))
 
 
+@query("f5_guided_search",
+       "SELECT 3 AS trials, true AS best_first, true AS in_range, 8 AS ranges, true AS scores_in_range, true AS scores_all")
+def _(spark, sf):
+    """The chosen trial has the best AUC, every drawn value lies in its range, the refitted model scores every row."""
+    _df, _prep, rows = _prepared(spark, sf)
+    model, records = ft.search_time_holdout(rows, "window_5min_end", 3, _SPACE, ft.NO_COUNTERPART, warm=2)
+    names = [n for n in _SPACE if n not in ft.NO_COUNTERPART]
+    table_ = spark.createDataFrame([(r["trial"], i, float(r["auc"]), n, float(r[n]), float(_SPACE[n][1]), float(_SPACE[n][2]))
+                                    for i, r in enumerate(records) for n in names],
+                                   "trial int, place int, auc double, name string, v double, low double, high double")
+    found = table_.agg(
+        F.count_distinct("trial").cast("int").alias("trials"), (F.max_by("auc", -F.col("place")) == F.max("auc")).alias("best_first"),
+        F.bool_and(F.col("v").between(F.col("low"), F.col("high"))).alias("in_range"),
+        F.count_distinct("name").cast("int").alias("ranges"))
+    scored = ft.score(rows, model).agg(F.bool_and(F.col("y_proba").between(0, 1)).alias("scores_in_range"),
+                                       (F.count_distinct("row") == F.lit(rows.count())).alias("scores_all"))
+    return found.crossJoin(F.broadcast(scored))  # one row each
+
+
 @query("g7_feature_importance")
 def _(spark, sf):
     _df, prep, rows = _prepared(spark, sf)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 import statistics
 
 import pytest
@@ -150,3 +151,31 @@ def test_value_types_of_files_behind_mounts_and_without_scheme(spark, tmp_path):
     found = rd.split_paths_by_value_type(spark, paths)
     assert found["string"] == sorted([str(text), mounted]) and found["struct"] == sorted(paths[2:4])
     assert [p for p, _ in found["error"]] == sorted(paths[4:])
+
+
+def test_ranges_without_a_counterpart_are_refused_by_name():
+    with pytest.raises(ValueError, match="num_leaves.*reg_alpha.*reg_lambda.*subsample_freq"):
+        ft.draw_params(1)
+    draws = ft.draw_params(50, without=ft.NO_COUNTERPART)
+    for name, (kind, low, high, _) in ft.SEARCH_SPACE.items():
+        if name not in ft.NO_COUNTERPART:
+            values = [float(d[ft.GBT_PARAMS[name]]) for d in draws]
+            assert low <= min(values) < max(values) <= high and (kind == "float" or all(v == int(v) for v in values))
+
+
+def test_a_guided_search_comes_closer_than_random_draws():
+    names = ["a", "b", "c"]
+
+    def miss(places):
+        return abs(places["a"] - 0.8) + abs(places["b"] - 0.15) + 0.1 * abs(places["c"] - 0.5)
+
+    def best(warm, seed):
+        rng, past = random.Random(seed), []
+        for _ in range(60):
+            places = ft.guided_places(past, names, rng, warm)
+            assert all(0 <= v <= 1 for v in places.values())
+            past.append((places, -miss(places)))
+        return -max(s for _, s in past)
+
+    guided, plain = (statistics.mean(best(warm, seed) for seed in range(20)) for warm in (5, 1000))
+    assert guided < 0.6 * plain
