@@ -1,5 +1,8 @@
 """Golden vectors of template mining, one shard at a time, without Spark."""
 
+import random
+
+import numpy as np
 import pytest
 
 from faultline.operators.mining_core import MinerConfig, Shard, set_score
@@ -119,3 +122,31 @@ def test_set_engine_matches_wildcards():
         shard.add(line.split(), 0)
     assert shard.templates[1] == ["a", "<*>"]
     assert shard.best(shard.route(["a", "z"]), ["a", "z"], 0.8, True) == 1
+
+
+@pytest.mark.parametrize("engine,cap", [("length", None), ("length", 20), ("jaccard", None), ("jaccard", 20)])
+def test_search_equals_a_look_at_every_cluster(engine, cap, monkeypatch):
+    rng = random.Random(5)
+    caps = {"max_clusters": cap} if engine == "length" else {"max_clusters_per_word": cap}
+    cfg = MinerConfig(sim_th=0.5, engine=engine, **caps)
+    words = [chr(97 + i % 26) * (1 + i // 26) for i in range(40)] + ["<*>", "7"]
+    lines = [" ".join(["a", *(rng.choice(words[:2 + i % 40]) for _ in range(rng.randint(0, 6)))]) for i in range(600)]
+    found = [feed(cfg, lines)]
+    everything = lambda leaf, *_: np.fromiter(leaf.at.values(), np.int64, len(leaf.at))
+    monkeypatch.setattr(Shard, "_similar", lambda self, leaf, *_: everything(leaf))
+    monkeypatch.setattr(Shard, "_overlapping", lambda self, leaf, *_: everything(leaf))
+    found.append(feed(cfg, lines))
+    assert found[0][1] == found[1][1]
+    assert [{n: list(s.rows()) for n, s in m.shards.items()} for m, _ in found][0] == {
+        n: list(s.rows()) for n, s in found[1][0].shards.items()}
+
+
+def test_a_line_looks_at_few_of_many_clusters():
+    rng = random.Random(6)
+    shard = Shard(MinerConfig(sim_th=0.8, max_clusters=None))
+    lines = [["x", *(f"{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(9))] for _ in range(3000)]
+    for i, tokens in enumerate(lines):
+        shard.add(tokens, i)
+    leaf = shard.leaves[("x",)]
+    assert len(leaf.at) > 2900
+    assert max(len(shard._similar(leaf, shard._seen(t))) for t in lines[:200]) < 100
