@@ -286,3 +286,9 @@ def test_hours_broken_off_and_resumed_equal_one_run(spark):
     early = rows.filter("id < 1").withColumn("ts", F.timestamp_seconds(F.lit(-5000)))
     with pytest.raises(ValueError, match="after hour"):
         hourly.assign_by_hour(early, "tokens", "ts", ["id"], out, cfg)
+
+
+def test_small_chunks_do_not_make_many_rounds(spark, monkeypatch):
+    """All chunks change one leaf; the lead doubles, so 60 chunks take few rounds (nine with a lead of eight)."""
+    lines = [f"hot {letters(i)} {letters(i + 500)} {letters(i + 900)}" for i in range(240)]
+    assert mined_in_rounds(spark, monkeypatch, lines, MinerConfig(sim_th=0.9, max_clusters=None), 16, None) <= 5
