@@ -15,10 +15,15 @@ from faultline.plans.stand_ins import DEVICE, DOC_LINES, INCIDENTS, with_views
 from faultline.streaming import jobs
 
 
+def _files(spark, sf, name, files_per_trigger=None):
+    """A table as a stream of its files, be it one file or a folder of them. A pattern as path allows both."""
+    return jobs.stream_incremental_files(spark, f"{sf}/{name}.parque[t]", table(spark, sf, name).schema,
+                                         files_per_trigger=files_per_trigger)
+
+
 def _events(spark, sf):
-    """The events file as a stream, times as instants."""
-    schema = table(spark, sf, "events").schema
-    raw = jobs.stream_incremental_files(spark, sf, schema, "events.parquet")
+    """The events as a stream, times as instants."""
+    raw = _files(spark, sf, "events")
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("timestamp"),
                       F.concat(F.lit("dev-"), F.col("user_id").cast("string")).alias("host"), "event_type",
                       F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("priority_score"))
@@ -65,8 +70,7 @@ def _(spark, sf):
 
 
 def _document_lines(spark, sf):
-    schema = table(spark, sf, "documents").schema
-    docs = jobs.stream_incremental_files(spark, sf, schema, "documents.parquet")
+    docs = _files(spark, sf, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "message")).filter("message <> ''")
     return lines.select("doc_id", "line", tokens_of(F.col("message"), MASK_DELIMITERS).alias("tokens"))
 
@@ -93,13 +97,12 @@ SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP
 def _(spark, sf):
     e = table(spark, sf, "events")
     base = e.filter("event_type <> 'signup'").groupBy("user_id", "event_type").agg(F.min("value").alias("value"))
-    updates = jobs.stream_incremental_files(spark, sf, e.schema, "events.parquet").select(
+    updates = _files(spark, sf, "events").select(
         "user_id", "event_type", "value", F.col("event_id").alias("seq"))
     return jobs.stream_upsert(updates, base, ["user_id", "event_type"], "seq")
 
 
 @query("r6_stream_incremental_files", "SELECT event_id, user_id, event_type FROM events")
 def _(spark, sf):
-    schema = table(spark, sf, "events").schema
-    out = jobs.stream_incremental_files(spark, sf, schema, "events.parquet", files_per_trigger=1)
+    out = _files(spark, sf, "events", files_per_trigger=1)
     return jobs.run_available(out.select("event_id", "user_id", "event_type"), "r6")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,7 +91,12 @@ def stream_mine_templates(sdf: DataFrame, tokens: str, order_by: Sequence[str],
     query = (rows.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/marks")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.option("basePath", f"{root}/lines").parquet(f"{root}/lines").drop("batch")
+    try:
+        return spark.read.option("basePath", f"{root}/lines").parquet(f"{root}/lines").drop("batch")
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        return mine_templates(spark.createDataFrame([], rows.schema), tokens, order_by, cfg)[0]  # no batch so far
 
 
 def run_available(sdf: DataFrame, label: str, mode: str = "append") -> DataFrame:

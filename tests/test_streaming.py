@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import templates as tp
 from faultline.operators.mining_core import MinerConfig
+from faultline.plans import all_queries
 from faultline.streaming import jobs
 from faultline.streaming.buckets import BucketTable, Version
 from test_templates import frame, noise
@@ -108,3 +109,19 @@ def test_files_are_taken_once_over_restarts(spark, tmp_path):
     assert run() == [1]
     _file(source / "1.parquet", [(2,)], ["x"])
     assert run() == [1, 2] and run() == [1, 2]
+
+
+def test_streams_take_a_table_that_is_a_folder_of_files(spark, tmp_path):
+    for name, rows in (("documents", 12), ("events", 60)):
+        small = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(rows)
+        small.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    queries = all_queries()[0]
+    same = queries["r4_stream_equals_batch"](spark, str(tmp_path)).collect()
+    assert same and all(r["same"] for r in same)
+    assert queries["r6_stream_incremental_files"](spark, str(tmp_path)).count() == 60
+
+
+def test_mining_a_stream_without_files_gives_no_lines(spark, tmp_path):
+    sdf = jobs.stream_incremental_files(spark, str(tmp_path), frame(spark, []).schema)
+    out = jobs.stream_mine_templates(sdf, "tokens", ["id"], MinerConfig())
+    assert out.count() == 0 and "template_mined" in out.columns
