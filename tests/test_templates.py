@@ -316,3 +316,23 @@ def test_distinct_mining_keeps_lines_of_forgotten_clusters(spark):
     out, catalog = tp.mine_templates_distinct(frame(spark, lines), "tokens", ["id"], MinerConfig(sim_th=0.8, max_clusters=3))
     assert {r["message"]: r["template"] for r in out.collect()} == {x: x for x in lines}
     assert catalog.agg(F.sum("size")).first()[0] == 24 and tp.live_templates(catalog).count() == 3
+
+
+def test_a_message_is_not_repeated_for_every_wildcard_set(spark):
+    """Sixty wildcard sets of one length and first word: each message travels once."""
+    shapes = [["go", *("<*>" if i >> b & 1 else f"w{b}" for b in range(6))] for i in range(1, 61)]
+    catalog = spark.createDataFrame([("7", i, t, "go", i) for i, t in enumerate(shapes)],
+                                    "shard string, local_id bigint, tokens array<string>, leaf_path string, tree_ord bigint")
+    asked = [["go", *(f"{'xw'[i >> b & 1]}{b}" for b in range(6))] for i in range(64)]
+    msgs = spark.createDataFrame([(t,) for t in asked], "tokens array<string>")
+    for fewest in (False, True):
+        found = tp.match_templates(msgs, catalog, "never", MinerConfig(), fewest, tokens_per_task=50)
+        got = {" ".join(r["tokens"]): r["cluster_id"] - (7 << tp.ID_BITS) for r in found.collect()}
+        want = {}
+        for words in asked:
+            fits = [i for i, t in enumerate(shapes) if all(a in ("<*>", b) for a, b in zip(t, words))]
+            if fits:
+                n = [shapes[i].count("<*>") for i in fits]
+                want[" ".join(words)] = min(i for i, k in zip(fits, n) if k == (min(n) if fewest else max(n)))
+        assert got == want
+    assert "array_contains" not in found._jdf.queryExecution().optimizedPlan().toString()
