@@ -31,3 +31,10 @@ def test_entry(spark):
 def test_query_equals_sql(spark, name):
     ok, note, _rows, _took = compare(spark, connect(SF), name, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert ok, note
+
+
+def test_training_windows_are_made_once(spark):
+    """What every fit and every pass over the training rows reads is settled, not the events again."""
+    from faultline.plans.q_evaluate import _training
+
+    assert "FileScan" not in _training(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
