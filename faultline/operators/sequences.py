@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from faultline.functions.clock import ceil_s, epoch_us, floor_s, quoted
 from faultline.operators.order import global_rank, length_bucket_batches
 from faultline.operators.vocab import next_token_columns
+from faultline.session import settle
 
 STEP = 300  # seconds between sequence ends
+CELLS = 1_000_000  # numbers of vectors that a task resamples
 
 
 def window_seconds(width: float) -> int:
@@ -101,10 +103,13 @@ def segment_mean(df: DataFrame, row_id: str, pos: str, vec: str, slots: int, mas
 
     Longer ones: mean of the unmasked vectors of slot floor(pos * slots / length). Shorter ones: each vector
     floor(slots / length) times, zeros behind. Input is one row per (row_id, pos), output one per (row_id, slot).
+    Tasks grow in number with the numbers to be averaged, and one layout serves all steps.
     """
     m = F.lit(slots)
     rows = df.withColumn("_keep", F.col(quoted(mask)).cast("int") if mask else F.lit(1))
-    sizes = rows.groupBy(quoted(row_id)).agg(F.count("*").alias("_n"), F.max(F.size(quoted(vec))).alias("_h"))
+    sizes = settle(rows.groupBy(quoted(row_id)).agg(F.count("*").alias("_n"), F.max(F.size(quoted(vec))).alias("_h")))
+    cells = sizes.agg(F.sum(F.greatest("_n", m) * F.greatest("_h", F.lit(1)))).first()[0] or 0
+    layout = (-(-cells // CELLS) or 1, F.col(quoted(row_id)), F.col("slot"))
     reps = F.greatest(F.floor(m / F.col("_n")), F.lit(1)).cast("int")
     base = rows.join(sizes, row_id)
     long = F.col("_n") > m
@@ -112,12 +117,12 @@ def segment_mean(df: DataFrame, row_id: str, pos: str, vec: str, slots: int, mas
     placed = base.withColumn("_first", first.cast("int")).withColumn(
         "slot", F.explode(F.sequence("_first", F.when(long, F.col("_first")).otherwise(F.col("_first") + reps - 1))))
     # spread by slot too: one long sequence is not one task
-    dims = placed.repartition(F.col(quoted(row_id)), F.col("slot")).select(
+    dims = placed.repartition(*layout).select(
         quoted(row_id), "slot", "_keep", long.alias("_long"), F.posexplode(quoted(vec)).alias("_d", "_x"))
     weight = F.when(F.col("_long"), F.col("_keep")).otherwise(F.lit(1))
     means = dims.groupBy(quoted(row_id), "slot", "_d").agg(
         F.coalesce(F.try_divide(F.sum(F.col("_x").cast("double") * weight), F.sum(weight)), F.lit(0.0)).alias("_m"))
     vecs = means.groupBy(quoted(row_id), "slot").agg(_in_order(F.col("_m"), F.col("_d")).alias("vec"))
-    grid = sizes.select(quoted(row_id), "_h", F.explode(F.sequence(F.lit(0), m - 1)).alias("slot"))
+    grid = sizes.select(quoted(row_id), "_h", F.explode(F.sequence(F.lit(0), m - 1)).alias("slot")).repartition(*layout)
     return (grid.join(vecs, [row_id, "slot"], "left")
             .select(quoted(row_id), "slot", F.coalesce("vec", F.array_repeat(F.lit(0.0), F.col("_h"))).alias("vec")))
