@@ -66,8 +66,9 @@ MASK_RULES = [
 ]
 MASK_DELIMITERS = [" ", "[", "]", "<", ">", "(", ")", "=", ":"]
 
-# the white space that str.split() knows, in Java's Unicode mode
-_BLANK = r"(?U)[\s\x1c-\x1f]+"
+# the white space that str.split() knows
+_BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+           "\u2028\u2029\u202f\u205f\u3000")
 
 
 def parse_syslog(df: DataFrame, col: str = "message") -> DataFrame:
@@ -123,13 +124,14 @@ def mask_messages(df: DataFrame, col: str = "message", rules: Sequence[tuple[str
 
 def tokens_of(c: Column, delimiters: Sequence[str] = ()) -> Column:
     """T4: delimiters become spaces, then split on runs of white space; empty text has no tokens."""
-    single = "".join(d for d in delimiters if len(d) == 1)
-    if single:
-        c = F.translate(c, single, " " * len(single))
-    for d in delimiters:
-        if len(d) > 1:
+    single = "".join(dict.fromkeys(d for d in delimiters if len(d) == 1))
+    longer = [d for d in delimiters if len(d) > 1]
+    if longer:  # these see the single ones as spaces already, but other white space as it is
+        c = F.translate(c, single, " " * len(single)) if single else c
+        for d in longer:
             c = F.replace(c, F.lit(d), F.lit(" "))
-    return F.filter(F.split(c, _BLANK), lambda t: t != "")
+    blanks = "".join(dict.fromkeys(_BLANKS + single))
+    return F.array_remove(F.split(F.translate(c, blanks, " " * len(blanks)), " "), "")
 
 
 def tokenize(df: DataFrame, col: str = "message", delimiters: Sequence[str] = (), out: str = "tokens") -> DataFrame:

@@ -65,10 +65,11 @@ def _table(columns: dict, n: int, want: pa.Schema) -> pa.Table:
                      pa.array(columns[f.name], f.type) for f in want], schema=want)
 
 
-def _step(cfg: MinerConfig, keys: Sequence[str], want: pa.Schema):
+def _step(cfg: MinerConfig, keys: Sequence[str], want: pa.Schema, lone: bool):
     """One run of chunks of one shard, fed in order from the handed-over state; named by its first chunk.
 
-    Lines without ``pos`` are all lines of their shard and are put in order here.
+    Lines without ``pos`` are all lines of their shard and are put in order here. A ``lone`` run, the only one of its shard in
+    the round, hands on the whole state; others hand on the leaves they changed.
     """
 
     def run(key, lines: pa.Table, state: pa.Table) -> pa.Table:
@@ -103,7 +104,7 @@ def _step(cfg: MinerConfig, keys: Sequence[str], want: pa.Schema):
                          "nodes": [list(made.opened)], "opened": [list(made.opened.values())], "created": [made.created],
                          "evicted": [made.evicted], **{k: [v] for k, v in named.items()}}, 1, want)]
         if made.writes:
-            left = [r for r in shard.rows() if "L " + r["leaf_path"] in made.writes]
+            left = [r for r in shard.rows() if lone or "L " + r["leaf_path"] in made.writes]
             parts.append(_table({"kind": ["state"] * len(left), **{k: [v] * len(left) for k, v in named.items()},
                                  **{c: [r[c] for r in left] for c in left[0]}}, len(left), want))
         return pa.concat_tables(parts)
@@ -152,8 +153,12 @@ def _mine(df: DataFrame, text: Column, tokens: Column, ts: Column, order_by: Seq
     lines = df.select(*[F.col(quoted(o)).alias(k) for o, k in zip(order_by, keys)],
                       shard_of(tokens, cfg.engine).alias("shard"), text.alias("text"),
                       F.size(tokens).alias("_len"), ts.cast("bigint").alias("ts"))
+    # the lines are read several times, but cut into tokens once
+    lines_path = fresh_dir(spark, "mining-lines")
+    lines.write.parquet(lines_path)
+    lines = spark.read.schema(lines.schema).parquet(lines_path)
     out_schema = T.StructType([*T.StructType.fromDDL(STEP_OUT), *[T.StructField(k, lines.schema[k].dataType) for k in keys]])
-    step, judge = _step(cfg, keys, _arrow_type(out_schema)), _judge(cfg, _arrow_type(JUDGED))
+    judge = _judge(cfg, _arrow_type(JUDGED))
     per_chunk = F.least(F.greatest(F.floor(F.lit(chunk_tokens) / F.greatest("_longest", F.lit(1))), F.lit(1)), F.lit(CHUNK_LINES))
     # a given lead is kept; else it grows while tries do not count, up to the tokens of LEAD full chunks
     most = lead or max(LEAD, LEAD * CHUNK_TOKENS // chunk_tokens)
@@ -202,11 +207,11 @@ def _mine(df: DataFrame, text: Column, tokens: Column, ts: Column, order_by: Seq
         starts = state.join(shape, "shard").withColumn(
             "chunk", F.explode(F.concat(F.array("nxt"), tries))).drop("nxt", "stop", "behind")
         out = settle(todo.groupBy("shard", "chunk").cogroup(starts.groupBy("shard", "chunk"))
-                     .applyInArrow(step, out_schema))
-        if rounds or initial is not None:
+                     .applyInArrow(_step(cfg, keys, _arrow_type(out_schema), lone=rounds == 0), out_schema))
+        if rounds:
             judged = settle(out.filter("kind <> 'line'").drop(*keys).groupBy("shard").cogroup(state.groupBy("shard"))
                             .applyInArrow(judge, T.StructType.fromDDL(JUDGED)))
-        else:  # lead runs only, from nothing: what they leave is the state
+        else:  # lead runs only: what they leave is the state
             judged = out.withColumns({"kind": F.when(F.col("kind") == "chunk", "runs").otherwise(F.col("kind")),
                                       "base": F.lit(0).cast("bigint"), "accepted": F.array("chunk"),
                                       "shifts": F.array(F.lit(0).cast("bigint"))})

@@ -336,3 +336,35 @@ def test_a_message_is_not_repeated_for_every_wildcard_set(spark):
                 want[" ".join(words)] = min(i for i, k in zip(fits, n) if k == (min(n) if fewest else max(n)))
         assert got == want
     assert "array_contains" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_cut_into_tokens_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = frame(spark, noise(300))
+    rows = rows.mapInArrow(counted, rows.schema)
+    lines, _ = tp.mine_templates(rows, "tokens", ["id"], MinerConfig(sim_th=0.4), chunk_tokens=200)
+    assert lines.count() == 300 and read.value == 300
+
+
+def test_first_round_of_a_resumed_run_is_not_judged(spark, monkeypatch):
+    """A run that is alone in its round leaves the whole state."""
+    cfg, lines = MinerConfig(sim_th=0.6, max_clusters=5, max_children=4), noise(400)
+    half = tp.mine_templates(frame(spark, lines[:200]), "tokens", ["id"], cfg)[1].localCheckpoint()
+    want = tp.mine_templates(frame(spark, lines), "tokens", ["id"], cfg)[1].collect()
+
+    def refuse(key, runs, state):
+        raise AssertionError("judged")
+
+    monkeypatch.setattr(tp, "_judge", lambda *a: refuse)
+    got = tp.mine_templates(frame(spark, lines[200:], 200), "tokens", ["id"], cfg, initial=half)[1].collect()
+
+    def shown(rows):
+        return sorted((r["shard"], r["local_id"] or 0, " ".join(r["tokens"] or ()), r["leaf_path"], r["size"] or 0) for r in rows)
+
+    assert shown(got) == shown(want)
