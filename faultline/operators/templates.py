@@ -31,6 +31,7 @@ CHUNK_LINES = 50_000  # lines of one chunk
 LEAD = 8  # chunks that the first task of a shard takes while the state keeps changing
 MAX_SPAN = 1024  # chunks of one shard tried in one round behind the first task's
 BAND = 16  # chunks in a folder
+SEP = "\x1f"  # between the tokens of a message on its way to a task; white space, so no token has it
 ID_BITS = 32
 FORGOTTEN = -1  # ``tree_ord`` of the catalogue row that counts a shard's lines of forgotten clusters
 
@@ -348,15 +349,18 @@ def ended_templates(lines: DataFrame, catalog: DataFrame, order_by: Sequence[str
     return gone.groupBy("cluster_id").agg(F.max_by("template_mined", F.struct(*map(quoted, order_by))).alias("template"))
 
 
-def _perfect(cfg: MinerConfig, strategy: str, fewest_wildcards: bool, want: pa.Schema):
+def _perfect(cfg: MinerConfig, strategy: str, fewest_wildcards: bool, kept: Sequence[str], want: pa.Schema):
     """Perfect matches of one piece of a shard's messages, against all templates of the shard.
 
-    A template is listed under its rarest literal, so a message looks at few of them, whatever their number.
+    A template is listed under its rarest literal, so a message looks at few of them, whatever their number. Repeated messages
+    are looked up once.
     """
     param = cfg.param
 
     def run(lines: pa.Table, state: pa.Table) -> pa.Table:
         rows = state.to_pylist()
+        for r in rows:
+            r["tokens"] = _cut(r["text"], r["n"])
         often = Counter((i, t) for r in rows for i, t in enumerate(r["tokens"] or ()) if t != param)
         kids: dict[tuple, set[str]] = {}
         lists: dict[tuple[int, str], list] = {}
@@ -369,7 +373,7 @@ def _perfect(cfg: MinerConfig, strategy: str, fewest_wildcards: bool, want: pa.S
                 continue
             literal = [(i, t) for i, t in enumerate(r["tokens"]) if t != param]
             wild = len(r["tokens"]) - len(literal)
-            entry = (path, -wild if fewest_wildcards else wild, -r["tree_ord"], literal, r["local_id"], r["tokens"])
+            entry = (path, -wild if fewest_wildcards else wild, -r["tree_ord"], literal, r["local_id"], r["tokens"], r["log_key"])
             (lists.setdefault(min(literal, key=often.__getitem__), []) if literal else loose).append(entry)
 
         def route(words: list[str]) -> tuple | None:
@@ -395,51 +399,95 @@ def _perfect(cfg: MinerConfig, strategy: str, fewest_wildcards: bool, want: pa.S
                             top, rank = e, mine
             return top
 
-        hits = [best(words) for words in lines["tokens"].to_pylist()] if rows else []
-        at = pa.array([i for i, e in enumerate(hits) if e is not None], pa.int64())
-        hits = [e for e in hits if e is not None]
-        return pa.table([lines["tokens"].take(at).cast(want.field("tokens").type), lines["shard"].take(at).cast(pa.string()),
-                         pa.array([" ".join(e[5]) for e in hits], pa.string()), pa.array([e[4] for e in hits], pa.int64())],
-                        schema=want)
+        seen: dict[str, tuple | None] = {}
+        hits = []
+        for text, n in zip(lines["_text"], lines["_len"].to_pylist()):
+            text = text.as_py()
+            if text not in seen:
+                seen[text] = best(_cut(text, n)) if rows else None
+            hits.append(seen[text])
+        shown = {id(e): " ".join(e[5]) for e in seen.values() if e is not None}
+        return _table({**{c: lines[c] for c in kept}, "_text": lines["_text"], "_len": lines["_len"],
+                       "template": [None if e is None else shown[id(e)] for e in hits],
+                       "_local": [None if e is None else e[4] for e in hits],
+                       "log_key": [None if e is None else e[6] for e in hits]}, len(lines), want)
 
     return run
 
 
-def match_templates(msgs: DataFrame, catalog: DataFrame, strategy: str = "never", cfg: MinerConfig = MinerConfig(),
-                    fewest_wildcards: bool = False, tokens_per_task: int = CHUNK_TOKENS) -> DataFrame:
-    """M7: perfect match of the distinct token lists in ``msgs.tokens`` against the catalogue, which stays as it is.
+def _joined(tokens: Column) -> Column:
+    """A list of tokens as one text, which is half as large on its way as a list."""
+    return F.array_join(tokens, SEP)
+
+
+def _cut(text: str | None, n: int) -> list[str] | None:
+    """The tokens of :func:`_joined`."""
+    if text is None:
+        return None
+    words = text.split(SEP) if n else []
+    if len(words) != n:
+        raise ValueError(f"a token is null or holds U+001F: {text[:200]!r}")
+    return words
+
 
-    Messages of a token count are cut into pieces of bounded size, each with the templates of that length: a message
-    travels once, however many wildcard sets its length has. Ties: most wildcards (or fewest), then tree order. ``never``
-    looks in the routed leaf only, ``fallback`` elsewhere if that finds nothing, ``always`` everywhere.
+def _matched(df: DataFrame, tokens: str, catalog: DataFrame, strategy: str, cfg: MinerConfig, fewest_wildcards: bool,
+             tokens_per_task: int) -> DataFrame:
+    """All rows with ``template``, ``cluster_id`` and, if the catalogue has it, ``log_key`` of the perfect match, or nulls.
+
+    Rows of a token count are cut into pieces of bounded size, each with the templates of that length: a row travels once,
+    with all that it has, and nothing is joined back.
     """
     if strategy not in ("never", "fallback", "always"):
         raise ValueError("strategy must be never, fallback or always")
-    keyed = msgs.select("tokens").distinct().withColumn("shard", F.size("tokens").cast("string"))
-    pieces = keyed.groupBy("shard").agg(F.greatest(F.ceil(F.sum(F.size("tokens")) / tokens_per_task), F.lit(1)).alias("_n"))
+    t = F.col(quoted(tokens))
+    kept = [c for c in df.columns if c != tokens]
+    plain = [F.col(quoted(f.name)) for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    keyed = df.withColumns({"_len": F.coalesce(F.size(t), F.lit(-1)), "_text": _joined(t)})
+    pieces = keyed.groupBy("_len").agg(F.greatest(F.ceil(F.sum("_len") / tokens_per_task), F.lit(1)).alias("_n"))
     # one row per token count
-    rows = keyed.join(F.broadcast(pieces), "shard").withColumn("piece", F.pmod(F.xxhash64("tokens"), F.col("_n"))).drop("_n")
-    entries = catalog.select("shard", "local_id", "tokens", "leaf_path", "tree_ord").join(
-        F.broadcast(pieces.select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("piece"))), "shard")
-    schema = "tokens array<string>, shard string, template string, local_id bigint"
-    run = _perfect(cfg, strategy, fewest_wildcards, _arrow_type(schema))
-    found = rows.groupBy("shard", "piece").cogroup(entries.groupBy("shard", "piece")).applyInArrow(run, schema)
-    return found.select("tokens", "template", global_id().alias("cluster_id"))
+    rows = keyed.join(F.broadcast(pieces), "_len").withColumn("_piece", F.pmod(F.xxhash64(*plain), F.col("_n"))).select(
+        *map(quoted, kept), "_text", "_len", "_piece")
+    known = "log_key" in catalog.columns
+    entries = catalog.select(F.col("shard").cast("int").alias("_len"), "local_id", _joined(F.col("tokens")).alias("text"),
+                             F.size("tokens").alias("n"), "leaf_path", "tree_ord",
+                             (F.col("log_key") if known else F.lit(None)).cast("bigint").alias("log_key")).join(
+        F.broadcast(pieces.select("_len", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_piece"))), "_len")
+    schema = T.StructType([*[df.schema[c] for c in kept], *T.StructType.fromDDL(
+        "_text string, _len int, template string, _local bigint, log_key bigint")])
+    run = _perfect(cfg, strategy, fewest_wildcards, kept, _arrow_type(schema))
+    found = rows.groupBy("_len", "_piece").cogroup(entries.groupBy("_len", "_piece")).applyInArrow(run, schema)
+    words = F.when(F.col("_len") == 0, F.array().cast(df.schema[tokens].dataType)).otherwise(F.split("_text", SEP, -1))
+    return found.select(words.alias(tokens), *map(quoted, kept), "template",
+                        (F.shiftleft(F.col("_len").cast("bigint"), ID_BITS) + F.col("_local")).alias("cluster_id"),
+                        *(["log_key"] if known else []))
+
+
+def match_templates(msgs: DataFrame, catalog: DataFrame, strategy: str = "never", cfg: MinerConfig = MinerConfig(),
+                    fewest_wildcards: bool = False, tokens_per_task: int = CHUNK_TOKENS) -> DataFrame:
+    """M7: perfect match of the distinct token lists in ``msgs.tokens`` against the catalogue, which stays as it is.
+
+    Ties: most wildcards (or fewest), then tree order. ``never`` looks in the routed leaf only, ``fallback`` elsewhere if that
+    finds nothing, ``always`` everywhere.
+    """
+    columns = [c for c in catalog.columns if c != "log_key"]
+    return _matched(msgs.select("tokens").distinct(), "tokens", catalog.select(*map(quoted, columns)), strategy, cfg,
+                    fewest_wildcards, tokens_per_task).filter("cluster_id IS NOT NULL")
 
 
 def map_templates(df: DataFrame, tokens: str, catalog: DataFrame, strategy: str = "never",
-                  cfg: MinerConfig = MinerConfig(), vocab: DataFrame | None = None) -> DataFrame:
-    """Distinct token lists -> M7 -> back to every row as ``template`` and ``cluster_id``.
+                  cfg: MinerConfig = MinerConfig(), vocab: DataFrame | None = None,
+                  tokens_per_task: int = CHUNK_TOKENS) -> DataFrame:
+    """Every row with the ``template`` and ``cluster_id`` that M7 gives its tokens.
 
-    With a vocabulary of templates the distinct lists also get ``log_key`` (J5), 1 where nothing matched.
+    With a vocabulary of templates rows also get ``log_key`` (J5), 1 where nothing matched. All columns of ``df`` travel, so
+    leave out what is not needed.
     """
-    distinct = df.select(F.col(quoted(tokens)).alias("tokens")).distinct()
-    found = match_templates(distinct, catalog, strategy, cfg)
+    state = catalog.select("shard", "local_id", "tokens", "leaf_path", "tree_ord")
     if vocab is not None:
         from faultline.operators.joins import lookup_vocab
 
-        found = lookup_vocab(found, vocab, "template", out="log_key")
-    out = df.join(found.withColumnRenamed("tokens", tokens) if tokens != "tokens" else found, tokens, "left")
+        state = lookup_vocab(state.withColumn("_template", F.array_join("tokens", " ")), vocab, "_template", out="log_key")
+    out = _matched(df, tokens, state, strategy, cfg, False, tokens_per_task)
     return out if vocab is None else out.withColumn("log_key", F.coalesce("log_key", F.lit(1)))
 
 

@@ -368,3 +368,29 @@ def test_first_round_of_a_resumed_run_is_not_judged(spark, monkeypatch):
         return sorted((r["shard"], r["local_id"] or 0, " ".join(r["tokens"] or ()), r["leaf_path"], r["size"] or 0) for r in rows)
 
     assert shown(got) == shown(want)
+
+
+def test_rows_are_matched_where_they_are(spark):
+    """Repeated, empty, null and unknown messages keep their other columns, and found templates are not joined back."""
+    shapes = [["go", "<*>", "x"], ["go", "a", "<*>"], ["<*>", "b", "x"], []]
+    catalog = spark.createDataFrame([(str(len(t)), i, t, t[0] if t else "", i) for i, t in enumerate(shapes)],
+                                    "shard string, local_id bigint, tokens array<string>, leaf_path string, tree_ord bigint")
+    asked = [["go", "a", "x"], ["go", "a", "y"], ["no", "b", "x"], ["no", "c", "x"], [], None, ["go"]] * 9
+    rows = spark.createDataFrame([(i, w, {"k": i}) for i, w in enumerate(asked)], "id bigint, words array<string>, m map<string,bigint>")
+    vocab = spark.createDataFrame([("go <*> x", 7), ("", 8)], "token string, id bigint")
+    for strategy, want in (("never", [0, 1, 2, None, 3, None, None]), ("always", [0, 1, 2, None, 3, None, None])):
+        out = tp.map_templates(rows, "words", catalog, strategy, MinerConfig(), vocab=vocab, tokens_per_task=12)
+        got = {r["id"]: r for r in out.collect()}
+        assert len(got) == len(asked)
+        for i, w in enumerate(asked):
+            r, t = got[i], want[i % 7]
+            assert r["words"] == w and r["m"] == {"k": i}
+            assert r["cluster_id"] == (None if t is None else (len(w) << tp.ID_BITS) + t)
+            assert r["template"] == (None if t is None else " ".join(shapes[t]))
+            assert r["log_key"] == {0: 7, 3: 8}.get(t, 1)
+    assert "Join LeftOuter, (words" not in out._jdf.queryExecution().optimizedPlan().toString()
+    plain = tp.map_templates(rows.select("id", "words"), "words", catalog, "never", MinerConfig())
+    assert "Join LeftOuter" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    broken = spark.createDataFrame([(["go", None, "x"],)], "words array<string>")
+    with pytest.raises(Exception, match="token is null"):
+        tp.map_templates(broken, "words", catalog).collect()
