@@ -290,9 +290,11 @@ FROM (SELECT event_id, 'dev-' || user_id AS ip, ts AS timestamp, ts + INTERVAL 5
 ASOF LEFT JOIN inc i ON e.ip = i.ip AND e.t5 <= i.time"""))
 def _(spark, sf):
     """The whole sequence job: mine, match, label, look up, cut into sequences."""
-    lines = stand_ins.lines(spark, sf).withColumnRenamed("host", "ip")
+    # masking is most of the work: once, for mining and matching
+    lines = settle(masked_tokens(stand_ins.lines(spark, sf)).withColumnRenamed("host", "ip")
+                   .select("event_id", "ip", "timestamp", "message", "tokens"))
     order_by = ["timestamp", "event_id"]
-    catalog = settle(mine_templates(masked_tokens(lines), "tokens", order_by, PRODUCTION)[1])
+    catalog = settle(mine_templates(lines, "tokens", order_by, PRODUCTION)[1])
     keys = vocab.build_template_vocab(live_templates(catalog).select(F.array_join("tokens", " ").alias("t")), "t")
     devices = vocab.build_device_vocab(lines, "ip")
     events = keyed_events(lines, stand_ins.incidents(spark, sf), catalog, keys, devices, PRODUCTION, "fallback")

@@ -22,9 +22,13 @@ def masked_tokens(df: DataFrame, message: str = "message", out: str = "tokens")
 
 def keyed_events(lines: DataFrame, incidents: DataFrame, catalog: DataFrame, templates: DataFrame,
                  devices: DataFrame, cfg: MinerConfig = PRODUCTION, strategy: str = "never") -> DataFrame:
-    """(event_id, ip, timestamp, label, log_key, device_id): as-of label, template id and device id of every line."""
-    rows = joins.label_asof(lines, incidents).filter(F.col("message").isNotNull())
-    rows = map_templates(masked_tokens(rows), "tokens", catalog, strategy, cfg, vocab=templates)
+    """(event_id, ip, timestamp, label, log_key, device_id): as-of label, template id and device id of every line.
+
+    Lines that have ``tokens`` already, those of :func:`masked_tokens`, are not masked again.
+    """
+    rows = lines.filter(F.col("message").isNotNull())
+    rows = (rows if "tokens" in rows.columns else masked_tokens(rows)).select("event_id", "ip", "timestamp", "tokens")
+    rows = map_templates(joins.label_asof(rows, incidents), "tokens", catalog, strategy, cfg, vocab=templates)
     rows = joins.lookup_vocab(rows, devices, "ip", out="device_id", unk=vocab.UNK)
     return rows.select("event_id", "ip", "timestamp", "label", "log_key", "device_id")
 

@@ -394,3 +394,23 @@ def test_rows_are_matched_where_they_are(spark):
     broken = spark.createDataFrame([(["go", None, "x"],)], "words array<string>")
     with pytest.raises(Exception, match="token is null"):
         tp.map_templates(broken, "words", catalog).collect()
+
+
+def test_lines_with_tokens_are_not_masked_again(spark):
+    from faultline.plans import stand_ins
+    from faultline.plans.sequences import PRODUCTION, keyed_events, masked_tokens
+    from faultline.plans import all_queries
+
+    sf = "/root/testdata/sf0.001"
+    lines = stand_ins.lines(spark, sf).withColumnRenamed("host", "ip")
+    masked = masked_tokens(lines).localCheckpoint()
+    catalog = tp.mine_templates(masked, "tokens", ["timestamp", "event_id"], PRODUCTION)[1].localCheckpoint()
+    keys = tp.live_templates(catalog).select(F.array_join("tokens", " ").alias("token"), F.col("local_id").alias("id")).distinct()
+    keys = keys.groupBy("token").agg(F.min("id").alias("id"))
+    devices = lines.select(F.col("ip").alias("token"), F.lit(3).alias("id")).distinct()
+    args = (stand_ins.incidents(spark, sf), catalog, keys, devices, PRODUCTION, "fallback")
+    once = keyed_events(masked, *args)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, keyed_events(lines, *args).collect()))
+    assert "regexp_replace" not in once._jdf.queryExecution().optimizedPlan().toString()
+    found = all_queries()[0]["m8_match_jaccard"](spark, sf)
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
