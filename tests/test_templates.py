@@ -414,3 +414,11 @@ def test_lines_with_tokens_are_not_masked_again(spark):
     assert "regexp_replace" not in once._jdf.queryExecution().optimizedPlan().toString()
     found = all_queries()[0]["m8_match_jaccard"](spark, sf)
     assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_distinct_mining_matches_once_however_often_it_is_read(spark):
+    lines = [f"a b {i % 3} {i % 5}" for i in range(60)] + ["", "q"] * 4
+    out, _ = tp.mine_templates_distinct(frame(spark, lines).select("id", "tokens"), "tokens", ["id"], MinerConfig(sim_th=0.4))
+    assert "FlatMapCoGroupsInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == len(lines) and all(got[i]["tokens"] == x.split() and got[i]["cluster_id"] is not None for i, x in enumerate(lines))
