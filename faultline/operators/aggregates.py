@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.functions.clock import quoted
 from faultline.operators.order import running_sums
@@ -15,10 +16,14 @@ from faultline.operators.order import running_sums
 def last_row_per_window(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = ()) -> DataFrame:
     """A1: per key the row with the latest ``ts``; equal times fall back to the largest ``tie`` values.
 
-    ``max_by`` combines on the map side, so a busy key never travels as rows.
+    ``max_by`` combines on the map side, so a busy key never travels as rows. Where ``ts`` and ``tie`` are the whole row,
+    it is its own order and travels once.
     """
     rest = [c for c in df.columns if c not in keys]
     newest = F.struct(*[F.col(quoted(c)) for c in [ts, *tie]]) if tie else F.col(quoted(ts))
+    if tie and {ts, *tie} == set(rest):
+        picked = df.groupBy(*map(quoted, keys)).agg(F.max(newest).alias("_row"))
+        return picked.select(*map(quoted, keys), *[F.col(f"_row.{quoted(c)}").alias(c) for c in rest])
     picked = df.groupBy(*map(quoted, keys)).agg(
         F.max_by(F.struct(*[F.col(quoted(c)) for c in rest]), newest).alias("_row"))
     return picked.select(*map(quoted, keys), "_row.*")
@@ -40,19 +45,38 @@ def pivot_components(df: DataFrame, keys: Sequence[str], component: str, values:
     """A2: one column per (component, value). Of several polls the one with the smallest ``tie`` counts.
 
     The components are looked up in one job. Passing ``names`` saves that job; a component of the data that is not
-    listed then fails the query. Rows without a component are left out.
+    listed then fails the query. Rows without a component are left out. Where text must be sorted to be combined, the
+    values of a component are one struct, so that a sorted row has two columns a component and not two a value.
     """
     if names is None:
         names = component_names(df, component)
     c = F.col(quoted(component))
     unlisted = F.raise_error(F.concat(F.lit("component not listed: "), c.cast("string"))).cast(df.schema[component].dataType)
     df = df.filter(c.isNotNull()).withColumn(component, F.when(c.isin(list(names)), c).otherwise(unlisted))
-    picks = [F.min_by(F.col(quoted(v)), F.col(quoted(tie))).alias(v) for v in values]
-    return df.groupBy(*map(quoted, keys)).pivot(component, list(names)).agg(*picks)
+    by_name = df.groupBy(*map(quoted, keys)).pivot(component, list(names))
+    if len(values) == 1 or all(isinstance(df.schema[c].dataType, T.NumericType) for c in (*values, tie)):
+        return by_name.agg(*[F.min_by(F.col(quoted(v)), F.col(quoted(tie))).alias(v) for v in values])
+    wide = by_name.agg(F.min_by(F.struct(*[F.col(quoted(v)) for v in values]), F.col(quoted(tie))))
+    return wide.select(*map(quoted, keys), *[F.col(f"{quoted(c)}.{quoted(v)}").alias(f"{c}_{v}")
+                                             for c in wide.columns[len(keys):] for v in values])
 
 
-def first_non_null_merge(dfs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """A4: union of feature frames, per key and column the first non-NULL value, in one aggregation."""
+def first_non_null_merge(dfs: Sequence[DataFrame], keys: Sequence[str], single: bool = False,
+                         tasks: int | None = None) -> DataFrame:
+    """A4: union of feature frames, per key and column the first non-NULL value, in one aggregation.
+
+    ``single`` promises that no frame has two rows of one key. A row then travels as one value beside its keys, dealt to ``tasks``
+    if given: of many columns most are those of other frames.
+    """
+    if single:
+        rows = [d.select(*map(quoted, keys), F.struct(*[F.col(quoted(c)) for c in d.columns if c not in keys]).alias(f"_f{i}"))
+                for i, d in enumerate(dfs)]
+        union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+        union = union.repartition(tasks, *map(quoted, keys)) if tasks else union
+        merged = union.groupBy(*map(quoted, keys)).agg(*[F.first(f"_f{i}", True).alias(f"_f{i}") for i in range(len(dfs))])
+        names = dict.fromkeys(c for d in dfs for c in d.columns if c not in keys)
+        return merged.select(*map(quoted, keys), *[F.coalesce(*[
+            F.col(f"_f{i}.{quoted(c)}") for i, d in enumerate(dfs) if c in d.columns]).alias(c) for c in names])
     tagged = [d.withColumn("_src", F.lit(i)) for i, d in enumerate(dfs)]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     cols = [c for c in union.columns if c not in (*keys, "_src")]

@@ -179,3 +179,51 @@ def test_a_guided_search_comes_closer_than_random_draws():
 
     guided, plain = (statistics.mean(best(warm, seed) for seed in range(20)) for warm in (5, 1000))
     assert guided < 0.6 * plain
+
+
+def _polls(spark, n):
+    from faultline.plans import tabular
+
+    services = [tabular.COMPONENT_SERVICE, tabular.SUBSCRIBER_SERVICE, tabular.TRAFFIC_SERVICE]
+    rows = [(str(i), f"d{i % 3}", "Routing Engine" if i % 2 else "FPC: slot @ 0", "et-1",
+             '{"cpu":"%d","heap":"%d","temp":"3","state":"%d","jnx_subscriber_active_count":"%d",'
+             '"jnx_subscriber_total_count":"9","if_out_octets":"%d","if_in_octets":"x"}' % (i % 7, i % 11, i % 4, i, i % 13),
+             f"2024-01-01 {i // 40 % 24:02d}:{i % 40:02d}:00", services[i * 7 // 5 % 3]) for i in range(n)]
+    return rd.normalize_schema(spark.createDataFrame(
+        [*rows, rows[0]], "job_id string, `ip-address` string, component_name string, if_name string, value string, time string, "
+        "service_name string"))
+
+
+def test_tasks_of_poll_windows_grow_with_the_polls(spark, monkeypatch):
+    from faultline.plans import tabular
+
+    devices = spark.createDataFrame([("d0",), ("d1",)], "ip_address string")
+    names = ["FPC 0", "Routing Engine 0"]
+    few = tabular.poll_windows(_polls(spark, 300), devices, names)
+    monkeypatch.setattr(tabular, "CELLS_PER_TASK", 50)
+    many = tabular.poll_windows(_polls(spark, 300), devices, names)
+    assert few.columns == many.columns
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    # 100 or 101 polls a service, of 6, 2 and 2 numbers
+    assert many.rdd.getNumPartitions() >= 12 + 8 + 8 and few.rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+
+
+def test_rows_that_are_sorted_are_narrow(spark):
+    polls = spark.createDataFrame([("d", 1, "a.b", "5", None, "2"), ("d", 1, "a.b", "6", "x", "1"), ("d", 1, "c", "7", "y", None),
+                                   ("d", 2, "c", "8", "z", "1")],
+                                  "ip string, t int, component string, cpu string, state string, job_id string")
+    wide = agg.pivot_components(polls, ["ip", "t"], "component", ["cpu", "state"], ["a.b", "c"])
+    assert wide.columns == ["ip", "t", "a.b_cpu", "a.b_state", "c_cpu", "c_state"]
+    assert sorted(map(tuple, wide.collect())) == [("d", 1, "6", "x", None, None), ("d", 2, None, None, "8", "z")]
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("min_by(") == 2  # one a component
+
+    rows = spark.createDataFrame([("d", 1, "b", 1.0), ("d", 1, "b", 2.0), ("d", 0, "z", 9.0)], "ip string, t int, s string, v double")
+    last = agg.last_row_per_window(rows, ["ip"], "t", ["s", "v"])
+    assert [r.asDict() for r in last.collect()] == [{"ip": "d", "t": 1, "s": "b", "v": 2.0}]
+    assert "max_by" not in last._jdf.queryExecution().optimizedPlan().toString()
+
+    a = spark.createDataFrame([(1, None, 5), (2, "a", None)], "k int, x string, `y.z` int")
+    b = spark.createDataFrame([(1, "b", 6), (3, "c", None)], "k int, x string, w int")
+    one, other = agg.first_non_null_merge([a, b], ["k"]), agg.first_non_null_merge([a, b], ["k"], single=True, tasks=3)
+    assert one.schema.simpleString() == other.schema.simpleString()
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
