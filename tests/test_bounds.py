@@ -227,3 +227,27 @@ def test_rows_that_are_sorted_are_narrow(spark):
     one, other = agg.first_non_null_merge([a, b], ["k"]), agg.first_non_null_merge([a, b], ["k"], single=True, tasks=3)
     assert one.schema.simpleString() == other.schema.simpleString()
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+
+
+@pytest.mark.parametrize("name", ["f5_guided_search", "f5_tune_time_holdout"])
+def test_search_queries_draw_from_the_whole_ranges(spark, monkeypatch, name):
+    """Every trial and the refit train as many trees as drawn from the full ranges; the stub keeps them small here."""
+    import __spark_entry__ as entry
+    from faultline.plans import q_evaluate
+
+    start, asked, fit = dt.datetime(2024, 1, 1), [], ft.fit_classifier
+    rows = spark.createDataFrame([(i, start + dt.timedelta(hours=6 * i), float(i % 7), i % 2) for i in range(80)],
+                                 "row long, window_5min_end timestamp, n double, label int")
+    rows = ft.Prepared(rows, "row", ["n"]).transform(rows)
+
+    def few(prepared, label="label", weight=None, seed=42, **params):
+        asked.append(params)
+        return fit(prepared, label, seed=seed, maxIter=1, maxDepth=2)
+
+    monkeypatch.setattr(q_evaluate, "_prepared", lambda *_: (None, None, rows))
+    monkeypatch.setattr(ft, "fit_classifier", few)
+    assert entry.queries()[name](spark, "").count() == 1
+    trials = asked[:-1]  # the last is the refit
+    assert len(trials) == 10 and asked[-1] in trials
+    trees, depths = [p["maxIter"] for p in trials], [p["maxDepth"] for p in trials]
+    assert 200 <= min(trees) and 1000 < max(trees) <= 2000 and 3 <= min(depths) and 8 < max(depths) <= 12
