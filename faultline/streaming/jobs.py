@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from faultline.functions.clock import quoted
 from faultline.operators.mining_core import MinerConfig
-from faultline.operators.templates import load_catalog, mine_templates, save_catalog
-from faultline.session import fresh_dir
+from faultline.operators.templates import load_catalog, mine_templates, release, save_catalog
+from faultline.session import fresh_dir, tidy_shuffles
 from faultline.streaming.buckets import ROWS, BucketTable
 
 
@@ -85,8 +85,10 @@ def stream_mine_templates(sdf: DataFrame, tokens: str, order_by: Sequence[str],
     def apply(batch: DataFrame, number: int) -> None:
         before = load_catalog(spark, f"{root}/catalogue/{number}") if number else None
         lines, catalog = mine_templates(batch, tokens, order_by, cfg, initial=before)
-        lines.write.mode("overwrite").parquet(f"{root}/lines/batch={number}")
-        save_catalog(catalog, f"{root}/catalogue/{number + 1}")
+        with tidy_shuffles(batch.sparkSession):
+            lines.write.option("compression", "zstd").mode("overwrite").parquet(f"{root}/lines/batch={number}")
+            save_catalog(catalog, f"{root}/catalogue/{number + 1}")
+        release(lines, catalog)
 
     query = (rows.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/marks")
              .trigger(availableNow=True).start())
