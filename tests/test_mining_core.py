@@ -150,3 +150,22 @@ def test_a_line_looks_at_few_of_many_clusters():
     leaf = shard.leaves[("x",)]
     assert len(leaf.at) > 2900
     assert max(len(shard._similar(leaf, shard._seen(t))) for t in lines[:200]) < 100
+
+
+def test_set_engine_leaves_the_longest_lists_unread(monkeypatch):
+    """Tokens that all templates have tell nothing; templates are found by the others, and the result is that of all of them."""
+    from faultline.operators import mining_core
+
+    rng, read, often = random.Random(7), [], mining_core._often
+    shard = Shard(MinerConfig(sim_th=0.8, engine="jaccard"))
+    lines = [["x", "y", "the", "of", *(f"{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(10))] for _ in range(2000)]
+    for i, tokens in enumerate(lines):
+        shard.add(tokens, i)
+    leaf = shard.leaves[("y",)]
+    assert len(leaf.at) > 1900
+    monkeypatch.setattr(mining_core, "_often", lambda lists, *more: (read.append(sum(map(len, lists))), often(lists, *more))[1])
+    for tokens in lines[:100]:
+        ids = leaf.live()
+        best = max(shard._set_scores(ids, tokens, False))
+        assert best in shard._set_scores([leaf.ids[i] for i in shard._overlapping(leaf, tokens, 0.8, False)], tokens, False)
+    assert read and max(read) < 3000  # the four common lists have 7600 entries and more
